@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules
 from .near_dedup import near_duplicates
+from .packing import packed
 from .substring_dedup import digest, remove_repeats
 
 
@@ -18,13 +21,21 @@ def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(_documents(spark, sf_dir)))
 
 
+def op10_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rule_figures(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minmax_near_dedup, op9_recompression_dedup)}
+    return {f.__name__: f for f in (op4_minmax_near_dedup, op5_best_two_fit_packing, op9_recompression_dedup, op10_line_first_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_first_rules": quality_rules.SQL}
