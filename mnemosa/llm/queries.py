@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import chat_format, quality_rules
 from .near_dedup import near_duplicates
 from .packing import packed
 from .substring_dedup import digest, remove_repeats
@@ -25,6 +25,11 @@ def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text")
+    return chat_format.digests(chat_format.format_trees(chat_format.threads(rows.unionByName(chat_format.planted(rows)))))
+
+
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(_documents(spark, sf_dir)))
 
@@ -34,8 +39,8 @@ def op10_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minmax_near_dedup, op5_best_two_fit_packing, op9_recompression_dedup, op10_line_first_rules)}
+    return {f.__name__: f for f in (op4_minmax_near_dedup, op5_best_two_fit_packing, op6_reply_tree_chat, op9_recompression_dedup, op10_line_first_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_first_rules": quality_rules.SQL}
+    return {"op6_reply_tree_chat": chat_format.SQL, "op10_line_first_rules": quality_rules.SQL}
