@@ -136,3 +136,34 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit numbers as Spark's LONG."""
     return x.view(np.int64) if x.dtype == U64 else x
+
+
+#: Byte classes: 0 space, 1 letters and bytes of multi-byte characters, 2 digits, 3 other signs.
+CLASS = np.full(256, 3, np.uint8)
+CLASS[:0x21][SPACE[:0x21]] = 0
+CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+CLASS[48:58] = 2
+
+
+class Tokens(Words):
+    """Runs of bytes of one class; `classes` names those that are tokens, the rest are gaps."""
+
+    def __init__(self, column: pa.Array, lower: bool = False, classes: tuple[int, ...] = (1, 2, 3)):
+        data, self.offsets = flat(column)
+        self.data = LOWER[data] if lower else data
+        kind = CLASS[data]
+        wanted = np.isin(np.arange(4), classes)[kind]
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = kind[1:] != kind[:-1]
+        edge[self.offsets] = True
+        self.starts = np.flatnonzero(wanted & edge[:-1])
+        self.ends = np.flatnonzero(wanted & edge[1:]) + 1
+        self.bounds = np.searchsorted(self.starts, self.offsets)
+        self.rows = len(self.offsets) - 1
+
+
+def held_out(of: int, remainder: int):
+    """Whether crc32 of doc_id as text has this remainder; false without a doc_id."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == remainder, F.lit(False))
