@@ -9,17 +9,18 @@ probability J^4.  With 32 bands a pair at J = 0.75 is missed with probability
 (1 - 0.75^4)^32 = 5e-6, and at J = 0.8 with 5e-8.
 
 Equal sets are one node from the digest on.  Links between nodes come in two
-steps, both confirmed on the whole sets:
+steps, both confirmed on whole sets:
 
 * in every bucket (band value) that has two nodes or more, each member against
   one representative, picked by a hash that differs from band to band;
 * where a bucket still holds nodes of different components, all pairs of its
   nodes in different components, in blocks of 256 x 256 that any number of tasks
-  share.  A block compares signatures first; a pair goes on if 55% of the 128
-  values agree (4.6 standard deviations below 0.75).
+  share.  A block compares signatures first; the sets of a pair are compared if
+  55% of the 128 values agree (4.6 standard deviations below 0.75).  Only links
+  that join components within the block leave it.
 
-So a group of copies costs rows in proportion to its size, and no pair within a
-component is ever listed.
+So a group of copies costs rows in proportion to its size, no pair is listed
+before it is confirmed, and none within a component.
 
 Defined cases: null or wordless text is an empty set, linked with nothing;
 fewer than five words are one shingle, the whole sequence; repeated rows are
@@ -109,18 +110,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether `percent` per cent of the union of two sorted sets is common to both."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [alike(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -148,24 +151,31 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _pairs(percent: int):
+def _links(percent: int):
+    """Confirmed links between components, from blocks of nodes of one bucket: at most one less than the components in the block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["key", "i", "j"]):
-            node, label, n = (group.column(c).to_numpy() for c in ("node", "label", "n"))
+            node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
+            _, part = np.unique(group.column("label").to_numpy(), return_inverse=True)
             block, rep, band = group.column("block").to_numpy(), group.column("rep")[0].as_py(), group.column("band")[0].as_py()
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
+            sets = [np.frombuffer(x.as_buffer(), U64) for x in group.column("set")]
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             a, b = [], []
             for x in left.tolist():
                 y = right[(right > x) if i == j else slice(None)]
-                y = y[(label[y] != label[x]) & (node[y] != rep) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+                y = y[(part[y] != part[x]) & (node[y] != rep) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
                 if node[x] == rep or not len(y):
                     continue
                 agree = sig[y] == sig[x]
                 y = y[(agree.sum(1) >= LEAST_AGREEING) & (agree.reshape(len(y), BANDS, ROWS).all(2).argmax(1) == band)]
-                a += [int(node[x])] * len(y)
-                b += node[y].tolist()
+                for k in y.tolist():
+                    if part[k] != part[x] and alike(sets[x], sets[k], percent):
+                        a.append(int(node[x]))
+                        b.append(int(node[k]))
+                        part[part == part[k]] = part[x]
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -200,10 +210,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     at = shared.where("k > 2").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
     blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
-    rows = at.join(apart, "key").join(nodes.select("node", "n", "sig"), "node").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
+    rows = at.join(apart, "key").join(nodes.select("node", "n", "sig"), "node").join(sets, "node").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.select("key", "i", "j", "band", "rep", "block", "node", "label", "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = t.write("rest", confirmed(rows.mapInArrow(_pairs(percent), "a long, b long")))
+    rows = rows.select("key", "i", "j", "band", "rep", "block", "node", "label", "n", "sig", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rest = t.write("rest", rows.mapInArrow(_links(percent), "a long, b long"))
     joined = star.unionByName(rest)
     label = components(t, joined, "all") if not rest.isEmpty() else label
     low = label.join(nodes.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("low"))
