@@ -260,7 +260,7 @@ def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.05, float(t[0])), float(t[1])
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7, passes: int = 12) -> Detector:
+def train(texts: list[str], labels: np.ndarray, seed: int = 7, passes: int = 8) -> Detector:
     """From labelled texts; equal texts count once."""
     first = {t: i for i, t in reversed(list(enumerate(texts)))}
     keep = sorted(first.values())
@@ -283,7 +283,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, passes: int = 12)
     moment = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in network.p.items()}
     step = 0
     for turn in range(passes):
-        rank = suspect if turn < 4 else network.logits(x, ids, mask)
+        rank = suspect if turn < 3 else network.logits(x, ids, mask)
         order = np.lexsort((-rank, row))
         top = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
         extra = rng.permutation(len(row))[: 3 * len(top)]
