@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_rules, toxicity
+from . import chat_format, quality_model, quality_rules, toxicity
 from .near_dedup import near_duplicates
 from .packing import packed
 from .substring_dedup import digest, remove_repeats
@@ -39,6 +39,10 @@ def op6_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_trees(chat_format.threads(rows.unionByName(chat_format.planted(rows)))))
 
 
+def op7_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(_documents(spark, sf_dir)))
 
@@ -48,7 +52,7 @@ def op10_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_bigru, op4_minmax_near_dedup, op5_best_two_fit_packing, op6_reply_tree_chat, op9_recompression_dedup, op10_line_first_rules)}
+    return {f.__name__: f for f in (op1_toxicity_bigru, op4_minmax_near_dedup, op5_best_two_fit_packing, op6_reply_tree_chat, op7_random_indexing_quality, op9_recompression_dedup, op10_line_first_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
