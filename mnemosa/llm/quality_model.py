@@ -4,7 +4,8 @@ Each of BUCKETS word buckets has a fixed sparse index vector of +1 and -1.  One
 pass over all documents adds to every bucket the index vectors of the words
 around its occurrences (SPAN either side); the sums of all tasks are added by
 bucket, which takes BUCKETS rows a task whatever its input.  A document is the
-mean and the deviation of its words' vectors, scaled to unit length.  A network
+mean and the deviation of its words' vectors, scaled to unit length, and the size
+of the steps from each word's vector to the next (none where words repeat).  A network
 of one hidden layer, trained in numpy on at most `most` labelled documents, gives
 the logit; a temperature and an offset fitted on a fifth of them, kept out of
 training, calibrate it.
@@ -85,16 +86,19 @@ def context_table(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(words: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Mean and deviation of the vectors of each row's words."""
+    """Mean, deviation and step from word to word of the vectors of each row's words."""
     count = np.diff(bounds)
-    out = np.zeros((len(count), 2 * SIZE), np.float32)
+    out = np.zeros((len(count), 3 * SIZE), np.float32)
     full = np.flatnonzero(count)
     if len(full):
         x = table[words]
         n = count[full, None]
         mean = np.add.reduceat(x, bounds[:-1][full], axis=0) / n
         square = np.add.reduceat(x * x, bounds[:-1][full], axis=0) / n
-        out[full] = np.concatenate([mean, np.sqrt(np.maximum(0, square - mean * mean))], 1)
+        steps = np.diff(x, axis=0, prepend=x[:1])
+        steps[bounds[:-1][full]] = 0
+        step = np.add.reduceat(steps * steps, bounds[:-1][full], axis=0) / n
+        out[full] = np.concatenate([mean, np.sqrt(np.maximum(0, square - mean * mean)), np.sqrt(step)], 1)
     return out
 
 
@@ -126,9 +130,10 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5, passes: int = 120) -> Net
     z = (x - p["mean"]) / p["scale"]
     learnt = ("W", "b", "v", "c")
     moment, step = {k: [0.0, 0.0] for k in learnt}, 0
-    for turn in range(passes):
+    for _ in range(passes):
+        rng.shuffle(used)
         for i in range(0, len(used), 256):
-            at = rng.permutation(used)[:256] if i == 0 and turn == 0 else used[(np.arange(i, i + 256) * 7 + turn * 13) % len(used)]
+            at = used[i : i + 256]
             h = np.tanh(z[at] @ p["W"] + p["b"])
             d = (1 / (1 + np.exp(-np.clip(h @ p["v"] + p["c"], -30, 30))) - y[at]) / len(at)
             back = d[:, None] * p["v"] * (1 - h * h)
@@ -165,7 +170,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", held: tupl
     vectors = Tables(spark).write("vectors", rows.mapInArrow(pool, "doc_id long, held_out boolean, x binary"))
     picked = labels.where(F.col(label).isNotNull() & ~held_out(*held)).select("doc_id", F.col(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     known: pd.DataFrame = vectors.join(F.broadcast(picked), "doc_id").select("doc_id", "x", "y").toPandas().sort_values(["doc_id", "x"])
-    array = lambda xs: np.frombuffer(b"".join(xs), np.float32).reshape(-1, 2 * SIZE)
+    array = lambda xs: np.frombuffer(b"".join(xs), np.float32).reshape(-1, 3 * SIZE)
     net = train(array(known["x"]), known["y"].to_numpy())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
