@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_model, quality_rules, toxicity
+from . import chat_format, media, mixing, quality_model, quality_rules, toxicity
 from .near_dedup import near_duplicates
 from .packing import packed
 from .substring_dedup import digest, remove_repeats
@@ -26,6 +26,10 @@ def op1_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
 
 
+def op3_tar_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_documents(spark, sf_dir))
+
+
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
@@ -43,6 +47,11 @@ def op7_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op8_soft_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = _labels(spark, sf_dir).select("doc_id", mixing.domain_of_label().alias("domain"))
+    return mixing.mix(_documents(spark, sf_dir), labelled)
+
+
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(_documents(spark, sf_dir)))
 
@@ -52,7 +61,7 @@ def op10_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_bigru, op4_minmax_near_dedup, op5_best_two_fit_packing, op6_reply_tree_chat, op7_random_indexing_quality, op9_recompression_dedup, op10_line_first_rules)}
+    return {f.__name__: f for f in (op1_toxicity_bigru, op3_tar_media_columns, op4_minmax_near_dedup, op5_best_two_fit_packing, op6_reply_tree_chat, op7_random_indexing_quality, op8_soft_domain_mixing, op9_recompression_dedup, op10_line_first_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
