@@ -27,7 +27,8 @@ A window with no such symbol (it lies in a run of one word or so) is its own
 anchor.  Counts have map-side partial sums, and going back to the rows is a join
 by key whose heavy side adaptive execution splits: a passage in a third of all
 documents costs rows in proportion to its occurrences and nothing is listed in
-pairs.
+pairs.  Repeated keys are written before the join, since a join can only be split
+where both of its sides come straight from a shuffle.
 
 Defined cases: null text has no words; texts under `width` words have no window
 and keep all words; a repeated row is another document, so all its windows repeat;
@@ -206,14 +207,15 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         raise ValueError(f"width {width} is outside {3 * REACH} to 200")
     t = Tables(docs.sparkSession)
     rows = docs.mapInArrow(_rows(width), "key long, all long, doc long, place long")
-    keys = rows.groupBy("key").count().where("count > 1").select("key")
+    keys = t.write("keys", rows.groupBy("key").count().where("count > 1").select("key"))
     shared = t.write("anchors", rows.join(keys, "key"))
     kinds = t.write("kinds", shared.groupBy("key", "all").agg(F.count("*").alias("times"), F.min(F.struct("doc", "place")).alias("at")))
-    several = kinds.groupBy("key").count().where("count > 1").select("key")
+    several = t.write("several", kinds.groupBy("key").count().where("count > 1").select("key"))
     apart = _place(kinds.join(several, "key").select("times", "at.doc", "at.place"))
     apart = apart.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi", "times")).alias("taken"))
     single = t.write("windows", docs.join(apart, ["doc", "tag"]).mapInArrow(_windows(width), "one long, two long, doc long, tag int, lo long, times long"))
-    again = single.groupBy("one", "two").agg(F.sum("times").alias("n")).where("n > 1").select("one", "two")
+    again = t.write("again", single.groupBy("one", "two").agg(F.sum("times").alias("n")).where("n > 1").select("one", "two"))
+    t.drop("keys", "several")
     some = single.where("times = 1").join(again, ["one", "two"]).select("doc", "tag", "lo", F.col("lo").alias("hi"))
     every = _place(shared.join(kinds.where("times > 1").select("key", "all"), ["key", "all"])).select("doc", "tag", "lo", "hi")
     return every.unionByName(some).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("covered"))
