@@ -12,7 +12,7 @@ from .textkit import flat
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks of these characters only are lower-cased and cut here; they are composed and each has one lower-case form.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-įı-ɏ]*")
-MOST_CHUNKS, MOST_WORDS, AT_ONCE = 400_000, 600_000, 1000
+MOST_CHUNKS, MOST_WORDS, AT_ONCE = 1_000_000, 1_200_000, 1000
 
 
 class WordIds:
@@ -46,8 +46,13 @@ class WordIds:
         plain, odd = {}, []
         for chunk in missing:
             text = chunk.decode()
-            if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                plain[chunk] = PATTERN.findall(text.lower())
+            low = text.lower()
+            if low.isascii() and low.isalpha():
+                plain[chunk] = (low,)
+            elif low[-1] in ".," and low.isascii() and low[:-1].isalpha():
+                plain[chunk] = (low[:-1], low[-1])
+            elif PLAIN.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
+                plain[chunk] = PATTERN.findall(low)
             else:
                 odd.append((chunk, text))
         new = list({w for ws in plain.values() for w in ws if w not in self.words})
