@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, media, mixing, quality_model, quality_rules, toxicity
+from . import chat_format, media, mixing, quality_model, quality_rules, toxicity, warc
 from .near_dedup import near_duplicates
 from .packing import packed
 from .substring_dedup import digest, remove_repeats
@@ -26,6 +26,11 @@ def op1_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl = warc.captures_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.flat_headers(warc.resolve(warc.read_records(warc.write_records(crawl))))
+
+
 def op3_tar_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_documents(spark, sf_dir))
 
@@ -61,8 +66,8 @@ def op10_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_bigru, op3_tar_media_columns, op4_minmax_near_dedup, op5_best_two_fit_packing, op6_reply_tree_chat, op7_random_indexing_quality, op8_soft_domain_mixing, op9_recompression_dedup, op10_line_first_rules)}
+    return {f.__name__: f for f in (op1_toxicity_bigru, op2_warc_revisits, op3_tar_media_columns, op4_minmax_near_dedup, op5_best_two_fit_packing, op6_reply_tree_chat, op7_random_indexing_quality, op8_soft_domain_mixing, op9_recompression_dedup, op10_line_first_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_reply_tree_chat": chat_format.SQL, "op10_line_first_rules": quality_rules.SQL}
+    return {"op2_warc_revisits": warc.SQL, "op6_reply_tree_chat": chat_format.SQL, "op10_line_first_rules": quality_rules.SQL}
