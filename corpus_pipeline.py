@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mnemosa.llm import mixing, toxicity
 from mnemosa.llm.near_dedup import near_duplicates
+from mnemosa.llm.packing import packed
 from mnemosa.llm.shared import Tables
+from mnemosa.llm.substring_dedup import strip_repeats
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the detector, trained on the labels of docs, scores under one half."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of near-duplicates, the one with the smallest doc_id; rows without a doc_id stay if nothing is like them."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 35 words or more that occur elsewhere too."""
+    return strip_repeats(docs)
+
+
+def soft_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say, so that high- and low-quality tokens meet their target shares."""
+    labelled = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", mixing.domain_of_label().alias("domain"))
+    return mixing.mixed_rows(docs, labelled)
+
+
+def best_two_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 4096 tokens."""
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("minhash_near_dedup", minhash_near_dedup)]
+STAGES = [
+    ("toxicity_filter", toxicity_filter),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("soft_mixing", soft_mixing),
+    ("best_two_fit", best_two_fit),
+]
 
 #: Classifiers, tokenizers and iterative fits have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .quality_model import SIZE, buckets, index_vectors, pooled
 from .shared import Tables
-from .textkit import Words, pieces
+from .textkit import U64, Words, pieces
+from .textkit import mix as mix64
 
 MOST_ROWS, STEPS, CLOSE = 8000, 60, 1e-4
 #: Target shares of tokens by domain of the labels table; the budget leaves `low` and `high` in this proportion.
@@ -86,8 +87,8 @@ class Posterior:
         return self._softmax(self._inputs(x) @ self.w) if self.domains > 1 else np.ones((len(x), 1))
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, most: int = MOST_ROWS) -> tuple[list[str], DataFrame]:
-    """The domains that labelled (doc_id, domain) has, in order, and doc_id, tokens, p of each document."""
+def posteriors(docs: DataFrame, labelled: DataFrame, most: int = MOST_ROWS) -> tuple[list[str], Posterior, DataFrame]:
+    """The domains that labelled (doc_id, domain) has, in order, the classifier, and doc_id, tokens, p of each document."""
     spark = docs.sparkSession
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, most: int = MOST_ROWS) -> t
             p = model(array(batch.column("x").to_pylist()))
             yield pa.record_batch([batch.column("doc_id"), batch.column("tokens"), pa.array(list(p.astype(float)), pa.list_(pa.float64()))], ["doc_id", "tokens", "p"])
 
-    return domains, found.mapInArrow(judge, "doc_id long, tokens long, p array<double>")
+    return domains, model, found.mapInArrow(judge, "doc_id long, tokens long, p array<double>")
 
 
 def rates(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
@@ -170,17 +171,39 @@ def budget(weights: dict[str, float], domains: list[str], boost: float = BOOST):
     return targets
 
 
+def copies(doc_id: pa.Array, rate: np.ndarray) -> np.ndarray:
+    """Whole copies for rates: the integer part, and one more where the hash of doc_id is under the fraction."""
+    ids = doc_id.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+    drawn = mix64(ids ^ U64(0x6D69786D69786D69)) / 2.0**64
+    return (np.floor(rate) + (drawn < rate - np.floor(rate))).astype(np.int64)
+
+
+def _fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], boost: float) -> tuple[Posterior, DataFrame, list[np.ndarray]]:
+    domains, model, base = posteriors(docs, labelled)
+    base = Tables(docs.sparkSession).write("posteriors", base)
+    return model, base, fit_rates(base, budget(weights, domains, boost), len(domains))
+
+
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] = WEIGHTS, boost: float = BOOST) -> DataFrame:
     """doc_id, tokens, p, rate and copies of each row of docs."""
-    domains, base = posteriors(docs, labelled)
-    base = Tables(docs.sparkSession).write("posteriors", base)
-    history = fit_rates(base, budget(weights, domains, boost), len(domains))
+    _, base, history = _fit(docs, labelled, weights, boost)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r = rates(_matrix(batch)[1], history)
-            yield pa.record_batch([*batch.columns, pa.array(r)], [*batch.schema.names, "rate"])
+            yield pa.record_batch([*batch.columns, pa.array(r), pa.array(copies(batch.column("doc_id"), r))], [*batch.schema.names, "rate", "copies"])
+
+    return base.mapInArrow(run, "doc_id long, tokens long, p array<double>, rate double, copies long")
+
+
+def mixed_rows(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] = WEIGHTS, boost: float = BOOST) -> DataFrame:
+    """The rows of docs, each as many times as its copies, with all their columns."""
+    model, _, history = _fit(docs, labelled, weights, boost)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                r = rates(model(_projections(batch.column("text"))), history)
+                yield batch.take(pa.array(np.repeat(np.arange(len(r)), copies(batch.column("doc_id"), r))))
 
-    rated = base.mapInArrow(run, "doc_id long, tokens long, p array<double>, rate double")
-    drawn = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return rated.withColumn("copies", (F.floor("rate") + F.when(drawn < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+    return docs.mapInArrow(run, docs.schema)

@@ -221,13 +221,39 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return every.unionByName(some).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("covered"))
 
 
-def with_covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with the further columns `doc`, `tag` and `covered` (null where no window repeats); needs doc_id and text."""
-    clash = {"doc", "tag", "covered"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken")
-    docs = docs.withColumns(_keys(F.col("text"), F.col("doc_id")))
-    return docs.join(repeated_windows(docs.select("doc", "tag", "text"), width), ["doc", "tag"], "left")
+def _marked(docs: DataFrame, width: int) -> DataFrame:
+    """row (a struct of the columns of docs but text), text, covered."""
+    other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    keyed = docs.select(other, "text", *(c.alias(k) for k, c in _keys(F.col("text"), F.col("doc_id")).items()))
+    return keyed.join(repeated_windows(keyed.select("doc", "tag", "text"), width), ["doc", "tag"], "left").select("row", "text", "covered")
+
+
+def strip_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with the covered words taken out of text; what is left either side of them comes on lines of its own.
+
+    Texts without a repeated window stay as they are; n_chars, if there is such a
+    column, follows the text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                words, covered, out = Words(batch.column("text")), batch.column("covered").to_pylist(), batch.column("text").to_pylist()
+                data = words.data.tobytes()
+                for r in [r for r, c in enumerate(covered) if c]:
+                    at, end, parts = 0, int(words.bounds[r + 1] - words.bounds[r]), []
+                    for lo, hi in [*sorted((x["lo"], x["hi"] + width) for x in covered[r]), (end, end)]:
+                        if lo > at:
+                            first, last = words.bounds[r] + at, words.bounds[r] + lo - 1
+                            parts.append(data[words.starts[first] : words.ends[last]])
+                        at = max(at, hi)
+                    out[r] = b"\n".join(parts).decode()
+                yield pa.record_batch([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
+
+    marked = _marked(docs, width)
+    done = marked.mapInArrow(run, f"row {marked.schema['row'].dataType.simpleString()}, text string")
+    value = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return done.select(*(value.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -240,8 +266,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 counts = [pa.array(x, pa.int64()) for x in ([n for n, _ in done], [n - len(k) for n, k in done])]
                 yield pa.record_batch([batch.column("doc_id"), *counts, pa.array([b" ".join(k).decode() for _, k in done], pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    marked = with_covered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
-    return marked.select("doc_id", "text", "covered").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    marked = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
+    return marked.select("row.doc_id", "text", "covered").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(kept: DataFrame) -> DataFrame:

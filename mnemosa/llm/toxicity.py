@@ -326,3 +326,15 @@ def score(docs: DataFrame, model, held: tuple[int, int] = (4, 2), threshold: flo
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(*held).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is under the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                yield batch.filter(pa.array(shared.value(batch.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
