@@ -2,7 +2,8 @@
 
 Paths from root to leaf are found by self-joins that double: after round k a
 message knows its ancestor 2^k steps up, so a thread of n messages takes log2(n)
-joins, each by message and so without a heavy key.  The same tables, read from
+joins, each by message and so without a heavy key; messages whose root is reached
+are in no further one.  The same tables, read from
 the largest step down, list the messages of the chosen leaves' paths.
 
 Leaves are ranked in their tree by the mean score of their path's messages, then
@@ -59,25 +60,22 @@ def best_paths(nodes: DataFrame, tables: Tables, branches: int = 1) -> DataFrame
     known = nodes.select("conv_id", F.col("node").alias("up"))
     links = nodes.select("conv_id", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"))
     k = links.alias("a").join(known.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.up")), "left")
-    state = tables.write("up-0", k.select("a.conv_id", "a.node", F.col("b.up").alias("up"), F.lit(1).cast("long").alias("depth"), "a.total"))
-    steps = [state]
-    limit = None
-    while not state.where("up is not null").isEmpty():
-        limit = limit or max(1, nodes.count()).bit_length()
-        if len(steps) > limit:  # only cycles are left
-            break
-        a, b = state.alias("a"), state.alias("b")
-        both = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node")), "left")
-        value = lambda c: F.col(f"a.{c}") + F.coalesce(f"b.{c}", F.lit(0))
-        state = tables.write(f"up-{len(steps)}", both.select("a.conv_id", "a.node", F.col("b.up").alias("up"), value("depth").alias("depth"), value("total").alias("total")))
-        steps.append(state)
-    parents = steps[0].where("up is not null").select(F.col("conv_id").alias("pc"), F.col("up").alias("pn"))
-    leaves = state.where("up is null").join(parents, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("node") == F.col("pn")), "left_anti")
+    first = tables.write("up-0", k.select("a.conv_id", "a.node", F.col("b.up").alias("up"), F.lit(1).cast("long").alias("depth"), "a.total"))
+    state, active, steps = first.where("up is null"), first.where("up is not null"), []
+    limit = max(1, nodes.count()).bit_length()
+    while len(steps) <= limit and not active.isEmpty():  # what is active after that is on a cycle
+        steps.append(active)
+        a, b = active.alias("a"), active.unionByName(state).alias("b")
+        both = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node")))
+        moved = tables.write(f"up-{len(steps)}", both.select("a.conv_id", "a.node", F.col("b.up").alias("up"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.total") + F.col("b.total")).alias("total")))
+        state, active = state.unionByName(moved.where("up is null")), moved.where("up is not null")
+    parents = first.where("up is not null").select(F.col("conv_id").alias("pc"), F.col("up").alias("pn"))
+    leaves = state.join(parents, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("node") == F.col("pn")), "left_anti")
     order = W.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     leaves = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
     found = leaves.select("conv_id", F.col("node").alias("leaf"), "rank", "node")
-    for step in reversed(steps[:-1]):
-        up = step.where("up is not null").select(F.col("conv_id").alias("uc"), F.col("node").alias("un"), "up")
+    for step in reversed(steps):
+        up = step.select(F.col("conv_id").alias("uc"), F.col("node").alias("un"), "up")
         more = found.join(up, F.col("conv_id").eqNullSafe(F.col("uc")) & (F.col("node") == F.col("un")), "left")
         found = more.select("conv_id", "leaf", "rank", F.explode(F.array_compact(F.array("node", "up"))).alias("node"))
     depth = state.select(F.col("conv_id").alias("dc"), F.col("node").alias("dn"), "depth")
