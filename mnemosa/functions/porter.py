@@ -79,20 +79,21 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
-def _porter(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: w if w is None else stem(w))
-
-
-@F.pandas_udf("array<string>")
-def _stemmed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [stem(w) for w in re.findall(r"[^\W_]+", fold(t or ""))])
+def porter(word: Column) -> Column:
+    """The stem of a word."""
 
+    @F.pandas_udf("string")
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: w if w is None else stem(w))
 
-def porter(word: Column) -> Column:
-    return _porter(word)
+    return run(word)
 
 
 def stemmed_words(text: Column) -> Column:
     """Folded and stemmed words of a text."""
-    return _stemmed(text)
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [stem(w) for w in re.findall(r"[^\W_]+", fold(t or ""))])
+
+    return run(text)

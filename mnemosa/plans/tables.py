@@ -180,3 +180,27 @@ def token_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     click = F.sum(F.when(F.col("event_type") == "click", F.col("value")))
     g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("value").alias("a"), click.alias("b"), F.count("*").alias("c"), F.max("value").alias("d")).where("b is not null")
     return g.select("user_id", F.round(evalkit.composite_tokens(F.col("a"), F.col("b"), F.col("c"), F.col("d")), 6).alias("tokens"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def stream_ledger_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregate run over all events, with what it wrote in a memory table."""
+    import uuid
+
+    from ..streaming import stateful
+
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque[t]")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"windows_{uuid.uuid4().hex}"
+    q = stateful.ledger_windows(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.to_timestamp_ntz(F.date_format("start", "yyyy-MM-dd HH:mm:ss")).alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS first, count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    return e.groupBy("user_id", F.session_window("t", "30 minutes")).agg(F.min("ts").alias("first"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select("user_id", "first", "n", "value")

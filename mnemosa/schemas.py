@@ -4,27 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-FACTS = StructType.fromDDL(
+_TYPES = {"string": StringType(), "double": DoubleType(), "int": IntegerType(), "long": LongType(), "binary": BinaryType(), "array<string>": ArrayType(StringType())}
+
+
+def _schema(columns: str) -> StructType:
+    """From "name type, name type"; needs no session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+FACTS = _schema(
     "id string, project_key string, project_label string, project_path string, session_id string, kind string, text string, title string, subtitle string, narrative string, "
     "files array<string>, type string, observation_id string, created_at double, last_seen double, dim int, scale double, vec_int8 binary, vec_bits binary, importance double, "
     "frequency int, status string, superseded_by string, tier string, recall_count int, last_recalled double, injected_count int, used_count int"
 )
-CHUNKS = StructType.fromDDL(
+CHUNKS = _schema(
     "id string, project_key string, source_path string, kind string, anchor string, title string, heading_path string, level int, summary string, body string, byte_start long, byte_end long, "
     "content_hash string, dim int, scale double, vec_int8 binary, indexed_at double"
 )
-CHUNK_SOURCES = StructType.fromDDL("project_key string, source_path string, file_hash string, mtime_ns long, indexed_at double")
-SENSORY = StructType.fromDDL("id string, project_key string, modality string, observation_id string, url string, text string, attended int, created_at double, decayed_at double")
-WORK_QUEUE = StructType.fromDDL(
+CHUNK_SOURCES = _schema("project_key string, source_path string, file_hash string, mtime_ns long, indexed_at double")
+SENSORY = _schema("id string, project_key string, modality string, observation_id string, url string, text string, attended int, created_at double, decayed_at double")
+WORK_QUEUE = _schema(
     "msg_id string, stage string, project_key string, session_id string, ref string, payload string, status string, attempts int, next_retry_at double, lease_owner string, lease_expires double, enqueued_at double"
 )
-RECALL_EVENTS = StructType.fromDDL("ts double, project_key string, query string, returned int, top_sim double, confidence double, verdict string")
-USAGE_EVENTS = StructType.fromDDL("ts double, project_key string, kind string, bytes_in long, bytes_saved long")
-EDGES = StructType.fromDDL("src_id string, dst_id string, kind string, weight double")
-INDEX_META = StructType.fromDDL("project_key string, label string, path string, updated_at double")
-CURSORS = StructType.fromDDL("cursor_key string, offset long, updated_at double")
+RECALL_EVENTS = _schema("ts double, project_key string, query string, returned int, top_sim double, confidence double, verdict string")
+USAGE_EVENTS = _schema("ts double, project_key string, kind string, bytes_in long, bytes_saved long")
+EDGES = _schema("src_id string, dst_id string, kind string, weight double")
+INDEX_META = _schema("project_key string, label string, path string, updated_at double")
+CURSORS = _schema("cursor_key string, offset long, updated_at double")
 
 #: What a column of an older table holds where it was missing.
 DEFAULTS = {"status": "active", "frequency": 1, "tier": "ltm", "recall_count": 0, "injected_count": 0, "used_count": 0, "attended": 0, "attempts": 0, "weight": 1.0}
