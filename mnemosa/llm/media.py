@@ -51,7 +51,7 @@ def encode_png(payload: bytes, unpadded: int) -> bytes:
     lines = np.zeros((rows, WIDTH + 1), np.uint8)
     lines[:, 1:] = np.frombuffer(payload, np.uint8).reshape(rows, WIDTH)
     head = _MAGIC + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, rows, 8, 0, 0, 0, 0)) + _chunk(b"tEXt", b"Source-Bytes\0%d" % unpadded)
-    return head + _chunk(b"IDAT", zlib.compress(lines, 1)) + _chunk(b"IEND", b"")
+    return head + _chunk(b"IDAT", zlib.compress(lines, 6)) + _chunk(b"IEND", b"")
 
 
 def read_head(head: bytes) -> tuple[int, int, int, int]:

@@ -111,7 +111,7 @@ def resolve(captures: DataFrame, span: int = SPAN) -> DataFrame:
     carried = spans.withColumn("older", F.last("last", True).over(before))
     carried = carried.where("asked").select("canonical", "span", F.col("older").alias("carried"))
     here = W.partitionBy("canonical", "span").orderBy("at", F.when(is_full, 0).otherwise(1), "capture_id").rowsBetween(W.unboundedPreceding, -1)
-    revisits = found.withColumn("near", F.last(F.when(is_full, full), True).over(here)).where(F.col("kind") == "revisit")
+    revisits = found.withColumn("near", F.last(F.when(is_full & F.col("canonical").isNotNull(), full), True).over(here)).where(F.col("kind") == "revisit")
     joined = revisits.join(carried, ["canonical", "span"], "left")
     r = F.coalesce("near", "carried")
     both_tags = F.col("etag").isNotNull() & r["r_etag"].isNotNull()
