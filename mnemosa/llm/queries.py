@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, media, mixing, quality_model, quality_rules, toxicity, warc
+from . import chat_format, media, mixing, near_dedup, quality_model, quality_rules, substring_dedup, toxicity, warc
 from .near_dedup import near_duplicates
 from .packing import packed
 from .substring_dedup import digest, remove_repeats
@@ -70,4 +70,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": warc.SQL, "op6_reply_tree_chat": chat_format.SQL, "op10_line_first_rules": quality_rules.SQL}
+    """Tokenizers, trained models and stored files have no SQL; their queries are tested against brute force."""
+    return {
+        "op2_warc_revisits": warc.SQL,
+        "op4_minmax_near_dedup": near_dedup.SQL,
+        "op6_reply_tree_chat": chat_format.SQL,
+        "op9_recompression_dedup": substring_dedup.SQL,
+        "op10_line_first_rules": quality_rules.SQL,
+    }

@@ -273,3 +273,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def digest(kept: DataFrame) -> DataFrame:
     """kept_text as its SHA-256."""
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, i, md5(array_to_string(ws[i:i + {WIDTH - 1}], ' ')) AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - {WIDTH - 2})) AS i FROM d WHERE len(ws) >= {WIDTH})),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+covered AS (SELECT DISTINCT r, i + j AS p FROM again, (SELECT unnest(range({WIDTH})) AS j)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text FROM (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d) x ANTI JOIN covered USING (r, p) GROUP BY r),
+gone AS (SELECT r, count(*) AS n FROM covered GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
