@@ -8,10 +8,11 @@ and a linear layer gives the window's logit.  A text's score is that of its
 highest window, calibrated on labelled texts.
 
 The network is trained in numpy by back-propagation through time, on at most
-`most` labelled texts: one half of them gives the log-odds, the other half the
-windows, so that the network learns how far to trust log-odds on texts that they
-were not made from.  Positive texts give their most suspicious window, anew after
-each pass by the network's own scores; negative texts give theirs and some others.
+`most` labelled texts.  While it learns, the windows of each half of them come
+with the log-odds of the other half, so that it learns how far to trust log-odds
+on texts that they were not made from; they are of all those texts afterwards.
+Positive texts give their most suspicious window, chosen anew at
+every third pass by the network's own scores; negative texts give theirs and some others.
 
 Scoring is one pass without a shuffle; the model is some hundred thousand numbers
 at most.
@@ -37,7 +38,7 @@ from .textkit import U64, Tokens, held_out, mix, pieces, span_hashes
 
 WINDOW, STRIDE, HIDDEN, INPUTS, POOL = 32, 24, 8, 6, 8
 GRAMS = (3, 4, 5)
-MOST_ROWS, LEAST_TEXTS, MOST_ENTRIES = 4000, 4, 1 << 16
+MOST_ROWS, LEAST_TEXTS, MOST_ENTRIES, LEAST_STEPS = 2500, 4, 1 << 16, 300
 THRESHOLD = 0.3
 
 
@@ -78,32 +79,46 @@ class Vocabulary:
         return mix(span_hashes(self.data, at, at + n) + U64(n)), word[at]
 
 
+def _blocks(texts: pa.Array) -> Iterator[tuple[pa.Array, slice]]:
+    """The texts in runs of about a megabyte, with their rows."""
+    at = 0
+    for batch in pieces(pa.record_batch([texts], ["text"]), most=1 << 20):
+        yield batch.column(0), slice(at, at + batch.num_rows)
+        at += batch.num_rows
+
+
+def _holders(hashes: np.ndarray, row: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, and how many rows of label 1 and of label 0 hold each."""
+    keys, at = np.unique(hashes, return_inverse=True)
+    pairs = np.unique(at * len(labels) + row)
+    at, y = pairs // len(labels), labels[pairs % len(labels)]
+    return keys, np.bincount(at, y, len(keys)), np.bincount(at, 1 - y, len(keys))
+
+
 class Evidence:
     """Log-odds of words and character sequences from labelled texts."""
 
     def __init__(self, texts: pa.Array, labels: np.ndarray):
-        v = Vocabulary(texts)
-        row = np.repeat(np.arange(len(labels)), np.diff(v.bounds))
-        pairs = np.unique(row.astype(np.int64) * (len(v.words) + 1) + v.ids)
-        row, word = pairs // (len(v.words) + 1), pairs % (len(v.words) + 1)
-        self.tables = [self._table(v.words[word], row, labels)]
-        for n in GRAMS:
-            hashes, of = v.grams(n)
-            count = np.bincount(of, minlength=len(v.words))
-            begin = np.concatenate([[0], np.cumsum(count)])
-            times = count[word]
-            index = np.repeat(begin[word] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            self.tables.append(self._table(hashes[index], np.repeat(row, times), labels))
+        counts: list[list[tuple]] = [[] for _ in range(1 + len(GRAMS))]
+        for some, rows in _blocks(texts):
+            y, v = labels[rows], Vocabulary(some)
+            row = np.repeat(np.arange(len(y)), np.diff(v.bounds))
+            counts[0].append(_holders(v.words[v.ids], row, y))
+            pairs = np.unique(row * len(v.words) + v.ids) if len(v.words) else np.zeros(0, np.int64)
+            row, word = pairs // max(1, len(v.words)), pairs % max(1, len(v.words))
+            for n, into in zip(GRAMS, counts[1:], strict=True):
+                hashes, of = v.grams(n)
+                count = np.bincount(of, minlength=len(v.words))
+                times = count[word]
+                begin = (np.cumsum(count) - count)[word]
+                index = np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                into.append(_holders(hashes[index], np.repeat(row, times), y))
+        self.tables = [self._table(c, labels) for c in counts]
 
     @staticmethod
-    def _table(hashes: np.ndarray, row: np.ndarray, labels: np.ndarray) -> Lookup:
-        order = np.lexsort((row, hashes))
-        h, r = hashes[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-        keys, at = np.unique(h[new], return_inverse=True)
-        positive = np.bincount(at, labels[r[new]], len(keys))
-        negative = np.bincount(at, 1 - labels[r[new]], len(keys))
+    def _table(counts: list[tuple], labels: np.ndarray) -> Lookup:
+        keys, at = np.unique(np.concatenate([c[0] for c in counts] or [np.zeros(0, U64)]), return_inverse=True)
+        positive, negative = (np.bincount(at, np.concatenate([c[k] for c in counts] or [[]]), len(keys)) for k in (1, 2))
         p, n = labels.sum(), (1 - labels).sum()
         odds = np.log((positive + 0.3) / (p + 0.6)) - np.log((negative + 0.3) / (n + 0.6))
         enough = np.flatnonzero(positive + negative >= LEAST_TEXTS)
@@ -178,6 +193,11 @@ class Network:
             out.append(self.pooled(states, m)[3])
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
+    def window_logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Of windows with inputs of their own: x is (rows, steps, INPUTS)."""
+        out = [self.logits(x[i : i + 2048].reshape(-1, INPUTS), np.arange(len(x[i : i + 2048]) * WINDOW).reshape(-1, WINDOW), mask[i : i + 2048]) for i in range(0, len(x), 2048)]
+        return np.concatenate(out)
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean weighted log-loss; x is (rows, steps, INPUTS)."""
         p, h = self.p, HIDDEN
@@ -273,27 +293,34 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, passes: int = 8)
     for side in (0, 1):
         at = rng.permutation(np.flatnonzero(labels == side))
         half[at[: len(at) // 2]] = True
-    array = lambda m: pa.array([t for t, x in zip(texts, m, strict=True) if x], pa.string())
-    evidence, network = Evidence(array(half), labels[half]), Network(seed)
-    y = labels[~half]
-    v = Vocabulary(array(~half))
-    x = evidence.inputs(v)
-    row, ids, mask = cut(v.bounds, v.ids)
-    suspect = (np.maximum(x[:, 0], 0) + x[:, [2, 4, 5]].max(1))[ids].max(1) if len(x) else np.zeros(len(row))
+    whole, network, parts = pa.array(texts, pa.string()), Network(seed), []
+    for side in (half, ~half):
+        evidence, at = Evidence(whole.filter(pa.array(side)), labels[side]), np.flatnonzero(~side)
+        for some, rows in _blocks(whole.filter(pa.array(~side))):
+            v = Vocabulary(some)
+            row, ids, mask = cut(v.bounds, v.ids)
+            x = evidence.inputs(v) if len(v.words) else np.zeros((1, INPUTS), np.float32)
+            parts.append((at[row + rows.start], x[ids] * mask[:, :, None], mask))
+    y = labels
+    row, x, mask = (np.concatenate(c) for c in zip(*parts, strict=True))
+    suspect = (np.maximum(x[:, :, 0], 0) + x[:, :, [2, 4, 5]].max(2)).max(1)
     moment = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in network.p.items()}
     step = 0
+    passes = int(np.clip(LEAST_STEPS * 128 // (2 * len(labels)), passes, 60))
     for turn in range(passes):
-        rank = suspect if turn < 3 else network.logits(x, ids, mask)
+        if turn and turn % 3 == 0:
+            suspect = network.window_logits(x, mask)
+        rank = suspect
         order = np.lexsort((-rank, row))
         top = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
-        extra = rng.permutation(len(row))[: 3 * len(top)]
+        extra = rng.permutation(len(row))[: len(top)]
         chosen = np.concatenate([top, extra[y[row[extra]] == 0]])
         rng.shuffle(chosen)
         target = y[row[chosen]]
         heavy = np.where(target == 1, max(1.0, (target == 0).sum() / max(1, (target == 1).sum()) / 2), 1.0)
         for i in range(0, len(chosen), 128):
             c = chosen[i : i + 128]
-            g = network.gradients(x[ids[c]], mask[c], target[i : i + 128], heavy[i : i + 128])
+            g = network.gradients(x[c], mask[c], target[i : i + 128], heavy[i : i + 128])
             step += 1
             norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
             for k, q in g.items():
@@ -302,8 +329,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, passes: int = 8)
                 m[0] += 0.1 * (q - m[0])
                 m[1] += 0.01 * (q * q - m[1])
                 network.p[k] = (network.p[k] - 0.01 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    found = Detector(share, evidence, network)
-    return Detector(share, evidence, network, _platt(found.raw(array(~half)), y))
+    raw = np.full(len(labels), -np.inf)
+    np.maximum.at(raw, row, network.window_logits(x, mask))
+    return Detector(share, Evidence(whole, labels), network, _platt(raw, y))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[int, int] = (4, 2), most: int = MOST_ROWS) -> Detector:
