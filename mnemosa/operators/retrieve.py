@@ -63,14 +63,49 @@ def fuse(ranked: DataFrame, weights: dict[str, float], smoothing: int = 60) -> D
     return ranked.groupBy("id").agg(F.round(F.sum(weight / (F.lit(smoothing) + F.col("rank"))), 6).alias("score"), F.count("*").alias("channels"))
 
 
-def channels(candidates: DataFrame) -> DataFrame:
-    """channel, id, rank of candidates (id, sim, lexical, bm25, last_seen, frequency); every channel ranks what it holds."""
-    orders = {"similarity": (F.col("sim") > 0, "sim", False), "lexical": (F.col("lexical") > 0, "lexical", False), "fts": (F.col("bm25").isNotNull(), "bm25", True), "recency": (F.lit(True), "last_seen", False), "frequency": (F.lit(True), "frequency", False)}
-    out = None
-    for name, (where, by, up) in orders.items():
-        rank = F.row_number().over(W.orderBy(F.asc(by) if up else F.desc(by), F.asc("id")))
-        part = candidates.where(where).select(F.lit(name).alias("channel"), "id", rank.alias("rank"))
-        out = part if out is None else out.unionByName(part)
+#: Up to so many candidates a rank is one sort; beyond, it is counted by parts.
+ONE_SORT = 1_000_000
+
+
+def exact_rank(df: DataFrame, by: str, ascending: bool, name: str, parts: int = 64) -> DataFrame:
+    """df with the place of each row in the order of `by` (numbers, nulls last) and id (numbers), from 1, over any number of tasks.
+
+    Rows are dealt by approximate quantiles of `by`; a value that is itself a
+    quantile, as any very common one is, has parts of its own by quantiles of id.
+    The counts of the parts (at most 2 * parts^2 numbers) give where each begins.
+    """
+    cuts = [i / parts for i in range(1, parts)]
+    values = sorted({*df.approxQuantile(by, cuts, 0.001)}) if parts > 1 else []
+    ids = sorted({*df.approxQuantile("id", cuts, 0.001)}) if parts > 1 else []
+    place = lambda c, bounds: sum((F.when(c > x, 1).otherwise(0) for x in bounds), F.lit(0))
+    v = F.col(by)
+    at = 2 * place(v, values) + F.when(v.isin(*values), 1).otherwise(0) if values else F.lit(0)
+    at = F.when(v.isNull(), 2 * len(values) + 3).otherwise(at if ascending else -at)
+    alone = v.isNull() | (v.isin(*values) if values else F.lit(False))
+    dealt = df.withColumn("_part", at).withColumn("_sub", F.when(alone, place(F.col("id"), ids)).otherwise(0))
+    start, begins = 0, []
+    for r in dealt.groupBy("_part", "_sub").count().orderBy("_part", "_sub").collect():
+        begins.append((r["_part"], r["_sub"], start))
+        start += r["count"]
+    if not begins:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    offsets = df.sparkSession.createDataFrame(begins, "_part int, _sub int, _start long")
+    within = F.row_number().over(W.partitionBy("_part", "_sub").orderBy(F.asc(by) if ascending else F.desc(by), F.asc("id")))
+    out = dealt.withColumn("_n", within).join(F.broadcast(offsets), ["_part", "_sub"])
+    return out.withColumn(name, F.col("_start") + F.col("_n")).drop("_part", "_sub", "_n", "_start")
+
+
+def with_ranks(candidates: DataFrame, one_sort: int = ONE_SORT) -> DataFrame:
+    """candidates (id, sim, lexical, bm25, last_seen, frequency) with a rank for each channel that holds them, null elsewhere."""
+    out = candidates.persist()
+    large = out.count() > one_sort
+    orders = {"similarity": ("sim", F.col("sim") > 0, False), "lexical": ("lexical", F.col("lexical") > 0, False), "fts": ("bm25", F.col("bm25").isNotNull(), True), "recency": ("last_seen", F.lit(True), False), "frequency": ("frequency", F.lit(True), False)}
+    for name, (by, held, up) in orders.items():
+        if large:
+            out = exact_rank(out, by, up, "_rank")
+        else:
+            out = out.withColumn("_rank", F.row_number().over(W.orderBy(F.asc_nulls_last(by) if up else F.desc_nulls_last(by), F.asc("id"))))
+        out = out.withColumn(name, F.when(held, F.col("_rank"))).drop("_rank")
     return out
 
 
@@ -80,8 +115,14 @@ def search_fused(facts: DataFrame, vector: Column | DataFrame, query: str, hits:
     sims = with_similarity(facts.where(F.col("status") == "active"), vector)
     scored = sims.withColumn("lexical", text.overlap(text.tokens(F.col("text")), text.tokens(F.lit(query)))).join(hits, "id", "left")
     admitted = scored.where((F.col("sim") >= gate) | (F.col("lexical") > 0) | F.col("bm25").isNotNull()).select("id", "sim", "lexical", "bm25", "last_seen", "frequency")
-    fused = fuse(channels(admitted), c.channel_weights, c.smoothing)
-    return top(fused.join(admitted.select("id", "sim"), "id"), "score", k or c.top_k)
+    ranked, names = with_ranks(admitted), ("similarity", "lexical", "fts", "recency", "frequency")
+    part = lambda n: F.coalesce(F.lit(c.channel_weights.get(n, 1.0)) / (F.lit(c.smoothing) + F.col(n)), F.lit(0.0))
+    score, held = part(names[0]), F.lit(0).cast("long")
+    for n in names[1:]:
+        score = score + part(n)
+    for n in names:
+        held = held + F.when(F.col(n).isNotNull(), 1).otherwise(0)
+    return top(ranked.select("id", "sim", F.round(score, 6).alias("score"), held.alias("channels")), "score", k or c.top_k)
 
 
 def spread(scored: DataFrame, edges: DataFrame, weight: float) -> DataFrame:

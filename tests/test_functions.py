@@ -122,3 +122,18 @@ def test_scan_gate(spark):
         began = time.time()
         rows = retrieve.batch_topk(q, v, 3).collect()
     assert rows[0].sim is not None and min(r.rank for r in rows) == 1 and time.time() - began < 5 * 4  # the machine may be shared
+
+
+def test_exact_rank_equals_one_sort(spark):
+    rows = [(i, None if i % 13 == 0 else float(i * 7 % 50) if i % 3 else 9.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double")
+    for up in (True, False):
+        order = sorted(rows, key=lambda r: (r[1] is None, (r[1] or 0) * (1 if up else -1), r[0]))
+        want = {i: n for n, (i, _) in enumerate(order, 1)}
+        assert {r.id: r.n for r in retrieve.exact_rank(df, "x", up, "n", parts=7).collect()} == want
+
+
+def test_ranks_by_parts_equal_ranks_by_sort(spark):
+    rows = [(i, (i % 7) / 10 - 0.2, i % 3, -float(i % 5) if i % 2 else None, float(i * 31 % 17), i % 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, sim double, lexical long, bm25 double, last_seen double, frequency long")
+    assert sorted(map(tuple, retrieve.with_ranks(df, 0).collect()), key=repr) == sorted(map(tuple, retrieve.with_ranks(df).collect()), key=repr)
