@@ -34,6 +34,8 @@ from .shared import Tables, fresh
 from .textkit import flat
 
 WIDTH, PAD, HEAD, SHARD, TAIL = 576, 255, 128, 1 << 27, 32
+#: Bytes of images for a reading task.
+TASK = 1 << 24
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -155,8 +157,11 @@ def places(stored: DataFrame) -> DataFrame:
     return stored.groupBy("digest").agg(one).select("digest", "at.*")
 
 
-def with_metadata(media: DataFrame, folder: str, whole: bool = True) -> DataFrame:
-    """digest and the metadata columns from header-only reads; with `whole`, also what a read of the whole image gives."""
+def with_metadata(media: DataFrame, folder: str, whole: bool = True, tasks: int | None = None) -> DataFrame:
+    """digest and the metadata columns from header-only reads; with `whole`, also what a read of the whole image gives.
+
+    tasks: how many to deal the reads to; rows are few bytes, so their own size says little of the work.
+    """
     names = ["digest", "width", "height", "bits", "n_bytes", *["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] * whole]
     schema = "digest string, width int, height int, bits int, n_bytes long" + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" * whole
 
@@ -180,7 +185,8 @@ def with_metadata(media: DataFrame, folder: str, whole: bool = True) -> DataFram
                 types = pa.schema([("digest", pa.string()), *((c, pa.int32()) for c in ("width", "height", "bits")), ("n_bytes", pa.int64()), *[("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())] * whole])
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    dealt = media.repartition("shard", F.floor(F.col("offset") / (1 << 22))).sortWithinPartitions("shard", "offset")
+    place = ["shard", F.floor(F.col("offset") / (1 << 20))]
+    dealt = (media.repartition(tasks, *place) if tasks else media.repartition(*place)).sortWithinPartitions("shard", "offset")
     return dealt.mapInArrow(run, schema)
 
 
@@ -189,6 +195,6 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     folder = folder or fresh(spark, "media")
     stored = Tables(spark).write("media-rows", store(docs, folder))
-    one = places(stored)
-    read = with_metadata(one, folder).join(one, "digest")
+    one, stored_bytes = places(stored), stored.agg(F.sum("length")).first()[0] or 0
+    read = with_metadata(one, folder, tasks=1 + stored_bytes // TASK).join(one, "digest")
     return stored.select("doc_id", "digest").join(read, "digest")
