@@ -67,7 +67,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` bytes of text; a longer text is a run of its own."""
     _, offsets = flat(batch.column(batch.schema.get_field_index(column)))
     start = 0

@@ -12,7 +12,7 @@ from .textkit import flat
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks of these characters only are lower-cased and cut here; they are composed and each has one lower-case form.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-įı-ɏ]*")
-MOST_CHUNKS, MOST_WORDS, AT_ONCE = 1_000_000, 1_200_000, 1000
+MOST_CHUNKS, MOST_WORDS, AT_ONCE = 600_000, 600_000, 1000
 
 
 class WordIds:
