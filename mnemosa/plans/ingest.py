@@ -24,6 +24,12 @@ def heuristic_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where(longest <= 240).select("conv_id", "turn", F.posexplode(text.heuristic_facts(F.col("text"))).alias("place", "fact")).withColumn("place", F.col("place").cast("long"))
 
 
+@query()
+def heuristic_facts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns, long lines by sentence; heuristic_facts is its part that the SQL can state."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.heuristic_facts(F.col("text"))).alias("place", "fact")).withColumn("place", F.col("place").cast("long"))
+
+
 @query(f"SELECT doc_id, len({TOKENS.format('text')}) AS tokens, len(list_intersect({TOKENS.format('text')}, {TOKENS.format(chr(39) + 'then rest thing attion reth' + chr(39))})) AS shared FROM documents")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text.tokens(F.col("text"))
