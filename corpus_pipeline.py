@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mnemosa.llm import mixing, toxicity
-from mnemosa.llm.near_dedup import near_duplicates
+from mnemosa.llm.near_dedup import one_of_each
 from mnemosa.llm.packing import packed
 from mnemosa.llm.shared import Tables
 from mnemosa.llm.substring_dedup import strip_repeats
@@ -19,9 +18,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id; rows without a doc_id stay if nothing is like them."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Exactly one row of each group of near-duplicates, one with the smallest doc_id; ids may repeat or be null."""
+    return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

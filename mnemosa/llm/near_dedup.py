@@ -83,7 +83,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 check.append(int(mix(m ^ U64(0xA5A5A5A5A5A5A5A5)).sum()))
                 sig.append(signature(s).tobytes() if len(s) else None)
             as_long = lambda x: pa.array(np.array(x, U64).view(np.int64))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), as_long(node), as_long(check), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "node", "digest", "sig"])
+            kept = [c for c in ("doc_id", "row_key") if c in batch.schema.names]
+            yield pa.record_batch([*map(batch.column, kept), pa.array(n, pa.int64()), as_long(node), as_long(check), pa.array(sig, pa.binary())], [*kept, "n_shingles", "node", "digest", "sig"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,16 +183,31 @@ def _links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with exactly one row of each component, of the smallest doc_id, null last; wordless rows all stay."""
+    t = Tables(docs.sparkSession)
+    keyed = t.write("keyed", docs.withColumn("row_key", F.monotonically_increasing_id()))
+    judged = near_duplicates(keyed, keyed=True)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))["row_key"].alias("row_key")
+    kept = judged.where("label is not null").groupBy("label").agg(least).select("row_key").unionByName(judged.where("label is null").select("row_key"))
+    return keyed.join(kept, "row_key", "left_semi").select(*docs.columns)
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id LONG, text STRING).
 
+    If keyed, row_key (LONG) of docs and label too: equal within a component and
+    in no other, null for rows without words.
+
     Two documents are linked if `percent` per cent of the union of their shingle
     sets is common to both; percent of 75 or more has the recall stated above.
     """
     spark = docs.sparkSession
     t = Tables(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = t.write("features", docs.mapInArrow(_features, "doc_id long, n_shingles long, node long, digest long, sig binary"))
+    key = ["row_key"] if keyed else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text")
+    docs = rows.select("doc_id", "text")
+    found = t.write("features", rows.mapInArrow(_features, f"doc_id long, {'row_key long, ' * keyed}n_shingles long, node long, digest long, sig binary"))
     nodes = t.write("nodes", found.where("n_shingles > 0").groupBy("node", "digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     bands = nodes.select("node", "sig").mapInArrow(_bands, "key long, band int, node long")
     spread = F.struct(F.xxhash64("node", "band").alias("h"), F.col("node").alias("rep"))
@@ -217,12 +233,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     joined = star.unionByName(rest)
     label = components(t, joined, "all") if not rest.isEmpty() else label
     low = label.join(nodes.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("low"))
-    names = t.write("names", label.join(low, "label").select("node", "low"))
-    of = nodes.select("node", "first_id").join(names, "node", "left").select("node", F.coalesce("low", "first_id").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "node").join(of, "node", "left")
+    names = t.write("names", label.join(low, "label").select("node", "low", *["label"] * keyed))
+    part = [F.coalesce("label", "node").alias("label")] * keyed
+    of = nodes.select("node", "first_id").join(names, "node", "left").select("node", F.coalesce("low", "first_id").alias("component_id"), *part)
+    out = found.select("doc_id", *key, "n_shingles", "node").join(of, "node", "left")
     whole = F.coalesce("component_id", "doc_id")
     t.drop("buckets", "sets", "star", "rest", *[p for p in t.paths if p.startswith(("first-", "all-"))])
-    return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.col("doc_id").eqNullSafe(whole).alias("kept"))
+    return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.col("doc_id").eqNullSafe(whole).alias("kept"), *key, *["label"] * keyed)
 
 
 #: All pairs with a common shingle are counted: for small tables.
