@@ -111,6 +111,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
 
 
+def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in pieces(whole):
+            sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
+            node = [int(mix(mix(s).sum(keepdims=True) + U64(len(s))).view(np.int64)[0]) for s in sets]
+            yield pa.record_batch([pa.array(node, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
+
+
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether `percent` per cent of the union of two sorted sets is common to both."""
     if len(x) > len(y):
@@ -213,8 +221,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keyed: bool = False
     spread = F.struct(F.xxhash64("node", "band").alias("h"), F.col("node").alias("rep"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("k"), F.min(spread)["rep"].alias("rep")).where("k > 1")
     shared = t.write("buckets", bands.join(buckets, "key"))
-    wanted = shared.select("node").distinct().join(nodes.select("node", "first_id"), "node").where("first_id is not null")
-    sets = t.write("sets", docs.join(wanted.withColumnRenamed("first_id", "doc_id"), "doc_id").mapInArrow(_sets, "node long, set binary"))
+    wanted = shared.select("node").distinct().join(nodes.select("node", "first_id"), "node")
+    named = docs.join(wanted.where("first_id is not null").withColumnRenamed("first_id", "doc_id"), "doc_id").mapInArrow(_sets, "node long, set binary")
+    unnamed = docs.where("doc_id is null").mapInArrow(_own_sets, "node long, set binary").join(wanted.where("first_id is null").select("node"), "node", "left_semi")
+    sets = t.write("sets", named.unionByName(unnamed.groupBy("node").agg(F.first("set").alias("set"))))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -71,6 +71,15 @@ def test_empty_and_nulls(spark):
     assert got == sorted([(None, 5, False), (5, 5, True), (5, 5, True), (None, None, True), (None, None, True)], key=repr)
 
 
+def test_near_copies_without_ids_link_and_bridge(spark):
+    base = ["w%d" % i for i in range(100)]
+    edited = lambda k: " ".join(["x%d" % i for i in range(k)] + base[k:])
+    ends, bridge, lone = [(7, edited(0)), (8, edited(17))], (None, edited(9)), [(None, "y " + " ".join("z%d" % i for i in range(60))), (None, " ".join("z%d" % i for i in range(60)))]
+    of = lambda rows: sorted(((r.doc_id, r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert of(ends) == [(7, 7, True), (8, 8, True)]
+    assert of([*ends, bridge, bridge, *lone]) == sorted([(7, 7, True), (8, 7, False), (None, 7, False), (None, 7, False), (None, None, True), (None, None, True)], key=repr)
+
+
 @pytest.mark.parametrize("share", [0.6, 0.8])
 def test_signature_is_unbiased(share):
     rng = np.random.default_rng(0)

@@ -36,7 +36,7 @@ def test_run_has_the_last_stages_rows(spark, sf):
 def test_repeated_and_null_ids_leave_one_row_of_a_group(spark, sf):
     text = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
     copied, near = text(1), text(2)
-    rows = [(1, copied), (1, copied), (2, near), (3, near + " more"), (3, text(3)), (4, text(4)), (4, text(5)), (None, copied), (None, text(6)), (None, text(6)), (None, text(7)), (7, text(7)), (8, None), (8, "")]
+    rows = [(1, copied), (1, copied), (2, near), (3, near + " more"), (3, text(3)), (4, text(4)), (4, text(5)), (None, copied), (None, text(6)), (None, text(6)), (None, text(7)), (None, text(7) + " more"), (7, text(7)), (8, None), (8, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     once = corpus_pipeline.minhash_near_dedup(spark, docs, sf)
     want = [(1, copied), (2, near), (3, text(3)), (4, text(4)), (4, text(5)), (None, text(6)), (7, text(7)), (8, None), (8, "")]
