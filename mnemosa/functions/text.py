@@ -64,8 +64,18 @@ def normalize_url(url: Column) -> Column:
     return F.lower(F.rtrim(F.split_part(F.split_part(F.trim(url), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)), F.lit("/")))
 
 
+def _unicode(pattern: str) -> str:
+    r"""The pattern with \w and \b of all letters and digits, as Python reads them; in (?i), the letters whose other case is ASCII too."""
+    if pattern.startswith("(?i)"):
+        pattern = pattern[4:].replace("[a-z0-9]", r"[a-zA-Z0-9\u0130\u0131\u017F\u212A]")
+    word = r"[\p{L}\p{N}_]"
+    return pattern.replace(r"\w", word).replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+
+
 def entities(text: Column) -> Column:
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"({p})"), 1) for p in ENTITIES)))
+    """Names by all five patterns, in small letters, each once; none in null text."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"({_unicode(p)})"), 1) for p in ENTITIES)))
     return F.array_distinct(F.filter(F.transform(found, lambda e: F.trim(F.lower(e), F.lit("."))), lambda e: F.length(e) >= 4))
 
 

@@ -58,6 +58,12 @@ def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.array_join(names, "|").alias("names"))
 
 
+@query()
+def entity_extract_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five patterns over every document; entity_extract is its part that the SQL can state."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(text.entities(F.col("text"))), "|").alias("names"))
+
+
 @query("""WITH s AS (SELECT conv_id, max(text) FILTER (turn = 0) AS request, max(text) FILTER (turn = 1) AS learned, max(text) FILTER (turn = 2) AS next_steps FROM conversations GROUP BY conv_id),
 u AS (SELECT conv_id, unnest(['request', 'learned', 'next_steps']) AS field, unnest([request, learned, next_steps]) AS value FROM s)
 SELECT conv_id, field, substr(sha256(concat('conv', chr(0), trim(regexp_replace(lower(value), '[\\t\\n\\v\\f\\r ]+', ' ', 'g')))), 1, 24) AS id FROM u WHERE value IS NOT NULL""")

@@ -2,10 +2,6 @@
 
 import re
 
-import pytest
-from pyspark.sql import functions as F
-
-from mnemosa.functions import text
 from mnemosa.plans import registry
 
 
@@ -32,3 +28,20 @@ def test_facts_of_all_turns(spark, sf):
     got = {(r.conv_id, r.turn, r.place): r.fact for r in registry.queries()["heuristic_facts_whole"](spark, sf).collect()}
     turns = spark.read.parquet(f"{sf}/conversations.parquet").collect()
     assert got == {(r.conv_id, r.turn, n): f for r in turns for n, f in enumerate(facts_of(r.text))}
+
+
+NAMES = [r"\b[\w-]+(?:/[\w.-]+)+\b", r"\b\w+\.\w{1,5}\b", r"\b[a-z]+(?:_[a-z0-9]+)+\b", r"(?i)\b[a-z0-9]+\.[a-z0-9]+(?:\.[a-z0-9]+)+\b", r"\b[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+\b"]
+
+
+def names_of(body):
+    found = {m.lower().strip(".") for p in NAMES for m in re.findall(p, body or "")}
+    return "|".join(sorted(n for n in found if len(n) >= 4))
+
+
+def test_names_by_all_patterns_in_any_script(spark, sf, tmp_path):
+    rows = list(enumerate(["see core/store.py and a-b/c.d-e/", "add_records of core.recall.search.top in RetentionWeights", "éadd_it naïve_path/größe.txt ÀB.été x.y", "日本.語文 ein_wort, FooBarÉ FooBar", None, "", "-x/y K.kk.ſs ²½.ab a\u0301b.cde"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    run = registry.queries()["entity_extract_whole"]
+    assert {r.doc_id: r.names for r in run(spark, f"file://{tmp_path}").collect()} == {i: names_of(t) for i, t in rows}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert {r.doc_id: r.names for r in run(spark, sf).collect()} == {r.doc_id: names_of(r.text) for r in docs}
