@@ -19,8 +19,26 @@ def prefix(rows: DataFrame, by: list[str], order: list, cost: str, most: int, he
     return kept.withColumn("_n", number).where(fits | (F.col("_n") == 1) if first_free else fits).drop("_n")
 
 
+def _can_fit(rows: DataFrame, by: list[str], order: str, cost: str, most: int, id_: str) -> DataFrame:
+    """All rows that skip() can keep: of each cost c the first most / c.
+
+    A row of cost c that fits has before it only kept rows of the same cost, as each
+    met no more used than it did.  So later ones never fit, however large the group.
+    The first row stays, as the first of its cost; costs over the budget count as
+    one.  Each input partition leaves its own first rows before a cost is one task.
+    """
+    size = F.least(F.col(cost).cast("long"), F.lit(most + 1))
+    places = F.when(size <= 0, F.lit(2**62)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(most) / size)).cast("long"))
+    kept = rows.withColumns({"_size": size, "_part": F.spark_partition_id()}).withColumn("_places", F.coalesce(places, F.lit(1)))
+    for keys in ([*by, "_size", "_part"], [*by, "_size"]):
+        at = F.row_number().over(W.partitionBy(*keys).orderBy(F.struct(order, id_, cost)))
+        kept = kept.withColumn("_n", at).where(F.col("_n") <= F.col("_places"))
+    return kept.drop("_size", "_part", "_places", "_n")
+
+
 def skip(rows: DataFrame, by: list[str], order: str, cost: str, most: int, id_: str = "id") -> DataFrame:
-    """by, id and used of rows that fit, leaving out those that don't; the first always.  Groups are small: what recall returns for a query."""
+    """by, id and used of rows that fit, leaving out those that don't; the first always.  Of any group the fold holds at most most / c rows of each cost c (all of cost 0, which always fit)."""
+    rows = _can_fit(rows, by, order, cost, most, id_)
     items = F.array_sort(F.collect_list(F.struct(order, id_, F.col(cost).cast("long").alias("cost"))))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,used:bigint>>").alias("kept"))
 

@@ -271,6 +271,12 @@ def pack_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.skip(rows, ["project_key"], "at", "cost", 1200)
 
 
+@query()
+def pack_skip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All active facts of each project; pack_skip is its part that the SQL can state."""
+    return pack.skip(_costs(spark, sf_dir).withColumn("at", F.col("id")), ["project_key"], "at", "cost", 1200)
+
+
 @query(_ROWS + """, h AS (SELECT *, coalesce(title, 'Notes') AS heading, row_number() OVER (PARTITION BY project_key ORDER BY frequency DESC, last_seen DESC, id) AS a FROM r),
 g AS (SELECT *, min(a) OVER (PARTITION BY project_key, heading) AS f FROM h),
 u AS (SELECT *, sum(cost) OVER (PARTITION BY project_key ORDER BY f, a ROWS UNBOUNDED PRECEDING) AS used FROM g),

@@ -1,8 +1,13 @@
 """Queries that do the whole job, against plain Python; SQL beside their parts covers less."""
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
+from mnemosa.operators import pack
 from mnemosa.plans import registry
+from mnemosa.sources.views import facts
 
 
 def facts_of(body):
@@ -45,3 +50,27 @@ def test_names_by_all_patterns_in_any_script(spark, sf, tmp_path):
     assert {r.doc_id: r.names for r in run(spark, f"file://{tmp_path}").collect()} == {i: names_of(t) for i, t in rows}
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     assert {r.doc_id: r.names for r in run(spark, sf).collect()} == {r.doc_id: names_of(r.text) for r in docs}
+
+
+def skipped(rows, most):
+    kept, used = {}, {}
+    for by, at, cost in sorted(rows):
+        if by not in used or used[by] + cost <= most:
+            used[by] = used.get(by, 0) + cost
+            kept[by, at] = used[by]
+    return kept
+
+
+def test_skip_packs_all_active_facts(spark, sf):
+    rows = [(r.project_key, r.id, min(len(r.text), 240) + 3) for r in facts(spark, sf).where("status = 'active'").collect()]
+    got = {(r.project_key, r.id): r.used for r in registry.queries()["pack_skip_whole"](spark, sf).collect()}
+    assert got == skipped(rows, 1200)
+
+
+def test_skip_holds_a_bounded_part_of_a_group(spark):
+    r = random.Random(5)
+    rows = [("free", 0, 500), ("free", 1, 0), ("big", 0, 60), *(("big", i, 243) for i in range(1, 3000)), *(("any", i, r.choice([0, 3, 40, 90, 101, 400])) for i in range(400))]
+    rows += [(f"g{k}", i, r.randrange(1, 130)) for k in range(20) for i in range(150)]
+    df = spark.createDataFrame(rows, "p string, id long, cost int").repartition(5).withColumn("at", F.col("id"))
+    assert {(x.p, x.id): x.used for x in pack.skip(df, ["p"], "at", "cost", 100).collect()} == skipped(rows, 100)
+    assert pack._can_fit(df, ["p"], "at", "cost", 100, "id").where("p = 'big'").count() == 2
