@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -29,15 +30,30 @@ class Engine:
 
     def capture(self, texts: DataFrame, project: str, now: float, kind: str = "fact", tier: str = "stm") -> int:
         """Facts from the lines of texts (text): known ones are reinforced, new ones added, similar older ones superseded."""
-        lines = texts.select(F.explode(text.heuristic_facts(F.col("text"))).alias("text"))
-        rows = lines.select(text.content_id(F.lit(project), F.col("text")).alias("id"), "text", F.lit(project).alias("project_key"), F.lit(kind).alias("kind"))
+        lines = texts.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.posexplode(text.heuristic_facts(F.col("text"))).alias("_at", "text"))
+        rows = lines.select(text.content_id(F.lit(project), F.col("text")).alias("id"), (F.shiftleft("_row", 4) + F.col("_at")).alias("seq"), "text", F.lit(project).alias("project_key"), F.lit(kind).alias("kind"))
         old = self.facts.read()
-        first = self._embedded(rows.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti"))
+        once = rows.groupBy("id", "project_key", "kind").agg(F.min(F.struct("seq", "text")).alias("_f")).select("id", "project_key", "kind", "_f.seq", "_f.text")
+        first = self._embedded(once.join(old.select("id"), "id", "left_anti"))
         new = first.select("id", "project_key", "kind", "text", "dim", "scale", F.lit(now).alias("created_at"), F.lit(now).alias("last_seen"), F.lit(1).alias("frequency"), F.lit("active").alias("status"), F.lit(tier).alias("tier"), scoring.importance(F.col("text")).alias("importance"), vec.pack_bits(F.col("vec")).alias("vec_bits"))
-        seen = rows.join(old.select("id"), "id", "left_semi").select("id")
-        stored = lifecycle.reinforce(old, seen, now, self.c.promote_after_freq).unionByName(schemas.upgrade(new, schemas.FACTS))
+        seen = rows.select("id", "seq").join(first.select("id", "seq"), ["id", "seq"], "left_anti").select("id")
+        stored = lifecycle.reinforce(old.unionByName(schemas.upgrade(new, schemas.FACTS)), seen, now, self.c.promote_after_freq)
+        if self.c.supersede_threshold < 1:
+            stored = self._superseded(stored, old, rows, first, project)
         return self.facts.write(stored)
 
+    def _superseded(self, stored: DataFrame, old: DataFrame, rows: DataFrame, first: DataFrame, project: str) -> DataFrame:
+        """stored after each new fact, in order, superseded the similar ones active at that time; a fact seen again is active again."""
+        alive = old.where((F.col("project_key") == project) & (F.col("status") == "active")).select("id", F.lit(-1).cast("long").alias("seq"))
+        spans = alive.unionByName(rows.select("id", "seq")).withColumn("until", F.lead("seq").over(W.partitionBy("id").orderBy("seq")))
+        texts = stored.where((F.col("project_key") == project) & F.coalesce("dim", F.lit(0)).isin(0, self.c.dim)).select("id", "text")
+        spans = spans.join(self._embedded(texts).select("id", "vec"), "id").withColumn("key", F.concat_ws(":", "id", "seq"))
+        hits = spans.select("key", "id", "until").join(lifecycle.superseding_new(spans, first, self.c.supersede_threshold), "key").where("until is null or by_seq < until")
+        last = hits.groupBy("id").agg(F.max(F.struct("by_seq", "by", F.col("until").isNull().alias("ends"))).alias("_h")).select("id", "_h.by", "_h.ends")
+        again = last.where("not ends").select("id", F.col("by").alias("_by"))
+        marked = stored.join(again, "id", "left").withColumn("superseded_by", F.coalesce("_by", "superseded_by")).drop("_by")
+        return lifecycle.supersede(marked, last.where("ends").select("id", "by"))
+
     def _query(self, query: str) -> DataFrame:
         return self.spark.range(1).select(vec.hash_embed(F.lit(query), self.c.dim).alias("q"))
 

@@ -115,6 +115,34 @@ def superseding(facts: DataFrame, threshold: float, group: str = "project_key",
     return found.groupBy("id").agg(F.min(F.struct("by_seq", "by"))["by"].alias("by"))
 
 
+def superseding_new(facts: DataFrame, new: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """key, by, by_seq: of facts (key, seq, vec) the first later of new (id, seq, vec) as similar as the threshold; in pairs of blocks."""
+    import numpy as np
+    import pandas as pd
+
+    blocks = lambda df: max(1, -(-df.count() // block))
+    m, n = blocks(facts), blocks(new)
+    spread = lambda df, key, own, mine, other, k: df.withColumn(own, F.expr(f"cast(pmod(xxhash64({key}, 3), {mine}) as int)")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    left, right = spread(facts.select("key", "seq", "vec"), "key", "_i", m, "_j", n), spread(new.select("id", "seq", "vec"), "id", "_j", n, "_i", m)
+
+    frame = lambda key, by, by_seq: pd.DataFrame({"key": pd.Series(key, dtype=object), "by": pd.Series(by, dtype=object), "by_seq": pd.Series(by_seq, dtype="int64")})
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return frame([], [], [])
+        b = b.sort_values(["seq", "id"])
+        u, v = (np.stack(x["vec"].to_list()).astype(float) for x in (a, b))
+        norm = lambda x: x / np.maximum(1e-300, np.linalg.norm(x, axis=1, keepdims=True))
+        q = np.round(u / np.maximum(1e-300, np.abs(u).max(1, keepdims=True)) * 127)
+        later = (np.round(norm(q) @ norm(v).T, 6) >= threshold) & (a["seq"].to_numpy()[:, None] < b["seq"].to_numpy()[None, :])
+        hit = np.flatnonzero(later.any(1))
+        at = later[hit].argmax(1)
+        return frame(a["key"].to_numpy()[hit], b["id"].to_numpy()[at], b["seq"].to_numpy()[at])
+
+    found = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(run, "key string, by string, by_seq long")
+    return found.groupBy("key").agg(F.min(F.struct("by_seq", "by")).alias("_b")).select("key", "_b.by", "_b.by_seq")
+
+
 def cluster_duplicates(facts: DataFrame, threshold: float, pool: int = 512) -> DataFrame:
     """id, survivor of facts that a stronger one of their project absorbs, greedily from the strongest.
 

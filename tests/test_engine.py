@@ -17,6 +17,26 @@ def test_loop(spark, tmp_path):
     assert e.projects().first().ltm == 2 and e.core("p").count() == 2
 
 
+def test_one_capture_reinforces_and_supersedes(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/m")
+    a, b, c = "The storage layer of the project uses Parquet files on the shared disk now.", "The storage layer of the project uses Parquet files on the shared disk today.", "Tokens are counted by a ledger."
+    put = lambda now, *lines: e.capture(spark.createDataFrame([("\n".join(lines),)], "text string"), "p", now)
+    of = lambda: {r.text: (r.frequency, r.tier, r.status, r.superseded_by) for r in e.facts.read().collect()}
+    e.capture(spark.createDataFrame([(t,) for t in (c, a, c, b)], "text string").coalesce(1), "p", 1.0)
+    ids = {r.text: r.id for r in e.facts.read().collect()}
+    assert of() == {a: (1, "stm", "superseded", ids[b]), b: (1, "stm", "active", None), c: (2, "ltm", "active", None)}
+    put(2.0, a)  # seen again: active again, by what superseded it
+    assert of()[a] == (2, "ltm", "active", ids[b])
+    d = b.replace("today", "again")
+    put(3.0, d)
+    new = {r.text: r.id for r in e.facts.read().collect()}[d]
+    assert of() == {a: (2, "ltm", "superseded", new), b: (1, "stm", "superseded", new), c: (2, "ltm", "active", None), d: (1, "stm", "active", None)}
+    f = b.replace("today", "finally")
+    e.capture(spark.createDataFrame([(t,) for t in (f, d)], "text string").coalesce(1), "p", 4.0)
+    last = {r.text: r.id for r in e.facts.read().collect()}[f]
+    assert of()[d] == (2, "ltm", "active", last) and of()[f] == (1, "stm", "active", None)
+
+
 def test_index(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/m")
     rows = [("a.md", "# One\nalpha\n## Two\ngamma"), ("b.py", "def f(x):\n  return x\n")]
