@@ -90,7 +90,8 @@ def test_damage_is_seen():
         media.decode_png(bytes(image))
 
 
-CAPTURES = "capture_id long, kind string, url string, at long, headers map<string,string>, payload binary"
+def _lines(headers):
+    return None if headers is None else list(headers.items())
 
 
 def test_revisits(spark):
@@ -106,9 +107,9 @@ def test_revisits(spark):
         (9, "revisit", "http://y.org", 260, {"etag": '"1"'}, None),
         (10, "response", None, 1, None, b""),
     ]
-    df = spark.createDataFrame(rows, CAPTURES)
+    df = spark.createDataFrame([(*r[:4], _lines(r[4]), r[5]) for r in rows], warc.CAPTURE)
     back = warc.read_records(warc.write_records(df))
-    got = {r.capture_id: (r.response_id, r.status, r.headers, r.payload_bytes) for r in warc.resolve(back.withColumn("status", F.lit("clash")), span=1000).collect()}
+    got = {r.capture_id: (r.response_id, r.status, r.headers and {h.name: h.value for h in r.headers}, r.payload_bytes) for r in warc.resolve(back.withColumn("status", F.lit("clash")), span=1000).collect()}
     assert got[3] == (1, "resolved", {"etag": '"1"', "content-type": "t", "age": "9"}, 3)
     assert got[4][:2] == (2, "resolved") and got[5] == (2, "mismatch", None, None)
     assert got[6][:2] == (None, "no_response") and got[7][:2] == (2, "no_validator") and got[8][1] == got[9][1] == "no_response"
@@ -117,6 +118,50 @@ def test_revisits(spark):
     assert warc.resolve(df.limit(0)).collect() == []
 
 
+def test_revisits_against_plain_search(spark):
+    """Repeated rows, ties in time, null times and URLs, repeated header names, a hot URL in one second."""
+    import random
+
+    r, rows = random.Random(4), []
+    for i in range(400):
+        url = r.choice(["http://a.org/x", "https://www.a.org/x/", "http://b.org", "http://c.org/?q=1", None])
+        at = r.choice([None, 5, 5, *range(0, 40)])
+        tags = r.sample([("etag", r.choice(['"1"', 'W/"2"'])), ("last-modified", r.choice(["d", "e"])), ("Via", "p"), ("via", "q"), ("age", str(i))], r.randrange(6))
+        rows.append((i, r.choice(["response", "revisit"]), url, at, tags, b"%d" % i))
+    rows += rows[:40]
+    df = spark.createDataFrame([(*x[:5], x[5] if x[1] == "response" else None) for x in rows], warc.CAPTURE)
+    for span in (3, 1000):
+        got = sorted((x.capture_id, -1 if x.response_id is None else x.response_id, x.status, [tuple(h) for h in x.headers or ()]) for x in warc.resolve(warc.read_records(warc.write_records(df)), span).collect())
+        want = []
+        site = lambda u: u and u.replace("www.", "").replace("https:", "http:").rstrip("/")
+        first = lambda tags, name: next((v.removeprefix("W/") for k, v in tags if k.lower() == name), None)
+        for i, kind, url, at, tags, _ in rows:
+            if kind != "revisit":
+                continue
+            older = [x for x in rows if x[1] == "response" and url and site(x[2]) == site(url) and None not in (at, x[3]) and x[3] <= at]
+            if not older:
+                want.append((i, -1, "no_response", []))
+                continue
+            best = max(older, key=lambda x: (x[3], x[0]))
+            e, f, m, n = (first(t, k) for k in ("etag", "last-modified") for t in (tags, best[4]))
+            agrees = e == f if e and f else m == n if not e and m and n else None
+            lower = [(k.lower(), v) for k, v in tags]
+            merged = [(k.lower(), v) for k, v in best[4] if k.lower() not in {k for k, _ in lower}] + lower
+            want.append((i, best[0], "no_validator" if agrees is None else "resolved" if agrees else "mismatch", merged if agrees else []))
+        assert got == sorted(want)
+
+
+def test_records_of_others_and_line_ends(spark):
+    raw = b"WARC/1.0\nWARC-Type: revisit\nWARC-Record-ID: <urn:uuid:12345678-9abc-def0-1234-56789abcdef0>\nWARC-Date: 2020-01-02T03:04:05.5Z\nWARC-Target-URI: <http://a.org/>\nContent-Length: 61\n\nHTTP/1.1 304 Not Modified\r\nSet-Cookie: a\r\nSET-COOKIE: b\r\n c\r\n\r\n\r\n"
+    x = warc.parse_record(raw)
+    assert x["at"] == 1577934245 and x["url"] == "http://a.org/" and x["headers"] == [{"name": "set-cookie", "value": "a"}, {"name": "set-cookie", "value": "b c"}] and x["capture_id"] >= 0
+    assert warc.parse_record(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n") is None
+    rows = [(1, "response", "http://a.org/\r\nWARC-Type: x", None, [("A", "1\r\nB: 2"), ("A", None), (None, "z")], b"\r\n\r\nbody"), (2, "revisit", "", 10**15, None, None), (3, "response", "u", 0, [("A", "é")], None)]
+    back = {r.capture_id: r for r in warc.read_records(warc.write_records(spark.createDataFrame(rows, warc.CAPTURE))).collect()}
+    assert back[1].url == "http://a.org/%0D%0AWARC-Type: x" and [tuple(h) for h in back[1].headers] == [("a", "1 B: 2"), ("a", "")] and bytes(back[1].payload) == b"\r\n\r\nbody"
+    assert back[1].at is None and back[2].at is None and back[3].at == 0 and back[3].headers[0].value == "é" and bytes(back[3].payload) == b""
+
+
 def test_canonical_urls(spark):
     same = ["http://www.X.org:80/a/?b=2&a=1#f", "https://x.org/a?a=1&b=2&utm_medium=z", " HTTPS://m.x.org/a/index.html?b=2&a=1&ref=q "]
     got = {r[0] for r in spark.createDataFrame([(u,) for u in same], "u string").select(warc.canonical_url(F.col("u"))).collect()}
