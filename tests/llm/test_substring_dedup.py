@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mnemosa.llm import substring_dedup as sd
-from mnemosa.llm.textkit import Words
+from mnemosa.llm.textkit import Words, constants
 
 
 def brute(docs, width=35):
@@ -72,7 +72,7 @@ def test_equal_windows_have_equal_anchors(middle, before, after):
     """A window's key, and its place in the anchor's range, don't depend on what stands around it."""
     text = lambda xs: " ".join("w%d" % x for x in xs)
     words = Words(pa.array([text(middle), text(before + middle + after)]))
-    found = sd.anchors(words.hashes(), words.bounds, 35)
+    found = sd.anchors(words.hashes(), words.bounds, 35, [0, 0, 0])
     key = {}
     for row, lo, hi, k in zip(found["row"], found["lo"], found["hi"], found["key"], strict=True):
         key |= {(int(row), w): int(k) for w in range(int(lo), int(hi) + 1)}
@@ -82,6 +82,57 @@ def test_equal_windows_have_equal_anchors(middle, before, after):
 
 def test_symbols_cover_all_words():
     rng = np.random.default_rng(0)
-    words = rng.integers(0, 5, 1000).astype(np.uint64)
-    name, start = sd.symbols(words, np.repeat([0, 1], 500))
-    assert start[0] == 0 and 500 in start and len(name) < 600 and (np.diff(start) > 0).all()
+    words = rng.integers(0, 50, 1000).astype(np.uint64)
+    sizes = []
+    for levels in range(4):
+        name, start = sd.symbols(words, np.repeat([0, 1], 500), [0] * levels)
+        assert start[0] == 0 and 500 in start and (np.diff(start) > 0).all()
+        sizes.append(1000 / len(name))
+    assert sizes == sorted(sizes) and sizes[0] == 1 and sizes[3] > 2.4
+
+
+def test_windows_without_runs_hold_a_whole_symbol():
+    """The interior of a window of 35 words is wide enough for a symbol, so no window has to be its own anchor."""
+    words = constants(20_000, 5)
+    found = sd.anchors(words, np.array([0, 20_000]), 35, [0, 0, 0])
+    assert (found["hi"] - found["lo"] + 1).sum() == 20_000 - 34 and len(found["lo"]) < 20_000 / 4
+
+
+def test_names_of_a_level_are_settled(spark):
+    """A name that stands for two things in different documents is found, and the level gets other seeds."""
+    docs = spark.createDataFrame([("a b c d " * 4,), ("e f g h " * 4,), (None,)], "text string").repartition(3)
+    sent = sd.names(docs, [0]).collect()
+    assert sent and not any(r.clash for r in sent)
+    words = Words(pa.array(["a b c d " * 4, "e f g h " * 4]))
+    _, start = sd.symbols(words.hashes(), words.row_of(), [0])
+    assert len(start) < len(words)
+    table = spark.createDataFrame([(7, 2, 2, 3), (7, 4, 4, 1), (8, 2, 2, 1), (8, 2, 2, 1), (9, 1, 2, 2)], "name long, low int, high int, times int")
+    assert {r.name: (r.times, r.clash) for r in sd.gathered(table).collect()} == {7: (4, True), 8: (2, False), 9: (2, True)}
+
+
+def test_a_clash_draws_other_seeds(spark, monkeypatch):
+    from mnemosa.llm.shared import Tables
+
+    tried = []
+
+    def fake(docs, seeds):
+        tried.append(list(seeds))
+        return spark.createDataFrame([(1, 2, len(seeds) == 2 and seeds[-1] < 1)], "name long, times long, clash boolean")
+
+    monkeypatch.setattr(sd, "names", fake)
+    assert sd.settled(Tables(spark), spark.createDataFrame([("x",)], "text string")) == [0, 1, 0]
+    assert tried == [[0], [0, 0], [0, 1], [0, 1, 0]]
+
+
+def test_digests_are_of_the_words():
+    words = Words(pa.array(["a  b\tc", "b c a", "ab c"]))
+    got = sd.digests(words, np.array([0, 1, 3, 6]), np.array([3, 3, 5, 8]))
+    assert bytes(got[0].tobytes()) == hashlib.blake2b(b"a b c", digest_size=16).digest()
+    assert (got[1] == got[2]).all() and not (got[0] == got[3]).all()
+
+
+def test_copies_without_id_are_collected_once(spark):
+    text = " ".join("q%d" % i for i in range(60))
+    docs = spark.createDataFrame([(None, text)] * 40, "doc_id long, text string")
+    keyed = docs.select("text", *(c.alias(k) for k, c in sd._keys(F.col("text"), F.col("doc_id")).items()))
+    assert [len(r.covered) for r in sd.repeated_windows(keyed).collect()] == [len({(x.lo, x.hi) for r in sd.repeated_windows(keyed).collect() for x in r.covered})]
