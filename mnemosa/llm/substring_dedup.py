@@ -64,10 +64,10 @@ from .textkit import U64, Words, constants, mix, pieces, range_hashes, signed
 
 WIDTH = 35
 #: Kind and limit of words of each round, by level; a level's names are settled before the next.
-LEVELS = ((("run", 1), ("pair", 1)), (("pair", 2), ("pair", 2)), (("pair", 4),))
+LEVELS = ((("run", 1), ("pair", 1)), (("pair", 2),), (("pair", 4),))
 REACH = sum(limit for level in LEVELS for _, limit in level)
 #: Texts are named in runs of so many bytes, so that a run's names are distinct already.
-NAMING_BYTES = 1 << 22
+NAMING_BYTES = 1 << 21
 Seeds = list[int]
 
 
@@ -217,7 +217,21 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, width: int, seeds: Seeds) ->
     return {"row": row[lo], "lo": lo - base, "hi": hi - base, "key": range_hashes(hashes, left, right), "at": lo}
 
 
+def _keys_of(width: int, seeds: Seeds):
+    """The keys of all anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                words = Words(batch.column("text"))
+                yield pa.record_batch([pa.array(signed(anchors(words.hashes(), words.bounds, width, seeds)["key"]), pa.int64())], ["key"])
+
+    return run
+
+
 def _rows(width: int, seeds: Seeds):
+    """The anchors, with digests of the words of all their windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
@@ -281,8 +295,9 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     if not WIDTH <= width <= 200:
         raise ValueError(f"width {width} is outside {WIDTH} to 200")
     t = Tables(docs.sparkSession)
-    rows = docs.mapInArrow(_rows(width, settled(t, docs)), "key long, one long, two long, doc long, place long")
-    keys = t.write("keys", rows.groupBy("key").count().where("count > 1").select("key"))
+    seeds = settled(t, docs)
+    keys = t.write("keys", docs.select("text").mapInArrow(_keys_of(width, seeds), "key long").groupBy("key").count().where("count > 1").select("key"))
+    rows = docs.mapInArrow(_rows(width, seeds), "key long, one long, two long, doc long, place long")
     shared = t.write("anchors", rows.join(keys, "key"))
     kinds = t.write("kinds", shared.groupBy("key", "one", "two").agg(F.count("*").alias("times"), F.min(F.struct("doc", "place")).alias("at")))
     several = t.write("several", kinds.groupBy("key").count().where("count > 1").select("key"))
