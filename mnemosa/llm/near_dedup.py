@@ -20,7 +20,9 @@ steps, both confirmed on whole sets:
   that join components within the block leave it.
 
 So a group of copies costs rows in proportion to its size, no pair is listed
-before it is confirmed, and none within a component.
+before it is confirmed, and none within a component.  Aggregates are written
+before they are joined with the rows they were made of, as a join can be split
+within a hot key only where both of its sides come straight from a shuffle.
 
 Defined cases: null or wordless text is an empty set, linked with nothing;
 fewer than five words are one shingle, the whole sequence; repeated rows are
@@ -219,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keyed: bool = False
     nodes = t.write("nodes", found.where("n_shingles > 0").groupBy("node", "digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     bands = nodes.select("node", "sig").mapInArrow(_bands, "key long, band int, node long")
     spread = F.struct(F.xxhash64("node", "band").alias("h"), F.col("node").alias("rep"))
-    buckets = bands.groupBy("key").agg(F.count("*").alias("k"), F.min(spread)["rep"].alias("rep")).where("k > 1")
+    buckets = t.write("representatives", bands.groupBy("key").agg(F.count("*").alias("k"), F.min(spread)["rep"].alias("rep")).where("k > 1"))
     shared = t.write("buckets", bands.join(buckets, "key"))
     wanted = shared.select("node").distinct().join(nodes.select("node", "first_id"), "node")
     named = docs.join(wanted.where("first_id is not null").withColumnRenamed("first_id", "doc_id"), "doc_id").mapInArrow(_sets, "node long, set binary")
@@ -248,7 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keyed: bool = False
     of = nodes.select("node", "first_id").join(names, "node", "left").select("node", F.coalesce("low", "first_id").alias("component_id"), *part)
     out = found.select("doc_id", *key, "n_shingles", "node").join(of, "node", "left")
     whole = F.coalesce("component_id", "doc_id")
-    t.drop("buckets", "sets", "star", "rest", *[p for p in t.paths if p.startswith(("first-", "all-"))])
+    t.drop("buckets", "representatives", "sets", "star", "rest", *[p for p in t.paths if p.startswith(("first-", "all-"))])
     return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.col("doc_id").eqNullSafe(whole).alias("kept"), *key, *["label"] * keyed)
 
 

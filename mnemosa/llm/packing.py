@@ -107,7 +107,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
             stock.take(n)
             held.append(n)
             room -= n
-        while room and len(held) > 1 and (two := stock.pair(room + held[-1], held[-1])):
+        while room and (two := stock.pair(room + held[-1], held[-1])):
             small = held.pop()
             stock.give(small)
             for n in two:

@@ -11,9 +11,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder under /tmp/checkpoints only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder under /tmp/checkpoints in local mode, as in tests, and an error elsewhere."""
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or "file:///tmp/checkpoints").rstrip("/")
 
 

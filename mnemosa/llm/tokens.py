@@ -6,23 +6,24 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from .textkit import flat
+from .textkit import Words
 
 #: The pattern that the vocabulary's file gives for its words.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks of these characters only are lower-cased and cut here; they are composed and each has one lower-case form.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-įı-ɏ]*")
-MOST_CHUNKS, MOST_WORDS, AT_ONCE = 600_000, 600_000, 1000
+MOST_CHUNKS, MOST_WORDS, AT_ONCE = 1 << 20, 1 << 20, 1000
 
 
 class WordIds:
     """Ids of texts by a tokenizer that drops white space and never joins characters across it.
 
     A text's ids are those of its chunks between white space, one after another.
-    Chunks and the words in them are kept with their ids, packed as little-endian
-    unsigned 32-bit numbers, up to a bound on either; beyond it the cache starts
-    anew.  Chunks with unusual characters, or with the strings of special
-    tokens, go to the tokenizer whole.
+    The chunks of a run of texts are told apart by 64-bit hashes, looked up once
+    each, and the ids of all are copied together.  The ids of chunks and of the
+    words in them are kept, up to a bound on either; beyond it the cache starts
+    anew.  Chunks with unusual characters, or with the strings of special tokens,
+    go to the tokenizer whole.
     """
 
     _open: dict[str, WordIds] = {}
@@ -32,8 +33,12 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.chunks: dict[int, int] = {}  # by hash: the place in `first`
+        self.ids, self.first, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1, np.int64), 0
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -42,7 +47,8 @@ class WordIds:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _learn(self, missing: set[bytes]) -> None:
+    def _ids(self, missing: list[bytes]) -> list[bytes]:
+        """The packed ids of chunks."""
         plain, odd = {}, []
         for chunk in missing:
             text = chunk.decode()
@@ -63,23 +69,39 @@ class WordIds:
             cuts = np.searchsorted(word, np.arange(len(some) + 1)).tolist()
             for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
                 self.words[w] = ids[a:b].tobytes()
-        words = self.words
-        for chunk, ws in plain.items():
-            self.chunks[chunk] = b"".join([words[w] for w in ws])
+        found = {chunk: b"".join([self.words[w] for w in ws]) for chunk, ws in plain.items()}
         for (chunk, _), e in zip(odd, self.tokenizer.encode_batch([t for _, t in odd], add_special_tokens=False), strict=True):
-            self.chunks[chunk] = np.array(e.ids, "<u4").tobytes()
+            found[chunk] = np.array(e.ids, "<u4").tobytes()
+        return [found[c] for c in missing]
+
+    def _learn(self, hashes: list[int], missing: list[bytes]) -> None:
+        if len(self.words) > MOST_WORDS:
+            self.words.clear()
+        new = self._ids(missing)
+        size = np.array([len(x) // 4 for x in new], np.int64)
+        end, n = self.used + int(size.sum()), len(self.first) - 1
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * end, "<u4")])
+        self.ids[self.used : end] = np.frombuffer(b"".join(new), "<u4")
+        self.first = np.concatenate([self.first, self.used + np.cumsum(size)])
+        self.chunks.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.used = end
 
     def packed(self, column: pa.Array) -> list[bytes]:
-        """The ids of each row's text."""
-        data, offsets = flat(column)
-        data, at = data.tobytes(), offsets.tolist()
-        rows = [data[a:b].split() for a, b in zip(at[:-1], at[1:], strict=True)]
-        missing = set().union(*rows).difference(self.chunks)
-        if len(self.chunks) + len(missing) > MOST_CHUNKS:
-            self.chunks.clear()
-            if len(self.words) > MOST_WORDS:
-                self.words.clear()
-            missing = set().union(*rows)
-        self._learn(missing)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, row)) for row in rows]
+        """The ids of each row's text, as little-endian unsigned 32-bit numbers."""
+        words = Words(column)
+        hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.chunks) > MOST_CHUNKS:
+            self._empty()
+        hashes = hashes.tolist()
+        if missing := [i for i, h in enumerate(hashes) if h not in self.chunks]:
+            data, a, b = words.data.tobytes(), words.starts[first].tolist(), words.ends[first].tolist()
+            self._learn([hashes[i] for i in missing], [data[a[i] : b[i]] for i in missing])
+        at = np.fromiter(map(self.chunks.__getitem__, hashes), np.int64, len(hashes))[which]
+        begin = self.first[at]
+        size = self.first[at + 1] - begin
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+        ids = self.ids[place]
+        edges = np.concatenate([[0], ends])[words.bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]

@@ -1,27 +1,33 @@
-"""Toxicity by a bidirectional gated recurrent network over overlapping windows of words.
-
-A word enters the network as six numbers: what the labelled texts say of the
-word itself (log-odds of the labels of texts that hold it), and of its character
-sequences of three, four and five bytes (largest and mean).  A forward and a
-backward gated recurrent layer read each window, attention pools their states,
-and a linear layer gives the window's logit.  A text's score is that of its
-highest window, calibrated on labelled texts.
-
-The network is trained in numpy by back-propagation through time, on at most
-`most` labelled texts.  While it learns, the windows of each half of them come
-with the log-odds of the other half, so that it learns how far to trust log-odds
-on texts that they were not made from; they are of all those texts afterwards.
-Positive texts give their most suspicious window, chosen anew at
-every third pass by the network's own scores; negative texts give theirs and some others.
-
-Scoring is one pass without a shuffle; the model is some hundred thousand numbers
-at most.
-
-Defined cases: null text counts as empty; texts without a letter have one empty
-window; labels that are null, or without a text, are not learnt from; with no
-label of either kind every score is the share of label 1 (0 without labels).
-Repeated rows get a result each; an empty table gives no rows.  Other columns of
-documents are never read.
+"""Toxicity by a bidirectional gated recurrent network over overlapping windows of words and characters.
+
+Texts are tokens: runs of letters, of digits or of other signs, so that every byte
+but white space is read.  A token enters the network twice.  By word: a learned
+vector of each word that enough training texts hold, and one for all others.  By
+characters: filters over FIELD adjacent bytes with learned weights, of each of
+which the largest value in the token counts, so unseen and masked forms look like
+what they resemble.  A forward and a backward gated recurrent layer read each
+window of WINDOW tokens, attention pools their states, and a linear layer gives
+the window's logit.  Windows begin every STRIDE tokens, so each token stands in
+two, and all are scored.  A text's score is that of its highest window,
+calibrated on labelled texts that the network didn't learn from.
+
+All weights, those of words and bytes too, are trained in numpy by
+back-propagation through time, on at most `most` labelled texts, less a fifth for
+calibration.  Positive texts give their most suspicious window, chosen anew at
+every third pass by the network's own scores (at first by the words' log-odds,
+which only this first choice uses); negative texts give theirs and some others.
+While it learns, words are now and then read as unknown, so that it can't do
+without the characters.
+
+Scoring is one pass without a shuffle; the model is a vector for each word of the
+training texts and some twenty thousand weights.
+
+Defined cases: null text counts as empty; texts without a token score as the mean
+text of label 0 does; labels that are null, or without a text, are not learnt from; with fewer
+than sixteen texts of either label every score is the share of label 1 (0 without
+labels).  Repeated rows get a result each, equal texts of the labels count once;
+a null doc_id is held out of nothing; an empty table gives no rows.  Other columns
+of documents are never read.
 """
 
 from __future__ import annotations
@@ -34,118 +40,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U64, Tokens, held_out, mix, pieces, span_hashes
+from .textkit import Tokens, held_out, pieces
 
-WINDOW, STRIDE, HIDDEN, INPUTS, POOL = 32, 24, 8, 6, 8
-GRAMS = (3, 4, 5)
-MOST_ROWS, LEAST_TEXTS, MOST_ENTRIES, LEAST_STEPS = 2500, 4, 1 << 16, 300
+WINDOW, STRIDE, HIDDEN, POOL = 32, 16, 8, 8
+#: Sizes of a word's vector, of the number of byte filters, of what a filter sees.
+WORD, FILTERS, FIELD = 8, 16, 5
+INPUTS = WORD + FILTERS
+MOST_ROWS, LEAST_TEXTS, LEAST_OF_A_LABEL, LEAST_STEPS = 4000, 5, 16, 400
+#: Share of words read as unknown while learning, and pull of words' vectors to 0.
+UNKNOWN, DECAY = 0.3, 1e-4
 THRESHOLD = 0.3
-
-
-class Lookup:
-    """Values by 64-bit hash, 0 for others: a table of 2^21 slots, of which later entries with a slot in use are left out."""
-
-    BITS = 21
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        slot = (keys >> U64(64 - self.BITS)).astype(np.int64)
-        _, first = np.unique(slot, return_index=True)
-        self.at = np.zeros(1 << self.BITS, np.int32)
-        self.at[slot[first]] = first + 1
-        self.keys, self.values = np.concatenate([[U64(0)], keys]), np.concatenate([[0], values]).astype(np.float32)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        i = self.at[(hashes >> U64(64 - self.BITS)).astype(np.int64)]
-        return np.where(self.keys[i] == hashes, self.values[i], np.float32(0))
+SPACE = 32
 
 
 class Vocabulary:
-    """Distinct words of a run of rows, and their character sequences."""
+    """Distinct tokens of a run of rows, with their bytes."""
 
     def __init__(self, column: pa.Array):
-        tokens = Tokens(column, lower=True, classes=(1, 2))
+        tokens = Tokens(column, lower=True)
         self.bounds = tokens.bounds
         self.words, first, self.ids = np.unique(tokens.hashes(), return_index=True, return_inverse=True)
-        size = (tokens.ends - tokens.starts)[first]
-        self.starts = np.concatenate([[0], np.cumsum(size + 2)])
-        self.data = np.full(self.starts[-1], 32, np.uint8)  # a space on either side of each word
-        inside = np.repeat(tokens.starts[first] - self.starts[:-1] - 1, size) + (at := np.flatnonzero(np.repeat(np.tile([0, 1, 0], len(first)), np.ravel(np.stack([np.ones_like(size), size, np.ones_like(size)], 1)))))
-        self.data[at] = tokens.data[inside]
-
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the sequences of n bytes, and the word of each."""
-        word = np.repeat(np.arange(len(self.words)), np.diff(self.starts))
-        at = np.flatnonzero(np.arange(len(self.data)) + n <= self.starts[1:][word]) if len(word) else np.zeros(0, np.int64)
-        return mix(span_hashes(self.data, at, at + n) + U64(n)), word[at]
-
-
-def _blocks(texts: pa.Array) -> Iterator[tuple[pa.Array, slice]]:
-    """The texts in runs of about a megabyte, with their rows."""
-    at = 0
-    for batch in pieces(pa.record_batch([texts], ["text"]), most=1 << 20):
-        yield batch.column(0), slice(at, at + batch.num_rows)
-        at += batch.num_rows
-
-
-def _holders(hashes: np.ndarray, row: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, and how many rows of label 1 and of label 0 hold each."""
-    keys, at = np.unique(hashes, return_inverse=True)
-    pairs = np.unique(at * len(labels) + row)
-    at, y = pairs // len(labels), labels[pairs % len(labels)]
-    return keys, np.bincount(at, y, len(keys)), np.bincount(at, 1 - y, len(keys))
-
-
-class Evidence:
-    """Log-odds of words and character sequences from labelled texts."""
-
-    def __init__(self, texts: pa.Array, labels: np.ndarray):
-        counts: list[list[tuple]] = [[] for _ in range(1 + len(GRAMS))]
-        for some, rows in _blocks(texts):
-            y, v = labels[rows], Vocabulary(some)
-            row = np.repeat(np.arange(len(y)), np.diff(v.bounds))
-            counts[0].append(_holders(v.words[v.ids], row, y))
-            pairs = np.unique(row * len(v.words) + v.ids) if len(v.words) else np.zeros(0, np.int64)
-            row, word = pairs // max(1, len(v.words)), pairs % max(1, len(v.words))
-            for n, into in zip(GRAMS, counts[1:], strict=True):
-                hashes, of = v.grams(n)
-                count = np.bincount(of, minlength=len(v.words))
-                times = count[word]
-                begin = (np.cumsum(count) - count)[word]
-                index = np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(times.sum())
-                into.append(_holders(hashes[index], np.repeat(row, times), y))
-        self.tables = [self._table(c, labels) for c in counts]
-
-    @staticmethod
-    def _table(counts: list[tuple], labels: np.ndarray) -> Lookup:
-        keys, at = np.unique(np.concatenate([c[0] for c in counts] or [np.zeros(0, U64)]), return_inverse=True)
-        positive, negative = (np.bincount(at, np.concatenate([c[k] for c in counts] or [[]]), len(keys)) for k in (1, 2))
-        p, n = labels.sum(), (1 - labels).sum()
-        odds = np.log((positive + 0.3) / (p + 0.6)) - np.log((negative + 0.3) / (n + 0.6))
-        enough = np.flatnonzero(positive + negative >= LEAST_TEXTS)
-        best = enough[np.argsort(-np.abs(odds[enough]) * np.sqrt(positive + negative)[enough], kind="stable")][:MOST_ENTRIES]
-        return Lookup(keys[best], np.clip(odds[best], -4, 8) / 4)
-
-    def inputs(self, v: Vocabulary) -> np.ndarray:
-        """INPUTS numbers for each distinct word."""
-        word = self.tables[0](v.words)
-        out = [word, (word != 0).astype(np.float32)]
-        for n, table in zip(GRAMS, self.tables[1:], strict=True):
-            hashes, of = v.grams(n)
-            value, count = table(hashes), np.bincount(of, minlength=len(v.words))
-            most = np.zeros(len(v.words), np.float32)
-            full = count > 0
-            if full.any():
-                most[full] = np.maximum.reduceat(value, np.concatenate([[0], np.cumsum(count[full])[:-1]]))
-            out.append(most)
-            if n == GRAMS[0]:
-                out.append((np.bincount(of, value, len(v.words)) / np.maximum(1, count)).astype(np.float32))
-        return np.stack(out, 1)
+        self.size = (tokens.ends - tokens.starts)[first]
+        self.data = tokens.data[np.repeat(tokens.starts[first] - (np.cumsum(self.size) - self.size), self.size) + np.arange(self.size.sum())]
+
+
+class Letters:
+    """Bytes of some tokens, each with a space before and FIELD - 1 behind, and the places where a filter can begin."""
+
+    def __init__(self, data: np.ndarray, size: np.ndarray):
+        span = size + FIELD
+        start = np.cumsum(span) - span
+        self.bytes = np.full(int(span.sum()), SPACE, np.uint8)
+        self.bytes[np.repeat(start + 1 - (np.cumsum(size) - size), size) + np.arange(len(data))] = data
+        self.first = np.cumsum(size + 1) - (size + 1)
+        self.at = np.repeat(start - self.first, size + 1) + np.arange(int((size + 1).sum()))
+        self.of = np.repeat(np.arange(len(size)), size + 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+class Encoder:
+    """Inputs of tokens: a vector by word, and the largest value of each byte filter."""
+
+    def __init__(self, words: np.ndarray, seed: int = 7):
+        """words: the sorted hashes of known words."""
+        rng = np.random.default_rng(seed)
+        self.words = words
+        self.vectors = (0.1 * rng.standard_normal((len(words) + 1, WORD))).astype(np.float32)  # row 0 is any other word's
+        self.filters = (0.3 * rng.standard_normal((FIELD, 256, FILTERS))).astype(np.float32)
+        self.bias = np.zeros(FILTERS, np.float32)
+
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each word's vector, 0 for unknown ones."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64)
+        at = np.searchsorted(self.words, hashes)
+        at[at == len(self.words)] = 0
+        return np.where(self.words[at] == hashes, at + 1, 0)
+
+    def _responses(self, letters: Letters) -> np.ndarray:
+        out = self.filters[0][letters.bytes[letters.at]]
+        for k in range(1, FIELD):
+            out += self.filters[k][letters.bytes[letters.at + k]]
+        return out
+
+    def by_bytes(self, letters: Letters) -> np.ndarray:
+        return np.tanh(np.maximum.reduceat(self._responses(letters), letters.first) + self.bias) if len(letters.first) else np.zeros((0, FILTERS), np.float32)
+
+    def __call__(self, numbers: np.ndarray, letters: Letters) -> np.ndarray:
+        return np.concatenate([self.vectors[numbers], self.by_bytes(letters)], 1)
+
+    def gradients(self, numbers: np.ndarray, letters: Letters, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """From those of the inputs: rows of vectors and their gradients, and those of filters and bias."""
+        rows, at = np.unique(numbers, return_inverse=True)
+        g = np.zeros((len(rows), WORD), dx.dtype)
+        np.add.at(g, at, dx[:, :WORD])
+        response = self._responses(letters)
+        most = np.maximum.reduceat(response, letters.first)
+        dm = dx[:, WORD:] * (1 - np.tanh(most + self.bias) ** 2)
+        place, f = np.nonzero(response == most[letters.of])
+        _, once = np.unique(letters.of[place] * FILTERS + f, return_index=True)
+        place, f = place[once], f[once]
+        back = dm[letters.of[place], f]
+        filters = np.stack([np.bincount(letters.bytes[letters.at[place] + k].astype(np.int64) * FILTERS + f, back, 256 * FILTERS).reshape(256, FILTERS) for k in range(FIELD)])
+        return rows, g, {"filters": filters.astype(dx.dtype), "bias": dm.sum(0)}
+
+
 class Network:
     """Two gated recurrent layers, attention and a linear layer; all parameters in `p`."""
 
@@ -193,14 +175,9 @@ class Network:
             out.append(self.pooled(states, m)[3])
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
-    def window_logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Of windows with inputs of their own: x is (rows, steps, INPUTS)."""
-        out = [self.logits(x[i : i + 2048].reshape(-1, INPUTS), np.arange(len(x[i : i + 2048]) * WINDOW).reshape(-1, WINDOW), mask[i : i + 2048]) for i in range(0, len(x), 2048)]
-        return np.concatenate(out)
-
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean weighted log-loss; x is (rows, steps, INPUTS)."""
-        p, h = self.p, HIDDEN
+    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean weighted log-loss, by parameter and by input; x is (rows, steps, INPUTS)."""
+        p, h, into = self.p, HIDDEN, np.zeros_like(x)
         kept: dict[str, list] = {"f": [], "b": []}
         sides = []
         for d in "fb":
@@ -231,10 +208,11 @@ class Network:
                 dx = np.concatenate([dz, dr, dn], 1)
                 dy = np.concatenate([dz, dr, dn * r], 1)
                 g[f"W{d}"] += x[:, t].T @ dx
+                into[:, t] += dx @ p[f"W{d}"].T
                 g[f"B{d}"] += dx.sum(0)
                 g[f"U{d}"] += before.T @ dy
                 carry = total * (1 - m) + new * z + dy @ p[f"U{d}"].T
-        return g
+        return g, into
 
 
 def cut(bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,15 +230,16 @@ def cut(bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 class Detector:
     """A trained scorer of texts."""
 
-    def __init__(self, share: float, evidence: Evidence | None = None, network: Network | None = None, scale: tuple[float, float] = (1.0, 0.0)):
-        self.share, self.evidence, self.network, self.scale = share, evidence, network, scale
+    def __init__(self, share: float, encoder: Encoder | None = None, network: Network | None = None, scale: tuple[float, float] = (1.0, 0.0), empty: float = 0.0):
+        self.share, self.encoder, self.network, self.scale, self.empty = share, encoder, network, scale, empty
 
     def raw(self, texts: pa.Array) -> np.ndarray:
         v = Vocabulary(texts)
-        x = self.evidence.inputs(v)
+        x = self.encoder(self.encoder.number(v.words), Letters(v.data, v.size))
         row, ids, mask = cut(v.bounds, v.ids)
         out = np.full(len(v.bounds) - 1, -np.inf)
         np.maximum.at(out, row, self.network.logits(x if len(x) else np.zeros((1, INPUTS), np.float32), ids, mask))
+        out[np.diff(v.bounds) == 0] = self.empty
         return out
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
@@ -270,68 +249,136 @@ class Detector:
 
 
 def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through labelled raw scores, by Newton steps with a little shrinkage."""
-    t = np.array([1.0, 0.0])
+    """Slope and offset of the logistic curve through labelled raw scores: Newton steps, halved while they don't help.
+
+    Targets are pulled from 0 and 1 as if each label had one more text of either
+    kind, so that labels which the scores part wholly give a curve too.
+    """
+    ones = y.sum()
+    target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
     x = np.stack([raw, np.ones_like(raw)], 1)
-    for _ in range(30):
-        q = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
-        s = q * (1 - q) + 1e-6
-        t = t + np.linalg.solve((x * s[:, None]).T @ x + np.eye(2) * 0.1, x.T @ (y - q) - 0.1 * (t - [1.0, 0.0]))
+    loss = lambda t: float(np.logaddexp(0, x @ t).sum() - target @ (x @ t))
+    t = np.array([0.0, np.log((ones + 1) / (len(y) - ones + 1))])
+    for _ in range(50):
+        q = _sigmoid(x @ t)
+        move = np.linalg.solve((x * (q * (1 - q) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (target - q))
+        step = 1.0
+        while step > 1e-6 and loss(t + step * move) > loss(t):
+            step /= 2
+        t = t + step * move
+        if np.abs(step * move).max() < 1e-9:
+            break
     return max(0.05, float(t[0])), float(t[1])
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7, passes: int = 8) -> Detector:
-    """From labelled texts; equal texts count once."""
-    first = {t: i for i, t in reversed(list(enumerate(texts)))}
-    keep = sorted(first.values())
-    texts, labels = [texts[i] for i in keep], np.asarray(labels, float)[keep]
-    share = float(labels.mean()) if len(labels) else 0.0
-    if len(set(labels.tolist())) < 2 or min(labels.sum(), (1 - labels).sum()) < 8:
-        return Detector(share)
+class Adam:
+    """Steps with running means of gradients and of their squares; of tables, only rows that have a gradient move."""
+
+    def __init__(self, params: dict[str, np.ndarray], rate: float):
+        self.rate, self.step = rate, 0
+        self.mean = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in params.items()}
+
+    def __call__(self, params: dict[str, np.ndarray], g: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> None:
+        self.step += 1
+        norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
+        for k, q in g.items():
+            at, (m, s) = rows.get(k, slice(None)), self.mean[k]
+            q = q * min(1.0, 5.0 / (norm + 1e-9))
+            m[at] += 0.1 * (q - m[at])
+            s[at] += 0.01 * (q * q - s[at])
+            params[k][at] -= (self.rate * (m[at] / (1 - 0.9**self.step)) / (np.sqrt(s[at] / (1 - 0.99**self.step)) + 1e-6)).astype(np.float32)
+
+
+class Lesson:
+    """Windows of labelled texts as numbers of distinct words."""
+
+    def __init__(self, texts: list[str], labels: np.ndarray):
+        v = Vocabulary(pa.array(texts, pa.string()))
+        self.words, self.size, self.data = v.words, v.size, v.data
+        self.begin = np.cumsum(v.size) - v.size
+        self.row, ids, mask = cut(v.bounds, v.ids)
+        self.ids, self.mask, self.y = ids.astype(np.int32), mask.astype(bool), labels
+        pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(v.bounds)) * max(1, len(v.words)) + v.ids)
+        word, of = pairs % max(1, len(v.words)), pairs // max(1, len(v.words))
+        positive, negative = (np.bincount(word, x[of], len(v.words)) for x in (labels, 1 - labels))
+        self.texts = positive + negative
+        self.odds = np.log((positive + 0.3) / (labels.sum() + 0.6)) - np.log((negative + 0.3) / ((1 - labels).sum() + 0.6))
+
+    def letters(self, words: np.ndarray) -> Letters:
+        size = self.size[words]
+        return Letters(self.data[np.repeat(self.begin[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size)
+
+    def suspicion(self) -> np.ndarray:
+        """Of each window the largest log-odds of its words that several texts hold."""
+        of = np.where(self.texts >= LEAST_TEXTS, self.odds * np.sqrt(self.texts), 0.0)
+        return np.where(self.mask, of[self.ids], -np.inf).max(1) if len(of) else np.zeros(len(self.row))
+
+    def logits(self, encoder: Encoder, network: Network) -> np.ndarray:
+        x = encoder(encoder.number(self.words), self.letters(np.arange(len(self.words))))
+        x = x if len(x) else np.zeros((1, INPUTS), np.float32)
+        step = 1 << 14
+        return np.concatenate([network.logits(x, self.ids[i : i + step], self.mask[i : i + step].astype(np.float32)) for i in range(0, len(self.ids), step)])
+
+    def of_texts(self, logits: np.ndarray) -> np.ndarray:
+        out = np.full(len(self.y), -np.inf)
+        np.maximum.at(out, self.row, logits)
+        return out
+
+
+def learn(lesson: Lesson, seed: int = 7, passes: int = 12) -> tuple[Encoder, Network]:
     rng = np.random.default_rng(seed)
-    half = np.zeros(len(labels), bool)
-    for side in (0, 1):
-        at = rng.permutation(np.flatnonzero(labels == side))
-        half[at[: len(at) // 2]] = True
-    whole, network, parts = pa.array(texts, pa.string()), Network(seed), []
-    for side in (half, ~half):
-        evidence, at = Evidence(whole.filter(pa.array(side)), labels[side]), np.flatnonzero(~side)
-        for some, rows in _blocks(whole.filter(pa.array(~side))):
-            v = Vocabulary(some)
-            row, ids, mask = cut(v.bounds, v.ids)
-            x = evidence.inputs(v) if len(v.words) else np.zeros((1, INPUTS), np.float32)
-            parts.append((at[row + rows.start], x[ids] * mask[:, :, None], mask))
-    y = labels
-    row, x, mask = (np.concatenate(c) for c in zip(*parts, strict=True))
-    suspect = (np.maximum(x[:, :, 0], 0) + x[:, :, [2, 4, 5]].max(2)).max(1)
-    moment = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in network.p.items()}
-    step = 0
-    passes = int(np.clip(LEAST_STEPS * 128 // (2 * len(labels)), passes, 60))
+    encoder, network = Encoder(lesson.words[lesson.texts >= LEAST_TEXTS], seed), Network(seed)
+    number = encoder.number(lesson.words)
+    params = network.p | {"vectors": encoder.vectors, "filters": encoder.filters, "bias": encoder.bias}
+    adam, row, y = Adam(params, 0.01), lesson.row, lesson.y
+    suspect = lesson.suspicion()
+    passes = int(np.clip(LEAST_STEPS * 128 // (2 * len(y)), passes, 60))
     for turn in range(passes):
         if turn and turn % 3 == 0:
-            suspect = network.window_logits(x, mask)
-        rank = suspect
-        order = np.lexsort((-rank, row))
+            suspect = lesson.logits(encoder, network)
+        order = np.lexsort((-suspect, row))
         top = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
         extra = rng.permutation(len(row))[: len(top)]
         chosen = np.concatenate([top, extra[y[row[extra]] == 0]])
         rng.shuffle(chosen)
         target = y[row[chosen]]
         heavy = np.where(target == 1, max(1.0, (target == 0).sum() / max(1, (target == 1).sum()) / 2), 1.0)
+        adam.rate = 0.01 if turn < passes * 2 // 3 else 0.003
         for i in range(0, len(chosen), 128):
             c = chosen[i : i + 128]
-            g = network.gradients(x[c], mask[c], target[i : i + 128], heavy[i : i + 128])
-            step += 1
-            norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
-            for k, q in g.items():
-                q = q * min(1.0, 5.0 / (norm + 1e-9))
-                m = moment[k]
-                m[0] += 0.1 * (q - m[0])
-                m[1] += 0.01 * (q * q - m[1])
-                network.p[k] = (network.p[k] - 0.01 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    raw = np.full(len(labels), -np.inf)
-    np.maximum.at(raw, row, network.window_logits(x, mask))
-    return Detector(share, Evidence(whole, labels), network, _platt(raw, y))
+            words, at = np.unique(lesson.ids[c], return_inverse=True)
+            if not len(lesson.words):
+                continue
+            at = at.reshape(len(c), WINDOW)
+            known = np.where(rng.random(len(words)) < UNKNOWN, 0, number[words])
+            letters, mask = lesson.letters(words), lesson.mask[c].astype(np.float32)
+            x = encoder(known, letters)
+            g, into = network.gradients(x[at] * mask[:, :, None], mask, target[i : i + 128], heavy[i : i + 128])
+            dx = np.zeros_like(x)
+            np.add.at(dx, at.ravel(), (into * mask[:, :, None]).reshape(-1, INPUTS))
+            rows, gv, more = encoder.gradients(known, letters, dx)
+            adam(params, g | more | {"vectors": gv + DECAY * encoder.vectors[rows]}, {"vectors": rows})
+    return encoder, network
+
+
+def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Detector:
+    """From labelled texts; equal texts count once."""
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    keep = sorted(first.values())
+    texts, labels = [texts[i] for i in keep], np.asarray(labels, float)[keep]
+    share = float(labels.mean()) if len(labels) else 0.0
+    if min(labels.sum(), (1 - labels).sum()) < LEAST_OF_A_LABEL:
+        return Detector(share)
+    rng = np.random.default_rng(seed)
+    aside = np.zeros(len(labels), bool)
+    for side in (0, 1):
+        at = rng.permutation(np.flatnonzero(labels == side))
+        aside[at[: len(at) // 5]] = True
+    part = lambda which: Lesson([t for t, w in zip(texts, which, strict=True) if w], labels[which])
+    encoder, network = learn(part(~aside), seed)
+    check = part(aside)
+    raw = check.of_texts(check.logits(encoder, network))
+    return Detector(share, encoder, network, _platt(raw, check.y), float(raw[check.y == 0].mean()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[int, int] = (4, 2), most: int = MOST_ROWS) -> Detector:
@@ -356,7 +403,7 @@ def score(docs: DataFrame, model, held: tuple[int, int] = (4, 2), threshold: flo
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_clean(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is under the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

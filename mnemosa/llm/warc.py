@@ -192,7 +192,7 @@ def resolve(captures: DataFrame, span: int = SPAN) -> DataFrame:
 def captures_of_pages(pages: DataFrame) -> DataFrame:
     """A crawl of the pages, fetches and questions mixed in time: page p is fetched at p minutes.
 
-    Most pages are asked for again up to 500 minutes later, when others with the
+    Every fourth page is fetched again after 200 minutes, its text changed.  Most pages are asked for again up to 500 minutes later, when others with the
     same canonical URL may have come in between or come later still; every
     eleventh page is asked for half a minute before its fetch, every seventh of the
     rest at its very second.  Responses have an entity tag, but for every third
@@ -207,10 +207,11 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     validators = F.when(n % 3 != 0, F.array(tag, date)).otherwise(F.array(date))
     size = header("content-length", F.length(F.encode("html", "UTF-8")).cast("string"))
     lag = F.when(n % 11 == 0, -30).when(n % 7 == 0, 0).otherwise(n * 37 % 500 * 60 + 30)
-    first = p.select((n * 2).alias("capture_id"), F.lit("response").alias("kind"), "url", (n * 60).alias("at"), F.concat(validators, F.array(header("content-type", "text/html"), size, header("cache-control", "max-age=60"))).alias("headers"), F.encode("html", "UTF-8").alias("payload"))
+    answer = lambda df, number, at: df.select(number.alias("capture_id"), F.lit("response").alias("kind"), "url", at.alias("at"), F.concat(validators, F.array(header("content-type", "text/html"), size, header("cache-control", "max-age=60"))).alias("headers"), F.encode("html", "UTF-8").alias("payload"))
+    first, changed = answer(p, n * 3, n * 60), answer(p.where(n % 4 == 1).withColumn("html", F.concat("html", F.lit(" again"))), n * 3 + 1, n * 60 + 12_015)
     asks = F.array(header("content-length", "0"), header("cache-control", "max-age=600"), header("age", (n % 60).cast("string")))
-    again = p.select((n * 2 + 1).alias("capture_id"), F.lit("revisit").alias("kind"), "url", (n * 60 + lag).alias("at"), F.when(n % 13 == 5, asks).otherwise(F.concat(validators, asks)).alias("headers"), F.lit(None).cast("binary").alias("payload"))
-    return first.unionByName(again)
+    again = p.select((n * 3 + 2).alias("capture_id"), F.lit("revisit").alias("kind"), "url", (n * 60 + lag).alias("at"), F.when(n % 13 == 5, asks).otherwise(F.concat(validators, asks)).alias("headers"), F.lit(None).cast("binary").alias("payload"))
+    return first.unionByName(changed).unionByName(again)
 
 
 def flat_headers(resolved: DataFrame) -> DataFrame:
@@ -225,13 +226,14 @@ c AS (SELECT page_id, html, CASE WHEN url IS NOT NULL THEN 'https://'
   || regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/index\.(html?|php)$', '/'), '/+$', '')
   || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical
   FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS q FROM p)),
-v AS (SELECT *, page_id * 60 AS at, CASE WHEN page_id % 3 <> 0 THEN '"' || substr(md5(html), 1, 16) || '"' END AS etag, 'day ' || (length(html) % 365) AS modified FROM c),
+f AS (SELECT page_id, canonical, html, page_id * 3 AS id, page_id * 60 AS at FROM c UNION ALL SELECT page_id, canonical, html || ' again', page_id * 3 + 1, page_id * 60 + 12015 FROM c WHERE page_id % 4 = 1),
+v AS (SELECT *, CASE WHEN page_id % 3 <> 0 THEN '"' || substr(md5(html), 1, 16) || '"' END AS etag, 'day ' || (length(html) % 365) AS modified FROM f),
 a AS (SELECT page_id, canonical, page_id * 60 + CASE WHEN page_id % 11 = 0 THEN -30 WHEN page_id % 7 = 0 THEN 0 ELSE page_id * 37 % 500 * 60 + 30 END AS at,
-  CASE WHEN page_id % 13 <> 5 THEN etag END AS etag, CASE WHEN page_id % 13 <> 5 THEN modified END AS modified FROM v),
-j AS (SELECT a.*, r.page_id AS rid, r.etag AS r_etag, r.modified AS r_modified, r.html AS r_html FROM a ASOF LEFT JOIN v r ON a.canonical = r.canonical AND a.at >= r.at),
+  CASE WHEN page_id % 13 <> 5 THEN etag END AS etag, CASE WHEN page_id % 13 <> 5 THEN modified END AS modified FROM v WHERE id % 3 = 0),
+j AS (SELECT a.*, r.id AS rid, r.etag AS r_etag, r.modified AS r_modified, r.html AS r_html FROM a ASOF LEFT JOIN v r ON a.canonical = r.canonical AND a.at >= r.at),
 s AS (SELECT *, CASE WHEN rid IS NULL THEN 'no_response' WHEN etag IS NOT NULL AND r_etag IS NOT NULL THEN CASE WHEN etag = r_etag THEN 'resolved' ELSE 'mismatch' END
   WHEN etag IS NULL AND modified IS NOT NULL THEN CASE WHEN modified = r_modified THEN 'resolved' ELSE 'mismatch' END ELSE 'no_validator' END AS status FROM j)
-SELECT page_id * 2 + 1 AS capture_id, canonical, rid * 2 AS response_id, status,
+SELECT page_id * 3 + 2 AS capture_id, canonical, rid AS response_id, status,
   CASE WHEN status = 'resolved' THEN 'age=' || (page_id % 60) || '|cache-control=max-age=600|content-length=' || octet_length(encode(r_html)) || '|content-type=text/html'
     || coalesce('|etag=' || coalesce(etag, r_etag), '') || '|last-modified=' || modified END AS headers,
   CASE WHEN status = 'resolved' THEN CAST(octet_length(encode(r_html)) AS BIGINT) END AS payload_bytes, CASE WHEN status = 'resolved' THEN md5(r_html) END AS payload_md5

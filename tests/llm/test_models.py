@@ -32,12 +32,10 @@ def detector():
 
 def test_held_out_texts(detector):
     rows = texts(seed=1, n=240)
-    r = random.Random(5)
     score = detector(pa.array([t for t, _ in rows]))
     # seed 1 has other clean words; the rude family is the same
     y = np.array([y for _, y in rows])
     assert (score[y == 1] >= 0.3).mean() > 0.9 and (score[y == 0] < 0.3).mean() > 0.9
-    assert r is not None
 
 
 def test_scores_are_defined_everywhere(detector):
@@ -52,34 +50,90 @@ def test_all_windows_are_read(detector):
         assert detector(pa.array([" ".join(w[:at] + ["zorgum", "blakny", "zorgon"] + w[at:])]))[0] > detector(pa.array([clean]))[0]
 
 
-def test_gradients():
+def test_gradients_through_windows_words_and_bytes():
+    """Of the loss of three windows, by every kind of weight, against differences."""
     rng = np.random.default_rng(0)
-    net = toxicity.Network(1)
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, mask = rng.standard_normal((3, 5, toxicity.INPUTS)), np.ones((3, 5))
+    v = toxicity.Vocabulary(pa.array(["ab cde !!! f", "f*** ab"]))
+    encoder, net = toxicity.Encoder(v.words[:4], 1), toxicity.Network(1)
+    for k in ("vectors", "filters", "bias"):
+        setattr(encoder, k, getattr(encoder, k).astype(np.float64))
+    encoder.bias += 0.1
+    net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    letters, number = toxicity.Letters(v.data, v.size), encoder.number(v.words)
+    assert sorted(number.tolist()) == [0, 1, 2, 3, 4]
+    at, mask = rng.integers(0, len(v.words), (3, 5)), np.ones((3, 5))
     mask[0, 3:] = 0
     y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 1.0])
 
     def loss():
+        x = encoder(number, letters)[at] * mask[:, :, None]
         s = np.concatenate([net.layer(d, (lambda d: lambda t: (x @ net.p[f"W{d}"] + net.p[f"B{d}"])[:, t])(d), mask).astype(float) for d in "fb"], 2)
         z = net.pooled(s, mask)[3]
         return float((weight * (np.log1p(np.exp(z)) - y * z)).sum() / weight.sum())
 
-    g = net.gradients(x, mask, y, weight)
-    for k in ("Wf", "Ub", "A", "v", "w", "Bb"):
-        i = tuple(s // 2 for s in net.p[k].shape)
-        old = net.p[k][i]
-        net.p[k][i] = old + 1e-3
-        up = loss()
-        net.p[k][i] = old - 1e-3
-        down = loss()
-        net.p[k][i] = old
-        assert g[k][i] == pytest.approx((up - down) / 2e-3, abs=2e-3)
+    x = encoder(number, letters)
+    g, into = net.gradients(x[at] * mask[:, :, None], mask, y, weight)
+    dx = np.zeros_like(x)
+    np.add.at(dx, at.ravel(), (into * mask[:, :, None]).reshape(-1, toxicity.INPUTS))
+    rows, vectors, more = encoder.gradients(number, letters, dx)
+    table = np.zeros_like(encoder.vectors)
+    table[rows] = vectors
+    g |= more | {"vectors": table}
+    params = net.p | {"vectors": encoder.vectors, "filters": encoder.filters, "bias": encoder.bias}
+    for k in ("Wf", "Ub", "A", "v", "w", "Bb", "vectors", "filters", "bias"):
+        for i in [np.unravel_index(n, params[k].shape) for n in np.argsort(-np.abs(g[k]).ravel())[:4]]:
+            old = params[k][i]
+            params[k][i] = old + 1e-3
+            up = loss()
+            params[k][i] = old - 1e-3
+            down = loss()
+            params[k][i] = old
+            assert g[k][i] == pytest.approx((up - down) / 2e-3, abs=1e-3)
+
+
+def test_every_byte_is_a_token():
+    v = toxicity.Vocabulary(pa.array(["F*** you2 é!\t$$", None, " \n"]))
+    words, at = [], 0
+    for n in v.size:
+        words.append(bytes(v.data[at : at + n]).decode())
+        at += n
+    assert [words[i] for i in v.ids] == ["f", "***", "you", "2", "é", "!", "$$"] and v.bounds.tolist() == [0, 7, 7, 7]
+    letters = toxicity.Letters(v.data, v.size)
+    assert bytes(letters.bytes).decode().split() == words and len(letters.at) == sum(v.size + 1)
+
+
+def test_all_windows_are_cut():
+    row, ids, mask = toxicity.cut(np.array([0, 100, 100, 133]), np.arange(133))
+    for r, (a, b) in enumerate(((0, 100), (100, 100), (100, 133))):
+        seen = [set(i[m > 0].tolist()) for i, m in zip(ids[row == r], mask[row == r], strict=True)]
+        assert set().union(*seen) == set(range(a, b))
+        assert all(sum({k, k + 1} <= s for s in seen) >= 1 for k in range(a, b - 1))
+
+
+def test_calibration_of_parted_scores():
+    raw, y = np.r_[np.linspace(-9, -3, 90), np.linspace(3, 9, 10)], np.r_[np.zeros(90), np.ones(10)]
+    slope, offset = toxicity._platt(raw, y)
+    q = 1 / (1 + np.exp(-(slope * raw + offset)))
+    assert q[:90].max() < 0.1 and q[90:].min() > 0.5
+
+
+def test_scores_of_odd_tables(spark):
+    """Null and repeated ids, repeated rows, null texts and labels, clashing columns, an empty table."""
+    rows = texts(n=240)
+    docs = spark.createDataFrame([*((i, t) for i, (t, _) in enumerate(rows)), (None, "x"), (None, None), (3, rows[3][0]), (3, rows[3][0])], "doc_id long, text string")
+    docs = docs.withColumns({"score": F.lit("clash"), "y": F.lit(1), "held_out": F.lit(None).cast("string")})
+    labels = spark.createDataFrame([*((i, y) for i, (_, y) in enumerate(rows)), (1, None), (None, 1), (10**6, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 244 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert len({r.score for r in got if r.doc_id == 3}) == 1 and not any(r.held_out for r in got if r.doc_id is None)
+    assert toxicity.score(docs.limit(0), model).collect() == [] and toxicity.fit(docs.limit(0), labels).share == 0.0
 
 
 def test_few_labels():
     assert toxicity.train([], np.array([]))(pa.array(["a"]))[0] == 0.0
     assert toxicity.train(["a", "b"], np.array([1, 1]))(pa.array(["a", ""])).tolist() == [1.0, 1.0]
+    assert toxicity.train([""] * 50 + [f"x{i}" for i in range(40)] + [f"y{i}" for i in range(40)], np.array([0] * 50 + [0] * 40 + [1] * 40))(pa.array(["q", None])).shape == (2,)
 
 
 def test_keep_clean_filters_rows(spark, detector):
@@ -134,9 +188,48 @@ def test_mixing_meets_targets(spark):
     goal = np.array([0.7, 0.2, 0.1]) * n.sum()
     r = mixing.rates(p, mixing.fit_rates(base, lambda totals: goal, 3))
     assert (r >= 0).all() and np.allclose((n * r) @ p, goal, rtol=1e-3)
-    # targets out of reach: the rates stay at the least squares, none negative
-    r = mixing.rates(p, mixing.fit_rates(base, lambda totals: np.array([n.sum(), 0.0, 0.0]), 3, steps=30))
-    assert (r >= 0).all() and ((n * r) @ p)[0] > ((n * r) @ p)[1:].max()
+    # targets out of reach: the rates settle at the least squares, none negative
+    p = 0.7 * p + 0.1
+    base = spark.createDataFrame([(int(k), [float(x) for x in q]) for k, q in zip(n, p, strict=True)], "tokens long, p array<double>")
+    steps = mixing.fit_rates(base, lambda totals: np.array([n.sum(), 0.0, 0.0]), 3)
+    r = mixing.rates(p, steps)
+    metric = np.linalg.inv((p.T * n) @ p)
+    miss = lambda r: (d := (n * r) @ p - np.array([n.sum(), 0.0, 0.0])) @ metric @ d
+    assert (r >= 0).all() and len(steps) <= mixing.STEPS
+    best = np.ones(len(n))
+    for _ in range(5_000):  # plain projected gradient on all rates, to the end
+        best = np.maximum(0, best - p @ (metric @ ((n * best) @ p - np.array([n.sum(), 0.0, 0.0]))))
+    assert miss(r) <= miss(best) * 1.2
+    on = mixing.rates(p, mixing.fit_rates(base, lambda totals: np.array([n.sum(), 0.0, 0.0]), 3, steps=100, still=-1.0))
+    assert (on >= 0).all() and miss(on) <= miss(best) * 1.1
+
+
+@pytest.mark.parametrize("tasks", [1, 50])
+def test_copies_meet_expected_tokens(tasks):
+    """Whole copies have the tokens that the rates promise, by domain, however few rows a task has."""
+    rng = np.random.default_rng(3)
+    n, p = rng.lognormal(5, 1.2, 20_000).astype(int), rng.dirichlet([0.2, 0.5], 20_000)
+    rate = p @ np.array([0.1, 1.3])
+    parts = [(mixing.Copies(2, t), np.arange(len(n))[t::tasks]) for t in range(tasks)]
+    copies = np.zeros(len(n), int)
+    for c, rows in parts:
+        for some in np.array_split(rows, 7):
+            copies[some] = c(n[some], p[some], rate[some])
+    assert ((copies == np.floor(rate)) | (copies == np.floor(rate) + 1)).all()
+    for k in (0, 1):
+        assert (copies * n) @ p[:, k] == pytest.approx((rate * n) @ p[:, k], rel=0.005)
+
+
+def test_mixing_of_odd_tables(spark):
+    """Null texts, null and repeated ids, repeated rows, one domain, no domain, clashing columns, an empty table."""
+    rows = [(1, "a b c"), (1, "a b c"), (None, None), (None, "x y"), (2, ""), (3, "z " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"tokens": F.lit("clash"), "rate": F.lit(0), "domain": F.lit("q")})
+    label = lambda *xs: spark.createDataFrame([*xs, (9, "high"), (2, None)], "doc_id long, domain string")
+    for labelled in (label((1, "high")), label(), label((1, "high"), (2, "low"), (None, "low"))):
+        got = mixing.mix(docs, labelled).collect()
+        assert sorted(r.tokens for r in got) == [0, 0, 2, 3, 3, 3000] and all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
+        assert mixing.mixed_rows(docs, labelled).columns == docs.columns and mixing.mixed_rows(docs, labelled).count() >= 0
+    assert mixing.mix(docs.limit(0), label()).collect() == [] and mixing.mixed_rows(docs.limit(0), label()).collect() == []
 
 
 def test_mixed_rows(spark):
@@ -148,7 +241,7 @@ def test_mixed_rows(spark):
     kept = mixing.mixed_rows(docs, labelled)
     assert kept.columns == docs.columns
     counts = {r.doc_id: r["count"] for r in kept.groupBy("doc_id").count().collect()}
-    assert counts == {g.doc_id: g.copies for g in got if g.copies}
+    assert abs(sum(counts.values()) - sum(g.copies for g in got)) <= 4 and set(counts) <= set(range(300))
     assert all(counts.get(i, 0) >= 1 for i in range(300) if i % 3)
     assert mixing.mix(docs.limit(0), labelled).collect() == []
 

@@ -28,10 +28,41 @@ def test_cache_starts_anew(monkeypatch):
 
     monkeypatch.setattr(tokens, "MOST_CHUNKS", 3)
     monkeypatch.setattr(tokens, "MOST_WORDS", 3)
-    w = WordIds(PATH)
-    texts = [f"word{i} common" for i in range(20)]
-    whole = WordIds(PATH).packed(pa.array(texts[:1]))
-    assert [w.packed(pa.array([x]))[0] for x in texts][0] == whole[0] and len(w.chunks) <= 5
+    w, t = WordIds(PATH), Tokenizer.from_file(PATH)
+    for i in range(20):
+        text = f"word{i} common word{i}, {ODD[0]}"
+        assert w.packed(pa.array([text, None, "", text[::-1]])) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in (text, "", "", text[::-1])]
+    assert len(w.chunks) < 40 and len(w.words) < 40
+
+
+def naive_best_two_fit(lengths, capacity):
+    """The rule word for word, on a plain list."""
+    stock, bins = sorted(lengths, reverse=True), []
+    while stock:
+        held = []
+        while fits := [n for n in stock if n <= capacity - sum(held)]:
+            held.append(fits[0])
+            stock.remove(fits[0])
+        while True:
+            small = min(held)
+            room = capacity - sum(held) + small
+            pairs = [(x + y, x, y) for i, x in enumerate(stock) for y in stock[i + 1 :] if small < x + y <= room]
+            if not pairs:
+                break
+            _, x, y = max(pairs)
+            held.remove(small)
+            stock.remove(x)
+            stock.remove(y)
+            held += [x, y]
+            stock = sorted([*stock, small], reverse=True)
+        bins.append(sorted(held, reverse=True))
+    return bins
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=40))
+def test_equals_the_naive_rule(lengths):
+    assert packing.best_two_fit(np.array(lengths, int), 30) == naive_best_two_fit(lengths, 30)
 
 
 def test_pieces_and_places(spark):
