@@ -52,6 +52,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 SPAN = 3600
 CAPTURE = "capture_id long, kind string, url string, at long, headers array<struct<name:string,value:string>>, payload binary"
 _HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+#: Records that a worker holds as Python objects at a time.
+AT_ONCE = 256
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 _breaks = re.compile(r"\r\n|[\r\n]")
 _line = re.compile(rb"\r?\n")
@@ -67,6 +69,12 @@ def canonical_url(url: Column) -> Column:
     return F.when(url.isNotNull(), F.concat(F.lit("https://"), host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise("")))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
 def warc_date(at: int | None) -> str | None:
     """Seconds since 1970 as the format has them; null for a null and for what is no time of the years 1 to 9999."""
     try:
@@ -84,7 +92,7 @@ def write_records(captures: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for x in batch.to_pylist():
                 revisit, body = x["kind"] == "revisit", x["payload"] or b""
@@ -146,7 +154,7 @@ def read_records(records: DataFrame) -> DataFrame:
     fields = [("capture_id", pa.int64()), ("kind", pa.string()), ("url", pa.string()), ("at", pa.int64()), ("headers", _HEADERS), ("payload", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = [r for x in batch.column("record").to_pylist() if x is not None and (r := parse_record(x))]
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in fields], [k for k, _ in fields])
 
