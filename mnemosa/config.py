@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,36 @@ class Config:
     index_weights: dict[str, float] = field(default_factory=lambda: {"similarity": 1.0, "fts": 0.8})
     smoothing: int = 60
     per_file_cap: int = 3
+    truncate_dim: int = 0
+    scorer: str = "sql"
+
+    def size(self) -> int:
+        """Components of a stored vector."""
+        return self.truncate_dim if 0 < self.truncate_dim < self.dim else self.dim
+
+    @classmethod
+    def from_env(cls, options: Mapping[str, str] | None = None, env: Mapping[str, str] | None = None, prefix: str = "MNEMOSA_") -> Config:
+        """Settings from options by name, else from the environment by prefix and name in capitals, else the defaults.
+
+        A value that doesn't parse counts as not given; activated_k is at least top_k.
+        """
+        env, given = os.environ if env is None else env, {}
+        for f in fields(cls):
+            raw = (options or {}).get(f.name) or env.get(prefix + f.name.upper())
+            default = getattr(DEFAULT, f.name)
+            if not raw or isinstance(default, dict):
+                continue
+            try:
+                if isinstance(default, bool):
+                    given[f.name] = raw.strip().lower() in ("1", "true", "yes", "on")
+                elif isinstance(default, tuple):
+                    given[f.name] = tuple(int(x) for x in raw.split(","))
+                else:
+                    given[f.name] = type(default)(raw)
+            except ValueError:
+                continue
+        out = cls(**given)
+        return out if out.activated_k >= out.top_k else cls(**(given | {"activated_k": out.top_k}))
 
 
 DEFAULT = Config()

@@ -2,137 +2,561 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import schemas
 from .config import DEFAULT, Config
-from .functions import scoring, text, vec
-from .operators import fts, graph, lifecycle, pack, retrieve, rollups, sensory, work_queue
-from .sources import chunking
+from .functions import rules, scoring, text, vec
+from .operators import admin, dml, fts, graph, index, lifecycle, pack, retrieve, rollups, scans, sensory, work_queue
+from .sources import chunking, imports
 from .store import Snapshots
 
+FACT_COLUMNS = ["text", "title", "subtitle", "narrative", "file_names"]
+CHUNK_WEIGHTS = {"title": 3.0, "heading_path": 2.0, "summary": 1.5, "body": 1.0}
+#: Texts whose embeddings show that an embedder has changed are the operator's own; sixteen of them.
+CANARIES = (
+    "a fact about storage", "the build failed on the server", "use tabs and not spaces", "the user prefers short answers", "login returns an error", "cache the result of the query", "rename the column",
+    "the release is on friday", "tests run in parallel", "the key is rotated each month", "an index speeds up the join", "logs go to the shared disk", "retry after a timeout", "the page has two forms",
+    "numbers are rounded half to even", "write the file before the marker",
+)
+GUIDANCE = {
+    "ok": "The facts fit the question.", "low_confidence": "The facts may not fit the question: look further.", "no_memory": "Nothing is known about this.",
+    "embedding_mismatch": "Facts are stored, but by another embedder: embed them anew.",
+}
+
+
+def heuristic(texts: DataFrame) -> DataFrame:
+    """Records (seq, text, degraded) of texts (seq, text): their lines, without a model."""
+    lines = texts.select("seq", F.posexplode(text.heuristic_facts(F.col("text"))).alias("_at", "text"))
+    return lines.select((F.shiftleft("seq", 4) + F.col("_at")).alias("seq"), "text", F.lit(True).alias("degraded"))
+
 
 class Engine:
-    """Facts, chunks, ledgers, queue and edges under one root folder."""
+    """Facts, chunks, ledgers, queue, register and edges under one root folder.
+
+    embed gives the vector of a Column of texts; distil the records (seq, text and
+    any of title, subtitle, narrative, files, type, observation_id, supersedes,
+    scope, degraded) of texts (seq, text).  Both have defaults that need no model.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, config: Config = DEFAULT):
-        self.spark, self.c = spark, config
+    def __init__(self, spark: SparkSession, root: str, config: Config = DEFAULT, embed: Callable[[Column], Column] | None = None, distil: Callable[[DataFrame], DataFrame] = heuristic, model: str = "hash"):
+        self.spark, self.c, self.distil, self.model = spark, config, distil, model
+        self.embed = embed or (lambda t: vec.hash_embed(t, self.c.dim))
         table = lambda name, schema: Snapshots(spark, f"{root}/{name}", schema)
-        self.facts, self.chunks = table("facts", schemas.FACTS), table("chunks", schemas.CHUNKS)
-        self.queue, self.edges = table("work_queue", schemas.WORK_QUEUE), table("fact_edges", schemas.EDGES)
+        self.facts, self.chunks, self.sources = table("facts", schemas.FACTS), table("chunks", schemas.CHUNKS), table("chunk_sources", schemas.CHUNK_SOURCES)
+        self.queue, self.edges, self.meta, self.cursors = table("work_queue", schemas.WORK_QUEUE), table("fact_edges", schemas.EDGES), table("index_meta", schemas.INDEX_META), table("capture_cursors", schemas.CURSORS)
         self.senses, self.usage, self.recalls = table("sensory", schemas.SENSORY), table("usage_events", schemas.USAGE_EVENTS), table("recall_events", schemas.RECALL_EVENTS)
+        self.fact_terms, self.chunk_terms, self.canary = table("fact_terms", schemas.TERMS), table("chunk_terms", schemas.TERMS), table("embedder_canary", schemas.CANARY)
+
+    # Vectors and keyword postings
+
+    def _embedded(self, rows: DataFrame, of: Column | None = None) -> DataFrame:
+        """rows with vec, and what of it is stored."""
+        v = rows.withColumn("vec", vec.truncate_renorm(self.embed(F.col("text") if of is None else of), self.c.truncate_dim)).withColumn("scale", vec.scale_of(F.col("vec")))
+        stored = F.transform(vec.quantize_int8(F.col("vec"), F.col("scale")), lambda x: x.cast("tinyint"))
+        return v.withColumns({"dim": F.size("vec"), "vec_int8": stored, "vec_bits": vec.pack_bits(F.col("vec"))})
+
+    def _with_vectors(self, rows: DataFrame) -> DataFrame:
+        """rows with vec as it is stored; nothing is embedded again."""
+        return rows.withColumn("vec", vec.dequantize_int8(F.col("vec_int8"), F.col("scale")))
+
+    def _query(self, query: str) -> DataFrame:
+        return self.spark.range(1).select(vec.truncate_renorm(self.embed(F.lit(query)), self.c.truncate_dim).alias("q"))
+
+    def _asked(self, query: str) -> DataFrame:
+        return self.spark.range(1).select(F.col("id").alias("qid"), F.lit(query).alias("query"))
+
+    @staticmethod
+    def _texts_of_facts(facts: DataFrame) -> DataFrame:
+        return facts.select("id", F.lit("").alias("version"), *FACT_COLUMNS[:4], F.array_join("files", " ").alias("file_names"))
 
-    def _embedded(self, texts: DataFrame) -> DataFrame:
-        v = texts.withColumn("vec", vec.hash_embed(F.col("text"), self.c.dim)).withColumn("scale", vec.scale_of(F.col("vec")))
-        return v.withColumn("dim", F.size("vec"))
+    @staticmethod
+    def _texts_of_chunks(chunks: DataFrame) -> DataFrame:
+        return chunks.select("id", F.coalesce("content_hash", F.lit("")).alias("version"), *CHUNK_WEIGHTS)
 
-    def capture(self, texts: DataFrame, project: str, now: float, kind: str = "fact", tier: str = "stm") -> int:
-        """Facts from the lines of texts (text): known ones are reinforced, new ones added, similar older ones superseded."""
-        lines = texts.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.posexplode(text.heuristic_facts(F.col("text"))).alias("_at", "text"))
-        rows = lines.select(text.content_id(F.lit(project), F.col("text")).alias("id"), (F.shiftleft("_row", 4) + F.col("_at")).alias("seq"), "text", F.lit(project).alias("project_key"), F.lit(kind).alias("kind"))
+    def _write_facts(self, facts: DataFrame) -> int:
+        v = self.facts.write(facts)
+        self._sync(self.fact_terms, self._texts_of_facts(self.facts.read()), FACT_COLUMNS)
+        return v
+
+    def _write_chunks(self, chunks: DataFrame) -> int:
+        v = self.chunks.write(schemas.upgrade(chunks, schemas.CHUNKS))
+        self._sync(self.chunk_terms, self._texts_of_chunks(self.chunks.read()), list(CHUNK_WEIGHTS))
+        return v
+
+    @staticmethod
+    def _sync(terms: Snapshots, docs: DataFrame, columns: list[str]) -> None:
+        """The postings in step with the table: of new ids added, of gone ones left out."""
+        old = terms.read()
+        held = old.select("id", "version").distinct()
+        new = fts.postings(docs.join(held, ["id", "version"], "left_anti"), columns, keep="version")
+        if held.join(docs.select("id", "version"), ["id", "version"], "left_anti").isEmpty():
+            terms.append(new)
+        else:
+            terms.write(old.join(docs.select("id", "version"), ["id", "version"], "left_semi").unionByName(schemas.upgrade(new, schemas.TERMS)))
+
+    def _keyword_hits(self, terms: Snapshots, table: DataFrame, query: str, weights: list[float], keep: DataFrame) -> DataFrame:
+        kept = terms.read()
+        whole = table.agg(F.count("*").alias("docs")).crossJoin(kept.agg(F.sum(F.size("places")).alias("tokens")))
+        return fts.bm25_kept(kept, whole, self._asked(query), weights, keep).select("id", "bm25")
+
+    # Writing facts
+
+    def capture(self, texts: DataFrame, project: str, now: float, kind: str = "fact", tier: str = "stm", session: str | None = None) -> int:
+        """Facts that the distiller finds in texts (text): known ones are reinforced, new ones added, similar older ones superseded."""
+        seen = texts.select(F.monotonically_increasing_id().alias("seq"), "text").where(~rules.is_distiller_prompt(F.coalesce("text", F.lit(""))))
+        return self.add_records(self.distil(seen), project, now, kind, tier, session)
+
+    def add_records(self, records: DataFrame, project: str, now: float, kind: str = "fact", tier: str = "stm", session: str | None = None) -> int:
+        """Records in the order of seq, each reinforcing the fact of its text or adding it.
+
+        A new fact supersedes the facts that it names (supersedes: ids of the project) and
+        those as similar as the threshold that are active at its time.  With a spread
+        weight, facts captured together or sharing a name are joined by edges.
+        """
+        empty = {"title": "string", "subtitle": "string", "narrative": "string", "files": "array<string>", "type": "string", "observation_id": "string", "supersedes": "array<string>"}
+        named = records.where("trim(text) <> ''").select("seq", "text", *(F.col(c).cast(t) if c in records.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
+        rows = named.withColumns({"id": text.content_id(F.lit(project), F.col("text")), "project_key": F.lit(project), "kind": F.lit(kind), "session_id": F.lit(session).cast("string")})
         old = self.facts.read()
-        once = rows.groupBy("id", "project_key", "kind").agg(F.min(F.struct("seq", "text")).alias("_f")).select("id", "project_key", "kind", "_f.seq", "_f.text")
+        once = rows.groupBy("id").agg(F.min(F.struct("seq", *(c for c in rows.columns if c not in ("seq", "id")))).alias("_f")).select("id", "_f.*")
         first = self._embedded(once.join(old.select("id"), "id", "left_anti"))
-        new = first.select("id", "project_key", "kind", "text", "dim", "scale", F.lit(now).alias("created_at"), F.lit(now).alias("last_seen"), F.lit(1).alias("frequency"), F.lit("active").alias("status"), F.lit(tier).alias("tier"), scoring.importance(F.col("text")).alias("importance"), vec.pack_bits(F.col("vec")).alias("vec_bits"))
+        blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+        new = first.select(
+            "id", "project_key", "kind", "session_id", "text", *map(blank, ("title", "subtitle", "narrative", "type", "observation_id")), "files", "dim", "scale", "vec_int8", "vec_bits", F.lit(now).alias("created_at"),
+            F.lit(now).alias("last_seen"), F.lit(1).alias("frequency"), F.lit("active").alias("status"), F.lit(tier).alias("tier"), scoring.importance(F.col("text")).alias("importance"),
+        )
         seen = rows.select("id", "seq").join(first.select("id", "seq"), ["id", "seq"], "left_anti").select("id")
         stored = lifecycle.reinforce(old.unionByName(schemas.upgrade(new, schemas.FACTS)), seen, now, self.c.promote_after_freq)
-        if self.c.supersede_threshold < 1:
-            stored = self._superseded(stored, old, rows, first, project)
-        return self.facts.write(stored)
+        v = self._write_facts(self._superseded(stored, old, rows, first, project))
+        if self.c.spread_weight > 0 and kind == "fact":
+            self._record_edges(rows, project)
+        return v
 
     def _superseded(self, stored: DataFrame, old: DataFrame, rows: DataFrame, first: DataFrame, project: str) -> DataFrame:
-        """stored after each new fact, in order, superseded the similar ones active at that time; a fact seen again is active again."""
+        """stored after each new fact, in order, superseded its victims active at that time; a fact seen again is active again."""
         alive = old.where((F.col("project_key") == project) & (F.col("status") == "active")).select("id", F.lit(-1).cast("long").alias("seq"))
-        spans = alive.unionByName(rows.select("id", "seq")).withColumn("until", F.lead("seq").over(W.partitionBy("id").orderBy("seq")))
-        texts = stored.where((F.col("project_key") == project) & F.coalesce("dim", F.lit(0)).isin(0, self.c.dim)).select("id", "text")
-        spans = spans.join(self._embedded(texts).select("id", "vec"), "id").withColumn("key", F.concat_ws(":", "id", "seq"))
-        hits = spans.select("key", "id", "until").join(lifecycle.superseding_new(spans, first, self.c.supersede_threshold), "key").where("until is null or by_seq < until")
-        last = hits.groupBy("id").agg(F.max(F.struct("by_seq", "by", F.col("until").isNull().alias("ends"))).alias("_h")).select("id", "_h.by", "_h.ends")
+        spans = alive.unionByName(rows.select("id", "seq")).withColumn("until", F.lead("seq").over(W.partitionBy("id").orderBy("seq"))).withColumn("key", F.concat_ws(":", "id", "seq"))
+        named = first.select(F.col("id").alias("by"), F.col("seq").alias("by_seq"), F.explode("supersedes").alias("id")).where("id <> by").join(spans, "id").where("by_seq > seq")
+        hits = named.select("key", "id", "until", "by", "by_seq")
+        if self.c.supersede_threshold < 1:
+            mine = self._with_vectors(stored.where((F.col("project_key") == project) & (F.col("dim") == self.c.size())).select("id", "vec_int8", "scale")).select("id", "vec")
+            similar = lifecycle.superseding_new(spans.join(mine, "id"), first, self.c.supersede_threshold)
+            hits = hits.unionByName(spans.select("key", "id", "until").join(similar, "key"))
+        hits = hits.where("until is null or by_seq < until")
+        last = hits.groupBy("id", "until").agg(F.min(F.struct("by_seq", "by")).alias("_f")).groupBy("id").agg(F.max(F.struct("_f.by_seq", "_f.by", F.col("until").isNull().alias("ends"))).alias("_h")).select("id", "_h.by", "_h.ends")
         again = last.where("not ends").select("id", F.col("by").alias("_by"))
         marked = stored.join(again, "id", "left").withColumn("superseded_by", F.coalesce("_by", "superseded_by")).drop("_by")
         return lifecycle.supersede(marked, last.where("ends").select("id", "by"))
 
-    def _query(self, query: str) -> DataFrame:
-        return self.spark.range(1).select(vec.hash_embed(F.lit(query), self.c.dim).alias("q"))
+    def _record_edges(self, rows: DataFrame, project: str, batch: int = 50, most: int = 8) -> None:
+        """Edges between the first facts of a capture, and from each to the best keyword hits of the names in it."""
+        held = rows.orderBy("seq").limit(batch).select("id", "text")
+        together = graph.co_occurrence(held.select("id", F.lit(0).alias("g")).distinct(), "g", batch)
+        entities = held.select("id", F.explode(text.entities(F.col("text"))).alias("entity"))
+        asked = entities.select(F.xxhash64("entity").alias("qid"), F.col("entity").alias("query")).distinct()
+        kept, facts = self.fact_terms.read(), self.facts.read()
+        whole = facts.agg(F.count("*").alias("docs")).crossJoin(kept.agg(F.sum(F.size("places")).alias("tokens")))
+        found = fts.pool(fts.bm25_kept(kept, whole, asked, [1.0] * len(FACT_COLUMNS), scans.active(facts, project)), most)
+        mentions = entities.withColumn("qid", F.xxhash64("entity")).join(found.select("qid", F.col("id").alias("other")), "qid")
+        shared = mentions.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.lit("entity").alias("kind"), F.lit(1.0).alias("weight"))
+        self.link(together.unionByName(shared))
+
+    def capture_prompts(self, prompts: DataFrame, project: str, now: float, session: str | None = None) -> int:
+        """What users asked (text), word for word: known ones are reinforced, without promotion; new ones supersede nothing."""
+        rows = prompts.where("trim(text) <> ''").select(text.content_id(F.lit(project), F.col("text")).alias("id"), "text")
+        old = self.facts.read()
+        counts = rows.groupBy("id").agg(F.min("text").alias("text"), F.count("*").alias("n"))
+        first = self._embedded(counts.join(old.select("id"), "id", "left_anti"))
+        fixed = {"project_key": project, "session_id": session, "kind": "prompt", "type": "prompt", "status": "active", "tier": "stm", "importance": 0.5, "created_at": now, "last_seen": now}
+        new = first.withColumn("frequency", F.col("n").cast("int")).withColumns({k: F.lit(v) for k, v in fixed.items()})
+        again = rows.join(first.select("id"), "id", "left_anti").select("id")
+        return self._write_facts(lifecycle.reinforce(old, again, now).unionByName(schemas.upgrade(new, schemas.FACTS)))
+
+    def capture_summary(self, summary: DataFrame, project: str, session: str, now: float) -> int:
+        """The summary of a session (a record, see add_records) in place of its older one; none leaves the older one."""
+        if summary.isEmpty():
+            return self.facts.version()
+        self.facts.apply(lambda f: dml.clear_session_kind(f, project, session, "session_summary"))
+        return self.add_records(summary, project, now, "session_summary", session=session)
+
+    def capture_antipatterns(self, records: DataFrame, project: str, now: float, session: str | None = None) -> int:
+        """Rules (records with scope), those of scope global for all projects; they are long-term from the start."""
+        everywhere = F.coalesce("scope", F.lit("project")) == "global" if "scope" in records.columns else F.lit(False)
+        typed = records.withColumn("type", F.lit("antipattern"))
+        self.add_records(typed.where(~everywhere), project, now, "antipattern", "ltm", session)
+        return self.add_records(typed.where(everywhere), retrieve.GLOBAL, now, "antipattern", "ltm", session)
+
+    def import_source(self, source: imports.Source, keys: DataFrame, now: float, label: str | None = None, dry_run: bool = False) -> DataFrame:
+        """label, project_key, inserted, reinforced, batches for each label of a source; keys (label, project_key) says which are taken, others are skipped.
+
+        Facts keep their own times, and nothing is superseded or linked.  A dry run only counts.
+        """
+        records = source.records(label)
+        mapped = records.join(keys.select("label", "project_key"), "label", "left")
+        rows = mapped.where("project_key is not null").withColumn("id", text.content_id(F.col("project_key"), F.col("text")))
+        old = self.facts.read()
+        counts = lifecycle.import_counts(old, rows, mapped)
+        if dry_run:
+            return counts.select("label", "project_key", F.lit(0).cast("long").alias("inserted"), F.lit(0).cast("long").alias("reinforced"), F.lit(0).cast("long").alias("batches"), (F.col("inserted") + F.col("reinforced")).alias("would_import"))
+        from .store import checkpointed
+
+        counts = checkpointed(counts)  # before the table changes
+        first = rows.groupBy("id").agg(F.min(F.struct("seq", *(c for c in rows.columns if c not in ("seq", "id")))).alias("_f")).select("id", "_f.*").join(old.select("id"), "id", "left_anti")
+        new = self._embedded(first).withColumns({"created_at": F.coalesce("created_at", F.lit(now)), "status": F.lit("active"), "tier": F.lit("stm"), "frequency": F.lit(1), "kind": F.lit("fact"), "session_id": F.lit("import"), "importance": scoring.importance(F.col("text"))})
+        seen = rows.select("id", "seq").join(first.select("id", "seq"), ["id", "seq"], "left_anti").select("id")
+        self._write_facts(lifecycle.reinforce(old.unionByName(schemas.upgrade(new, schemas.FACTS)), seen, now, self.c.promote_after_freq))
+        return counts.withColumn("would_import", F.lit(None).cast("long"))
+
+    def rescue(self, now: float, limit: int = 3, owner: str = "rescue") -> int:
+        """Texts that only the heuristic had distilled go through the distiller again; how many came out better."""
+        items = work_queue.claim(self.queue.read(), now, self.c.lease_ttl, limit, owner, "rescue")
+        from .store import checkpointed
+
+        taken = checkpointed(items)
+        self.queue.apply(lambda q: work_queue.apply(q, taken))
+        done = 0
+        for item in work_queue.payloads(taken).orderBy("msg_id").collect():  # at most `limit`
+            one = self.spark.createDataFrame([(item["msg_id"],)], "msg_id string")
+            if item["text"] is None:
+                self.queue.apply(lambda q, one=one: work_queue.term(q, one))
+                continue
+            records = self.distil(self.spark.createDataFrame([(0, item["text"])], "seq long, text string"))
+            better = records.isEmpty() or ("degraded" in records.columns and records.where("not degraded").isEmpty())
+            if better:
+                self.queue.apply(lambda q, one=one: work_queue.nak(q, one, now, self.c.queue_backoff, self.c.queue_max_deliver))
+                continue
+            gone = self.spark.createDataFrame([(x,) for x in item["fact_ids"] or []], "id string")
+            self.facts.apply(lambda f, gone=gone: dml.delete_facts(f, gone))
+            self.add_records(records, item["project_key"], now, session=item["session_id"])
+            self.queue.apply(lambda q, one=one: work_queue.ack(q, one))
+            done += 1
+        return done
+
+    def park(self, records: DataFrame, delta: str, project: str, session: str, now: float) -> int:
+        """Publish a text for rescue if all its records (text, degraded) are degraded."""
+        ids = records.withColumn("id", text.content_id(F.lit(project), F.col("text")))
+        item = work_queue.degraded(ids, project, delta, session, now)
+        return self.queue.apply(lambda q: work_queue.publish(q, schemas.upgrade(item, schemas.WORK_QUEUE)))
+
+    # Recall
 
     def recall(self, query: str, project: str | None, now: float, k: int | None = None) -> DataFrame:
         """Facts by fused ranks of five channels."""
-        f = self.facts.read().where(retrieve.in_scope(project))
-        hits = fts.bm25(f.select("id", "text", "title", "subtitle", "narrative"), self.spark.range(1).select(F.col("id").alias("qid"), F.lit(query).alias("query")), {"text": 1.0, "title": 1.0, "subtitle": 1.0, "narrative": 1.0}).select("id", "bm25")
-        found = retrieve.search_fused(self._embedded(f.drop("scale", "dim")), self._query(query).select("q"), query, hits, self.c, k)
-        return found.join(f.select("id", "text", "title", "kind"), "id")
+        facts = self.facts.read()
+        f = facts.where(retrieve.in_scope(project))
+        hits = self._keyword_hits(self.fact_terms, facts, query, [1.0] * len(FACT_COLUMNS), f)
+        found = retrieve.search_fused(self._with_vectors(f), self._query(query).select("q"), query, hits, self.c, k)
+        return found.join(f.select("id", "text", "title", "kind", "frequency"), "id").orderBy("rank")
+
+    def recall_structured(self, query: str, project: str, now: float, k: int | None = None, max_chars: int | None = None) -> DataFrame:
+        """One row: query, project, verdict, confidence, guidance, facts (text, similarity, kind, frequency), returned, matched, dropped; logged, and its facts marked."""
+        from .store import checkpointed
+
+        hits = checkpointed(self.recall(query, project, now, k or max(self.c.activated_k, self.c.top_k)))
+        packed = pack.skip(hits.withColumns({"all": F.lit(0), "cost": F.length("text")}), ["all"], "rank", "cost", max_chars or self.c.recall_max_chars)
+        chosen = hits.join(packed.select("id"), "id", "left_semi")
+        identity = F.when(F.size(F.array_intersect(text.tokens(F.col("text")), text.tokens(F.lit(query)))) > 0, 1.0).otherwise(0.7)
+        sure = retrieve.verdicts(self.spark.range(1).select(F.col("id").alias("qid")).join(hits.select(F.lit(0).cast("long").alias("qid"), "id", "rank", "sim", identity.alias("identity")), "qid", "left"), None, self.c.recall_min_confidence)
+        dims = scans.stored_dims(self.facts.read(), project).agg(F.collect_set("dim").alias("dims"))
+        size = self._query(query).select(F.size("q").alias("qdim"))
+        verdict = F.when((F.col("hits") == 0) & (F.size("dims") > 0) & ~F.array_contains("dims", F.col("qdim")), "embedding_mismatch").otherwise(F.col("verdict"))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text", F.bround("sim", 4).alias("similarity"), "kind", "frequency"))), lambda x: x.dropFields("rank"))
+        out = sure.crossJoin(dims).crossJoin(size).withColumn("verdict", verdict).crossJoin(chosen.agg(listed.alias("facts"), F.count("*").alias("returned")))
+        guide = F.element_at(F.create_map(*(F.lit(x) for kv in GUIDANCE.items() for x in kv)), F.col("verdict"))
+        out = checkpointed(out.select(F.lit(query).alias("query"), F.lit(project).alias("project"), "verdict", "confidence", guide.alias("guidance"), "facts", "returned", F.col("hits").alias("matched"), (F.col("hits") - F.col("returned")).alias("dropped"), F.coalesce("top_sim", F.lit(0.0)).alias("top_sim")))
+        self.recalls.append(out.select(F.lit(now).alias("ts"), F.lit(project).alias("project_key"), "query", "returned", "top_sim", "confidence", "verdict"))
+        self.facts.apply(lambda f: lifecycle.mark(f, chosen, "recall_count", now))
+        return out.drop("top_sim")
 
     def recall_block(self, query: str, project: str | None, now: float) -> DataFrame:
-        """The block of text that a prompt gets: the best facts within max_chars."""
-        f = self._embedded(self.facts.read().drop("scale", "dim"))
-        hits = retrieve.search(f, self._query(query), now, project, self.c).withColumn("cost", F.length("text") + 3).withColumn("all", F.lit(0))
+        """The block of text that a prompt gets: the best facts within max_chars, then the best chunks; logged, and its facts marked."""
+        from .store import checkpointed
+
+        f = self._with_vectors(self.facts.read())
+        hits = checkpointed(retrieve.search(f, self._query(query), now, project, self.c).withColumn("cost", F.length("text") + 3).withColumn("all", F.lit(0)).select("id", "rank", "text", "cost", "all"))
         head = "Relevant memory:"
-        return pack.block(pack.prefix(hits, ["all"], ["rank"], "cost", self.c.max_chars, len(head)), ["all"], "rank", "text", head).select("block")
+        chosen = pack.prefix(hits, ["all"], ["rank"], "cost", self.c.max_chars, len(head))
+        facts = pack.block(chosen, ["all"], "rank", "text", head).select("all", F.col("block").alias("facts"))
+        chunks = self.index_block(query, project).select(F.lit(0).alias("all"), "block") if project and self.chunks.version() else self.spark.createDataFrame([], "all int, block string")
+        both = self.spark.range(1).select(F.lit(0).alias("all")).join(facts, "all", "left").join(chunks, "all", "left")
+        out = checkpointed(both.select(F.concat_ws("\n", "facts", "block").alias("block")).where("block <> ''"))
+        if project:
+            self.record_usage(out.select(F.lit(project).alias("project_key"), F.lit("inject_prompt").alias("kind"), F.length("block").cast("long").alias("bytes_in")), now)
+            self.facts.apply(lambda t: lifecycle.mark(lifecycle.mark(t, chosen, "recall_count", now), chosen, "injected_count"))
+        return out
 
     def core(self, project: str) -> DataFrame:
-        f = self.facts.read().where((F.col("project_key") == project) & (F.col("status") == "active"))
-        return f.orderBy(F.desc("frequency"), F.desc("last_seen"), "id").limit(self.c.core_size)
+        return scans.strongest(self.facts.read(), project, self.c.core_size)
 
-    def projects(self) -> DataFrame:
-        return rollups.projects(self.facts.read())
+    def core_block(self, project: str, now: float) -> DataFrame:
+        """The facts that a session begins with, as a block, logged; they count as injected, not as recalled."""
+        best = self.core(project).withColumns({"all": F.lit(0), "cost": F.length("text") + 3})
+        order = [F.desc("frequency"), F.desc("last_seen"), F.asc("id")]
+        head = "Core memory:"
+        chosen = pack.prefix(best, ["all"], order, "cost", self.c.max_chars, len(head)).withColumn("rank", F.row_number().over(W.partitionBy("all").orderBy(*order)))
+        out = pack.block(chosen, ["all"], "rank", "text", head).select("block")
+        self.record_usage(out.select(F.lit(project).alias("project_key"), F.lit("inject_core").alias("kind"), F.length("block").cast("long").alias("bytes_in")), now)
+        return out
+
+    def orientation_block(self, project: str, most: int = 900) -> DataFrame:
+        """The latest summary of the project, cut at `most` characters."""
+        body = F.concat_ws("\n", F.when(F.col("title") != F.col("text"), F.col("title")), "text", "narrative")
+        return scans.latest_summary(self.facts.read(), project).select(F.substring(F.concat(F.lit("Last session:\n"), body), 1, most).alias("block"))
+
+    def antipattern_warning(self, action: str, project: str) -> DataFrame:
+        """The rules that share two words or more with an action, within 600 characters."""
+        facts = self.facts.read().where(retrieve.in_scope(project) & (F.col("kind") == "antipattern"))
+        all_text = F.concat_ws(" ", "text", "narrative")
+        found = index.warnings(self._asked(action).select(F.col("qid").alias("action_id"), text.tokens(F.col("query")).alias("tokens")), facts.select("id", "text", text.tokens(all_text).alias("tokens")))
+        return found.join(facts.select("id", "text"), "id").select("id", "text", "shared").orderBy(F.desc("shared"), "id")
+
+    # Ledgers, counters, edges
+
+    def record_usage(self, rows: DataFrame, now: float) -> int:
+        """Append rows (project_key, kind, bytes_in, bytes_saved) to the usage ledger."""
+        return self.usage.append(rows.withColumn("ts", F.lit(float(now))))
+
+    def mark_used(self, ids: DataFrame) -> int:
+        return self.facts.apply(lambda f: lifecycle.mark(f, ids, "used_count"))
+
+    def link(self, edges: DataFrame) -> int:
+        new = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "kind", "weight")
+        both = self._edges().unionByName(new)
+        return self.edges.write(graph.upsert(both).withColumnsRenamed({"src": "src_id", "dst": "dst_id"}))
+
+    def _edges(self) -> DataFrame:
+        return self.edges.read().withColumnsRenamed({"src_id": "src", "dst_id": "dst"})
 
     def stats(self) -> DataFrame:
         return rollups.usage_stats(self.usage.read())
 
+    def ledger(self) -> DataFrame:
+        """Tokens spent and saved, from both ledgers."""
+        usage = self.usage.read().select("project_key", "kind", "bytes_in", "bytes_saved", F.lit(None).cast("string").alias("verdict"))
+        recalls = self.recalls.read().select("project_key", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("bytes_in"), F.lit(None).cast("long").alias("bytes_saved"), "verdict")
+        return rollups.usage_summary(usage.unionByName(recalls))
+
+    # Lifecycle
+
     def sweep(self, now: float) -> int:
         return self.facts.apply(lambda f: lifecycle.sweep(f, now, self.c.ttl_days * 86_400, self.c.ttl_keep_frequency)) if self.c.ttl_days > 0 else self.facts.version()
 
-    def consolidate(self, now: float) -> int:
-        """Replay, displacement, near-duplicates, refinement, purge, over all projects."""
-
-        def change(f: DataFrame) -> DataFrame:
-            e = self._embedded(f.drop("scale", "dim"))
-            done = lifecycle.consolidate(e, now, self.c.stm_capacity, self.c.integrate_threshold, self.c.refine_keep_max, self.c.refine_prune_percentile)
-            return schemas.upgrade(done, schemas.FACTS)
+    def consolidate(self, now: float, files: DataFrame | None = None, horizon: float = 0) -> DataFrame:
+        """Replay, displacement, near-duplicates, refinement, stale rules, purge, over all projects: one row of counts by step."""
+        from .store import checkpointed
 
-        return self.facts.apply(change)
+        facts = self._with_vectors(self.facts.read())
+        done = checkpointed(lifecycle.consolidation(facts, now, self.c.stm_capacity, self.c.integrate_threshold, self.c.refine_keep_max, self.c.refine_prune_percentile, horizon, files=files))
+        self._write_facts(schemas.upgrade(done.where("purged = 0"), schemas.FACTS))
+        return lifecycle.consolidation_counts(done)
 
     def prune(self, project: str) -> int:
-        return self.facts.apply(lambda f: f.where(F.col("project_key") != project))
-
-    def index(self, files: DataFrame, project: str, now: float) -> int:
-        """Sections of Markdown files and symbols of Python files (source_path, body), in place of their older chunks."""
-        keys = lambda df, kind: df.select(text.chunk_id(F.lit(project), F.col("source_path"), F.col("anchor")).alias("id"), F.lit(project).alias("project_key"), F.lit(kind).alias("kind"), F.lit(now).alias("indexed_at"), "*")
-        docs = keys(chunking.markdown_sections(files.where("source_path like '%.md'")), "doc_section").withColumn("content_hash", F.sha2("body", 256)).withColumn("summary", F.substring(F.regexp_replace("body", r"^\s*#+[^\n]*\n+", ""), 1, 200))
-        code = keys(chunking.python_symbols(files.where("source_path like '%.py'")).drop("kind").withColumnsRenamed({"signature": "title", "doc": "summary"}), "code_symbol")
-        both = schemas.upgrade(docs, schemas.CHUNKS).unionByName(schemas.upgrade(code, schemas.CHUNKS))
-        return self.chunks.apply(lambda old: chunking.replace_sources(old, both))
-
-    def search_index(self, query: str, project: str, kind: str | None = None, k: int = 10) -> DataFrame:
-        """Chunks by keyword rank, spread over files."""
-        chunks = self.chunks.read().where((F.col("project_key") == project) & (F.lit(True) if kind is None else F.col("kind") == kind))
-        asked = self.spark.range(1).select(F.col("id").alias("qid"), F.lit(query).alias("query"))
-        hits = fts.bm25(chunks, asked, {"title": 3.0, "heading_path": 2.0, "summary": 1.5, "body": 1.0})
-        pool = retrieve.top(hits.withColumn("s", -F.col("bm25")), "s", max(4 * k, 40), "qid").join(chunks.select("id", "source_path", "anchor", "title"), "id")
-        scored = pool.withColumn("score", F.lit(0.8) / (F.lit(self.c.smoothing) + F.col("rank"))).drop("rank")
-        return retrieve.top(pack.diverse(scored, ["qid"], "score", "source_path", self.c.per_file_cap), "diverse", k, "qid")
-
-    def outline(self, project: str, source: str | None = None) -> DataFrame:
-        c = self.chunks.read().where(F.col("project_key") == project)
-        return (c if source is None else c.where(F.col("source_path") == source)).select("source_path", "kind", "anchor", "title", "level").orderBy("source_path", "anchor")
+        return self._write_facts(dml.prune_project(self.facts.read(), project))
+
+    def delete_memory(self, project: str, card: str) -> int:
+        """The facts of an observation, or the one of an id, and edges that ended there."""
+        facts, edges = dml.delete_memory(self.facts.read(), self._edges(), project, card)
+        edges = edges.withColumnsRenamed({"src": "src_id", "dst": "dst_id"})
+        self.edges.write(edges)
+        return self._write_facts(facts)
+
+    def delete_project(self, project: str) -> DataFrame:
+        """All rows of a project in nine tables: name, removed."""
+        from .store import checkpointed
+
+        names = {"facts": self.facts, "recall_events": self.recalls, "usage_events": self.usage, "chunks": self.chunks, "chunk_sources": self.sources, "work_queue": self.queue, "index_meta": self.meta, "cursors": self.cursors}
+        left, counts = admin.delete_project({n: t.read() for n, t in names.items()} | {"edges": self._edges()}, project)
+        counts = checkpointed(counts)
+        self.edges.write(left["edges"].withColumnsRenamed({"src": "src_id", "dst": "dst_id"}))
+        for n, t in names.items():
+            {"facts": self._write_facts, "chunks": self._write_chunks}.get(n, t.write)(left[n])
+        return counts
+
+    # Index of files and pages
+
+    def index(self, files: DataFrame, project: str, now: float, scope: str | None = None, most: int = 2_000_000) -> DataFrame:
+        """Index Markdown and Python files (source_path, body, and mtime_ns if known): one row of files, skipped, chunks, deleted.
+
+        Files of the same content as before are skipped, those over `most` bytes too.
+        With scope ("" for the whole project), indexed files under it that are not among
+        files are deleted.
+        """
+        from .store import checkpointed
+
+        mtime = F.col("mtime_ns") if "mtime_ns" in files.columns else F.lit(None).cast("long")
+        live = checkpointed(files.where(F.octet_length("body") <= most).select("source_path", "body", mtime.alias("mtime_ns"), F.sha2("body", 256).alias("file_hash")))
+        due = scans.needs_index(live, self.sources.read(), project)
+        changed = due.where("why <> 'touched'")
+        new = checkpointed(self._chunks_of(changed, project, now))
+        gone = scans.vanished(self.sources.read(), live, project, scope).withColumn("project_key", F.lit(project)) if scope is not None else self.spark.createDataFrame([], "source_path string, project_key string")
+        gone = checkpointed(gone)
+        replaced = changed.select(F.lit(project).alias("project_key"), "source_path")
+        files_now = due.select(F.lit(project).alias("project_key"), "source_path", "file_hash", "mtime_ns", F.lit(float(now)).alias("indexed_at"))
+        counts = changed.agg(F.count("*").alias("files")).crossJoin(live.agg(F.count("*").alias("n"))).crossJoin(new.agg(F.count("*").alias("chunks"))).crossJoin(gone.agg(F.count("*").alias("deleted")))
+        counts = checkpointed(counts.select("files", (F.col("n") - F.col("files")).alias("skipped"), "chunks", "deleted"))
+        chunks = dml.delete_sources(dml.delete_sources(self.chunks.read(), replaced), gone)
+        self._write_chunks(dml.replace_chunks(chunks, new))
+        self.sources.write(dml.upsert(dml.delete_sources(self.sources.read(), gone), files_now, ["project_key", "source_path"]))
+        return counts
+
+    def _chunks_of(self, files: DataFrame, project: str, now: float) -> DataFrame:
+        docs = chunking.markdown_sections(files.where("source_path rlike '[.](md|mdx)$'")).withColumns({"kind": F.lit("doc_section"), "summary": rules.first_prose_line(F.col("title"), F.col("body"))})
+        code = chunking.python_symbols(files.where("source_path like '%.py'")).withColumnsRenamed({"signature": "title", "doc": "summary"}).withColumns({"kind": F.lit("code_symbol"), "heading_path": F.regexp_replace("anchor", r"\.?[^.]*$", ""), "level": F.lit(0)})
+        columns = ["source_path", "kind", "anchor", "title", "heading_path", "level", "summary", "body", "byte_start", "byte_end"]
+        both = chunking.unique_anchors(docs.select(columns).unionByName(code.select(columns)), ["source_path"], "byte_start")
+        keyed = both.withColumns({"project_key": F.lit(project), "id": text.chunk_id(F.lit(project), F.col("source_path"), F.col("anchor")), "content_hash": F.sha2("body", 256), "indexed_at": F.lit(float(now))})
+        return schemas.upgrade(self._embedded(keyed, rules.embed_text(F.col("title"), F.col("heading_path"), F.col("summary"), F.col("body"))), schemas.CHUNKS)
+
+    def set_index_meta(self, project: str, label: str, path: str, now: float) -> int:
+        new = self.spark.createDataFrame([(project, label, path, float(now))], schemas.INDEX_META)
+        return self.meta.apply(lambda m: dml.upsert(m, new, ["project_key"]))
+
+    def set_cursor(self, key: str, offset: int, now: float) -> int:
+        new = self.spark.createDataFrame([(key, offset, float(now))], schemas.CURSORS)
+        return self.cursors.apply(lambda m: dml.upsert(m, new, ["cursor_key"]))
+
+    def index_snapshot(self, pages: DataFrame, now: float) -> int:
+        """Texts of pages (project_key, url, text, seq) as chunks: one for each URL, the last by seq; empty ones change nothing."""
+        new = self._embedded(dml.snapshot_chunks(pages, now), rules.embed_text(F.col("title"), F.col("heading_path"), F.col("summary"), F.col("body")))
+        return self._write_chunks(dml.replace_chunks(self.chunks.read(), schemas.upgrade(new, schemas.CHUNKS), snapshots=True))
+
+    def search_index(self, query: str, project: str, kind: str | None = None, k: int = 10, now: float | None = None, live: DataFrame | None = None, max_chars: int | None = None) -> DataFrame:
+        """Chunks by fused ranks of vectors and keywords, spread over files, with `matched` (chunks in the pools).
+
+        live (source_path, anchor, content_hash) gives the state of each, as files are now.
+        """
+        chunks = scans.chunk_rows(self.chunks.read(), project, kind)
+        hits = self._keyword_hits(self.chunk_terms, self.chunks.read(), query, list(CHUNK_WEIGHTS.values()), chunks)
+        found = index.search(self._with_vectors(chunks), self._query(query), hits, k, self.c, counted=True)
+        rows = found.join(chunks.drop("vec_int8", "vec_bits", "source_path"), "id").withColumn("cost", F.length(F.coalesce("summary", "title"))).withColumn("all", F.lit(0))
+        if max_chars is not None:
+            rows = pack.prefix(rows, ["all"], ["rank"], "cost", max_chars, first_free=True)
+        if live is not None:
+            rows = index.freshness(rows, live, now or 0.0)
+        return rows.drop("cost", "all", "used").orderBy("rank")
+
+    def index_block(self, query: str, project: str) -> DataFrame:
+        """The few lines of the index that a prompt gets."""
+        chunks = scans.chunk_rows(self.chunks.read(), project)
+        hits = self._keyword_hits(self.chunk_terms, self.chunks.read(), query, list(CHUNK_WEIGHTS.values()), chunks)
+        line = F.concat_ws(" ", "source_path", F.concat(F.lit("#"), "anchor"), F.coalesce("summary", "title"))
+        best = index.prompt_block(self._with_vectors(chunks).withColumn("title", line), self._query(query), hits, self.c).withColumn("all", F.lit(0))
+        return pack.block(best.withColumn("order", -F.col("sim")), ["all"], "order", "line", "From the index:").select("block")
+
+    def outline(self, project: str, source: str | None = None, kind: str | None = None) -> DataFrame:
+        return scans.outline(self.chunks.read(), project, source, kind)
 
     def section(self, project: str, ref: str) -> DataFrame:
         """The chunk of an id or anchor; of several, the first by path."""
-        c = self.chunks.read()
-        return c.where((F.col("project_key") == project) & ((F.col("id") == ref) | (F.col("anchor") == ref))).orderBy("source_path", "byte_start").limit(1)
+        return scans.section(self.chunks.read(), project, ref)
 
-    def work(self) -> DataFrame:
-        return work_queue.by_stage(self.queue.read())
+    # The register
 
     def perceive(self, rows: DataFrame, now: float) -> int:
-        """Perceptions into the register: attention, then decay and capacity."""
-        kept = self.senses.read().unionByName(schemas.upgrade(rows, schemas.SENSORY))
+        """Perceptions (project_key, modality, url, text, created_at) into the register: attention, then decay and capacity.
+
+        What is in the register already, live or not, is live again and attended.
+        """
+        url = F.coalesce("url", F.lit("")) if "url" in rows.columns else F.lit("")
+        new = schemas.upgrade(rows.withColumn("id", text.sensory_id(F.col("project_key"), F.col("modality"), url, F.col("text"))), schemas.SENSORY).withColumn("created_at", F.coalesce("created_at", F.lit(float(now))))
+        old = self.senses.read()
+        again = new.join(old.select("id"), "id", "left_semi").where("modality = 'visual'").select("id").unionByName(new.where("modality = 'visual'").groupBy("id").count().where("count > 1").select("id"))
+        kept = dml.mark_attended(dml.perceive(old, new.withColumn("seq", F.col("created_at"))), again)
         done = sensory.sweep(sensory.attend(kept, self.c.attention_window_seconds).drop("page"), now, self.c.sensory_ttl_seconds, self.c.sensory_capacity)
         return self.senses.write(schemas.upgrade(done, schemas.SENSORY))
 
-    def link(self, edges: DataFrame) -> int:
-        new = edges.select(F.col("src").alias("src_id"), F.col("dst").alias("dst_id"), "kind", "weight")
-        both = self.edges.read().unionByName(new).withColumnsRenamed({"src_id": "src", "dst_id": "dst"})
-        return self.edges.write(graph.upsert(both).withColumnsRenamed({"src": "src_id", "dst": "dst_id"}))
+    def promote_perceptions(self, now: float) -> int:
+        """Attended visual perceptions become chunks and leave the register; how many."""
+        senses = self.senses.read()
+        ready = senses.where("modality = 'visual' and attended = 1 and decayed_at is null")
+        count = ready.count()
+        if count:
+            self.index_snapshot(ready.select("project_key", "url", "text", F.struct("created_at", "id").alias("seq")), now)
+            self.senses.write(dml.mark_decayed(senses, ready, now))
+        return count
+
+    # What there is
+
+    def status(self) -> DataFrame:
+        """name, n: rows of each table, and active facts and rules among them."""
+        tables = {"facts": self.facts, "chunks": self.chunks, "work_queue": self.queue, "fact_edges": self.edges, "sensory": self.senses, "recall_events": self.recalls, "usage_events": self.usage}
+        counts = [t.read().agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, t in tables.items()]
+        facts = scans.active(self.facts.read())
+        counts += [facts.agg(F.lit("active_facts").alias("name"), F.count("*").alias("n")), facts.where("kind = 'antipattern'").agg(F.lit("active_rules").alias("name"), F.count("*").alias("n"))]
+        out = counts[0]
+        for c in counts[1:]:
+            out = out.unionByName(c)
+        return out
+
+    def projects(self) -> DataFrame:
+        """Counts by project, with label and path, archived and queued rows, and live perceptions."""
+        facts = self.facts.read()
+        counted = rollups.projects(facts).join(scans.project_meta(facts), "project_key", "left")
+        archived = rollups.consolidation_counts(facts, self.queue.read()).withColumnRenamed("n", "consolidation")
+        live = sensory.stats(self.senses.read()).select("project_key", F.col("live").alias("sensory"))
+        out = counted.join(archived, "project_key", "left").join(live, "project_key", "left").fillna(0, ["consolidation", "sensory"])
+        return rollups.disambiguated(out.withColumn("parent", F.regexp_extract("path", r"([^/]+)/[^/]*/?$", 1)).withColumn("key", F.col("project_key"))).drop("parent", "key")
+
+    def facts_page(self, project: str, limit: int = 50, offset: int = 0) -> DataFrame:
+        return scans.facts_page(self.facts.read(), project, limit, offset)
+
+    def cards(self, project: str, limit: int = 50, offset: int = 0, query: str | None = None, tier: str | None = None, now: float = 0.0) -> DataFrame:
+        """Observations with their facts, newest first; with a query, facts by rank, of a tier afterwards."""
+        if query:
+            k = scans.active(self.facts.read(), project).count()
+            found = self.recall(query, project, now, max(1, k)).join(self.facts.read().select("id", "tier"), "id").withColumn("sim", F.bround("sim", 3))
+            return (found if tier is None else found.where(F.col("tier") == tier)).orderBy("rank").offset(offset).limit(limit)
+        return rollups.cards(scans.active(self.facts.read(), project, tier=tier), limit, offset)
+
+    def sensory(self, project: str, modality: str | None = None, limit: int = 100) -> DataFrame:
+        """Live perceptions, newest first, with the first 500 characters of each."""
+        rows = self.senses.read()
+        rows = rows if modality is None else rows.where(F.col("modality") == modality)
+        return scans.senses(rows, project, limit).withColumn("excerpt", F.substring("text", 1, 500)).drop("text")
+
+    def consolidation(self, project: str, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+        """Archived facts as cards, and the project's work items with the head of their payloads."""
+        facts = scans.of_project(self.facts.read(), project).where("status <> 'active'")
+        return rollups.cards(facts, limit, 0), scans.work(self.queue.read(), project, limit).withColumn("payload", F.substring("payload", 1, 240))
+
+    def index_projects(self) -> DataFrame:
+        labels = self.meta.read().select("project_key", "label").unionByName(scans.project_meta(self.facts.read()).select("project_key", "label")).groupBy("project_key").agg(F.first("label").alias("label"))
+        return rollups.chunk_projects(self.chunks.read(), labels)
+
+    def work(self) -> DataFrame:
+        return work_queue.by_stage(self.queue.read())
+
+    def purge_work(self, status: str | None = None, stage: str | None = None, project: str | None = None) -> int:
+        return self.queue.apply(lambda q: work_queue.purge(q, status, stage, project))
+
+    def pin_embedder(self) -> int:
+        """Keep the vectors of the canary texts, to tell later whether the embedder is the same."""
+        return self.canary.write(schemas.upgrade(self._canaries(), schemas.CANARY))
+
+    def _canaries(self) -> DataFrame:
+        texts = self.spark.createDataFrame(list(enumerate(CANARIES)), "id long, text string")
+        return self._embedded(texts).withColumn("model", F.lit(self.model))
+
+    def drift(self) -> DataFrame:
+        """status and similarity of the embedder against what was pinned."""
+        return admin.drift(self._with_vectors(self.canary.read()).select("id", "model", "vec"), self._canaries().select("id", "model", "vec"))
+
+    def replay(self, sweeps: DataFrame, project: str, k: int = 5) -> DataFrame:
+        """What the index would have saved of past searches: totals of sweeps (sweep, landing, query, cost_bytes), one search each."""
+        from . import evalkit
+
+        hits = None
+        for s in sweeps.select("sweep", "landing", "query").collect():  # a stated set of searches
+            kind = "doc_section" if s["landing"].endswith((".md", ".mdx")) else "code_symbol"
+            found = self.search_index(s["query"], project, kind, k)
+            outline = F.sum(F.length(F.concat_ws("", "anchor", "summary", "source_path"))).over(W.partitionBy(F.lit(0)))
+            body = F.max(F.when(F.lit(s["landing"]).endswith(F.col("source_path")), F.length("body"))).over(W.partitionBy(F.lit(0)))
+            rows = found.select(F.lit(s["sweep"]).alias("sweep"), F.col("source_path").alias("path"), outline.alias("outline_bytes"), body.alias("body_bytes"))
+            hits = rows if hits is None else hits.unionByName(rows)
+        if hits is None:
+            hits = self.spark.createDataFrame([], f"sweep {sweeps.schema['sweep'].dataType.simpleString()}, path string, outline_bytes long, body_bytes long")
+        return evalkit.replay_totals(evalkit.credit(sweeps, hits))

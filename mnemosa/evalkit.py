@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+from fractions import Fraction
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,9 +21,9 @@ def retrieval_quality(queries: DataFrame, gold_hits: DataFrame) -> DataFrame:
     return queries.select("qid").join(best, "qid", "left").agg(F.count("*").alias("queries"), within(1).alias("recall_1"), within(3).alias("recall_3"), mrr.alias("mrr_10"))
 
 
-def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
-    """Bounds of the interval for a share; 0 and 0 without trials."""
-    p, zz = k / n, z * z
+def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Bounds of the interval for a share of k, taken to the nearest whole number within 0 and n; 0 and 0 without trials."""
+    p, zz = F.greatest(F.lit(0.0), F.least(n.cast("double"), F.bround(k.cast("double"), 0))) / n, z * z
     mid, half = (p + zz / (2 * n)) / (1 + zz / n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return tuple(F.when(n > 0, x).otherwise(0.0) for x in (F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)))
 
@@ -32,33 +35,33 @@ def mcnemar_exact(b: int, c: int) -> float:
 
 
 def wilcoxon_exact(differences: list[float]) -> tuple[float, float]:
-    """The smaller rank sum and its two-sided exact p; zeros left out, ties with mean ranks."""
-    d = sorted((x for x in differences if x), key=abs)
-    n, ranks, i = len(d), [0.0] * len(d), 0
-    while i < n:
-        j = i
-        while j + 1 < n and abs(d[j + 1]) == abs(d[i]):
-            j += 1
-        ranks[i : j + 1] = [(i + j) / 2 + 1] * (j - i + 1)
-        i = j + 1
-    if not n:
+    """The rank sum of the negative differences and its two-sided exact p; zeros left out, ties with mean ranks.
+
+    Under the null each rank is negative or not with equal chance, so the number of
+    ways to a sum is a coefficient of the product of 1 + x^rank over all ranks
+    (ranks doubled, as means of two may be halves).
+    """
+    d = pd.Series([x for x in differences if x], dtype=float)
+    if d.empty:
         return 0.0, 1.0
-    positive = sum(r for r, x in zip(ranks, d, strict=True) if x > 0)
-    least = min(positive, sum(ranks) - positive)
-    sums = {0: 1}
+    ranks = (2 * d.abs().rank()).astype(int)
+    ways = np.ones(1, object)
     for r in ranks:
-        grown = dict(sums)
-        for s, ways in sums.items():
-            grown[s + round(2 * r)] = grown.get(s + round(2 * r), 0) + ways
-        sums = grown
-    return least, min(1.0, 2 * sum(ways for s, ways in sums.items() if s <= round(2 * least)) / 2**n)
+        gap = np.zeros(r, object)
+        ways = np.concatenate([ways, gap]) + np.concatenate([gap, ways])
+    negative = int(ranks[d < 0].sum())
+    tail = sum(ways[: min(negative, int(ranks.sum()) - negative) + 1])
+    return negative / 2, min(1.0, float(Fraction(2 * tail, 2 ** len(d))))
 
 
-def bootstrap_ci(values: list[float], rounds: int = 1000, seed: int = 0) -> tuple[float, float]:
-    """Percentile interval of 95% of the mean."""
-    draw = random.Random(seed)
-    means = sorted(sum(draw.choices(values, k=len(values))) / len(values) for _ in range(rounds))
-    return means[int(0.025 * rounds)], means[int(0.975 * rounds)]
+def bootstrap_ci(values: list[float], rounds: int = 10_000, seed: int = 0) -> tuple[float, float]:
+    """Percentile interval of 95% of the mean, from draws of Python's generator with this seed; 0 and 0 without values."""
+    x, n, draw = np.asarray(values, float), len(values), random.Random(seed)
+    if not n:
+        return 0.0, 0.0
+    means = np.array([x[np.fromiter((draw.randrange(n) for _ in range(n)), np.int64, n)].mean() for _ in range(rounds)])
+    low, high = np.partition(means, [int(0.025 * rounds), int(0.975 * rounds)])[[int(0.025 * rounds), int(0.975 * rounds)]]
+    return float(low), float(high)
 
 
 def composite_tokens(fresh: Column, created: Column, read: Column, out: Column) -> Column:
@@ -70,3 +73,58 @@ def sweeps(calls: DataFrame, least: int = 2) -> DataFrame:
     w = W.partitionBy("session").orderBy("at")
     runs = calls.withColumn("_run", F.sum(F.when(F.col("search"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))).where("search")
     return runs.groupBy("session", "_run").agg(F.min("at").alias("first"), F.count("*").alias("calls"), F.sum("bytes").alias("bytes")).where(F.col("calls") >= least).drop("_run")
+
+
+#: Tools whose calls make a sweep, bytes of a token, bytes that a call costs beside its answer.
+SWEEP_TOOLS, TOKEN_BYTES, CALL_BYTES = ("Grep", "Glob", "Read"), 4, 200
+
+
+def is_sweep_call(name: Column, limit: Column) -> Column:
+    """Whether a call searches: one of the tools, and a Read only if it reads the whole file."""
+    return name.isin(*SWEEP_TOOLS) & ((name != "Read") | limit.isNull())
+
+
+def landed_sweeps(calls: DataFrame, least: int = 2) -> DataFrame:
+    """session, first, calls, cost_bytes, landing, query of sweeps of calls (session, at, name, limit, file_path, pattern, path, bytes) that end up in a file.
+
+    landing is the file of the last Read, and a sweep without one is left out.
+    query is what was looked for: the distinct patterns or paths in order, and the
+    landing's name without its suffix, cut at 200.
+    """
+    w = W.partitionBy("session").orderBy("at")
+    search = is_sweep_call(F.col("name"), F.col("limit"))
+    runs = calls.withColumn("_run", F.sum(F.when(search, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))).where(search)
+    sought = F.coalesce(F.when(F.col("pattern") != "", F.col("pattern")), F.when(F.col("path") != "", F.col("path")))
+    found = runs.groupBy("session", "_run").agg(
+        F.min("at").alias("first"), F.count("*").alias("calls"), F.sum("bytes").alias("cost_bytes"), F.max_by("file_path", F.when((F.col("name") == "Read") & F.col("file_path").isNotNull(), F.col("at"))).alias("landing"),
+        F.transform(F.array_sort(F.collect_list(F.when(sought.isNotNull(), F.struct("at", sought.alias("t"))))), lambda x: x["t"]).alias("terms"),
+    )
+    stem = F.regexp_replace(F.regexp_extract("landing", "([^/]*)$", 1), r"\.[^.]*$", "")
+    words = F.when((stem == "") | F.array_contains("terms", stem), F.array().cast("array<string>")).otherwise(F.array(F.regexp_replace(stem, "[_-]", " ")))
+    query = F.substring(F.array_join(F.concat(F.array_distinct("terms"), words), " "), 1, 200)
+    return found.where((F.col("calls") >= least) & F.col("landing").isNotNull()).select("session", "first", "calls", "cost_bytes", "landing", query.alias("query"))
+
+
+def credit(sweeps: DataFrame, hits: DataFrame) -> DataFrame:
+    """What the index would have saved: sweeps (sweep, landing, cost_bytes) against hits (sweep, path, outline_bytes, body_bytes).
+
+    A sweep counts if its landing ends in the path of a hit; its indexed cost is the
+    outline, the body and two calls.
+    """
+    best = hits.groupBy("sweep").agg(F.collect_set("path").alias("paths"), F.max("outline_bytes").alias("outline_bytes"), F.max("body_bytes").alias("body_bytes"))
+    rows = sweeps.join(best, "sweep", "left")
+    met = F.coalesce(F.exists("paths", lambda p: (p != "") & F.col("landing").endswith(p)), F.lit(False))
+    indexed = F.coalesce("outline_bytes", F.lit(0)) + F.coalesce("body_bytes", F.lit(0)) + 2 * CALL_BYTES
+    tokens = lambda b: F.floor(b / TOKEN_BYTES)
+    return rows.select("sweep", met.alias("creditable"), tokens(F.col("cost_bytes")).alias("actual_tokens"), tokens(indexed).alias("indexed_tokens"), F.when(met, tokens(F.col("cost_bytes") - indexed)).otherwise(0).alias("saved_tokens"))
+
+
+def replay_totals(credits: DataFrame) -> DataFrame:
+    """One row: sweeps, creditable ones, tokens spent, tokens that the index would have saved."""
+    return credits.agg(F.count("*").alias("sweeps"), F.sum(F.col("creditable").cast("long")).alias("creditable"), F.sum("actual_tokens").alias("actual_tokens"), F.sum("saved_tokens").alias("saved_tokens"))
+
+
+def average_ranks(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """rows with `rank` of the value within `by`, ties at the mean of their ranks."""
+    place, ties = F.rank().over(W.partitionBy(by).orderBy(value)), F.count("*").over(W.partitionBy(by, value))
+    return rows.withColumn("rank", place + (ties - 1) / 2.0)

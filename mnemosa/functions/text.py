@@ -19,9 +19,6 @@ ENTITIES = (
     r"(?i)\b[a-z0-9]+\.[a-z0-9]+(?:\.[a-z0-9]+)+\b",
     r"\b[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+\b",
 )
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-SECRET = r"(?i)(api[_-]?key|secret|token|passwd|password)\s*[:=]\s*\S+"
-ABSOLUTE_PATH = r"(/home/|/Users/|/root/|[A-Z]:\\)\S+"
 
 
 def normalised(text: Column) -> Column:
@@ -47,8 +44,7 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words of three characters or more that aren't stop words."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words(text), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+    return F.filter(words(text), lambda t: (F.length(t) > 2) & ~t.isin(STOP_WORDS))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -11,8 +11,8 @@ from . import pack
 from .retrieve import fuse, top, with_similarity
 
 
-def search(chunks: DataFrame, vector: Column | DataFrame, hits: DataFrame, k: int = 10, c: Config = DEFAULT) -> DataFrame:
-    """id, source_path, score of chunks (id, source_path, vec) by similarity and keyword hits (id, bm25), spread over sources.
+def search(chunks: DataFrame, vector: Column | DataFrame, hits: DataFrame, k: int = 10, c: Config = DEFAULT, counted: bool = False) -> DataFrame:
+    """id, source_path, score (and matched, the number of chunks in the pools, if counted) of chunks (id, source_path, vec) by similarity and keyword hits (id, bm25), spread over sources.
 
     Each channel gives its pool of the best 4k, at least 40; equal similarities come by id from the largest.
     """
@@ -23,7 +23,8 @@ def search(chunks: DataFrame, vector: Column | DataFrame, hits: DataFrame, k: in
     words = words.select(F.lit("fts").alias("channel"), "id", F.row_number().over(W.orderBy("bm25", "id")).alias("rank"))
     fused = fuse(near.unionByName(words), c.index_weights, c.smoothing).join(chunks.select("id", "source_path"), "id")
     spread = pack.diverse(fused.withColumn("all", F.lit(0)), ["all"], "score", "source_path", c.per_file_cap)
-    return top(spread, "diverse", k).select("id", "source_path", "score", "diverse", "rank")
+    best = top(spread, "diverse", k).select("id", "source_path", "score", "diverse", "rank")
+    return best.crossJoin(fused.agg(F.count("*").alias("matched"))) if counted else best
 
 
 def prompt_block(chunks: DataFrame, vector: Column | DataFrame, hits: DataFrame, c: Config = DEFAULT) -> DataFrame:

@@ -66,9 +66,14 @@ def sweep(facts: DataFrame, now: float, ttl: float, keep_frequency: int) -> Data
     return _set(facts, old, status="expired")
 
 
+def cold(now: float, horizon: float) -> Column:
+    """Archived and not seen since the horizon."""
+    return F.col("status").isin(*ARCHIVED) & (F.coalesce("last_seen", "created_at") < now - horizon)
+
+
 def purge(facts: DataFrame, now: float, horizon: float, project: str | None = None) -> DataFrame:
     """facts without archived ones older than the horizon; of every project unless one is named."""
-    gone = F.col("status").isin(*ARCHIVED) & (F.coalesce("last_seen", "created_at") < now - horizon)
+    gone = cold(now, horizon)
     if project is not None:
         gone &= F.col("project_key") == project
     return facts.where(~F.coalesce(gone, F.lit(False)))
@@ -115,15 +120,18 @@ def superseding(facts: DataFrame, threshold: float, group: str = "project_key",
     return found.groupBy("id").agg(F.min(F.struct("by_seq", "by"))["by"].alias("by"))
 
 
-def superseding_new(facts: DataFrame, new: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """key, by, by_seq: of facts (key, seq, vec) the first later of new (id, seq, vec) as similar as the threshold; in pairs of blocks."""
+def superseding_new(facts: DataFrame, new: DataFrame, threshold: float, block: int = 1024, group: str | None = None) -> DataFrame:
+    """key, by, by_seq: of facts (key, seq, vec) the first later of new (id, seq, vec), of the same group if one is named, as similar as the threshold; in pairs of blocks."""
     import numpy as np
     import pandas as pd
 
-    blocks = lambda df: max(1, -(-df.count() // block))
-    m, n = blocks(facts), blocks(new)
-    spread = lambda df, key, own, mine, other, k: df.withColumn(own, F.expr(f"cast(pmod(xxhash64({key}, 3), {mine}) as int)")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    left, right = spread(facts.select("key", "seq", "vec"), "key", "_i", m, "_j", n), spread(new.select("id", "seq", "vec"), "id", "_j", n, "_i", m)
+    of = F.col(group) if group else F.lit(0)
+    left, right = facts.select(of.alias("_g"), "key", "seq", "vec"), new.select(of.alias("_g"), "id", "seq", "vec")
+    blocks = lambda df, name: df.groupBy("_g").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = blocks(left, "_m").join(blocks(right, "_n"), "_g")
+    deal = lambda df, key, own, mine, other, theirs: df.join(sizes, "_g").withColumn(own, F.expr(f"cast(pmod(xxhash64({key}, 3), {mine}) as int)")).withColumn(other, F.explode(F.expr(f"sequence(0, {theirs} - 1)")))
+    apart = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  both sides may come from one table
+    left, right = apart(deal(left, "key", "_i", "_m", "_j", "_n")), apart(deal(right, "id", "_j", "_n", "_i", "_m"))
 
     frame = lambda key, by, by_seq: pd.DataFrame({"key": pd.Series(key, dtype=object), "by": pd.Series(by, dtype=object), "by_seq": pd.Series(by_seq, dtype="int64")})
 
@@ -139,10 +147,16 @@ def superseding_new(facts: DataFrame, new: DataFrame, threshold: float, block: i
         at = later[hit].argmax(1)
         return frame(a["key"].to_numpy()[hit], b["id"].to_numpy()[at], b["seq"].to_numpy()[at])
 
-    found = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(run, "key string, by string, by_seq long")
+    found = left.groupBy("_g", "_i", "_j").cogroup(right.groupBy("_g", "_i", "_j")).applyInPandas(run, "key string, by string, by_seq long")
     return found.groupBy("key").agg(F.min(F.struct("by_seq", "by")).alias("_b")).select("key", "_b.by", "_b.by_seq")
 
 
+def named_victims(new: DataFrame, facts: DataFrame) -> DataFrame:
+    """id, by of facts of the same project that new facts (id, project_key, supersedes: ids) name, but for themselves."""
+    named = new.select(F.col("id").alias("by"), "project_key", F.explode("supersedes").alias("id")).where("id <> by")
+    return named.join(facts.select("id", "project_key"), ["id", "project_key"]).select("id", "by")
+
+
 def cluster_duplicates(facts: DataFrame, threshold: float, pool: int = 512) -> DataFrame:
     """id, survivor of facts that a stronger one of their project absorbs, greedily from the strongest.
 
@@ -214,11 +228,35 @@ def invalidate(facts: DataFrame, files: DataFrame) -> DataFrame:
     return _set(facts.join(gone, "id", "left"), F.col("_gone") == 1, status="expired").drop("_gone")
 
 
-def consolidate(facts: DataFrame, now: float, capacity: int, threshold: float, keep_max: int, percentile: float = 0, horizon: float = 0, pool: int = 512) -> DataFrame:
-    """replay, displace, integrate, refine, purge, in this order."""
-    out = integrate(displace_stm(replay(facts, now), capacity), threshold, pool)
-    out = refine(with_retention(out, now), keep_max, percentile).drop("retention")
-    return purge(out, now, horizon) if horizon > 0 else out
+STEPS = ("replayed", "displaced", "merged", "pruned", "expired", "purged")
+
+
+def consolidation(facts: DataFrame, now: float, capacity: int, threshold: float, keep_max: int, percentile: float = 0, horizon: float = 0, pool: int = 512, files: DataFrame | None = None) -> DataFrame:
+    """facts after replay, displace, integrate, refine and invalidate, with a flag for each of STEPS; purged ones still there.
+
+    files (path) are those that exist: without them no anti-pattern is invalidated.
+    """
+
+    def step(before: DataFrame, name: str, change, column: str) -> DataFrame:
+        after = change(before.withColumn("_was", F.col(column)))
+        return after.withColumn(name, (~F.col("_was").eqNullSafe(F.col(column))).cast("int")).drop("_was")
+
+    out = step(facts, "replayed", lambda f: replay(f, now), "tier")
+    out = step(out, "displaced", lambda f: displace_stm(f, capacity), "status")
+    out = step(out, "merged", lambda f: integrate(f, threshold, pool), "status")
+    out = step(out, "pruned", lambda f: refine(with_retention(f, now), keep_max, percentile).drop("retention"), "status")
+    out = step(out, "expired", lambda f: f if files is None else invalidate(f, files), "status")
+    return out.withColumn("purged", F.coalesce(cold(now, horizon), F.lit(False)).cast("int") if horizon > 0 else F.lit(0))
+
+
+def consolidate(facts: DataFrame, now: float, capacity: int, threshold: float, keep_max: int, percentile: float = 0, horizon: float = 0, pool: int = 512, files: DataFrame | None = None) -> DataFrame:
+    """facts after all six steps."""
+    return consolidation(facts, now, capacity, threshold, keep_max, percentile, horizon, pool, files).where("purged = 0").drop(*STEPS)
+
+
+def consolidation_counts(done: DataFrame) -> DataFrame:
+    """One row: how many facts each step changed, from consolidation()."""
+    return done.agg(*(F.coalesce(F.sum(s), F.lit(0)).cast("long").alias(s) for s in STEPS))
 
 
 def mark(facts: DataFrame, ids: DataFrame, counter: str, now: float | None = None) -> DataFrame:
@@ -237,6 +275,19 @@ def bulk_import(facts: DataFrame, records: DataFrame) -> DataFrame:
     return n.agg(F.sum(F.when(F.col("old").isNull(), 1).otherwise(0)).alias("inserted"), F.sum(F.when(F.col("old").isNull(), F.col("n") - 1).otherwise(F.col("n"))).alias("reinforced"))
 
 
+def import_counts(facts: DataFrame, rows: DataFrame, records: DataFrame, batch: int = 256) -> DataFrame:
+    """label, project_key, inserted, reinforced, batches of records (label, project_key) of which rows (id, seq, label) are mapped; all null where a label isn't.
+
+    Of the records of one new id the first by seq inserts it, whatever its label.
+    """
+    n = F.row_number().over(W.partitionBy("id").orderBy("seq"))
+    marked = rows.withColumn("_n", n).join(facts.select("id", F.lit(1).alias("_old")).distinct(), "id", "left")
+    new = (F.col("_n") == 1) & F.col("_old").isNull()
+    per = marked.groupBy("label").agg(F.sum(new.cast("long")).alias("inserted"), F.sum((~new).cast("long")).alias("reinforced"))
+    per = per.withColumn("batches", F.ceil(F.col("inserted") / batch))
+    return records.select("label", "project_key").distinct().join(per, "label", "left")
+
+
 def similar_pairs(facts: DataFrame, threshold: float, group: str, block: int = 1024) -> DataFrame:
     """a, b, sim of facts (id, group, vec) of one group as similar as the threshold, a < b, by blocks of a group."""
     import numpy as np

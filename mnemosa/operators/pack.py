@@ -38,14 +38,15 @@ def _can_fit(rows: DataFrame, by: list[str], order: str, cost: str, most: int, i
 
 def skip(rows: DataFrame, by: list[str], order: str, cost: str, most: int, id_: str = "id") -> DataFrame:
     """by, id and used of rows that fit, leaving out those that don't; the first always.  Of any group the fold holds at most most / c rows of each cost c (all of cost 0, which always fit)."""
+    kind = rows.schema[id_].dataType.simpleString()
     rows = _can_fit(rows, by, order, cost, most, id_)
     items = F.array_sort(F.collect_list(F.struct(order, id_, F.col(cost).cast("long").alias("cost"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,used:bigint>>").alias("kept"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<id:{kind},used:bigint>>").alias("kept"))
 
     def take(acc, x):
         used = acc["used"] + x["cost"]
         fits = (used <= most) | (F.size(acc["kept"]) == 0)
-        more = F.concat(acc["kept"], F.array(F.struct(x[id_].cast("long").alias("id"), used.alias("used"))))
+        more = F.concat(acc["kept"], F.array(F.struct(x[id_].alias("id"), used.alias("used"))))
         return F.struct(F.when(fits, used).otherwise(acc["used"]).alias("used"), F.when(fits, more).otherwise(acc["kept"]).alias("kept"))
 
     folded = rows.groupBy(*by).agg(items.alias("items")).select(*by, F.aggregate("items", start, take)["kept"].alias("kept"))

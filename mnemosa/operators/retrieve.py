@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import scoring, text, vec
+from ..store import checkpointed
 
 GLOBAL = "__global__"
 
@@ -20,12 +23,29 @@ def in_scope(project: str | None) -> Column:
     return active & ((F.col("project_key") == project) | ((F.col("project_key") == GLOBAL) & (F.col("kind") == "antipattern")))
 
 
-def with_similarity(facts: DataFrame, query: Column | DataFrame) -> DataFrame:
-    """facts with sim to the query vector: a literal, or a one-row DataFrame with column q."""
+def _arrow_cosine(vectors: Column, query: Column) -> Column:
+    """vec.cosine over Arrow batches, for very wide vectors."""
+    @F.pandas_udf("double")
+    def run(v: pd.Series, q: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=float)
+        m, one = np.stack(v.to_list()).astype(float), np.asarray(q.iloc[0], float)
+        size = np.linalg.norm(m, axis=1) * np.linalg.norm(one)
+        return pd.Series(np.where(size > 0, m @ one / np.where(size > 0, size, 1), 0.0))
+
+    return run(vectors, query)
+
+
+#: Ways to score vectors: built-in functions, or numpy over Arrow batches.
+SCORERS = {"sql": vec.cosine, "arrow": _arrow_cosine}
+
+
+def with_similarity(facts: DataFrame, query: Column | DataFrame, scorer: str = "sql") -> DataFrame:
+    """facts with sim to the query vector: a literal, or a one-row DataFrame with column q; vectors of another size are left out."""
     if isinstance(query, DataFrame):
         facts, query = facts.crossJoin(F.broadcast(query.limit(1))), F.col("q")
     same = F.size("vec") == F.size(query)
-    return facts.where(same).withColumn("sim", F.round(vec.cosine(F.col("vec"), query), 6))
+    return facts.where(same).withColumn("sim", F.round(SCORERS[scorer](F.col("vec"), query), 6))
 
 
 def with_score(hits: DataFrame, now: float, c: Config = DEFAULT, penalty: float = 1.0) -> DataFrame:
@@ -46,7 +66,7 @@ def top(df: DataFrame, score: str, k: int, *by: str) -> DataFrame:
 def search(facts: DataFrame, query: Column | DataFrame, now: float, project: str | None = None, c: Config = DEFAULT, k: int | None = None, min_sim: float | None = None) -> DataFrame:
     """Facts over the similarity gate by priority; with cross_project, others fill up at nine tenths."""
     k, gate = k or c.top_k, c.min_sim if min_sim is None else min_sim
-    sims = with_similarity(facts.where(F.col("status") == "active"), query).where(F.col("sim") >= gate)
+    sims = with_similarity(facts.where(F.col("status") == "active"), query, c.scorer).where(F.col("sim") >= gate)
     own = with_score(sims.where(in_scope(project)), now, c)
     if not (c.cross_project and project is not None):
         return top(own, "score", k)
@@ -63,66 +83,64 @@ def fuse(ranked: DataFrame, weights: dict[str, float], smoothing: int = 60) -> D
     return ranked.groupBy("id").agg(F.round(F.sum(weight / (F.lit(smoothing) + F.col("rank"))), 6).alias("score"), F.count("*").alias("channels"))
 
 
-#: Up to so many candidates a rank is one sort; beyond, it is counted by parts.
+#: Up to so many candidates a rank is one sort; beyond, it is a range partitioning and the counts of its parts.
 ONE_SORT = 1_000_000
 
 
-def exact_rank(df: DataFrame, by: str, ascending: bool, name: str, parts: int = 64) -> DataFrame:
-    """df with the place of each row in the order of `by` (numbers, nulls last) and id (numbers), from 1, over any number of tasks.
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the place of each row in a total order, from 1, over any number of tasks and for keys of any type.
 
-    Rows are dealt by approximate quantiles of `by`; a value that is itself a
-    quantile, as any very common one is, has parts of its own by quantiles of id.
-    The counts of the parts (at most 2 * parts^2 numbers) give where each begins.
+    Rows are dealt by ranges of the order and sorted in their task; the counts of the
+    parts, one number a task, give where each begins.  The sorted rows are written
+    first, so a task that runs again gives the same places.
     """
-    cuts = [i / parts for i in range(1, parts)]
-    values = sorted({*df.approxQuantile(by, cuts, 0.001)}) if parts > 1 else []
-    ids = sorted({*df.approxQuantile("id", cuts, 0.001)}) if parts > 1 else []
-    place = lambda c, bounds: sum((F.when(c > x, 1).otherwise(0) for x in bounds), F.lit(0))
-    v = F.col(by)
-    at = 2 * place(v, values) + F.when(v.isin(*values), 1).otherwise(0) if values else F.lit(0)
-    at = F.when(v.isNull(), 2 * len(values) + 3).otherwise(at if ascending else -at)
-    alone = v.isNull() | (v.isin(*values) if values else F.lit(False))
-    dealt = df.withColumn("_part", at).withColumn("_sub", F.when(alone, place(F.col("id"), ids)).otherwise(0))
-    start, begins = 0, []
-    for r in dealt.groupBy("_part", "_sub").count().orderBy("_part", "_sub").collect():
-        begins.append((r["_part"], r["_sub"], start))
-        start += r["count"]
-    if not begins:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    offsets = df.sparkSession.createDataFrame(begins, "_part int, _sub int, _start long")
-    within = F.row_number().over(W.partitionBy("_part", "_sub").orderBy(F.asc(by) if ascending else F.desc(by), F.asc("id")))
-    out = dealt.withColumn("_n", within).join(F.broadcast(offsets), ["_part", "_sub"])
-    return out.withColumn(name, F.col("_start") + F.col("_n")).drop("_part", "_sub", "_n", "_start")
+    place = F.monotonically_increasing_id()
+    done = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", place))
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r["part"], r["count"]) for r in done.groupBy(part.alias("part")).count().collect())
+    starts, total = [], 0
+    for at, n in sizes:
+        starts.append((at, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return done.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + within + 1).drop("_at", "_part", "_start")
 
 
 def with_ranks(candidates: DataFrame, one_sort: int = ONE_SORT) -> DataFrame:
     """candidates (id, sim, lexical, bm25, last_seen, frequency) with a rank for each channel that holds them, null elsewhere."""
-    out = candidates.persist()
+    out = checkpointed(candidates)
     large = out.count() > one_sort
     orders = {"similarity": ("sim", F.col("sim") > 0, False), "lexical": ("lexical", F.col("lexical") > 0, False), "fts": ("bm25", F.col("bm25").isNotNull(), True), "recency": ("last_seen", F.lit(True), False), "frequency": ("frequency", F.lit(True), False)}
     for name, (by, held, up) in orders.items():
-        if large:
-            out = exact_rank(out, by, up, "_rank")
-        else:
-            out = out.withColumn("_rank", F.row_number().over(W.orderBy(F.asc_nulls_last(by) if up else F.desc_nulls_last(by), F.asc("id"))))
+        order = [F.asc_nulls_last(by) if up else F.desc_nulls_last(by), F.asc("id")]
+        out = numbered(out, order, "_rank") if large else out.withColumn("_rank", F.row_number().over(W.orderBy(*order)))
         out = out.withColumn(name, F.when(held, F.col("_rank"))).drop("_rank")
     return out
 
 
 def search_fused(facts: DataFrame, vector: Column | DataFrame, query: str, hits: DataFrame, c: Config = DEFAULT, k: int | None = None, min_sim: float | None = None) -> DataFrame:
-    """Facts admitted by similarity, shared words or keyword hits (id, bm25), by fused ranks of five channels."""
-    gate = c.min_sim if min_sim is None else min_sim
-    sims = with_similarity(facts.where(F.col("status") == "active"), vector)
-    scored = sims.withColumn("lexical", text.overlap(text.tokens(F.col("text")), text.tokens(F.lit(query)))).join(hits, "id", "left")
-    admitted = scored.where((F.col("sim") >= gate) | (F.col("lexical") > 0) | F.col("bm25").isNotNull()).select("id", "sim", "lexical", "bm25", "last_seen", "frequency")
-    ranked, names = with_ranks(admitted), ("similarity", "lexical", "fts", "recency", "frequency")
+    """Facts admitted by similarity, shared words or keyword hits, by fused ranks of five channels.
+
+    hits (id, bm25) are those of the facts in scope; the best max(4k, 50) of them
+    take part.  A fact without a time of last sight counts by its creation, one
+    without a frequency as seen once.
+    """
+    gate, k = c.min_sim if min_sim is None else min_sim, k or c.top_k
+    pool = hits.orderBy("bm25", "id").limit(max(4 * k, 50)).select("id", "bm25")
+    sims = with_similarity(facts.where(F.col("status") == "active"), vector, c.scorer)
+    scored = sims.withColumn("lexical", text.overlap(text.tokens(F.col("text")), text.tokens(F.lit(query)))).join(F.broadcast(pool), "id", "left")
+    seen = F.coalesce("last_seen", "created_at") if "created_at" in facts.columns else F.col("last_seen")
+    admitted = scored.where((F.col("sim") >= gate) | (F.col("lexical") > 0) | F.col("bm25").isNotNull())
+    ranked = with_ranks(admitted.select("id", "sim", "lexical", "bm25", seen.alias("last_seen"), F.coalesce("frequency", F.lit(1)).alias("frequency")))
+    names = ("similarity", "lexical", "fts", "recency", "frequency")
     part = lambda n: F.coalesce(F.lit(c.channel_weights.get(n, 1.0)) / (F.lit(c.smoothing) + F.col(n)), F.lit(0.0))
     score, held = part(names[0]), F.lit(0).cast("long")
     for n in names[1:]:
         score = score + part(n)
     for n in names:
         held = held + F.when(F.col(n).isNotNull(), 1).otherwise(0)
-    return top(ranked.select("id", "sim", F.round(score, 6).alias("score"), held.alias("channels")), "score", k or c.top_k)
+    return top(ranked.select("id", "sim", F.round(score, 6).alias("score"), held.alias("channels")), "score", k)
 
 
 def spread(scored: DataFrame, edges: DataFrame, weight: float) -> DataFrame:
@@ -134,49 +152,58 @@ def spread(scored: DataFrame, edges: DataFrame, weight: float) -> DataFrame:
     return scored.join(boost, "id", "left").withColumn("boosted", F.round(F.col("score") + F.coalesce("boost", F.lit(0.0)), 6)).drop("boost")
 
 
-def verdicts(hits: DataFrame, identity: float = 1.0, least: float = DEFAULT.recall_min_confidence) -> DataFrame:
-    """qid, hits, top_sim, confidence and verdict of hits (qid, rank, sim) in the order of rank."""
+def verdicts(hits: DataFrame, identity: float | None = 1.0, least: float = DEFAULT.recall_min_confidence) -> DataFrame:
+    """qid, hits, top_sim, confidence and verdict of hits (qid, rank, sim) in the order of rank; with no identity, that of the first hit (a column)."""
     at = lambda n: F.max(F.when(F.col("rank") == n, F.col("sim")))
-    two = hits.groupBy("qid").agg(F.count("id").alias("hits"), at(1).alias("first"), at(2).alias("second"))
-    sure = two.withColumn("confidence", scoring.confidence(F.col("first"), F.col("second"), F.lit(identity)))
+    two = hits.groupBy("qid").agg(F.count("id").alias("hits"), at(1).alias("first"), at(2).alias("second"), *([F.max(F.when(F.col("rank") == 1, F.col("identity"))).alias("identity")] if identity is None else []))
+    trust = F.coalesce("identity", F.lit(0.6)) if identity is None else F.lit(identity)
+    sure = two.withColumn("confidence", scoring.confidence(F.col("first"), F.col("second"), trust))
     verdict = F.when(F.col("hits") == 0, "no_memory").when(F.col("confidence") < least, "low_confidence").otherwise("ok")
     return sure.select("qid", "hits", F.col("first").alias("top_sim"), "confidence", verdict.alias("verdict"))
 
 
-def batch_topk(queries: DataFrame, facts: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def batch_topk(queries: DataFrame, facts: DataFrame, k: int, most: int = 1 << 16, block: int = 1024) -> DataFrame:
     """qid, id, sim, rank: the k most similar facts (id, vec) of each query (qid, q).
 
-    Queries are sent to all facts in blocks of at most `block`; a task keeps its k
-    best for each, and only those are merged.  All vectors have one size.
+    Queries are sent to all facts, at most about `most` at a time, dealt by a hash of
+    qid; a task works on them in blocks and keeps its k best facts of each query over
+    all its rows, and only those are merged.  All vectors have one size.
     """
-    import numpy as np
-    import pandas as pd
+    kinds = {c: d.schema[c].dataType.simpleString() for c, d in (("qid", queries), ("id", facts))}
+    schema, out = f"qid {kinds['qid']}, id {kinds['id']}, sim double", None
+    groups = max(1, -(-queries.count() // most))
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
 
-    out = None
-    rows = queries.count()
-    for start in range(0, max(1, rows), block):
-        some = queries.orderBy("qid").offset(start).limit(block).toPandas() if rows > block else queries.toPandas()
+    for g in range(groups):
+        some = queries.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == g).select("qid", "q").toPandas()
         if not len(some):
             continue
-        q = np.stack(some["q"].to_list()).astype(float)
-        size = np.linalg.norm(q, axis=1, keepdims=True)
-        unit = q / np.where(size > 0, size, 1)
-        names = some["qid"].to_numpy()
+        asked, names = unit(np.stack(some["q"].to_list()).astype(float)), some["qid"].to_numpy()
 
-        def run(batches, unit=unit, names=names):
+        def run(batches, asked=asked, names=names):
+            ids, sims = [None] * (len(names) // block + 1), [None] * (len(names) // block + 1)
             for b in batches:
                 if not len(b):
                     continue
-                v = np.stack(b["vec"].to_list()).astype(float)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                sims = np.round(unit @ (v / np.where(n > 0, n, 1)).T, 6) + 0.0
-                ids = b["id"].to_numpy()
-                at = np.argsort(ids, kind="stable")
-                best = at[np.argsort(-sims[:, at], axis=1, kind="stable")[:, :k]]
-                yield pd.DataFrame({"qid": np.repeat(names, best.shape[1]), "id": ids[best].ravel(), "sim": np.take_along_axis(sims, best, 1).ravel()})
-
-        part = facts.select("id", "vec").mapInPandas(run, "qid long, id long, sim double")
+                b = b.sort_values("id", kind="stable")
+                v, found = unit(np.stack(b["vec"].to_list()).astype(float)).T, b["id"].to_numpy()
+                for j, start in enumerate(range(0, len(names), block)):
+                    s = np.round(asked[start : start + block] @ v, 6) + 0.0
+                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    s, i = np.take_along_axis(s, best, 1), found[best]
+                    if ids[j] is not None:
+                        s, i = np.concatenate([sims[j], s], 1), np.concatenate([ids[j], i], 1)
+                        by_id = np.argsort(i, axis=1, kind="stable")
+                        s, i = np.take_along_axis(s, by_id, 1), np.take_along_axis(i, by_id, 1)
+                        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                        s, i = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
+                    ids[j], sims[j] = i, s
+            for j, start in enumerate(range(0, len(names), block)):
+                if ids[j] is not None:
+                    yield pd.DataFrame({"qid": np.repeat(names[start : start + block], ids[j].shape[1]), "id": ids[j].ravel(), "sim": sims[j].ravel()})
+
+        part = facts.select("id", "vec").mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = queries.sparkSession.createDataFrame([], "qid long, id long, sim double")
+        out = queries.sparkSession.createDataFrame([], schema)
     return top(out, "sim", k, "qid")

@@ -16,6 +16,15 @@ def projects(facts: DataFrame) -> DataFrame:
     return facts.groupBy("project_key").agg(_count(active).alias("facts"), _count(active & (F.col("tier") == "stm")).alias("stm"), _count(active & (F.col("tier") == "ltm")).alias("ltm"), F.max("created_at").alias("newest"))
 
 
+def cards(facts: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """Observations, newest first, a page of them: card, newest, and their facts (id, text, title, type, tier, created_at) in order of time."""
+    name = F.coalesce("observation_id", F.col("id").cast("string")).alias("card")
+    page = facts.groupBy("project_key", name).agg(F.max("created_at").alias("newest"), F.count("*").alias("n")).orderBy(F.desc("newest"), "card", "project_key").offset(offset).limit(limit)
+    own = facts.withColumn("card", name).join(F.broadcast(page.select("project_key", "card")), ["project_key", "card"], "left_semi")
+    rows = own.groupBy("project_key", "card").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "text", "title", "type", "tier"))).alias("facts"))
+    return page.join(rows, ["project_key", "card"]).orderBy(F.desc("newest"), "card", "project_key")
+
+
 def observation_cards(facts: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """Groups by observation, newest first, a page of them; ids of each in order."""
     name = F.coalesce("observation_id", F.col("id").cast("string")).alias("card")
@@ -61,5 +70,5 @@ def usage_summary(ledger: DataFrame) -> DataFrame:
 
 def chunk_projects(chunks: DataFrame, meta: DataFrame) -> DataFrame:
     """Chunks and distinct sources by project, with the label of meta (project_key, label) where there is one."""
-    g = chunks.groupBy("project_key").agg(F.count("*").alias("chunks"), F.countDistinct("source_path").alias("sources"))
+    g = chunks.groupBy("project_key").agg(F.count("*").alias("chunks"), F.countDistinct("source_path").alias("sources"), *([F.max("indexed_at").alias("indexed_at")] if "indexed_at" in chunks.columns else []))
     return g.join(meta, "project_key", "left").withColumn("label", F.coalesce("label", "project_key"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
+def is_seen(rows: DataFrame) -> Column:
+    """Live visual rows of a page: those without a URL are of none."""
+    return F.col("decayed_at").isNull() & (F.col("modality") == "visual") & (F.coalesce(text.normalize_url(F.col("url")), F.lit("")) != "")
+
+
 def attend(rows: DataFrame, window: float = 300) -> DataFrame:
-    """Live visual rows are attended if another of the same project and page lies within the window."""
-    live = F.col("decayed_at").isNull() & (F.col("modality") == "visual")
+    """Live visual rows are attended if another of the same project and page lies within the window, both of them."""
     w = W.partitionBy("project_key", "page", "_live").orderBy("created_at", "id")
-    out = rows.withColumns({"page": text.normalize_url(F.col("url")), "_live": live})
+    out = rows.withColumns({"page": text.normalize_url(F.col("url")), "_live": is_seen(rows)})
     near = (F.col("created_at") - F.lag("created_at").over(w) <= window) | (F.lead("created_at").over(w) - F.col("created_at") <= window)
     return out.withColumn("attended", F.when(F.col("_live") & F.coalesce(near, F.lit(False)), 1).otherwise(F.col("attended"))).drop("_live")
 

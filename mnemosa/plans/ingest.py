@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import rules, text
 from ..sources import chunking, imports, transcript
 from ..sources.views import table
 from .recall import STOP, TOKENS
@@ -14,19 +14,13 @@ from .registry import query
 
 
 
-@query("""WITH l AS (SELECT conv_id, turn, i, trim(trim(s, '-*#• ' || chr(9))) AS s FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)),
-g AS (SELECT *, trim(regexp_replace(lower(s), '[\\t\\n\\v\\f\\r ]+', ' ', 'g')) AS k FROM l WHERE length(s) BETWEEN 14 AND 240 AND length(s) <= 240),
-d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, k ORDER BY i) AS n FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS place FROM d WHERE n = 1)
-SELECT conv_id, turn, place - 1 AS place, s AS fact FROM r WHERE place <= 12 AND (conv_id, turn) NOT IN (SELECT conv_id, turn FROM l WHERE length(s) > 240)""")
+@query(r"""WITH l AS (SELECT conv_id, turn, i, trim(s, '-*#• ' || chr(9)) AS s FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)),
+p AS (SELECT conv_id, turn, i, unnest(ps) AS s, generate_subscripts(ps, 1) AS j FROM (SELECT *, CASE WHEN length(s) > 240 THEN string_split(regexp_replace(s, '([.!?])[\t\n\v\f\r ]+', '\1' || chr(1), 'g'), chr(1)) ELSE [s] END AS ps FROM l)),
+g AS (SELECT conv_id, turn, i, j, trim(s) AS s, trim(regexp_replace(lower(trim(s)), '[\t\n\v\f\r ]+', ' ', 'g')) AS k FROM p WHERE length(trim(s)) BETWEEN 14 AND 240),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, k ORDER BY i, j) AS n FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i, j) AS place FROM d WHERE n = 1)
+SELECT conv_id, turn, place - 1 AS place, s AS fact FROM r WHERE place <= 12""")
 def heuristic_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    longest = F.array_max(F.transform(F.split("text", "\n"), lambda s: F.length(F.trim(F.trim(s, F.lit("-*#• \t"))))))
-    return c.where(longest <= 240).select("conv_id", "turn", F.posexplode(text.heuristic_facts(F.col("text"))).alias("place", "fact")).withColumn("place", F.col("place").cast("long"))
-
-
-@query()
-def heuristic_facts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All turns, long lines by sentence; heuristic_facts is its part that the SQL can state."""
+    """All turns, long lines by sentence."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.heuristic_facts(F.col("text"))).alias("place", "fact")).withColumn("place", F.col("place").cast("long"))
 
 
@@ -36,9 +30,12 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("tokens"), text.overlap(t, text.tokens(F.lit("then rest thing attion reth"))).alias("shared"))
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '{text.EMAIL}') AS email, regexp_matches(text, '{text.SECRET}') AS secret, regexp_matches(text, '{text.ABSOLUTE_PATH}') AS path FROM documents")
+_RE2 = r"""/(?:Users|home)/[\w.-]+/[^\s'\x22]*""".replace("'", "''")
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '{rules.EMAIL}') THEN 'email' END, CASE WHEN regexp_matches(text, '{rules.SECRET}') THEN 'credential-shaped' END, CASE WHEN regexp_matches(text, '{_RE2}') THEN 'non-repo path: ' || substr(regexp_extract(text, '{_RE2}'), 1, 60) END], lambda f: f IS NOT NULL), '|') AS flags FROM documents")
 def privacy_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(text.EMAIL).alias("email"), F.col("text").rlike(text.SECRET).alias("secret"), F.col("text").rlike(text.ABSOLUTE_PATH).alias("path"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(rules.privacy_flags(F.col("text"), "/nowhere/"), "|").alias("flags"))
 
 
 @query(f"SELECT conv_id, turn, trim(text) AS line FROM conversations WHERE role = 'user' AND length(trim(text)) BETWEEN 12 AND 600")
@@ -46,32 +43,41 @@ def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.prompts(table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT conv_id, count(*) AS turns, CAST(sum(CASE WHEN regexp_matches(lower(text), 'mistake|wrong|never|instead|not ') THEN 1 ELSE 0 END) AS BIGINT) AS admitted FROM conversations GROUP BY 1")
-def admission_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcript.admissions(table(spark, sf_dir, "conversations"), ["mistake", "wrong", "never", "instead", "not "])
+_QUOTED = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+#: Turns, every fifth with a phrase that the rules know, as their texts have none.
+SAID = f"SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 5 = 0 THEN {_QUOTED(rules.ADMISSIONS)}[1 + CAST(conv_id % {len(rules.ADMISSIONS)} AS INT)] || ' ' || text ELSE text END AS text FROM conversations"
 
 
-@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b\w+\.\w{1,5}\b'), lambda e: trim(lower(e), '.')), lambda e: length(e) >= 4))), '|') AS names FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')")
-def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(f"({text.ENTITIES[1]})"), 1)
-    names = F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda e: F.trim(F.lower(e), F.lit("."))), lambda e: F.length(e) >= 4)))
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.array_join(names, "|").alias("names"))
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.element_at(F.array(*map(F.lit, rules.ADMISSIONS)), (F.col("conv_id") % len(rules.ADMISSIONS) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.concat(F.initcap(words), F.lit(" "), "text")).otherwise(F.col("text")))
+
+
+@query(f"SELECT conv_id, count(*) AS turns, CAST(sum(CASE WHEN len(list_filter({_QUOTED(rules.ADMISSIONS)}, lambda m: contains(lower(text), m))) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS admitted FROM ({SAID}) GROUP BY 1")
+def admission_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript.admissions(_said(spark, sf_dir))
 
 
 @query()
-def entity_extract_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All five patterns over every document; entity_extract is its part that the SQL can state."""
+def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five patterns over every document; their letters and digits of any script are beyond the SQL, so plain Python checks it."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(text.entities(F.col("text"))), "|").alias("names"))
 
 
-@query("""WITH s AS (SELECT conv_id, max(text) FILTER (turn = 0) AS request, max(text) FILTER (turn = 1) AS learned, max(text) FILTER (turn = 2) AS next_steps FROM conversations GROUP BY conv_id),
-u AS (SELECT conv_id, unnest(['request', 'learned', 'next_steps']) AS field, unnest([request, learned, next_steps]) AS value FROM s)
-SELECT conv_id, field, substr(sha256(concat('conv', chr(0), trim(regexp_replace(lower(value), '[\\t\\n\\v\\f\\r ]+', ' ', 'g')))), 1, 24) AS id FROM u WHERE value IS NOT NULL""")
+_ID = "substr(sha256(concat({0}, chr(0), trim(regexp_replace(lower({1}), '[\\t\\n\\v\\f\\r ]+', ' ', 'g')))), 1, 24)"
+_FIELDS = ["request", "investigated", "learned", "completed", "next_steps", "notes"]
+
+
+def _summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six turns at a time of a conversation as the fields of a summary."""
+    c = table(spark, sf_dir, "conversations").withColumn("part", F.floor(F.col("turn") / 6))
+    return c.groupBy("conv_id", "part").agg(*(F.max(F.when(F.col("turn") % 6 == i, F.col("text"))).alias(f) for i, f in enumerate(_FIELDS)))
+
+
+@query(f"""SELECT conv_id, CAST(turn // 6 AS BIGINT) AS part, [{", ".join(f"'{f}'" for f in _FIELDS)}][1 + turn % 6] AS field, {_ID.format("'conv'", "text")} AS id FROM conversations WHERE trim(text) <> ''""")
 def import_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
-    summaries = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(at(0).alias("request"), at(1).alias("learned"), at(2).alias("next_steps"))
-    rows = imports.summary_facts(summaries, ["request", "learned", "next_steps"], "conv_id")
-    return rows.select("conv_id", "field", text.content_id(F.lit("conv"), F.col("value")).alias("id"))
+    rows = imports.summary_facts(_summary_rows(spark, sf_dir), _FIELDS, "conv_id", "part")
+    return rows.select("conv_id", "part", "field", text.content_id(F.lit("conv"), F.col("value")).alias("id"))
 
 
 @query("""WITH o AS (SELECT DISTINCT source AS project_key, concat('f', doc_id) AS path, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0),

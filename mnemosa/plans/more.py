@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import admin, fts, graph, index
-from ..sources.views import EDGES, FACTS, facts, table, vectors, view
+from ..sources.views import EDGES, FACTS, HAS_VECTOR, facts, table, vectors, view, with_vectors
 from .recall import _ASKED, COS, TOKENS, _bm25_sql, _query_vector
 from .registry import query
 
@@ -47,11 +47,11 @@ _Q = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id
 def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents").selectExpr("doc_id as id", "concat('file', doc_id % 25) as source_path", "text", "split_part(text, chr(10), 1) as title")
     hits = fts.bm25(d, spark.range(1).select(F.col("id").alias("qid"), F.lit(_ASKED).alias("query")), {"text": 1.0}).select("id", "bm25")
-    return d.join(vectors(spark, sf_dir).selectExpr("vec_id as id", "vec"), "id"), hits
+    return with_vectors(d, spark, sf_dir).drop("label"), hits
 
 
 @query(_bm25_sql(_CHUNKS, f"SELECT 0 AS qid, '{_ASKED}' AS query", {"text": 1.0}, f""", {_Q},
-s AS (SELECT d.*, round({COS.format('CAST(embedding AS DOUBLE[])', 'q')}, 6) AS sim FROM d JOIN embeddings ON vec_id = id, q),
+s AS (SELECT d.*, round({COS.format('CAST(embedding AS DOUBLE[])', 'q')}, 6) AS sim FROM d {HAS_VECTOR}, q),
 c AS (SELECT 1.0 AS w, id, row_number() OVER (ORDER BY sim DESC, id DESC) AS rank FROM s UNION ALL SELECT 0.8, id, row_number() OVER (ORDER BY bm25, id) FROM b),
 f AS (SELECT id, source_path, round(sum(w / (60 + rank)), 6) AS score FROM c JOIN s USING (id) WHERE rank <= 40 GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY score DESC, id) - 1 AS n FROM f)
@@ -63,7 +63,7 @@ def index_search_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_bm25_sql(_CHUNKS, f"SELECT 0 AS qid, '{_ASKED}' AS query", {"text": 1.0}, f""", {_Q},
 p AS (SELECT id FROM b ORDER BY bm25, id LIMIT 12),
-s AS (SELECT d.id, substr(title, 1, 200) AS line, round({COS.format('CAST(embedding AS DOUBLE[])', 'q')}, 6) AS sim FROM p JOIN d USING (id) JOIN embeddings ON vec_id = d.id, q),
+s AS (SELECT d.id, substr(title, 1, 200) AS line, round({COS.format('CAST(embedding AS DOUBLE[])', 'q')}, 6) AS sim FROM p JOIN d USING (id) {HAS_VECTOR}, q),
 k AS (SELECT *, row_number() OVER (ORDER BY sim DESC, id) AS n FROM s WHERE sim >= 0.0), u AS (SELECT *, sum(length(line) + 3) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS used FROM k WHERE n <= 2)
 SELECT id, sim, line, CAST(used AS BIGINT) AS used FROM u WHERE used <= 400 OR n = 1"""))
 def prompt_index_block(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import scoring, text, vec
 from ..operators import fts, graph, lifecycle, pack, retrieve
-from ..sources.views import EDGES, FACTS, NOW, embedded_facts, facts, table, vectors, view
+from ..sources.views import EDGES, FACTS, HAS_VECTOR, NOW, embedded_facts, facts, table, vectors, view
 from .registry import query
 
 COS = "coalesce(list_cosine_similarity({0}, {1}), 0.0)"
@@ -19,7 +19,7 @@ TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: len
 DECAY = f"exp(greatest(0.0, {NOW} - last_seen) * (-ln(2) / 2592000.0))"
 BOOST = "CASE WHEN frequency <= 1 THEN 0.0 ELSE least(1.0, ln(frequency) / ln(8)) END"
 HITS = f"""WITH f AS ({FACTS}), q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
-e AS (SELECT f.*, label, CAST(embedding AS DOUBLE[]) AS vec FROM f JOIN embeddings ON vec_id = id),
+e AS (SELECT f.*, label, CAST(embedding AS DOUBLE[]) AS vec FROM f {HAS_VECTOR}),
 s AS (SELECT e.*, round({COS.format('vec', 'q')}, 6) AS sim FROM e, q WHERE status = 'active'),
 p AS (SELECT *, round(sim + 0.3 * {DECAY} + 0.2 * {BOOST}, 6) AS score FROM s)"""
 GATE = 0.05
@@ -113,13 +113,15 @@ SELECT 0.3, id, row_number() OVER (ORDER BY frequency DESC, id) FROM c)"""
 @query(_bm25_sql("SELECT doc_id AS id, text FROM documents", f"SELECT 0 AS qid, '{_ASKED}' AS query", {"text": 1.0}, f""", f AS ({FACTS}),
 q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
 s AS (SELECT f.*, round({COS.format('CAST(embedding AS DOUBLE[])', 'q')}, 6) AS sim, len(list_intersect({TOKENS.format('text')}, {TOKENS.format("'" + _ASKED + "'")})) AS lexical
-  FROM f JOIN embeddings ON vec_id = id, q WHERE status = 'active'),
-c AS (SELECT s.id, sim, lexical, bm25, last_seen, frequency FROM s LEFT JOIN b ON b.id = s.id WHERE sim >= 0.12 OR lexical > 0 OR bm25 IS NOT NULL), {_CHANNELS},
+  FROM f {HAS_VECTOR}, q WHERE status = 'active'),
+p AS (SELECT id, bm25 FROM b ORDER BY bm25, id LIMIT 100),
+c AS (SELECT s.id, sim, lexical, bm25, last_seen, frequency FROM s LEFT JOIN p ON p.id = s.id WHERE sim >= 0.12 OR lexical > 0 OR bm25 IS NOT NULL), {_CHANNELS},
 fu AS (SELECT id, round(sum(w / (60 + rank)), 6) AS score, count(*) AS channels FROM chan GROUP BY id)
-SELECT id, score, channels, sim, row_number() OVER (ORDER BY score DESC, id) AS rank FROM fu JOIN c USING (id) ORDER BY score DESC, id LIMIT 25"""))
+SELECT id, score, channels, sim, row_number() OVER (ORDER BY score DESC, id) AS rank FROM fu JOIN c USING (id) ORDER BY score DESC, id LIMIT 25""", "WHERE id IN (SELECT id FROM (" + FACTS + ") WHERE status = 'active')"))
 def recall_fused_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id as id", "text")
-    hits = fts.bm25(docs, spark.range(1).select(F.col("id").alias("qid"), F.lit(_ASKED).alias("query")), {"text": 1.0}).select("id", "bm25")
+    asked = spark.range(1).select(F.col("id").alias("qid"), F.lit(_ASKED).alias("query"))
+    hits = fts.bm25(docs, asked, {"text": 1.0}, keep=facts(spark, sf_dir).where("status = 'active'")).select("id", "bm25")
     found = retrieve.search_fused(embedded_facts(spark, sf_dir), _query_vector(spark, sf_dir), _ASKED, hits, k=25)
     return found.select("id", "score", "channels", "sim", F.col("rank").cast("long").alias("rank"))
 
@@ -262,18 +264,12 @@ def pack_first_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.prefix(_costs(spark, sf_dir), ["project_key"], _order(), "cost", 200, first_free=True).select("id", "project_key", "used")
 
 
-@query("WITH RECURSIVE " + _ROWS[5:] + """, o AS (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY id) AS n FROM r WHERE frequency >= 8),
+@query("WITH RECURSIVE " + _ROWS[5:] + """, o AS (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY id) AS n FROM r),
 w AS (SELECT project_key, id, n, cost AS used, TRUE AS took FROM o WHERE n = 1 UNION ALL
 SELECT o.project_key, o.id, o.n, CASE WHEN w.used + o.cost <= 1200 THEN w.used + o.cost ELSE w.used END, w.used + o.cost <= 1200 FROM w JOIN o ON o.project_key = w.project_key AND o.n = w.n + 1)
 SELECT project_key, id, used FROM w WHERE took""")
 def pack_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _costs(spark, sf_dir).where("frequency >= 8").withColumn("at", F.col("id"))
-    return pack.skip(rows, ["project_key"], "at", "cost", 1200)
-
-
-@query()
-def pack_skip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All active facts of each project; pack_skip is its part that the SQL can state."""
+    """All active facts of each project."""
     return pack.skip(_costs(spark, sf_dir).withColumn("at", F.col("id")), ["project_key"], "at", "cost", 1200)
 
 

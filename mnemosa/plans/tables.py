@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import evalkit
 from ..functions import text
-from ..operators import graph, rollups, sensory, work_queue
+from ..operators import graph, rollups, scans, sensory, work_queue
 from ..sources.views import EDGES, FACTS, LEDGER, NOW, PERCEPTIONS, QUEUE, facts, table, view
 from .registry import query
 
@@ -44,9 +44,10 @@ def chunk_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.chunk_projects(d.selectExpr("source as project_key", "lang as source_path"), meta)
 
 
-@query("SELECT label, count(*) AS n, min(len(embedding)) AS dim FROM embeddings GROUP BY label")
+@query("SELECT DISTINCT concat('label', label) AS project_key, CAST(CASE WHEN vec_id % 4 = 0 THEN 32 ELSE len(embedding) END AS INT) AS dim FROM embeddings WHERE vec_id % 9 <> 0")
 def stored_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("dim"))
+    f = table(spark, sf_dir, "embeddings").selectExpr("concat('label', label) as project_key", "case when vec_id % 9 = 0 then 'merged' else 'active' end as status", "case when vec_id % 4 = 0 then 32 else size(embedding) end as dim")
+    return scans.stored_dims(f)
 
 
 @query("SELECT c_custkey AS key, CASE WHEN count(*) OVER (PARTITION BY substr(c_name, 1, 17)) > 1 THEN concat(substr(c_name, 1, 17), ' (', n_name, ')') ELSE substr(c_name, 1, 17) END AS shown FROM customer JOIN nation ON n_nationkey = c_nationkey")
@@ -83,10 +84,32 @@ def queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("msg_id", "stage", "status", "attempts", "lease_expires")
 
 
-@query(f"""WITH q AS ({QUEUE}) SELECT msg_id, CASE WHEN status <> 'in_progress' THEN status WHEN attempts >= 5 THEN 'dead' ELSE 'pending' END AS status,
-CASE WHEN status = 'in_progress' AND attempts < 5 THEN {_T0 + 500_000} + CASE WHEN attempts <= 1 THEN 5 WHEN attempts = 2 THEN 30 WHEN attempts = 3 THEN 120 ELSE 600 END ELSE next_retry_at END AS next_retry_at FROM q""")
+_MINE = "status = 'in_progress' AND msg_id % 2 = 0"
+
+
+@query(f"""WITH q AS ({QUEUE}) SELECT msg_id, CASE WHEN NOT ({_MINE}) THEN status WHEN attempts >= 5 THEN 'dead' ELSE 'pending' END AS status,
+CASE WHEN {_MINE} AND attempts < 5 THEN {_T0 + 500_000} + CASE WHEN attempts <= 1 THEN 5 WHEN attempts = 2 THEN 30 WHEN attempts = 3 THEN 120 ELSE 600 END ELSE next_retry_at END AS next_retry_at FROM q""")
 def queue_nak_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return work_queue.nak(view(spark, sf_dir, QUEUE, "events"), float(_T0 + 500_000), (5, 30, 120, 600), 5).select("msg_id", "status", "next_retry_at")
+    """A worker gives back the even items; the leases of others stay."""
+    q = view(spark, sf_dir, QUEUE, "events")
+    return work_queue.nak(q, q.where("msg_id % 2 = 0"), float(_T0 + 500_000), (5, 30, 120, 600), 5).select("msg_id", "status", "next_retry_at")
+
+
+@query(f"""WITH q AS ({QUEUE}) SELECT msg_id, CASE WHEN msg_id % 10 = 3 THEN 'dead' ELSE status END AS status, CASE WHEN msg_id % 10 <> 3 THEN lease_expires END AS lease_expires FROM q
+WHERE NOT (CASE WHEN msg_id % 10 = 3 THEN 'dead' ELSE status END = 'dead' AND stage = 'view')""")
+def queue_term_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = view(spark, sf_dir, QUEUE, "events")
+    return work_queue.purge(work_queue.term(q, q.where("msg_id % 10 = 3")), "dead", "view").select("msg_id", "status", "lease_expires")
+
+
+@query(f"""WITH q AS ({QUEUE}), n AS (SELECT msg_id + 20000 AS msg_id, stage, 'pending' AS status FROM q WHERE msg_id % 2 = 0 UNION ALL SELECT msg_id, 'other', 'pending' FROM q WHERE msg_id % 3 = 0)
+SELECT msg_id, stage, status FROM q WHERE msg_id % 5 <> 0 UNION ALL SELECT * FROM n WHERE msg_id NOT IN (SELECT msg_id FROM q WHERE msg_id % 5 <> 0)
+QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY stage) = 1""".replace("QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY stage) = 1", ""))
+def queue_publish_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth item is done, then new and known ones are published: a known message stays as it is."""
+    q = view(spark, sf_dir, QUEUE, "events").select("msg_id", "stage", "status")
+    new = q.where("msg_id % 2 = 0").selectExpr("msg_id + 20000 as msg_id", "stage", "'pending' as status").unionByName(q.where("msg_id % 3 = 0").selectExpr("msg_id", "'other' as stage", "'pending' as status"))
+    return work_queue.publish(work_queue.ack(q, q.where("msg_id % 5 = 0")), new.where("msg_id >= 20000 or msg_id % 3 = 0"))
 
 
 @query(f"WITH q AS ({QUEUE}) SELECT msg_id, CASE WHEN status <> 'dead' AND enqueued_at < {_T0 + 800_000} - 604800 THEN 'dead' ELSE status END AS status FROM q")
@@ -107,7 +130,7 @@ def norm_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.normalize_url(F.col("url")).alias("page"))
 
 
-@query(f"""WITH p AS ({PERCEPTIONS}), l AS (SELECT id, created_at - lag(created_at) OVER w AS a, lead(created_at) OVER w - created_at AS b FROM p WHERE decayed_at IS NULL AND modality = 'visual' WINDOW w AS (PARTITION BY project_key, {_URL} ORDER BY created_at, id))
+@query(f"""WITH p AS ({PERCEPTIONS}), l AS (SELECT id, created_at - lag(created_at) OVER w AS a, lead(created_at) OVER w - created_at AS b FROM p WHERE decayed_at IS NULL AND modality = 'visual' AND {_URL} <> '' WINDOW w AS (PARTITION BY project_key, {_URL} ORDER BY created_at, id))
 SELECT p.id, CASE WHEN a <= 20000 OR b <= 20000 THEN 1 ELSE attended END AS attended FROM p LEFT JOIN l USING (id)""")
 def sensory_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensory.attend(view(spark, sf_dir, PERCEPTIONS, "events", "pages"), 20_000).select("id", "attended")
@@ -166,7 +189,7 @@ def search_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalkit.sweeps(table(spark, sf_dir, "events").selectExpr("user_id as session", "event_id as at", "event_type in ('click', 'view') as search", "cast(floor(value * 100) as bigint) as bytes"))
 
 
-@query("""WITH g AS (SELECT source, count(*) AS n, sum(quality) AS k FROM documents JOIN labels USING (doc_id) GROUP BY source), p AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM g)
+@query("""WITH g AS (SELECT source, count(*) AS n, sum(quality) AS k FROM documents JOIN labels USING (doc_id) GROUP BY source), p AS (SELECT *, k / n AS p, 1.96 AS z FROM g)
 SELECT source, round(greatest(0.0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS low,
 round(least(1.0, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS high FROM p""")
 def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:

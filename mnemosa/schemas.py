@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, ByteType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-_TYPES = {"string": StringType(), "double": DoubleType(), "int": IntegerType(), "long": LongType(), "binary": BinaryType(), "array<string>": ArrayType(StringType())}
+_TYPES = {"string": StringType(), "double": DoubleType(), "int": IntegerType(), "long": LongType(), "binary": BinaryType(), "array<string>": ArrayType(StringType()), "array<int>": ArrayType(IntegerType()), "array<tinyint>": ArrayType(ByteType())}
 
 
 def _schema(columns: str) -> StructType:
@@ -16,12 +16,12 @@ def _schema(columns: str) -> StructType:
 
 FACTS = _schema(
     "id string, project_key string, project_label string, project_path string, session_id string, kind string, text string, title string, subtitle string, narrative string, "
-    "files array<string>, type string, observation_id string, created_at double, last_seen double, dim int, scale double, vec_int8 binary, vec_bits binary, importance double, "
+    "files array<string>, type string, observation_id string, created_at double, last_seen double, dim int, scale double, vec_int8 array<tinyint>, vec_bits binary, importance double, "
     "frequency int, status string, superseded_by string, tier string, recall_count int, last_recalled double, injected_count int, used_count int"
 )
 CHUNKS = _schema(
     "id string, project_key string, source_path string, kind string, anchor string, title string, heading_path string, level int, summary string, body string, byte_start long, byte_end long, "
-    "content_hash string, dim int, scale double, vec_int8 binary, indexed_at double"
+    "content_hash string, dim int, scale double, vec_int8 array<tinyint>, indexed_at double"
 )
 CHUNK_SOURCES = _schema("project_key string, source_path string, file_hash string, mtime_ns long, indexed_at double")
 SENSORY = _schema("id string, project_key string, modality string, observation_id string, url string, text string, attended int, created_at double, decayed_at double")
@@ -32,6 +32,8 @@ RECALL_EVENTS = _schema("ts double, project_key string, query string, returned i
 USAGE_EVENTS = _schema("ts double, project_key string, kind string, bytes_in long, bytes_saved long")
 EDGES = _schema("src_id string, dst_id string, kind string, weight double")
 INDEX_META = _schema("project_key string, label string, path string, updated_at double")
+TERMS = _schema("id string, version string, length int, col int, term string, places array<int>")
+CANARY = _schema("id long, model string, dim int, vec_int8 array<tinyint>, scale double")
 CURSORS = _schema("cursor_key string, offset long, updated_at double")
 
 #: What a column of an older table holds where it was missing.

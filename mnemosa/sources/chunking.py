@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SECTION = "source_path string, anchor string, title string, heading_path string, level int, byte_start long, byte_end long, body string"
-SYMBOL = "source_path string, anchor string, kind string, signature string, doc string, byte_start long, byte_end long"
+SYMBOL = "source_path string, anchor string, kind string, signature string, doc string, byte_start long, byte_end long, body string"
 
 _atx = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _fence = re.compile(r"^ {0,3}(`{3,}|~{3,})")
@@ -74,7 +74,7 @@ def symbols(path: str, source: str) -> list[tuple]:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
         return []
-    starts = [0]
+    data, starts = source.encode(), [0]
     for line in source.split("\n"):
         starts.append(starts[-1] + len(line.encode()) + 1)
     out = []
@@ -87,7 +87,8 @@ def symbols(path: str, source: str) -> list[tuple]:
             is_class = isinstance(node, ast.ClassDef)
             head = f"class {node.name}" if is_class else f"{'async ' * isinstance(node, ast.AsyncFunctionDef)}def {node.name}({ast.unparse(node.args)})"
             first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            out.append((path, name, "class" if is_class else "method" if above else "function", head, ast.get_docstring(node), starts[first - 1], min(starts[node.end_lineno], len(source.encode()))))
+            begin, end = starts[first - 1], min(starts[node.end_lineno], len(data))
+            out.append((path, name, "class" if is_class else "method" if above else "function", head, ast.get_docstring(node), begin, end, data[begin:end].decode()))
             if is_class:
                 walk(node.body, name)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 CONTENT = "array<struct<type:string,text:string,name:string,id:string,tool_use_id:string,input:map<string,string>,content:string>>"
 MESSAGE = "type string, message struct<role:string, content:string>"
 REMINDER = r"(?s)<system-reminder>.*?</system-reminder>"
@@ -16,10 +18,9 @@ def prompts(turns: DataFrame, least: int = 12, most: int = 600) -> DataFrame:
     return turns.where((F.col("role") == "user") & F.length(line).between(least, most)).select("conv_id", "turn", line.alias("line"))
 
 
-def admissions(turns: DataFrame, markers: list[str]) -> DataFrame:
-    """conv_id, turns, and how many hold any of the markers."""
-    held = F.lower("text").rlike("|".join(markers))
-    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.when(held, 1).otherwise(0)).alias("admitted"))
+def admissions(turns: DataFrame) -> DataFrame:
+    """conv_id, turns, and in how many of them a mistake is admitted."""
+    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(rules.has_admission(F.col("text")).cast("long")).alias("admitted"))
 
 
 def _parsed(lines: DataFrame, line: str) -> DataFrame:
@@ -27,25 +28,46 @@ def _parsed(lines: DataFrame, line: str) -> DataFrame:
     return lines.withColumn("m", m).withColumn("role", F.coalesce("m.message.role", "m.type")).withColumn("blocks", F.from_json("m.message.content", CONTENT))
 
 
+def short(value: Column, most: int = 80) -> Column:
+    """On one line, cut with an ellipsis."""
+    t = F.trim(F.regexp_replace(value, r"\s+", " "))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, most - 1), F.lit("…")))
+
+
 def action(name: Column, args: Column) -> Column:
     """One line for a tool call; null for calls that say nothing."""
-    path, command = F.coalesce(args["file_path"], args["path"]), args["command"]
+    said = lambda *keys: F.coalesce(*(args[k] for k in keys), F.lit("?"))
+    path = F.regexp_replace(said("file_path"), "/+$", "")
+    base = F.when(path == "", said("file_path")).otherwise(F.regexp_extract(path, "([^/]*)$", 1))
+    line = lambda head, tail: F.concat(F.lit(head), tail)
     return (
-        F.when(name.isin("Edit", "Write", "MultiEdit"), F.concat(F.lit("Edited "), path))
-        .when(name == "Bash", F.concat(F.lit("Ran: "), F.substring(command, 1, 120)))
-        .when(name.isin("TodoWrite"), F.lit(None))
-        .otherwise(F.concat(F.lit("Used "), name))
+        F.when(name.isin("Edit", "MultiEdit", "NotebookEdit"), line("Edited ", base))
+        .when(name == "Write", line("Wrote ", base))
+        .when(name == "Read", line("Read ", base))
+        .when(name == "Bash", line("Ran: ", short(said("command", "description"))))
+        .when(name.isin("Grep", "Glob"), line("Searched for ", short(said("pattern"), 60)))
+        .when(name == "Task", line("Delegated task: ", short(said("description", "subagent_type"), 60)))
+        .when(name == "WebFetch", line("Fetched ", short(said("url"), 60)))
+        .when(name == "TodoWrite", F.lit(None).cast("string"))
+        .when(name.startswith("mcp__"), line("Called ", name))
+        .otherwise(F.concat(F.lit("Used "), name, F.lit(": "), short(F.to_json(F.coalesce(args, F.create_map().cast("map<string,string>"))), 60)))
     )
 
 
 def texts(lines: DataFrame, line: str = "value") -> DataFrame:
-    """role and text of each message part: plain text without reminders, and actions; thinking and results are left out."""
+    """role and text of each message part: plain text without reminders, and an assistant's actions; scaffolding, thinking and results are left out."""
     p = _parsed(lines, line)
-    plain = p.where("blocks is null").select("role", F.col("m.message.content").alias("text"))
+    plain = p.where("blocks is null").select("role", F.col("m.message.content").alias("text"), F.lit(True).alias("said"))
     b = p.select("role", F.explode("blocks").alias("b"))
-    part = F.when(F.col("b.type") == "text", F.col("b.text")).when(F.col("b.type") == "tool_use", action(F.col("b.name"), F.col("b.input")))
-    both = plain.unionByName(b.select("role", part.alias("text")))
-    return both.select("role", F.trim(F.regexp_replace("text", REMINDER, "")).alias("text")).where("text <> '' and role in ('user', 'assistant')")
+    part = F.when(F.col("b.type") == "text", F.col("b.text")).when((F.col("b.type") == "tool_use") & (F.col("role") == "assistant"), action(F.col("b.name"), F.col("b.input")))
+    both = plain.unionByName(b.select("role", part.alias("text"), (F.col("b.type") == "text").alias("said")))
+    cleaned = both.select("role", F.regexp_replace(F.regexp_replace("text", REMINDER, ""), r"^\s+|\s+$", "").alias("text"), "said").where("text <> '' and role in ('user', 'assistant')")
+    return cleaned.where(~((F.col("role") == "user") & F.col("said") & rules.is_harness(F.col("text")))).select("role", "text")
+
+
+def asked(lines: DataFrame, line: str = "value") -> DataFrame:
+    """text: what users wrote, word for word."""
+    return texts(lines, line).where("role = 'user'").select("text")
 
 
 def tool_calls(lines: DataFrame, line: str = "value") -> DataFrame:

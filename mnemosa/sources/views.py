@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NOW = 1_711_843_200.0
 
@@ -26,7 +27,7 @@ PERCEPTIONS = """
 SELECT e.event_id AS id, CONCAT('user', CAST(e.user_id % 10 AS VARCHAR(20))) AS project_key, CASE WHEN e.event_type = 'view' THEN 'visual' ELSE 'verbal' END AS modality,
   p.url AS url, CAST(1704067200 + e.event_id * 37 AS DOUBLE) AS created_at, CAST(CASE WHEN e.event_id % 5 = 0 THEN 1 ELSE 0 END AS INT) AS attended,
   CASE WHEN e.event_id % 9 = 0 THEN CAST(1704067200 + e.event_id * 37 + 500 AS DOUBLE) END AS decayed_at
-FROM events e JOIN pages p ON p.page_id = e.event_id % 250
+FROM events e CROSS JOIN (SELECT count(*) AS n FROM pages) c JOIN pages p ON p.page_id = e.event_id % c.n
 """
 
 #: Work items, one for each event.
@@ -77,6 +78,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts whose document has a vector."""
-    v = vectors(spark, sf_dir).selectExpr("vec_id as id", "vec", "label")
-    return facts(spark, sf_dir).join(v, "id")
+    """Every fact with a vector: that of its document's number, counted round the table of vectors."""
+    return with_vectors(facts(spark, sf_dir), spark, sf_dir)
+
+
+#: The join of rows (id) with their vectors, as SQL.
+HAS_VECTOR = "JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings)"
+
+
+def with_vectors(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows (id LONG) with vec and label."""
+    v = vectors(spark, sf_dir)
+    n = v.count()
+    return rows.withColumn("vec_id", F.col("id") % n).join(v, "vec_id").drop("vec_id")

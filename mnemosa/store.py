@@ -1,4 +1,4 @@
-"""Snapshots of a table: numbered Parquet versions and a pointer to the current one; one writer at a time."""
+"""Snapshots of a table: numbered versions, each a list of Parquet folders; one writer at a time."""
 
 from __future__ import annotations
 
@@ -10,7 +10,21 @@ from pyspark.sql.types import StructType
 from .schemas import upgrade
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder that spark.checkpoint.dir names and read back; in local mode a folder under /tmp where it is unset."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "file:///tmp/checkpoints")
+    return df.checkpoint()
+
+
 class Snapshots:
+    """A version's marker lists the folders of its rows, so adding rows writes only those."""
+
     def __init__(self, spark: SparkSession, root: str, schema: StructType | None = None):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         jvm = spark.sparkContext._jvm
@@ -24,26 +38,49 @@ class Snapshots:
             return 0
         return max((int(s.getPath().getName()) for s in self._fs.listStatus(at)), default=0)
 
+    def folders(self, version: int) -> list[str]:
+        stream = self._fs.open(self._path(f"{self.root}/_versions/{version}"))
+        try:
+            return bytes(stream.readAllBytes()).decode().split()
+        finally:
+            stream.close()
+
     def read(self) -> DataFrame:
         v = self.version()
         if not v:
             if self.schema is None:
                 raise FileNotFoundError(self.root)
             return self.spark.createDataFrame([], self.schema)
-        df = self.spark.read.parquet(f"{self.root}/v={v}")
+        df = self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.root}/{f}" for f in self.folders(v)))
         return upgrade(df, self.schema) if self.schema else df
 
-    def write(self, df: DataFrame) -> int:
-        """df as the next version; readers see it once its marker is there."""
+    def _commit(self, df: DataFrame, before: list[str]) -> int:
         v = self.version() + 1
         df.write.mode("overwrite").parquet(f"{self.root}/v={v}")
         self._fs.mkdirs(self._path(f"{self.root}/_versions"))
-        self._fs.create(self._path(f"{self.root}/_versions/{v}"), False).close()
+        stream = self._fs.create(self._path(f"{self.root}/_versions/{v}"), False)
+        stream.write(bytearray("\n".join([*before, f"v={v}"]).encode()))
+        stream.close()
         return v
 
+    def write(self, df: DataFrame) -> int:
+        """df as the next version; readers see it once its marker is there."""
+        return self._commit(df, [])
+
+    def append(self, rows: DataFrame) -> int:
+        """The rows of the current version and these, of which only these are written."""
+        v = self.version()
+        return self._commit(upgrade(rows, self.schema) if self.schema else rows, self.folders(v) if v else [])
+
     def apply(self, change: Callable[[DataFrame], DataFrame]) -> int:
         return self.write(change(self.read()))
 
     def drop_old(self, keep: int = 2) -> None:
-        for v in range(1, self.version() - keep + 1):
-            self._fs.delete(self._path(f"{self.root}/v={v}"), True)
+        """Delete the folders that none of the last `keep` versions lists, and the markers before those."""
+        last = self.version()
+        held = {f for v in range(max(1, last - keep + 1), last + 1) for f in self.folders(v)}
+        for v in range(1, last + 1):
+            if f"v={v}" not in held:
+                self._fs.delete(self._path(f"{self.root}/v={v}"), True)
+            if v <= last - keep:
+                self._fs.delete(self._path(f"{self.root}/_versions/{v}"), False)

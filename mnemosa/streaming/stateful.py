@@ -14,28 +14,34 @@ from ..functions import text
 
 
 def attention(perceptions: DataFrame, window: float = 300) -> DataFrame:
-    """id, attended for each perception (id, project_key, url, created_at): another of the page came within the window before it.
+    """id of each perception that is attended: another of its project and page came within the window, before or after it.
 
-    State by project and page is the time of its latest perception, dropped when
-    the watermark of `ts` passes the window, so it holds pages in view only.
+    The same rows as sensory.attend marks: live, visual, with a URL.  State by
+    project and page is its latest perception and whether that was given out,
+    dropped when the watermark of `ts` passes the window, so it holds pages in view
+    only.
     """
+    from ..operators import sensory
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(frames)).sort_values(["created_at", "id"])
-        last = state.get[0] if state.exists else None
+        held, at, told = state.get if state.exists else (None, None, True)
         out = []
-        for i, at in zip(rows["id"], rows["created_at"], strict=True):
-            out.append((i, int(last is not None and at - last <= window)))
-            last = at if last is None else max(last, at)
-        state.update((float(last),))
-        state.setTimeoutTimestamp(max(int((last + window) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["id", "attended"])
-
-    keyed = perceptions.withColumn("page", text.normalize_url(F.col("url"))).withColumn("ts", F.timestamp_seconds("created_at")).withWatermark("ts", "10 minutes")
-    return keyed.groupBy("project_key", "page").applyInPandasWithState(step, "id long, attended int", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+        for i, now in zip(rows["id"].tolist(), rows["created_at"].tolist(), strict=True):
+            near = at is not None and abs(now - at) <= window
+            out += [held] * (near and not told) + [i] * near
+            if at is None or now >= at:
+                held, at, told = i, now, near
+        state.update((int(held), float(at), bool(told)))
+        state.setTimeoutTimestamp(max(int((at + window) * 1000), state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame({"id": out})
+
+    keyed = perceptions.where(sensory.is_seen(perceptions)).withColumn("page", text.normalize_url(F.col("url"))).withColumn("ts", F.timestamp_seconds("created_at")).withWatermark("ts", "10 minutes")
+    return keyed.groupBy("project_key", "page").applyInPandasWithState(step, "id long", "held long, at double, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def decay(perceptions: DataFrame, ttl: float = 900) -> DataFrame:

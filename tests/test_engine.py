@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from mnemosa.engine import Engine
@@ -61,23 +62,33 @@ def test_queue(spark):
     taken = work_queue.apply(q, work_queue.claim(q, 100.0, 10.0, 5))
     assert taken.first().lease_expires == 110.0 and work_queue.claim(taken, 105.0, 10.0, 5).isEmpty()
     assert work_queue.claim(taken, 120.0, 10.0, 5).first().attempts == 2
-    assert work_queue.nak(taken, 100.0, (50,), 5).first().next_retry_at == 150.0
-    assert work_queue.nak(taken, 100.0, (50,), 1).first().status == "dead"
+    other = taken.withColumn("msg_id", F.lit("n"))
+    given = {r.msg_id: r for r in work_queue.nak(taken.unionByName(other), taken, 100.0, (50,), 5).collect()}
+    assert given["m"].next_retry_at == 150.0 and given["m"].status == "pending" and given["n"].status == "in_progress" and given["n"].lease_expires == 110.0
+    assert work_queue.nak(taken, taken, 100.0, (50,), 1).first().status == "dead" and work_queue.term(taken, taken).first().status == "dead"
+    assert work_queue.purge(q, status="pending").isEmpty() and work_queue.purge(q, stage="t").count() == 1
+    with pytest.raises(ValueError):
+        work_queue.purge(q)
 
 
 def test_attention_stream_equals_batch(spark, tmp_path):
-    rows = [(i, "p", f"http://x/{i % 3}#f", "visual", 1e9 + 60 * i, 0, None) for i in range(20)]
+    """Repeats within and beyond the window, rows without URL, other modality, tombstones, two projects, in three batches."""
+    rows = [(i, "pq"[i % 7 == 0], None if i % 11 == 5 else "" if i % 11 == 6 else f"http://x/{i % 3}#f{i}", "verbal" if i % 13 == 4 else "visual", 1e9 + 37 * i + 400 * (i // 15), 0, 1.0 if i % 17 == 3 else None) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, project_key string, url string, modality string, created_at double, attended int, decayed_at double")
-    df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in")
+    for k in range(3):
+        df.where(F.floor(F.col("id") / 20) == k).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
     q = stateful.attention(stream, 200).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = {r.id: r.attended for r in spark.table("seen").collect()}
-    last, want = {}, {}
-    for i, *_ , at, _, _ in rows:
-        want[i] = int(i % 3 in last and at - last[i % 3] <= 200)
-        last[i % 3] = at
-    assert got == want
+    got = [r.id for r in spark.table("seen").collect()]
+    want = {r.id for r in sensory.attend(df, 200).where("attended = 1").collect()}
+    assert set(got) == want and len(got) == len(want) and 5 < len(want) < 50
+
+
+def test_attention_needs_a_page(spark):
+    rows = [("a", None, 1.0), ("b", None, 2.0), ("c", "http://x", 1.0), ("d", "http://x#y", 9.0), ("e", "http://x", 9000.0)]
+    df = spark.createDataFrame([(i, "p", u, "visual", t, 0, None) for i, u, t in rows], "id string, project_key string, url string, modality string, created_at double, attended int, decayed_at double")
+    assert {r.id for r in sensory.attend(df).where("attended = 1").collect()} == {"c", "d"}
 
 
 def test_decay_stream(spark, tmp_path):

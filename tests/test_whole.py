@@ -1,4 +1,4 @@
-"""Queries that do the whole job, against plain Python; SQL beside their parts covers less."""
+"""Queries on texts of any script and shape, against plain Python."""
 
 import random
 import re
@@ -24,13 +24,13 @@ def test_facts_of_turns_with_long_lines(spark, tmp_path):
     long = " ".join(f"Sentence number {i} of a long line stands here!" for i in range(9))
     rows = [(1, 0, "- A short line of facts.\n" + long), (1, 1, "word " * 80), (1, 2, None), (2, 0, f"* {long} é. Sentence number 3 of a LONG line stands here!\nThe last line here.")]
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
-    got = {(r.conv_id, r.turn, r.place): r.fact for r in registry.queries()["heuristic_facts_whole"](spark, f"file://{tmp_path}").collect()}
+    got = {(r.conv_id, r.turn, r.place): r.fact for r in registry.queries()["heuristic_facts"](spark, f"file://{tmp_path}").collect()}
     assert got == {(c, t, n): f for c, t, body in rows for n, f in enumerate(facts_of(body))}
     assert len([k for k in got if k[:2] == (1, 0)]) == 10 and len(got) == 20
 
 
 def test_facts_of_all_turns(spark, sf):
-    got = {(r.conv_id, r.turn, r.place): r.fact for r in registry.queries()["heuristic_facts_whole"](spark, sf).collect()}
+    got = {(r.conv_id, r.turn, r.place): r.fact for r in registry.queries()["heuristic_facts"](spark, sf).collect()}
     turns = spark.read.parquet(f"{sf}/conversations.parquet").collect()
     assert got == {(r.conv_id, r.turn, n): f for r in turns for n, f in enumerate(facts_of(r.text))}
 
@@ -46,7 +46,7 @@ def names_of(body):
 def test_names_by_all_patterns_in_any_script(spark, sf, tmp_path):
     rows = list(enumerate(["see core/store.py and a-b/c.d-e/", "add_records of core.recall.search.top in RetentionWeights", "éadd_it naïve_path/größe.txt ÀB.été x.y", "日本.語文 ein_wort, FooBarÉ FooBar", None, "", "-x/y K.kk.ſs ²½.ab a\u0301b.cde"]))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
-    run = registry.queries()["entity_extract_whole"]
+    run = registry.queries()["entity_extract"]
     assert {r.doc_id: r.names for r in run(spark, f"file://{tmp_path}").collect()} == {i: names_of(t) for i, t in rows}
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     assert {r.doc_id: r.names for r in run(spark, sf).collect()} == {r.doc_id: names_of(r.text) for r in docs}
@@ -63,7 +63,7 @@ def skipped(rows, most):
 
 def test_skip_packs_all_active_facts(spark, sf):
     rows = [(r.project_key, r.id, min(len(r.text), 240) + 3) for r in facts(spark, sf).where("status = 'active'").collect()]
-    got = {(r.project_key, r.id): r.used for r in registry.queries()["pack_skip_whole"](spark, sf).collect()}
+    got = {(r.project_key, r.id): r.used for r in registry.queries()["pack_skip"](spark, sf).collect()}
     assert got == skipped(rows, 1200)
 
 
