@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import lifecycle as lc
-from ..sources.views import FACTS, NOW, embedded_facts, facts, table, vectors
+from ..sources.views import FACTS, HAS_VECTOR, NOW, embedded_facts, facts, table, vectors
 from .recall import BOOST, COS, DECAY, _HALF
 from .registry import query
 
@@ -114,14 +114,51 @@ def refine_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc.refine(scored, 0, 1.0).select("id", (F.col("retention") >= 1).alias("strong"), "status")
 
 
-@query()
+def _merging(facts: str) -> str:
+    """Common table expressions from `facts` (id, project_key, text, v, counters, last ones): `gone` has the ids that a stronger fact absorbs."""
+    return f"""pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY created_at DESC, id DESC) AS newest FROM {facts} WHERE status = 'active' AND tier = 'stm') WHERE newest <= 512),
+ord AS (SELECT id, project_key, v, row_number() OVER (PARTITION BY project_key ORDER BY frequency DESC, recall_count DESC, last_seen DESC, length(text) DESC, id) AS n FROM pool),
+near AS (SELECT b.project_key, b.n, list(a.n) AS stronger FROM ord a JOIN ord b ON a.project_key = b.project_key AND a.n < b.n AND round({COS.format('a.v', 'b.v')}, 6) >= 0.3 GROUP BY ALL),
+walk AS (SELECT project_key, 1::BIGINT AS n, [1::BIGINT] AS kept FROM ord WHERE n = 1 UNION ALL
+SELECT w.project_key, o.n, CASE WHEN len(list_intersect(w.kept, coalesce(near.stronger, []))) > 0 THEN w.kept ELSE list_append(w.kept, o.n) END FROM walk w JOIN ord o ON o.project_key = w.project_key AND o.n = w.n + 1 LEFT JOIN near ON near.project_key = o.project_key AND near.n = o.n),
+gone AS (SELECT o.id FROM ord o JOIN walk w ON w.project_key = o.project_key AND w.n = o.n WHERE NOT list_contains(w.kept, o.n))"""
+
+
+_EMBEDDED = f"WITH RECURSIVE f AS ({FACTS}), e AS (SELECT f.*, CAST(embedding AS DOUBLE[]) AS v FROM f {HAS_VECTOR})"
+
+
+@query(_EMBEDDED + ", " + _merging("e") + " SELECT id, project_key, CASE WHEN id IN (SELECT id FROM gone) THEN 'merged' ELSE status END AS status FROM e")
 def integrate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc.integrate(embedded_facts(spark, sf_dir), 0.3).select("id", "project_key", "status")
 
 
-@query()
+#: All steps in turn, each a table: r replayed, d displaced, m merged, p pruned, x expired.
+_ALL_STEPS = _EMBEDDED + f""", r AS (SELECT * REPLACE (CASE WHEN hit THEN 'ltm' ELSE tier END AS tier, CASE WHEN hit THEN {NOW} ELSE last_seen END AS last_seen) FROM (SELECT *, status = 'active' AND recall_count >= 1 AND tier = 'stm' AS hit FROM e)),
+dr AS (SELECT id, row_number() OVER (PARTITION BY project_key ORDER BY frequency DESC, last_seen DESC, id) AS n FROM r WHERE status = 'active' AND tier = 'stm'),
+d AS (SELECT r.* REPLACE (CASE WHEN n > 5 THEN 'displaced' ELSE status END AS status) FROM r LEFT JOIN dr USING (id)), """ + _merging("d") + f""",
+m AS (SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM gone) THEN 'merged' ELSE status END AS status) FROM d), sn AS (SELECT superseded_by AS id, count(*) AS k FROM m WHERE superseded_by IS NOT NULL GROUP BY 1),
+sc AS (SELECT m.*, status = 'active' AND tier = 'ltm' AND kind <> 'antipattern' AS held, round(0.3 * {_HALF.format('recall_count')} + 0.3 * {DECAY} + 0.1 * ((CASE WHEN title <> '' THEN 1.0 ELSE 0.0 END
++ CASE WHEN type IS NOT NULL THEN 1.0 ELSE 0.0 END) / 3) + 0.1 * {_HALF.format('coalesce(k, 0)')} + 0.2 * {BOOST}, 6) AS retention FROM m LEFT JOIN sn ON sn.id = m.id),
+p AS (SELECT * REPLACE (CASE WHEN held AND rk > 12 THEN 'pruned' ELSE status END AS status) FROM (SELECT *, row_number() OVER (PARTITION BY project_key, held ORDER BY retention DESC, id) AS rk FROM sc)),
+u AS (SELECT id, unnest([concat('file', id % 7), concat('file', id % 5 + 4)]) AS path FROM p WHERE status = 'active' AND kind = 'antipattern'), st AS (SELECT id FROM u GROUP BY id HAVING max(CASE WHEN path IN ('file1', 'file5', 'file6') THEN 1 ELSE 0 END) = 0),
+x AS (SELECT *, status <> 'active' AND coalesce(last_seen, created_at) < {NOW} - {60 * _DAY} AS cold FROM (SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM st) THEN 'expired' ELSE status END AS status) FROM p))"""
+
+
+def _consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = embedded_facts(spark, sf_dir).withColumn("files", F.expr("array(concat('file', id % 7), concat('file', id % 5 + 4))"))
+    files = spark.range(1).select(F.explode(F.array(*map(F.lit, ("file1", "file5", "file6")))).alias("path"))
+    return lc.consolidation(f, NOW, 5, 0.3, 12, horizon=60 * _DAY, files=files)
+
+
+@query(_ALL_STEPS + " SELECT id, status, tier FROM x WHERE NOT cold")
 def consolidate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lc.consolidate(embedded_facts(spark, sf_dir), NOW, 5, 0.3, 12, horizon=60 * _DAY).groupBy("status", "tier").agg(F.count("*").alias("n"))
+    return _consolidated(spark, sf_dir).where("purged = 0").select("id", "status", "tier")
+
+
+@query(_ALL_STEPS + """ SELECT (SELECT count(*) FROM r WHERE hit) AS replayed, (SELECT count(*) FROM dr WHERE n > 5) AS displaced, (SELECT count(*) FROM gone) AS merged,
+(SELECT count(*) FROM p WHERE status = 'pruned') AS pruned, (SELECT count(*) FROM st) AS expired, (SELECT count(*) FROM x WHERE cold) AS purged""")
+def consolidation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lc.consolidation_counts(_consolidated(spark, sf_dir))
 
 
 @query(_F + """, x AS (SELECT id, unnest([concat('file', id % 7), concat('file', id % 5 + 4)]) AS path FROM f WHERE status = 'active' AND kind = 'antipattern'),
