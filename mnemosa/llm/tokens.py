@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import regex
 
-from .textkit import Words
+from .textkit import LOWER, Words, span_hashes
 
 #: The pattern that the vocabulary's file gives for its words.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks of these characters only are lower-cased and cut here; they are composed and each has one lower-case form.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-įı-ɏ]*")
-MOST_CHUNKS, MOST_WORDS, AT_ONCE = 1 << 20, 1 << 20, 1000
+MOST_CHUNKS, AT_ONCE = 1 << 20, 1000
+#: Signs that often end a chunk of letters; each is a word of its own.
+TAILS = b".,"
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 class WordIds:
     """Ids of texts by a tokenizer that drops white space and never joins characters across it.
 
     A text's ids are those of its chunks between white space, one after another.
-    The chunks of a run of texts are told apart by 64-bit hashes, looked up once
-    each, and the ids of all are copied together.  The ids of chunks and of the
-    words in them are kept, up to a bound on either; beyond it the cache starts
-    anew.  Chunks with unusual characters, or with the strings of special tokens,
-    go to the tokenizer whole.
+    The chunks of a run of texts are told apart by 64-bit hashes.  A chunk of ASCII
+    letters, with or without one of TAILS behind, is known by the hash of its letters
+    in lower case; others are cut into words here, or go to the tokenizer whole if
+    they have unusual characters or the strings of special tokens.  What is known is
+    kept up to a bound on chunks; beyond it the cache starts anew.
     """
 
     _open: dict[str, WordIds] = {}
@@ -33,13 +39,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.tails = np.array([0, *(self.tokenizer.encode(chr(t), add_special_tokens=False).ids[0] for t in TAILS)], "<u4")
         self._empty()
 
-    def _empty(self) -> None:
-        self.chunks: dict[int, int] = {}  # by hash: the place in `first`
-        self.ids, self.first, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1, np.int64), 0
-
     @classmethod
     def of(cls, path: str) -> WordIds:
         """One for each worker process and file."""
@@ -47,45 +49,75 @@ class WordIds:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _ids(self, missing: list[bytes]) -> list[bytes]:
-        """The packed ids of chunks."""
+    def _empty(self) -> None:
+        self.ids, self.first = np.zeros(1 << 16, "<u4"), np.zeros(1, np.int64)  # entry k has ids[first[k]:first[k+1]]
+        self.letters: dict[int, int] = {}  # entries of words of letters, by hash
+        self.texts: dict[str, bytes] = {}  # ids of other words
+        self.chunks: dict[int, int] = {}  # chunks by hash: the place in entry and tail
+        self.entry, self.tail = np.zeros(0, np.int64), np.zeros(0, np.int8)
+
+    def _add(self, new: list[bytes]) -> np.ndarray:
+        """The numbers of new entries."""
+        size = np.array([len(x) // 4 for x in new], np.int64)
+        used, n = int(self.first[-1]), len(self.first) - 1
+        end = used + int(size.sum())
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.zeros(2 * end, "<u4")])
+        self.ids[used:end] = np.frombuffer(b"".join(new), "<u4")
+        self.first = np.concatenate([self.first, used + np.cumsum(size)])
+        return np.arange(n, n + len(new))
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The packed ids of words, some at a time: the tokenizer tells which word an id is of."""
+        out = []
+        for i in range(0, len(words), AT_ONCE):
+            some = words[i : i + AT_ONCE]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, cuts = np.array(found.ids, "<u4"), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1)).tolist()
+            out += [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def _other(self, missing: list[bytes]) -> list[bytes]:
+        """The packed ids of chunks that aren't letters only."""
         plain, odd = {}, []
         for chunk in missing:
             text = chunk.decode()
-            low = text.lower()
-            if low.isascii() and low.isalpha():
-                plain[chunk] = (low,)
-            elif low[-1] in ".," and low.isascii() and low[:-1].isalpha():
-                plain[chunk] = (low[:-1], low[-1])
-            elif PLAIN.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
-                plain[chunk] = PATTERN.findall(low)
+            if PLAIN.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
+                plain[chunk] = PATTERN.findall(text.lower())
             else:
                 odd.append((chunk, text))
-        new = list({w for ws in plain.values() for w in ws if w not in self.words})
-        for i in range(0, len(new), AT_ONCE):
-            some = new[i : i + AT_ONCE]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-            cuts = np.searchsorted(word, np.arange(len(some) + 1)).tolist()
-            for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
-                self.words[w] = ids[a:b].tobytes()
-        found = {chunk: b"".join([self.words[w] for w in ws]) for chunk, ws in plain.items()}
+        if len(self.texts) > MOST_CHUNKS:
+            self.texts.clear()
+        new = list({w for ws in plain.values() for w in ws if w not in self.texts})
+        self.texts.update(zip(new, self._encode(new), strict=True))
+        found = {chunk: b"".join([self.texts[w] for w in ws]) for chunk, ws in plain.items()}
         for (chunk, _), e in zip(odd, self.tokenizer.encode_batch([t for _, t in odd], add_special_tokens=False), strict=True):
             found[chunk] = np.array(e.ids, "<u4").tobytes()
         return [found[c] for c in missing]
 
-    def _learn(self, hashes: list[int], missing: list[bytes]) -> None:
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        new = self._ids(missing)
-        size = np.array([len(x) // 4 for x in new], np.int64)
-        end, n = self.used + int(size.sum()), len(self.first) - 1
-        if end > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * end, "<u4")])
-        self.ids[self.used : end] = np.frombuffer(b"".join(new), "<u4")
-        self.first = np.concatenate([self.first, self.used + np.cumsum(size)])
-        self.chunks.update(zip(hashes, range(n, n + len(hashes)), strict=True))
-        self.used = end
+    def _learn(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entry and tail of the chunks data[a:b]."""
+        tail = np.zeros(len(a), np.int8)
+        for k, sign in enumerate(TAILS, 1):
+            tail[(data[b - 1] == sign) & (b - a > 1)] = k
+        core = b - (tail > 0)
+        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+        plain = letters[core] - letters[a] == core - a
+        tail[~plain] = 0
+        entry = np.zeros(len(a), np.int64)
+        low = LOWER[data]
+        hashes, first, which = np.unique(span_hashes(low, a[plain], core[plain]), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        at = np.fromiter(map(self.letters.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(new := np.flatnonzero(at < 0)):
+            text, begin, end = low.tobytes(), a[plain][first[new]].tolist(), core[plain][first[new]].tolist()
+            at[new] = self._add(self._encode([text[x:y].decode() for x, y in zip(begin, end, strict=True)]))
+            self.letters.update(zip((keys[i] for i in new.tolist()), at[new].tolist(), strict=True))
+        entry[plain] = at[which]
+        if not plain.all():
+            text = data.tobytes()
+            entry[~plain] = self._add(self._other([text[x:y] for x, y in zip(a[~plain].tolist(), b[~plain].tolist(), strict=True)]))
+        return entry, tail
 
     def packed(self, column: pa.Array) -> list[bytes]:
         """The ids of each row's text, as little-endian unsigned 32-bit numbers."""
@@ -93,15 +125,21 @@ class WordIds:
         hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.chunks) > MOST_CHUNKS:
             self._empty()
-        hashes = hashes.tolist()
-        if missing := [i for i, h in enumerate(hashes) if h not in self.chunks]:
-            data, a, b = words.data.tobytes(), words.starts[first].tolist(), words.ends[first].tolist()
-            self._learn([hashes[i] for i in missing], [data[a[i] : b[i]] for i in missing])
-        at = np.fromiter(map(self.chunks.__getitem__, hashes), np.int64, len(hashes))[which]
-        begin = self.first[at]
-        size = self.first[at + 1] - begin
-        ends = np.cumsum(size)
-        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
-        ids = self.ids[place]
+        keys = hashes.tolist()
+        at = np.fromiter(map(self.chunks.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(new := np.flatnonzero(at < 0)):
+            entry, tail = self._learn(words.data, words.starts[first[new]], words.ends[first[new]])
+            at[new] = np.arange(len(self.entry), len(self.entry) + len(new))
+            self.entry, self.tail = np.concatenate([self.entry, entry]), np.concatenate([self.tail, tail])
+            self.chunks.update(zip((keys[i] for i in new.tolist()), at[new].tolist(), strict=True))
+        entry, tail = self.entry[at][which], self.tail[at][which]
+        begin = self.first[entry]
+        own = self.first[entry + 1] - begin
+        ends = np.cumsum(own + (tail > 0))
+        ids = np.zeros(int(ends[-1]) if len(ends) else 0, "<u4")
+        behind = np.zeros(len(ids), bool)
+        behind[ends[tail > 0] - 1] = True
+        ids[behind] = self.tails[tail[tail > 0]]
+        ids[~behind] = self.ids[np.arange(own.sum()) + np.repeat(begin - (np.cumsum(own) - own), own)]
         edges = np.concatenate([[0], ends])[words.bounds].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return [ids[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]

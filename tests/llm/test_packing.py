@@ -23,16 +23,26 @@ def test_ids_equal_the_tokenizer():
     assert WordIds(PATH).packed(pa.array(ODD)) == want
 
 
+def test_ids_of_documents_equal_the_tokenizer(sf):
+    import pyarrow.parquet as pq
+
+    column = pq.read_table(f"{sf}/documents.parquet").column("text").combine_chunks()
+    texts = [*(t or "" for t in column.to_pylist()), "A.", ".", ",", "a,", "Word.. word.", "İ.", "x<|endoftext|>.", "é,", "don't.", "b1."]
+    t = Tokenizer.from_file(PATH)
+    w = WordIds(PATH)
+    want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert w.packed(pa.array(texts)) == want and w.packed(pa.array(texts[::-1])) == want[::-1]
+
+
 def test_cache_starts_anew(monkeypatch):
     from mnemosa.llm import tokens
 
     monkeypatch.setattr(tokens, "MOST_CHUNKS", 3)
-    monkeypatch.setattr(tokens, "MOST_WORDS", 3)
     w, t = WordIds(PATH), Tokenizer.from_file(PATH)
     for i in range(20):
         text = f"word{i} common word{i}, {ODD[0]}"
         assert w.packed(pa.array([text, None, "", text[::-1]])) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in (text, "", "", text[::-1])]
-    assert len(w.chunks) < 40 and len(w.words) < 40
+    assert len(w.chunks) < 40 and len(w.letters) < 40
 
 
 def naive_best_two_fit(lengths, capacity):
