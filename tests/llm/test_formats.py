@@ -40,6 +40,14 @@ def test_branches(spark):
     }
 
 
+def test_messages_on_a_cycle_belong_to_no_path(spark):
+    """A cycle, a branch hanging on it, a message that is its own parent, and a tree beside them."""
+    rows = [(1, 1, 2, "user", "a", 1.0), (1, 2, 3, "user", "b", 1.0), (1, 3, 1, "user", "c", 1.0), (1, 4, 2, "user", "d", 1.0), (1, 5, 5, "user", "e", 1.0), (1, 6, None, "user", "f", 0.0), (1, 7, 6, "assistant", "g", None), (1, 8, 99, "user", "lost", 0.5)]
+    got = chat_format.format_trees(spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double"), 5).collect()
+    assert [(r.leaf, r.formatted.count("<|im_start|>")) for r in sorted(got, key=lambda r: r["rank"])] == [(8, 1), (7, 2)]
+    assert chat_format.format_trees(spark.createDataFrame([], "conv_id long, node long, parent long, role string, text string, score double")).collect() == []
+
+
 def test_long_thread_and_ties(spark):
     rows = spark.range(150).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     tied = spark.createDataFrame([(2, 0, "user", "a"), (2, 0, "user", "a"), (2, 0, "assistant", None)], "conv_id int, turn long, role string, text string")

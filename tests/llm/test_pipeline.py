@@ -44,3 +44,21 @@ def test_repeated_and_null_ids_leave_one_row_of_a_group(spark, sf):
     for df in (once, left):
         assert df.columns == docs.columns
         assert sorted(((r.doc_id, r.text) for r in df.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_odd_tables_go_through_all_stages(spark, sf):
+    """Nulls in every column, repeated rows, empty and very long texts, extra columns with the operators' names; and no rows at all."""
+    long = " ".join(f"long{i}" for i in range(9000))
+    rows = [(1, "some words of a text that stands alone", "en", "a", 5), (1, "some words of a text that stands alone", "en", "a", 5), (None, None, None, None, None), (None, "", "en", None, 0), (2, long, None, "b", None), (3, "one", "fr", "c", 3), (4, "\n \t", "fr", "c", 3)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' as score", "1 as label", "'r' as row", "2 as tokens", "'k' as row_key_")
+    for docs in (odd, odd.limit(0)):
+        tables, some = Tables(spark), not docs.isEmpty()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            done = tables.write(name, stage(spark, docs, sf))
+            assert done.columns == docs.columns and (done.count() > 0) == some
+            if name in ("toxicity_filter", "substring_dedup"):
+                assert done.count() == docs.count()
+            docs = done
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        got = packed.groupBy("doc_id").agg({"piece": "max"}).collect()
+        assert ({r.doc_id for r in got} == {r.doc_id for r in docs.select("doc_id").collect()}) and bool(got) == some
