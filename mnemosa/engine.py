@@ -12,7 +12,7 @@ from . import schemas
 from .config import DEFAULT, Config
 from .functions import rules, scoring, text, vec
 from .operators import admin, dml, fts, graph, index, lifecycle, pack, retrieve, rollups, scans, sensory, work_queue
-from .sources import chunking, imports
+from .sources import chunking, imports, transcript
 from .store import Snapshots
 
 FACT_COLUMNS = ["text", "title", "subtitle", "narrative", "file_names"]
@@ -41,10 +41,11 @@ class Engine:
     embed gives the vector of a Column of texts; distil the records (seq, text and
     any of title, subtitle, narrative, files, type, observation_id, supersedes,
     scope, degraded) of texts (seq, text).  Both have defaults that need no model.
+    extractors give the symbols of a source by the suffix of its file.
     """
 
-    def __init__(self, spark: SparkSession, root: str, config: Config = DEFAULT, embed: Callable[[Column], Column] | None = None, distil: Callable[[DataFrame], DataFrame] = heuristic, model: str = "hash"):
-        self.spark, self.c, self.distil, self.model = spark, config, distil, model
+    def __init__(self, spark: SparkSession, root: str, config: Config = DEFAULT, embed: Callable[[Column], Column] | None = None, distil: Callable[[DataFrame], DataFrame] = heuristic, model: str = "hash", extractors: dict | None = None):
+        self.spark, self.c, self.distil, self.model, self.extractors = spark, config, distil, model, extractors or chunking.EXTRACTORS
         self.embed = embed or (lambda t: vec.hash_embed(t, self.c.dim))
         table = lambda name, schema: Snapshots(spark, f"{root}/{name}", schema)
         self.facts, self.chunks, self.sources = table("facts", schemas.FACTS), table("chunks", schemas.CHUNKS), table("chunk_sources", schemas.CHUNK_SOURCES)
@@ -165,6 +166,45 @@ class Engine:
         shared = mentions.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.lit("entity").alias("kind"), F.lit(1.0).alias("weight"))
         self.link(together.unionByName(shared))
 
+    def cursor(self, key: str) -> int:
+        return scans.cursor(self.cursors.read(), self.spark.createDataFrame([(key,)], "cursor_key string")).first()["offset"]
+
+    def capture_transcript(self, path: str, project: str, session: str, now: float) -> int:
+        """What a transcript (JSON lines) gained since the last call: its prompts word for word, its facts, and all of it in the register.
+
+        The new end is kept even if nothing came of it; a file that was replaced is read anew.  How many lines were new.
+        """
+        from .store import checkpointed
+
+        key = f"{project}:{session or path}"
+        lines, end = transcript.read_delta(self.spark, path, start := self.cursor(key))
+        if end == start:
+            return 0
+        parts = checkpointed(transcript.texts(self.spark.createDataFrame([(x,) for x in lines], "value string").withColumn("at", F.monotonically_increasing_id()), order="at"))
+        whole = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n").alias("text")).where("text <> ''")
+        self.perceive(whole.select(F.lit(project).alias("project_key"), F.lit("verbal").alias("modality"), F.lit(None).cast("string").alias("url"), "text", F.lit(session).alias("observation_id"), F.lit(float(now)).alias("created_at")), now)
+        self.capture_prompts(parts.where("role = 'user'"), project, now, session)
+        self.capture(whole, project, now, session=session)
+        self.set_cursor(key, end, now)
+        return len(lines)
+
+    def maybe_capture(self, kind: str, path: str, project: str, session: str, now: float, make: Callable[[DataFrame], DataFrame], force: bool = False, least: int = 8000) -> bool:
+        """A session's summary, or its rules (kind `summary` or `antipat`), once its transcript has grown by `least` bytes; whether it was looked at.
+
+        make gives the records of texts (role, text).  Rules are looked for only if the
+        texts admit a mistake; the new size is kept either way.
+        """
+        key, size = f"{kind}:{project}:{session or path}", transcript.size_of(self.spark, path)
+        if not force and size - self.cursor(key) < least:
+            return False
+        texts = transcript.texts(self.spark.read.text(path))
+        if kind == "summary":
+            self.capture_summary(make(texts), project, session, now)
+        elif not texts.where(rules.has_admission(F.col("text"))).isEmpty():
+            self.capture_antipatterns(make(texts), project, now, session)
+        self.set_cursor(key, size, now)
+        return True
+
     def capture_prompts(self, prompts: DataFrame, project: str, now: float, session: str | None = None) -> int:
         """What users asked (text), word for word: known ones are reinforced, without promotion; new ones supersede nothing."""
         rows = prompts.where("trim(text) <> ''").select(text.content_id(F.lit(project), F.col("text")).alias("id"), "text")
@@ -405,7 +445,7 @@ class Engine:
 
     def _chunks_of(self, files: DataFrame, project: str, now: float) -> DataFrame:
         docs = chunking.markdown_sections(files.where("source_path rlike '[.](md|mdx)$'")).withColumns({"kind": F.lit("doc_section"), "summary": rules.first_prose_line(F.col("title"), F.col("body"))})
-        code = chunking.python_symbols(files.where("source_path like '%.py'")).withColumnsRenamed({"signature": "title", "doc": "summary"}).withColumns({"kind": F.lit("code_symbol"), "heading_path": F.regexp_replace("anchor", r"\.?[^.]*$", ""), "level": F.lit(0)})
+        code = chunking.code_symbols(files, self.extractors).withColumnsRenamed({"signature": "title", "doc": "summary"}).withColumns({"kind": F.lit("code_symbol"), "heading_path": F.regexp_replace("anchor", r"\.?[^.]*$", ""), "level": F.lit(0)})
         columns = ["source_path", "kind", "anchor", "title", "heading_path", "level", "summary", "body", "byte_start", "byte_end"]
         both = chunking.unique_anchors(docs.select(columns).unionByName(code.select(columns)), ["source_path"], "byte_start")
         keyed = both.withColumns({"project_key": F.lit(project), "id": text.chunk_id(F.lit(project), F.col("source_path"), F.col("anchor")), "content_hash": F.sha2("body", 256), "indexed_at": F.lit(float(now))})

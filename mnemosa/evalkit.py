@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from dataclasses import replace
 from fractions import Fraction
 
 import numpy as np
@@ -12,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .config import DEFAULT, Config
+from .functions import rules
+from .operators import retrieve
+
 
 def retrieval_quality(queries: DataFrame, gold_hits: DataFrame) -> DataFrame:
     """queries, recall_1, recall_3 and mrr_10 from the relevant hits (qid, rank from 1) of queries (qid)."""
@@ -128,3 +133,58 @@ def average_ranks(rows: DataFrame, by: str, value: str) -> DataFrame:
     """rows with `rank` of the value within `by`, ties at the mean of their ranks."""
     place, ties = F.rank().over(W.partitionBy(by).orderBy(value)), F.count("*").over(W.partitionBy(by, value))
     return rows.withColumn("rank", place + (ties - 1) / 2.0)
+
+
+def evaluate(facts: DataFrame, queries: DataFrame, now: float, c: Config = DEFAULT) -> DataFrame:
+    """retrieval_quality() of queries (qid, q, gold: ids) over facts with vectors, ranked by priority without a gate."""
+    found = retrieve.search_many(facts, queries, now, c)
+    hits = found.join(queries.select("qid", F.explode("gold").alias("id")), ["qid", "id"])
+    return retrieval_quality(queries, hits)
+
+
+def evaluate_stm(facts: DataFrame, queries: DataFrame, now: float, c: Config = DEFAULT, weights: tuple[float, ...] = (1.0, 0.5, 0.0)) -> DataFrame:
+    """evaluate() at several weights of short-term facts: weight and the figures of each."""
+    rows = [evaluate(facts, queries, now, replace(c, stm_recall_weight=w)).withColumn("weight", F.lit(w)) for w in weights]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def mine(facts: DataFrame, least: int = 40, most: int = 500, pool: int = 20_000, same: float = 0.9, topic: float = 0.6, own: str = "") -> DataFrame:
+    """Facts for a test corpus: project_key, id, place, cluster, flags, and the reason of those left out (`dropped`).
+
+    Active facts of a project, newest first, are taken unless they are short, speak of
+    measurements or are nearly one taken before, until there are `most`; each joins
+    the first cluster whose leader is near, or leads one.  The newest `pool` facts of
+    a project that aren't short or contaminated take part, the operator's own bound.
+    """
+    body = F.trim("text")
+    reason = F.when(F.length(body) < least, "short").when(rules.contamination(body).isNotNull(), "contaminated")
+    rows = facts.where("status = 'active' and kind = 'fact'").withColumns({"dropped": reason, "seen": F.coalesce("last_seen", "created_at"), "flags": rules.privacy_flags(body, own)})
+    order = W.partitionBy("project_key").orderBy(F.desc("seen"), F.asc("id"))
+    good = rows.where("dropped is null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= pool)
+    kind = facts.schema["id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_n")
+        v = np.stack(pdf["vec"].to_list()).astype(float)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        v = v / np.where(size > 0, size, 1)
+        kept, leaders, out = [], [], []
+        for i, id_ in enumerate(pdf["id"].tolist()):
+            if len(kept) >= most:
+                break
+            if kept and (np.round(v[kept] @ v[i], 6) >= same).any():
+                out.append((id_, None, None, "duplicate"))
+                continue
+            near = np.flatnonzero(np.round(v[leaders] @ v[i], 6) >= topic) if leaders else []
+            cluster = int(near[0]) if len(near) else len(leaders)
+            leaders += [i] * (not len(near))
+            out.append((id_, len(kept), cluster, None))
+            kept.append(i)
+        return pd.DataFrame(out, columns=["id", "place", "cluster", "dropped"]).astype({"place": "Int64", "cluster": "Int64"}).assign(project_key=pdf["project_key"].iloc[0])
+
+    taken = good.select("project_key", "id", "vec", "_n").groupBy("project_key").applyInPandas(run, f"id {kind}, place long, cluster long, dropped string, project_key string")
+    lost = rows.where("dropped is not null").select("id", F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("cluster"), "dropped", "project_key")
+    return taken.unionByName(lost).join(rows.select("id", "flags"), "id")

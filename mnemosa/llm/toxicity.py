@@ -32,10 +32,10 @@ of documents are never read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,7 +170,7 @@ class Network:
         f, b = (x @ self.p[f"W{d}"] + self.p[f"B{d}"] for d in "fb")
         out = []
         for i in range(0, len(ids), 2048):
-            at, m = ids[i : i + 2048].T, mask[i : i + 2048]
+            at, m = ids[i : i + 2048].T, mask[i : i + 2048].astype(np.float32)
             states = np.concatenate([self.layer("f", lambda t: f[at[t]], m), self.layer("b", lambda t: b[at[t]], m)], 2)  # noqa: B023
             out.append(self.pooled(states, m)[3])
         return np.concatenate(out) if out else np.zeros(0, np.float32)
@@ -216,15 +216,16 @@ class Network:
 
 
 def cut(bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of all rows: row, word ids (0 where the mask is 0), mask; the last one of a row reaches its end."""
+    """All windows of all rows: row, word ids (0 where there is no word), whether there is one; the last one of a row reaches its end."""
     count = np.diff(bounds)
     many = np.maximum(1, -(-(count - WINDOW) // STRIDE) + 1)
     row = np.repeat(np.arange(len(count)), many)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    at = k[:, None] * STRIDE + np.arange(WINDOW)
-    mask = at < count[row][:, None]
-    place = np.where(mask, bounds[:-1][row][:, None] + at, 0)
-    return row, ids[place] if len(ids) else np.zeros(place.shape, np.int64), mask.astype(np.float32)
+    first = ((np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE).astype(np.int32)
+    at = first[:, None] + np.arange(WINDOW, dtype=np.int32)
+    mask = at < count[row].astype(np.int32)[:, None]
+    at += bounds[:-1][row].astype(np.int32)[:, None]
+    at[~mask] = 0
+    return row, ids[at] if len(ids) else np.zeros(at.shape, np.int32), mask
 
 
 class Detector:
@@ -290,17 +291,23 @@ class Adam:
 
 
 class Lesson:
-    """Windows of labelled texts as numbers of distinct words."""
+    """Windows of labelled texts as numbers of distinct words; texts are read in runs of half a megabyte."""
 
     def __init__(self, texts: list[str], labels: np.ndarray):
-        v = Vocabulary(pa.array(texts, pa.string()))
-        self.words, self.size, self.data = v.words, v.size, v.data
-        self.begin = np.cumsum(v.size) - v.size
-        self.row, ids, mask = cut(v.bounds, v.ids)
-        self.ids, self.mask, self.y = ids.astype(np.int32), mask.astype(bool), labels
-        pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(v.bounds)) * max(1, len(v.words)) + v.ids)
-        word, of = pairs % max(1, len(v.words)), pairs // max(1, len(v.words))
-        positive, negative = (np.bincount(word, x[of], len(v.words)) for x in (labels, 1 - labels))
+        found = [Vocabulary(batch.column(0)) for batch in pieces(pa.record_batch([pa.array(texts, pa.string())], ["text"]))] or [Vocabulary(pa.array([], pa.string()))]
+        self.words, first, which = np.unique(np.concatenate([v.words for v in found]), return_index=True, return_inverse=True)
+        size = np.concatenate([v.size for v in found])
+        begin, self.size = np.cumsum(size) - size, size[first]
+        data, self.begin = np.concatenate([v.data for v in found]), np.cumsum(self.size) - self.size
+        self.data = data[np.repeat(begin[first] - self.begin, self.size) + np.arange(self.size.sum())]
+        at = np.cumsum([0, *(len(v.words) for v in found)])
+        ids = np.concatenate([which[a : a + len(v.words)][v.ids] for a, v in zip(at, found, strict=False)]).astype(np.int32)
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(v.bounds) for v in found]))]).astype(np.int64)
+        self.row, self.ids, self.mask = cut(bounds, ids)
+        self.y = labels
+        pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * max(1, len(self.words)) + ids)
+        word, of = pairs % max(1, len(self.words)), pairs // max(1, len(self.words))
+        positive, negative = (np.bincount(word, x[of], len(self.words)) for x in (labels, 1 - labels))
         self.texts = positive + negative
         self.odds = np.log((positive + 0.3) / (labels.sum() + 0.6)) - np.log((negative + 0.3) / ((1 - labels).sum() + 0.6))
 
@@ -314,10 +321,10 @@ class Lesson:
         return np.where(self.mask, of[self.ids], -np.inf).max(1) if len(of) else np.zeros(len(self.row))
 
     def logits(self, encoder: Encoder, network: Network) -> np.ndarray:
-        x = encoder(encoder.number(self.words), self.letters(np.arange(len(self.words))))
-        x = x if len(x) else np.zeros((1, INPUTS), np.float32)
-        step = 1 << 14
-        return np.concatenate([network.logits(x, self.ids[i : i + step], self.mask[i : i + step].astype(np.float32)) for i in range(0, len(self.ids), step)])
+        number, step = encoder.number(self.words), 1 << 13
+        parts = [encoder(number[i : i + step], self.letters(np.arange(i, min(i + step, len(number))))) for i in range(0, len(number), step)]
+        x = np.concatenate(parts) if parts else np.zeros((1, INPUTS), np.float32)
+        return network.logits(x, self.ids, self.mask)
 
     def of_texts(self, logits: np.ndarray) -> np.ndarray:
         out = np.full(len(self.y), -np.inf)
@@ -382,11 +389,22 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Detector:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[int, int] = (4, 2), most: int = MOST_ROWS) -> Detector:
-    """Train on at most `most` labelled texts, picked by a hash of doc_id, none of them held out."""
+    """Train on at most `most` labelled texts, picked by a hash of doc_id, none of them held out.
+
+    One task trains, with those texts alone; the driver gets the model.
+    """
     picked = labels.where(F.col(label).isNotNull() & ~held_out(*held)).select("doc_id", F.col(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    rows: pd.DataFrame = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
-    return train(rows["text"].tolist(), rows["y"].to_numpy())
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").select("doc_id", "text", F.col("y").cast("int").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if found:
+            known = pa.Table.from_batches(found).sort_by([("doc_id", "ascending"), ("text", "ascending"), ("y", "ascending")])
+            model = train(known.column("text").to_pylist(), known.column("y").to_numpy())
+            yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").collect()  # one row, if there is any text
+    return pickle.loads(made[0]["model"]) if made else train([], np.zeros(0))
 
 
 def score(docs: DataFrame, model, held: tuple[int, int] = (4, 2), threshold: float = THRESHOLD) -> DataFrame:

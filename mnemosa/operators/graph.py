@@ -31,11 +31,3 @@ def co_occurrence(rows: DataFrame, group: str, most: int = 50) -> DataFrame:
     first = rows.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy("id"))).where(F.col("_n") <= most).groupBy(group).agg(F.array_sort(F.collect_list("id")).alias("ids"))
     pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
     return first.select(F.explode(pairs).alias("p")).select("p.src", "p.dst", F.lit("cooc").alias("kind"), F.lit(1.0).alias("weight"))
-
-
-def entity_mentions(facts: DataFrame, entities: DataFrame, most: int = 8) -> DataFrame:
-    """src, dst for facts that mention one entity: at most the first `most` holders by id of an entity take part."""
-    held = entities.withColumn("_n", F.row_number().over(W.partitionBy("entity").orderBy("id"))).where(F.col("_n") <= most)
-    ids = held.groupBy("entity").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
-    return ids.select(F.explode(pairs).alias("p")).select("p.src", "p.dst", F.lit("entity").alias("kind"), F.lit(1.0).alias("weight"))

@@ -77,6 +77,13 @@ def search(facts: DataFrame, query: Column | DataFrame, now: float, project: str
     return top(best.unionByName(fill), "score", k)
 
 
+def search_many(facts: DataFrame, queries: DataFrame, now: float, c: Config = DEFAULT, k: int = 10, min_sim: float = -1.0) -> DataFrame:
+    """qid, id, sim, score, rank: search() for a stated set of queries (qid, q), against all active facts."""
+    asked = facts.where(F.col("status") == "active").crossJoin(F.broadcast(queries.select("qid", "q")))
+    sims = asked.where(F.size("vec") == F.size("q")).withColumn("sim", F.round(SCORERS[c.scorer](F.col("vec"), F.col("q")), 6)).where(F.col("sim") >= min_sim)
+    return top(with_score(sims, now, c), "score", k, "qid").select("qid", "id", "sim", "score", "rank")
+
+
 def fuse(ranked: DataFrame, weights: dict[str, float], smoothing: int = 60) -> DataFrame:
     """Weighted reciprocal ranks of ranked (channel, id, rank from 1); channels without a weight count once."""
     weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("channel")), F.lit(1.0))

@@ -217,10 +217,11 @@ def hash_embed_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", vec.hash_embed(F.col("text")).alias("vec")).select("doc_id", F.size("vec").alias("dim"), F.round(vec.norm(F.col("vec")), 6).alias("length"))
 
 
-@query(f"""WITH f AS ({FACTS}) SELECT id, round({DECAY}, 6) AS decay, round({BOOST}, 6) AS boost, round(least(1.0, length(text) / 240.0), 6) AS importance FROM f""")
+@query(f"""WITH f AS ({FACTS}) SELECT id, round({DECAY}, 6) AS decay, round({BOOST}, 6) AS boost, round(least(1.0, length(text) / 240.0), 6) AS importance,
+round(CASE WHEN injected_count <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (injected_count - used_count) / injected_count)) END, 6) AS inhibition FROM f""")
 def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = F.lit(NOW) - F.col("last_seen")
-    return facts(spark, sf_dir).select("id", F.round(scoring.recency_decay(age, 30), 6).alias("decay"), F.round(scoring.frequency_boost(F.col("frequency")), 6).alias("boost"), F.round(scoring.importance(F.col("text")), 6).alias("importance"))
+    return facts(spark, sf_dir).select("id", F.round(scoring.recency_decay(age, 30), 6).alias("decay"), F.round(scoring.frequency_boost(F.col("frequency")), 6).alias("boost"), F.round(scoring.importance(F.col("text")), 6).alias("importance"), F.round(scoring.inhibition(F.col("injected_count"), F.col("used_count")), 6).alias("inhibition"))
 
 
 _HALF = "CASE WHEN {0} + 1 <= 1 THEN 0.0 ELSE least(1.0, ln({0} + 1) / ln(8)) END"
@@ -307,6 +308,23 @@ def latest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("project_key").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"), F.max("created_at").alias("created_at"))
 
 
+_EVAL = HITS.split("q AS (SELECT", 1)[0] + f"""e AS (SELECT f.*, label, CAST(embedding AS DOUBLE[]) AS vec FROM f {HAS_VECTOR}), q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 7),
+p AS (SELECT qid, id, tier, round({COS.format('vec', 'q')}, 6) + 0.3 * {DECAY} + 0.2 * {BOOST} AS score FROM e, q WHERE status = 'active'), w AS (SELECT unnest([1.0, 0.5, 0.0]) AS weight),
+r AS (SELECT weight, qid, id, row_number() OVER (PARTITION BY weight, qid ORDER BY round(score * CASE WHEN tier = 'stm' THEN weight ELSE 1.0 END, 6) DESC, id) AS rank FROM p, w),
+g AS (SELECT weight, qid, min(rank) AS best FROM r WHERE rank <= 10 AND id IN (qid, qid + 1, qid + 2) GROUP BY ALL)"""
+
+
+@query(_EVAL + """ SELECT CAST(weight AS DOUBLE) AS weight, count(*) AS queries, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN best <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(avg(coalesce(1.0 / best, 0.0)), 6) AS mrr_10
+FROM (SELECT weight, qid FROM w, q) LEFT JOIN g USING (weight, qid) GROUP BY weight""")
+def evaluate_stm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of three facts by each query, with less and less weight on the short term."""
+    from .. import evalkit
+
+    v = vectors(spark, sf_dir)
+    asked = v.where("vec_id % 50 = 7").select(F.col("vec_id").alias("qid"), F.col("vec").alias("q"), F.array(F.col("vec_id"), F.col("vec_id") + 1, F.col("vec_id") + 2).alias("gold"))
+    return evalkit.evaluate_stm(embedded_facts(spark, sf_dir), asked, NOW)
+
+
 @query(_TOPK + """, g AS (SELECT k.qid, min(k.rank) AS best FROM k JOIN embeddings a ON a.vec_id = k.qid JOIN embeddings b ON b.vec_id = k.id WHERE k.id <> k.qid AND a.label = b.label AND k.rank <= 11 GROUP BY k.qid)
 SELECT count(*) AS queries, round(avg(CASE WHEN best <= 2 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN best <= 4 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(avg(coalesce(1.0 / (best - 1), 0.0)), 6) AS mrr_10
 FROM q LEFT JOIN g USING (qid)""")

@@ -115,6 +115,21 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return _each(files, symbols, SYMBOL)
 
 
+#: What gives the symbols of a source (rows of SYMBOL from path and text), by suffix; other languages are a parser away.
+EXTRACTORS = {".py": symbols}
+
+
+def code_symbols(files: DataFrame, extractors: dict = EXTRACTORS) -> DataFrame:
+    """Symbols of files (source_path, body) whose suffix has an extractor; one that gives None, as a missing parser does, has none."""
+    of = dict(extractors)
+
+    def rows_of(path: str, body: str) -> list[tuple]:
+        found = next((f for s, f in of.items() if path.endswith(s)), None)
+        return (found(path, body) if found else None) or []
+
+    return _each(files.where(F.col("source_path").rlike("(" + "|".join(map(re.escape, of)) + r")\z")), rows_of, SYMBOL)
+
+
 def unique_anchors(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """anchor with ~2, ~3 after it where it repeats."""
     n = F.row_number().over(W.partitionBy(*by, "anchor").orderBy(order))
@@ -136,6 +151,7 @@ def discover(spark, root: str, suffixes: tuple[str, ...] = (".md", ".py"), most:
     """source_path, body, hash of the files under root with these suffixes, outside hidden and vendor folders, of at most `most` bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(root)
     skip = r"/(\.[^/]+|node_modules|__pycache__|venv|dist|build)/"
-    relative = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/")
+    relative = F.regexp_replace("path", "^.*?" + re.escape(plain) + "/", "")
     kept = files.where((F.col("length") <= most) & ~F.concat(F.lit("/"), relative).rlike(skip))
     return kept.select(relative.alias("source_path"), F.decode("content", "UTF-8").alias("body"), F.sha2("content", 256).alias("hash"))

@@ -54,15 +54,19 @@ def action(name: Column, args: Column) -> Column:
     )
 
 
-def texts(lines: DataFrame, line: str = "value") -> DataFrame:
-    """role and text of each message part: plain text without reminders, and an assistant's actions; scaffolding, thinking and results are left out."""
+def texts(lines: DataFrame, line: str = "value", order: str | None = None) -> DataFrame:
+    """role and text of each message part: plain text without reminders, and an assistant's actions; scaffolding, thinking and results are left out.
+
+    With order, a column of lines, `at` too: that and the part's place in its line.
+    """
     p = _parsed(lines, line)
-    plain = p.where("blocks is null").select("role", F.col("m.message.content").alias("text"), F.lit(True).alias("said"))
-    b = p.select("role", F.explode("blocks").alias("b"))
+    at = F.col(order) if order else F.lit(0)
+    plain = p.where("blocks is null").select("role", F.col("m.message.content").alias("text"), F.lit(True).alias("said"), F.struct(at.alias("line"), F.lit(0).alias("part")).alias("at"))
+    b = p.select("role", at.alias("line"), F.posexplode("blocks").alias("part", "b")).withColumn("at", F.struct("line", "part"))
     part = F.when(F.col("b.type") == "text", F.col("b.text")).when((F.col("b.type") == "tool_use") & (F.col("role") == "assistant"), action(F.col("b.name"), F.col("b.input")))
-    both = plain.unionByName(b.select("role", part.alias("text"), (F.col("b.type") == "text").alias("said")))
-    cleaned = both.select("role", F.regexp_replace(F.regexp_replace("text", REMINDER, ""), r"^\s+|\s+$", "").alias("text"), "said").where("text <> '' and role in ('user', 'assistant')")
-    return cleaned.where(~((F.col("role") == "user") & F.col("said") & rules.is_harness(F.col("text")))).select("role", "text")
+    both = plain.unionByName(b.select("role", part.alias("text"), (F.col("b.type") == "text").alias("said"), "at"))
+    cleaned = both.select("role", F.regexp_replace(F.regexp_replace("text", REMINDER, ""), r"^\s+|\s+$", "").alias("text"), "said", "at").where("text <> '' and role in ('user', 'assistant')")
+    return cleaned.where(~((F.col("role") == "user") & F.col("said") & rules.is_harness(F.col("text")))).select("role", "text", *["at"] * bool(order))
 
 
 def asked(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -78,6 +82,11 @@ def tool_calls(lines: DataFrame, line: str = "value") -> DataFrame:
     return uses.join(results, "id", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+
+
 def read_delta(spark: SparkSession, path: str, offset: int) -> tuple[list[str], int]:
     """The whole lines after a byte offset and the new offset; a file shorter than the offset was replaced and is read anew.
 

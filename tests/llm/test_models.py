@@ -259,6 +259,7 @@ def test_rules_equal_plain_python(spark):
         g = got[i]
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), len(lines) - len(set(lines)), len(repeated))
         assert g.base_failed == (len(w) < 50 or 100 * len(repeated) > 50 * len(w)) and (not g.kept or not g.base_failed)
+    assert quality_rules.rule_figures(df.limit(0)).collect() == [] and sorted(r.doc_id for r in quality_rules.rule_figures(df.union(df)).collect()) == sorted([*got] * 2)
     assert got[6].kept and "rights" not in got[6].clean_text and "Home" not in got[4].clean_text
 
 

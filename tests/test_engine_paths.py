@@ -210,3 +210,75 @@ def test_read_api(spark, tmp_path):
     sweeps = spark.createDataFrame([(1, "/x/a.md", "cache key query", 40_000), (2, "/x/b.py", "nothing", 40_000)], "sweep long, landing string, query string, cost_bytes long")
     t = e.replay(sweeps, "p").first()
     assert (t.sweeps, t.creditable) == (2, 1) and 9000 < t.saved_tokens < 10_000
+
+
+def test_transcript_grows(spark, tmp_path):
+    """Only what came since the last call is read; prompts, facts and the register get it; a replaced file is read anew."""
+    import json
+
+    say = lambda role, text: json.dumps({"type": role, "message": {"role": role, "content": text}}) + "\n"
+    p, e = tmp_path / "t.jsonl", Engine(spark, f"file://{tmp_path}/m")
+    p.write_text(say("user", "Why does the login page fail?") + say("assistant", "The login page fails on an expired token.") + '{"half')
+    assert e.capture_transcript(f"file://{p}", "p", "s", 1.0) == 2 and e.capture_transcript(f"file://{p}", "p", "s", 2.0) == 0
+    facts = {(r.kind, r.text) for r in e.facts.read().collect()}
+    assert ("prompt", "Why does the login page fail?") in facts and ("fact", "The login page fails on an expired token.") in facts
+    assert [r.text for r in e.senses.read().collect()] == ["Why does the login page fail?\nThe login page fails on an expired token."]
+    p.write_text(p.read_text()[:-6] + say("assistant", "My mistake: the token had not expired at all."))
+    assert e.capture_transcript(f"file://{p}", "p", "s", 3.0) == 1 and e.senses.read().count() == 2
+    p.write_text(say("user", "Start again from the beginning."))
+    assert e.capture_transcript(f"file://{p}", "p", "s", 4.0) == 1 and e.cursor("p:s") == p.stat().st_size
+    calls = []
+
+    def make(texts):
+        calls.append(texts.count())
+        return spark.createDataFrame([(0, "Check the clock before blaming a token.", "project")], "seq long, text string, scope string")
+
+    p.write_text(say("assistant", "The page works now. " * 20))
+    at = lambda **kw: e.maybe_capture("antipat", f"file://{p}", "p", "s", 5.0, make, least=100, **kw)
+    assert at() and not at() and at(force=True) and not calls  # nothing admitted
+    p.write_text(p.read_text() + say("assistant", "My mistake, I misread the log. " * 10))
+    assert at() and calls == [2] and e.facts.read().where("kind = 'antipattern'").count() == 1
+    assert e.maybe_capture("summary", f"file://{p}", "p", "s", 6.0, make, force=True) and e.facts.read().where("kind = 'session_summary'").count() == 0
+    assert e.facts.read().where("text like 'Check the clock%'").first().frequency == 2
+
+
+def test_versions_tell_of_changes(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/m")
+    assert e.facts.version() == 0
+    e.capture(lines(spark, "A fact that is long enough to keep."), "p", 1.0)
+    assert e.facts.version() == 1
+    e.recall("fact", "p", 2.0).collect()
+    assert e.facts.version() == 1
+
+
+def test_files_under_a_root(spark, tmp_path):
+    from mnemosa.sources import chunking
+
+    for name in ("a.md", "src/b.py", "src/c.txt", ".git/x.md", "node_modules/y.py", "big.md"):
+        at = tmp_path / "root" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text("# T\n" + "x" * (500 if name == "big.md" else 1))
+    found = {r.source_path: r for r in chunking.discover(spark, f"file://{tmp_path}/root", most=100).collect()}
+    assert set(found) == {"a.md", "src/b.py"} and found["a.md"].body == "# T\nx"
+    other = chunking.code_symbols(spark.createDataFrame([("x.zz", "f g"), ("y.py", "def f(): pass"), ("z.qq", "q")], "source_path string, body string"), chunking.EXTRACTORS | {".zz": lambda p, t: [(p, w, "function", w, None, 0, 1, w) for w in t.split()], ".qq": lambda p, t: None})
+    assert {(r.source_path, r.anchor) for r in other.collect()} == {("x.zz", "f"), ("x.zz", "g"), ("y.py", "f")}
+
+
+def test_edits_are_told_once(spark, tmp_path):
+    from mnemosa.streaming import stateful
+
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:05"), ("b", "2024-01-01 00:00:06"), ("a", "2024-01-01 00:01:00")]
+    df = spark.createDataFrame(rows, "path string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    q = stateful.coalesced_edits(spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in")).writeStream.format("memory").queryName("edits").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.path for r in spark.table("edits").collect()) == ["a", "b"]
+
+
+def test_mined_corpus(spark):
+    from mnemosa import evalkit
+
+    rows = [(1, "A plain fact about the storage of the tables.", [1.0, 0.0], 9.0), (2, "A plain fact about the storage of the tables!", [0.99, 0.05], 8.0), (3, "short", [0.0, 1.0], 7.0), (4, "The benchmark of the day was about the tables here.", [0.0, 1.0], 6.0), (5, "Mail jo@example.org about the key of the storage.", [0.8, 0.6], 5.0), (6, "Another matter that has nothing to do with it at all.", [0.0, 1.0], 4.0), (7, "One more that comes too late to be taken by now, sorry.", [-1.0, 0.0], 3.0)]
+    f = spark.createDataFrame([(i, "p", "active", "fact", t, v, s, 0.0) for i, t, v, s in rows], "id long, project_key string, status string, kind string, text string, vec array<double>, last_seen double, created_at double")
+    got = {r.id: (r.place, r.cluster, r.dropped, list(r.flags)) for r in evalkit.mine(f, most=3).collect()}
+    assert got == {1: (0, 0, None, []), 2: (None, None, "duplicate", []), 3: (None, None, "short", []), 4: (None, None, "contaminated", []), 5: (1, 0, None, ["email"]), 6: (2, 1, None, [])}
