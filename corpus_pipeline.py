@@ -13,7 +13,7 @@ from mnemosa.llm.substring_dedup import strip_repeats
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the detector, trained on the labels of docs, scores under one half."""
+    """Documents that the detector, trained on the labels of docs, scores under its threshold of 0.3."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
