@@ -51,6 +51,8 @@ MOST_ROWS, LEAST_TEXTS, LEAST_OF_A_LABEL, LEAST_STEPS = 4000, 5, 16, 400
 UNKNOWN, DECAY = 0.3, 1e-4
 THRESHOLD = 0.3
 SPACE = 32
+#: Bytes of text that are scored at a time.
+AT_ONCE = 1 << 18
 
 
 class Vocabulary:
@@ -413,7 +415,7 @@ def score(docs: DataFrame, model, held: tuple[int, int] = (4, 2), threshold: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, most=AT_ONCE):
                 value = shared.value(batch.column("text"))
                 yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(value.astype(float)), pa.array((value >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -427,7 +429,7 @@ def keep_clean(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, most=AT_ONCE):
                 yield batch.filter(pa.array(shared.value(batch.column("text")) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
