@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import random
-from dataclasses import replace
 from fractions import Fraction
 
 import numpy as np
@@ -18,12 +17,16 @@ from .functions import rules
 from .operators import retrieve
 
 
+def _quality() -> list[Column]:
+    """Aggregates of `best`, the rank of the first relevant hit, null where there is none."""
+    within = lambda n: F.round(F.avg(F.when(F.col("best") <= n, 1.0).otherwise(0.0)), 6).alias(f"recall_{n}")
+    return [within(1), within(3), F.round(F.avg(F.when(F.col("best") <= 10, 1.0 / F.col("best")).otherwise(0.0)), 6).alias("mrr_10")]
+
+
 def retrieval_quality(queries: DataFrame, gold_hits: DataFrame) -> DataFrame:
     """queries, recall_1, recall_3 and mrr_10 from the relevant hits (qid, rank from 1) of queries (qid)."""
     best = gold_hits.groupBy("qid").agg(F.min("rank").alias("best"))
-    within = lambda n: F.round(F.avg(F.when(F.col("best") <= n, 1.0).otherwise(0.0)), 6)
-    mrr = F.round(F.avg(F.when(F.col("best") <= 10, 1.0 / F.col("best")).otherwise(0.0)), 6)
-    return queries.select("qid").join(best, "qid", "left").agg(F.count("*").alias("queries"), within(1).alias("recall_1"), within(3).alias("recall_3"), mrr.alias("mrr_10"))
+    return queries.select("qid").join(best, "qid", "left").agg(F.count("*").alias("queries"), *_quality())
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -135,20 +138,23 @@ def average_ranks(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.withColumn("rank", place + (ties - 1) / 2.0)
 
 
-def evaluate(facts: DataFrame, queries: DataFrame, now: float, c: Config = DEFAULT) -> DataFrame:
-    """retrieval_quality() of queries (qid, q, gold: ids) over facts with vectors, ranked by priority without a gate."""
-    found = retrieve.search_many(facts, queries, now, c)
-    hits = found.join(queries.select("qid", F.explode("gold").alias("id")), ["qid", "id"])
-    return retrieval_quality(queries, hits)
+def evaluate_stm(facts: DataFrame, queries: DataFrame, now: float, c: Config = DEFAULT, weights: tuple[float, ...] = (1.0, 0.5, 0.0)) -> DataFrame:
+    """weight, and queries, recall_1, recall_3, mrr_10 at it, of queries (qid, q, gold: ids) over facts with vectors, ranked by priority without a gate.
 
+    Facts and queries meet once; the weights of short-term facts are tried on the similarities.
+    """
+    sims = retrieve.similarities(facts.select("id", "status", "tier", "last_seen", "created_at", F.coalesce("frequency", F.lit(1)).alias("frequency"), "vec"), queries)
+    tried = retrieve.with_score(sims.withColumn("weight", F.explode(F.array(*map(F.lit, weights)))), now, c, stm_weight=F.col("weight"))
+    found = retrieve.top(tried, "score", 10, "weight", "qid")
+    gold = queries.select("qid", F.explode("gold").alias("id"))
+    best = found.join(gold, ["qid", "id"]).groupBy("weight", "qid").agg(F.min("rank").alias("best"))
+    asked = queries.select("qid", F.explode(F.array(*map(F.lit, weights))).alias("weight"))
+    return asked.join(best, ["weight", "qid"], "left").groupBy("weight").agg(F.count("*").alias("queries"), *_quality())
 
-def evaluate_stm(facts: DataFrame, queries: DataFrame, now: float, c: Config = DEFAULT, weights: tuple[float, ...] = (1.0, 0.5, 0.0)) -> DataFrame:
-    """evaluate() at several weights of short-term facts: weight and the figures of each."""
-    rows = [evaluate(facts, queries, now, replace(c, stm_recall_weight=w)).withColumn("weight", F.lit(w)) for w in weights]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+
+def evaluate(facts: DataFrame, queries: DataFrame, now: float, c: Config = DEFAULT) -> DataFrame:
+    """evaluate_stm() at the settings' own weight: queries, recall_1, recall_3, mrr_10."""
+    return evaluate_stm(facts, queries, now, c, (c.stm_recall_weight,)).drop("weight")
 
 
 def mine(facts: DataFrame, least: int = 40, most: int = 500, pool: int = 20_000, same: float = 0.9, topic: float = 0.6, own: str = "") -> DataFrame:

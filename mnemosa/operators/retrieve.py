@@ -48,10 +48,11 @@ def with_similarity(facts: DataFrame, query: Column | DataFrame, scorer: str = "
     return facts.where(same).withColumn("sim", F.round(SCORERS[scorer](F.col("vec"), query), 6))
 
 
-def with_score(hits: DataFrame, now: float, c: Config = DEFAULT, penalty: float = 1.0) -> DataFrame:
+def with_score(hits: DataFrame, now: float, c: Config = DEFAULT, penalty: float = 1.0, stm_weight: Column | None = None) -> DataFrame:
+    """hits with the priority score; short-term facts count by the settings' weight, or by a column of hits."""
     age = F.lit(now) - F.coalesce("last_seen", "created_at")
     score = scoring.priority(F.col("sim"), scoring.recency_decay(age, c.half_life_days), scoring.frequency_boost(F.col("frequency")), c)
-    tier = F.when(F.col("tier") == "stm", c.stm_recall_weight).otherwise(1.0)
+    tier = F.when(F.col("tier") == "stm", c.stm_recall_weight if stm_weight is None else stm_weight).otherwise(1.0)
     return hits.withColumn("score", F.round(score * penalty * tier, 6))
 
 
@@ -77,11 +78,29 @@ def search(facts: DataFrame, query: Column | DataFrame, now: float, project: str
     return top(best.unionByName(fill), "score", k)
 
 
-def search_many(facts: DataFrame, queries: DataFrame, now: float, c: Config = DEFAULT, k: int = 10, min_sim: float = -1.0) -> DataFrame:
-    """qid, id, sim, score, rank: search() for a stated set of queries (qid, q), against all active facts."""
-    asked = facts.where(F.col("status") == "active").crossJoin(F.broadcast(queries.select("qid", "q")))
-    sims = asked.where(F.size("vec") == F.size("q")).withColumn("sim", F.round(SCORERS[c.scorer](F.col("vec"), F.col("q")), 6)).where(F.col("sim") >= min_sim)
-    return top(with_score(sims, now, c), "score", k, "qid").select("qid", "id", "sim", "score", "rank")
+def similarities(facts: DataFrame, queries: DataFrame, min_sim: float = -1.0, block: int = 256) -> DataFrame:
+    """Active facts, without vectors, with qid and sim for each of a stated set of queries (qid, q), in blocks of queries."""
+    some = queries.select("qid", "q").toPandas()
+    kept = [c for c in facts.columns if c not in ("vec", "qid", "sim")]
+    schema = ", ".join([f"qid {queries.schema['qid'].dataType.simpleString()}", "sim double", *(f"`{c}` {facts.schema[c].dataType.simpleString()}" for c in kept)])
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
+    asked, names = unit(np.stack(some["q"].to_list()).astype(float)) if len(some) else None, some["qid"].to_numpy()
+
+    def run(batches):
+        for b in batches:
+            if asked is None or not len(b):
+                continue
+            v = unit(np.stack(b["vec"].to_list()).astype(float)).T
+            for start in range(0, len(names), block):
+                s = np.round(asked[start : start + block] @ v, 6) + 0.0
+                q, f = np.nonzero(s >= min_sim)
+                out = b[kept].iloc[f].reset_index(drop=True)
+                out.insert(0, "sim", s[q, f])
+                out.insert(0, "qid", names[start + q])
+                yield out
+
+    size = queries.select(F.max(F.size("q"))).first()[0] or 0
+    return facts.where((F.col("status") == "active") & (F.size("vec") == size)).select(*kept, "vec").mapInPandas(run, schema)
 
 
 def fuse(ranked: DataFrame, weights: dict[str, float], smoothing: int = 60) -> DataFrame:
