@@ -7,10 +7,12 @@ is a few numpy operations and not a Python call.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -67,14 +69,26 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can: a worker is used again by other stages."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` bytes of text; a longer text is a run of its own."""
-    _, offsets = flat(batch.column(batch.schema.get_field_index(column)))
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+    if batch.num_rows:
+        _trim()
 
 
 class Words:
