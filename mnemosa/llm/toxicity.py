@@ -51,6 +51,8 @@ MOST_ROWS, LEAST_TEXTS, LEAST_OF_A_LABEL, LEAST_STEPS = 4000, 5, 16, 400
 UNKNOWN, DECAY = 0.3, 1e-4
 THRESHOLD = 0.3
 SPACE = 32
+#: Networks that are trained, of which one is kept.
+TRIES = 4
 #: Bytes of text that are scored at a time.
 AT_ONCE = 1 << 18
 
@@ -370,8 +372,8 @@ def learn(lesson: Lesson, seed: int = 7, passes: int = 12) -> tuple[Encoder, Net
     return encoder, network
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Detector:
-    """From labelled texts; equal texts count once."""
+def train(texts: list[str], labels: np.ndarray, seed: int = 7, tries: int = TRIES) -> Detector:
+    """From labelled texts; equal texts count once.  Of `tries` networks the one with the least calibrated loss on the texts set aside."""
     first = {t: i for i, t in reversed(list(enumerate(texts)))}
     keep = sorted(first.values())
     texts, labels = [texts[i] for i in keep], np.asarray(labels, float)[keep]
@@ -384,10 +386,15 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Detector:
         at = rng.permutation(np.flatnonzero(labels == side))
         aside[at[: len(at) // 5]] = True
     part = lambda which: Lesson([t for t, w in zip(texts, which, strict=True) if w], labels[which])
-    encoder, network = learn(part(~aside), seed)
-    check = part(aside)
-    raw = check.of_texts(check.logits(encoder, network))
-    return Detector(share, encoder, network, _platt(raw, check.y), float(raw[check.y == 0].mean()))
+    lesson, check, best = part(~aside), part(aside), None
+    for k in range(tries):
+        encoder, network = learn(lesson, seed + k)
+        raw = check.of_texts(check.logits(encoder, network))
+        scale = _platt(raw, check.y)
+        loss = float(np.logaddexp(0, np.where(check.y == 1, -1, 1) * (scale[0] * raw + scale[1])).sum())
+        if best is None or loss < best[0]:
+            best = loss, Detector(share, encoder, network, scale, float(raw[check.y == 0].mean()))
+    return best[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[int, int] = (4, 2), most: int = MOST_ROWS) -> Detector:
