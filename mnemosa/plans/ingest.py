@@ -106,6 +106,8 @@ def md_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "benchmark")
-    code = F.concat(F.lit("class C"), F.col("item_id").cast("string"), F.lit(":\n    '''doc'''\n    def run(self, x=1):\n        return x\n\ndef main():\n    pass\n"))
+    """A class, a method and a function of each text: its words are their names, docstring and defaults."""
+    d = table(spark, sf_dir, "benchmark").withColumn("words", F.regexp_extract_all("text", F.lit("([A-Za-z]{3,})"), 1)).where("size(words) >= 4")
+    name = lambda i: F.concat(F.lit("n_"), F.col("words")[i])
+    code = F.concat(F.lit("class "), name(0), F.lit(":\n    \'\'\'"), F.array_join("words", " "), F.lit("\'\'\'\n    def "), name(1), F.lit("(self, x='"), F.col("words")[2], F.lit("'):\n        return x\n\nasync def "), name(3), F.lit("(*a):\n    pass\n"))
     return chunking.python_symbols(d.select(F.col("item_id").cast("string").alias("source_path"), code.alias("body")))

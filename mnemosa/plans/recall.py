@@ -214,7 +214,10 @@ def hash_embed_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hash_embed_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", vec.hash_embed(F.col("text")).alias("vec")).select("doc_id", F.size("vec").alias("dim"), F.round(vec.norm(F.col("vec")), 6).alias("length"))
+    """The vectors' places that aren't 0, as they would be stored."""
+    v = table(spark, sf_dir, "documents").select("doc_id", vec.hash_embed(F.col("text")).alias("vec"))
+    stored = F.transform(vec.quantize_int8(F.col("vec"), vec.scale_of(F.col("vec"))), lambda x, i: F.concat_ws(":", i.cast("string"), x.cast("string")))
+    return v.select("doc_id", F.size("vec").alias("dim"), F.round(vec.norm(F.col("vec")), 6).alias("length"), F.array_join(F.filter(stored, lambda x: ~x.endswith(":0")), ",").alias("places"))
 
 
 @query(f"""WITH f AS ({FACTS}) SELECT id, round({DECAY}, 6) AS decay, round({BOOST}, 6) AS boost, round(least(1.0, length(text) / 240.0), 6) AS importance,

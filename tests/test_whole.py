@@ -74,3 +74,33 @@ def test_skip_holds_a_bounded_part_of_a_group(spark):
     df = spark.createDataFrame(rows, "p string, id long, cost int").repartition(5).withColumn("at", F.col("id"))
     assert {(x.p, x.id): x.used for x in pack.skip(df, ["p"], "at", "cost", 100).collect()} == skipped(rows, 100)
     assert pack._can_fit(df, ["p"], "at", "cost", 100, "id").where("p = 'big'").count() == 2
+
+
+def test_symbols_of_texts(spark, sf):
+    got = {(r.source_path, r.anchor): (r.kind, r.signature, r.doc) for r in registry.queries()["code_symbols"](spark, sf).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = re.findall("[A-Za-z]{3,}", r.text)
+        if len(w) >= 4:
+            p = str(r.item_id)
+            want |= {(p, f"n_{w[0]}"): ("class", f"class n_{w[0]}", " ".join(w)), (p, f"n_{w[0]}.n_{w[1]}"): ("method", f"def n_{w[1]}(self, x='{w[2]}')", None), (p, f"n_{w[3]}"): ("function", f"async def n_{w[3]}(*a)", None)}
+    assert got == want and len(want) > 50
+
+
+def test_embeddings_of_all_documents(spark, sf):
+    import hashlib
+    import math
+
+    got = {r.doc_id: (r.dim, r.length, r.places) for r in registry.queries()["hash_embed_blake2b"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        v = [0] * 256
+        for w in re.findall("[a-z0-9]+", (r.text or "").lower()):
+            for h in (0, 1):
+                d = hashlib.blake2b(f"{h}:{w}".encode(), digest_size=8).digest()
+                v[int.from_bytes(d[:4], "big") % 256] += 1 if d[4] & 1 else -1
+        size, most = math.sqrt(sum(x * x for x in v)), max(map(abs, v)) or 1
+        places = {i: x for i, q in enumerate(v) if (x := round(q / most * 127))}
+        dim, length, text = got[r.doc_id]
+        mine = {int(i): int(x) for i, x in (p.split(":") for p in text.split(",") if p)}
+        assert (dim, length) == (256, 1.0 if size else 0.0) and all(abs(mine.get(i, 0) - places.get(i, 0)) <= 1 for i in {*mine, *places})
+        assert sum(mine.get(i, 0) != places.get(i, 0) for i in {*mine, *places}) <= 2  # a half may round either way
