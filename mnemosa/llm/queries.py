@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, media, mixing, near_dedup, quality_model, quality_rules, substring_dedup, toxicity, warc
+from . import chat_format, filter_audit, hard_negatives, media, mixing, near_dedup, quality_model, quality_rules, substring_dedup, toxicity, url_filter, warc
 from .near_dedup import near_duplicates
 from .packing import packed
 from .substring_dedup import digest, remove_repeats
@@ -65,8 +65,20 @@ def op10_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_figures(_documents(spark, sf_dir))
 
 
+def op11_filter_order_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op12_shift_and_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_bigru, op2_warc_revisits, op3_tar_media_columns, op4_minmax_near_dedup, op5_best_two_fit_packing, op6_reply_tree_chat, op7_random_indexing_quality, op8_soft_domain_mixing, op9_recompression_dedup, op10_line_first_rules)}
+    return {f.__name__: f for f in (op1_toxicity_bigru, op2_warc_revisits, op3_tar_media_columns, op4_minmax_near_dedup, op5_best_two_fit_packing, op6_reply_tree_chat, op7_random_indexing_quality, op8_soft_domain_mixing, op9_recompression_dedup, op10_line_first_rules, op11_filter_order_replay, op12_shift_and_urls, op13_ball_tree_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,4 +89,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_reply_tree_chat": chat_format.SQL,
         "op9_recompression_dedup": substring_dedup.SQL,
         "op10_line_first_rules": quality_rules.SQL,
+        "op11_filter_order_replay": filter_audit.SQL,
+        "op12_shift_and_urls": url_filter.SQL,
+        "op13_ball_tree_negatives": hard_negatives.SQL,
     }
