@@ -106,7 +106,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, most: int = MOST_ROWS) -> t
 
     found = Tables(spark).write("projections", docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(project, "doc_id long, tokens long, x binary"))
     picked = labelled.where("domain is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most)
-    known: pd.DataFrame = found.join(F.broadcast(picked), "doc_id").select("doc_id", "x", "domain").toPandas().sort_values(["doc_id", "x", "domain"])
+    known: pd.DataFrame = found.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "domain").agg(F.min("x").alias("x")).toPandas().sort_values(["doc_id", "x", "domain"])
     array = lambda xs: np.frombuffer(b"".join(xs), np.float32).reshape(-1, 3 * SIZE)
     domains = sorted(set(known["domain"]))
     model = Posterior(array(known["x"]), np.array([domains.index(d) for d in known["domain"]], int), len(domains))

@@ -169,7 +169,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", held: tupl
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(*held).alias("held_out"), "text")
     vectors = Tables(spark).write("vectors", rows.mapInArrow(pool, "doc_id long, held_out boolean, x binary"))
     picked = labels.where(F.col(label).isNotNull() & ~held_out(*held)).select("doc_id", F.col(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    known: pd.DataFrame = vectors.join(F.broadcast(picked), "doc_id").select("doc_id", "x", "y").toPandas().sort_values(["doc_id", "x"])
+    known: pd.DataFrame = vectors.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas().sort_values(["doc_id", "x"])
     array = lambda xs: np.frombuffer(b"".join(xs), np.float32).reshape(-1, 3 * SIZE)
     net = train(array(known["x"]), known["y"].to_numpy())
 

@@ -25,7 +25,8 @@ training texts and some twenty thousand weights.
 Defined cases: null text counts as empty; texts without a token score as the mean
 text of label 0 does; labels that are null, or without a text, are not learnt from; with fewer
 than sixteen texts of either label every score is the share of label 1 (0 without
-labels).  Repeated rows get a result each, equal texts of the labels count once;
+labels).  Repeated rows get a result each, equal texts of the labels count once, and of
+several texts of one doc_id the first in their order is learnt from;
 a null doc_id is held out of nothing; an empty table gives no rows.  Other columns
 of documents are never read.
 """
@@ -55,6 +56,8 @@ SPACE = 32
 TRIES = 4
 #: Bytes of text that are scored at a time.
 AT_ONCE = 1 << 18
+#: Rows of every matrix product in scoring; of another shape, the last bits of a row's result can differ.
+TOGETHER = 512
 
 
 class Vocabulary:
@@ -81,6 +84,12 @@ class Letters:
         self.of = np.repeat(np.arange(len(size)), size + 1)
 
 
+def _padded(x: np.ndarray) -> np.ndarray:
+    """x with rows of zeros up to a multiple of TOGETHER, at least one."""
+    more = -len(x) % TOGETHER if len(x) else TOGETHER
+    return np.concatenate([x, np.zeros((more, *x.shape[1:]), x.dtype)])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -170,14 +179,17 @@ class Network:
         return u, alpha, c, c @ p["w"] + p["c"][0]
 
     def logits(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Of windows of words: x has the inputs of each distinct word."""
-        f, b = (x @ self.p[f"W{d}"] + self.p[f"B{d}"] for d in "fb")
-        out = []
-        for i in range(0, len(ids), 2048):
-            at, m = ids[i : i + 2048].T, mask[i : i + 2048].astype(np.float32)
+        """Of windows of words: x has the inputs of each distinct word; a window's value doesn't depend on the others."""
+        x = _padded(x)
+        f, b = (np.concatenate([x[i : i + TOGETHER] @ self.p[f"W{d}"] for i in range(0, len(x), TOGETHER)]) + self.p[f"B{d}"] for d in "fb")
+        out, n = [], len(ids)
+        ids, mask = _padded(ids), _padded(mask.astype(np.float32))
+        mask[n:, 0] = 1
+        for i in range(0, len(ids), TOGETHER):
+            at, m = ids[i : i + TOGETHER].T, mask[i : i + TOGETHER]
             states = np.concatenate([self.layer("f", lambda t: f[at[t]], m), self.layer("b", lambda t: b[at[t]], m)], 2)  # noqa: B023
             out.append(self.pooled(states, m)[3])
-        return np.concatenate(out) if out else np.zeros(0, np.float32)
+        return np.concatenate(out)[:n]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean weighted log-loss, by parameter and by input; x is (rows, steps, INPUTS)."""
@@ -250,7 +262,7 @@ class Detector:
     def __call__(self, texts: pa.Array) -> np.ndarray:
         if not self.network:
             return np.full(len(texts), self.share)
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.raw(texts) + self.scale[1], -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(self.scale[0] * self.raw(texts) + self.scale[1], -30, 30))), 6)
 
 
 def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -397,13 +409,19 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, tries: int = TRIE
     return best[1]
 
 
+def examples(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], most: int) -> DataFrame:
+    """doc_id, y, text of at most `most` labels, picked by a hash of doc_id, none of them held out: a text a label, however many rows have its id."""
+    picked = labels.where(F.col(label).isNotNull() & ~held_out(*held)).select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")
+    return met.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[int, int] = (4, 2), most: int = MOST_ROWS) -> Detector:
     """Train on at most `most` labelled texts, picked by a hash of doc_id, none of them held out.
 
     One task trains, with those texts alone; the driver gets the model.
     """
-    picked = labels.where(F.col(label).isNotNull() & ~held_out(*held)).select("doc_id", F.col(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").select("doc_id", "text", F.col("y").cast("int").alias("y"))
+    rows = examples(docs, labels, label, held, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(batches)

@@ -130,6 +130,23 @@ def test_scores_of_odd_tables(spark):
     assert toxicity.score(docs.limit(0), model).collect() == [] and toxicity.fit(docs.limit(0), labels).share == 0.0
 
 
+def test_a_score_does_not_depend_on_its_neighbours(detector):
+    """Equal texts have equal scores alone, among few and among many, to the last bit before rounding."""
+    some = [t for t, _ in texts(n=120)] + ["one", "a b c " * 300]
+    alone = np.array([detector.raw(pa.array([t]))[0] for t in some])
+    assert (detector.raw(pa.array(some)) == alone).all() and (detector.raw(pa.array(some * 7))[-len(some) :] == alone).all()
+    assert detector(pa.array([some[0]] * 3)).tolist() == [round(detector(pa.array([some[0]]))[0], 6)] * 3
+
+
+def test_labels_are_learnt_once_whatever_the_rows(spark):
+    """A doc_id with very many rows gives the training one text."""
+    rows = texts(n=120)
+    docs = spark.createDataFrame([*((i, t) for i, (t, _) in enumerate(rows)), *((3, f"{rows[3][0]} {k}") for k in range(500))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    picked = toxicity.examples(docs, labels, "toxic", (4, 2), 4000).collect()
+    assert 60 < len(picked) == len({r.doc_id for r in picked}) <= 120 and min(r.text for r in picked if r.doc_id == 3) == rows[3][0]
+
+
 def test_few_labels():
     assert toxicity.train([], np.array([]))(pa.array(["a"]))[0] == 0.0
     assert toxicity.train(["a", "b"], np.array([1, 1]))(pa.array(["a", ""])).tolist() == [1.0, 1.0]
