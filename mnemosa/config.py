@@ -50,6 +50,11 @@ class Config:
     per_file_cap: int = 3
     truncate_dim: int = 0
     scorer: str = "sql"
+    #: Partitions of tables, chosen so that one of them fits a task: by project, by key, of a segment of postings; segments before merging.
+    project_buckets: int = 8
+    key_buckets: int = 8
+    term_buckets: int = 16
+    term_segments: int = 8
 
     def size(self) -> int:
         """Components of a stored vector."""

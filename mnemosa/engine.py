@@ -1,4 +1,4 @@
-"""The engine as one object: tables as snapshots, reads as DataFrames, writes as new versions."""
+"""The engine as one object: tables by project and key, reads as DataFrames, writes of the partitions that change."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from . import schemas
 from .config import DEFAULT, Config
 from .functions import rules, scoring, text, vec
 from .operators import admin, dml, fts, graph, index, lifecycle, pack, retrieve, rollups, scans, sensory, work_queue
+from .operators.term_index import TermIndex
 from .sources import chunking, imports, transcript
-from .store import Snapshots
+from .store import Ledger, Part, Table, checkpointed
 
 FACT_COLUMNS = ["text", "title", "subtitle", "narrative", "file_names"]
 CHUNK_WEIGHTS = {"title": 3.0, "heading_path": 2.0, "summary": 1.5, "body": 1.0}
@@ -38,20 +39,25 @@ def heuristic(texts: DataFrame) -> DataFrame:
 class Engine:
     """Facts, chunks, ledgers, queue, register and edges under one root folder.
 
-    embed gives the vector of a Column of texts; distil the records (seq, text and
+    embed gives the vector of a Column of texts, embed_query that of a question where it
+    isn't the same; distil the records (seq, text and
     any of title, subtitle, narrative, files, type, observation_id, supersedes,
     scope, degraded) of texts (seq, text).  Both have defaults that need no model.
     extractors give the symbols of a source by the suffix of its file.
     """
 
-    def __init__(self, spark: SparkSession, root: str, config: Config = DEFAULT, embed: Callable[[Column], Column] | None = None, distil: Callable[[DataFrame], DataFrame] = heuristic, model: str = "hash", extractors: dict | None = None):
+    def __init__(self, spark: SparkSession, root: str, config: Config = DEFAULT, embed: Callable[[Column], Column] | None = None, distil: Callable[[DataFrame], DataFrame] = heuristic, model: str = "hash", extractors: dict | None = None, embed_query: Callable[[Column], Column] | None = None):
         self.spark, self.c, self.distil, self.model, self.extractors = spark, config, distil, model, extractors or chunking.EXTRACTORS
         self.embed = embed or (lambda t: vec.hash_embed(t, self.c.dim))
-        table = lambda name, schema: Snapshots(spark, f"{root}/{name}", schema)
-        self.facts, self.chunks, self.sources = table("facts", schemas.FACTS), table("chunks", schemas.CHUNKS), table("chunk_sources", schemas.CHUNK_SOURCES)
-        self.queue, self.edges, self.meta, self.cursors = table("work_queue", schemas.WORK_QUEUE), table("fact_edges", schemas.EDGES), table("index_meta", schemas.INDEX_META), table("capture_cursors", schemas.CURSORS)
-        self.senses, self.usage, self.recalls = table("sensory", schemas.SENSORY), table("usage_events", schemas.USAGE_EVENTS), table("recall_events", schemas.RECALL_EVENTS)
-        self.fact_terms, self.chunk_terms, self.canary = table("fact_terms", schemas.TERMS), table("chunk_terms", schemas.TERMS), table("embedder_canary", schemas.CANARY)
+        self.embed_query = embed_query or self.embed
+        c = self.c
+        table = lambda name, schema, key, project=None: Table(spark, f"{root}/{name}", schema, key, project, c.project_buckets, c.key_buckets)
+        self.facts, self.senses = table("facts", schemas.FACTS, "id", "project_key"), table("sensory", schemas.SENSORY, "id", "project_key")
+        self.chunks, self.sources = table("chunks", schemas.CHUNKS, "source_path", "project_key"), table("chunk_sources", schemas.CHUNK_SOURCES, "source_path", "project_key")
+        self.queue, self.edges, self.meta, self.cursors = table("work_queue", schemas.WORK_QUEUE, "msg_id"), table("fact_edges", schemas.EDGES, "src_id"), table("index_meta", schemas.INDEX_META, "project_key"), table("capture_cursors", schemas.CURSORS, "cursor_key")
+        self.usage, self.recalls = Ledger(spark, f"{root}/usage_events", schemas.USAGE_EVENTS), Ledger(spark, f"{root}/recall_events", schemas.RECALL_EVENTS)
+        self.canary = table("embedder_canary", schemas.CANARY, "id")
+        self.fact_terms, self.chunk_terms = (TermIndex(spark, f"{root}/{n}", cols, c.term_buckets, c.term_segments) for n, cols in (("fact_terms", FACT_COLUMNS), ("chunk_terms", list(CHUNK_WEIGHTS))))
 
     # Vectors and keyword postings
 
@@ -66,44 +72,67 @@ class Engine:
         return rows.withColumn("vec", vec.dequantize_int8(F.col("vec_int8"), F.col("scale")))
 
     def _query(self, query: str) -> DataFrame:
-        return self.spark.range(1).select(vec.truncate_renorm(self.embed(F.lit(query)), self.c.truncate_dim).alias("q"))
+        return self.spark.range(1).select(vec.truncate_renorm(self.embed_query(F.lit(query)), self.c.truncate_dim).alias("q"))
 
     def _asked(self, query: str) -> DataFrame:
         return self.spark.range(1).select(F.col("id").alias("qid"), F.lit(query).alias("query"))
 
     @staticmethod
     def _texts_of_facts(facts: DataFrame) -> DataFrame:
-        return facts.select("id", F.lit("").alias("version"), *FACT_COLUMNS[:4], F.array_join("files", " ").alias("file_names"))
+        texts = facts.select("id", *FACT_COLUMNS[:4], F.array_join("files", " ").alias("file_names"))
+        return texts.withColumn("version", F.sha2(F.to_json(F.struct(*FACT_COLUMNS)), 256))
 
     @staticmethod
     def _texts_of_chunks(chunks: DataFrame) -> DataFrame:
-        return chunks.select("id", F.coalesce("content_hash", F.lit("")).alias("version"), *CHUNK_WEIGHTS)
-
-    def _write_facts(self, facts: DataFrame) -> int:
-        v = self.facts.write(facts)
-        self._sync(self.fact_terms, self._texts_of_facts(self.facts.read()), FACT_COLUMNS)
+        return chunks.select("id", *CHUNK_WEIGHTS).withColumn("version", F.sha2(F.to_json(F.struct(*CHUNK_WEIGHTS)), 256))
+
+    def _put(self, table: Table, rows: DataFrame, parts: list[Part], new: DataFrame | None = None) -> int:
+        """rows in place of the facts or chunks of the partitions, and the postings in step; new, if given, are all whose texts are new."""
+        terms, texts = (self.fact_terms, self._texts_of_facts) if table is self.facts else (self.chunk_terms, self._texts_of_chunks)
+        before = checkpointed(table.read(parts).select("id")) if new is None else None
+        v = table.replace(rows, parts)
+        now = texts(table.read(parts) if new is None else new)
+        terms.update(now, None if before is None else before.join(now.select("id"), "id", "left_anti"))
         return v
 
-    def _write_chunks(self, chunks: DataFrame) -> int:
-        v = self.chunks.write(schemas.upgrade(chunks, schemas.CHUNKS))
-        self._sync(self.chunk_terms, self._texts_of_chunks(self.chunks.read()), list(CHUNK_WEIGHTS))
-        return v
-
-    @staticmethod
-    def _sync(terms: Snapshots, docs: DataFrame, columns: list[str]) -> None:
-        """The postings in step with the table: of new ids added, of gone ones left out."""
-        old = terms.read()
-        held = old.select("id", "version").distinct()
-        new = fts.postings(docs.join(held, ["id", "version"], "left_anti"), columns, keep="version")
-        if held.join(docs.select("id", "version"), ["id", "version"], "left_anti").isEmpty():
-            terms.append(new)
-        else:
-            terms.write(old.join(docs.select("id", "version"), ["id", "version"], "left_semi").unionByName(schemas.upgrade(new, schemas.TERMS)))
-
-    def _keyword_hits(self, terms: Snapshots, table: DataFrame, query: str, weights: list[float], keep: DataFrame) -> DataFrame:
-        kept = terms.read()
-        whole = table.agg(F.count("*").alias("docs")).crossJoin(kept.agg(F.sum(F.size("places")).alias("tokens")))
-        return fts.bm25_kept(kept, whole, self._asked(query), weights, keep).select("id", "bm25")
+    def _remove(self, table: Table, gone: DataFrame) -> int:
+        """The facts or chunks without gone (id, and what places them)."""
+        gone = checkpointed(gone.select("id", *({table.key, table.project} - {"id"})))
+        parts = table.parts_of(gone)
+        return self._put(table, table.read(parts).join(gone.select("id"), "id", "left_anti"), parts)
+
+    def repair(self) -> int:
+        """Finish writes whose writer died, and bring the postings in step with the tables; how many documents were not."""
+        for t in (self.facts, self.chunks, self.sources, self.queue, self.edges, self.meta, self.cursors, self.senses, self.canary):
+            t.recover()
+        return self.fact_terms.replace(self._texts_of_facts(self.facts.read())) + self.chunk_terms.replace(self._texts_of_chunks(self.chunks.read()))
+
+    def _placed_facts(self, ids: DataFrame) -> DataFrame:
+        """id, project_key of facts by id, of which only these two columns are read."""
+        return checkpointed(self.facts.read().select("id", "project_key").join(ids.select("id").distinct(), "id", "left_semi"))
+
+    def _marked(self, ids: DataFrame, how: Callable[[DataFrame], DataFrame]) -> int:
+        """how() over the partitions of facts by id; texts stay as they are."""
+        return self.facts.change(self._placed_facts(ids), how)
+
+    def _scope(self, project: str | None) -> DataFrame:
+        """The facts that a recall for a project sees, read from its partitions and those of the global rules."""
+        near = None if project is None else [project, retrieve.GLOBAL]
+        return self.facts.read(projects=near).where(retrieve.in_scope(project))
+
+    def _keyword_hits(self, terms: TermIndex, query: str, weights: list[float], keep: DataFrame, k: int) -> DataFrame:
+        """id, bm25 of the best k, and perhaps of others."""
+        return terms.search(self._asked(query), weights, keep, k).select("id", "bm25")
+
+    def _fact_hits(self, query: str, project: str | None, facts: DataFrame, limit: int) -> DataFrame:
+        """id, bm25 (a place, in order) of the keyword hits of a recall: the project's own, then the global ones, `limit` of each."""
+        weights, active = [1.0] * len(FACT_COLUMNS), scans.active(facts)
+        own = active if project is None else active.where(F.col("project_key") == project)
+        ranked = lambda keep: retrieve.top(self._keyword_hits(self.fact_terms, query, weights, keep, limit).withColumn("_s", -F.col("bm25")), "_s", limit).select("id", "rank")
+        first, everywhere = ranked(own), active.where(F.col("project_key") == retrieve.GLOBAL)
+        if project is None or project == retrieve.GLOBAL or everywhere.isEmpty():
+            return first.select("id", F.col("rank").alias("bm25"))
+        return fts.in_turn(first, ranked(everywhere), 2 * limit).select("id", F.col("place").alias("bm25"))
 
     # Writing facts
 
@@ -122,36 +151,49 @@ class Engine:
         empty = {"title": "string", "subtitle": "string", "narrative": "string", "files": "array<string>", "type": "string", "observation_id": "string", "supersedes": "array<string>"}
         named = records.where("trim(text) <> ''").select("seq", "text", *(F.col(c).cast(t) if c in records.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
         rows = named.withColumns({"id": text.content_id(F.lit(project), F.col("text")), "project_key": F.lit(project), "kind": F.lit(kind), "session_id": F.lit(session).cast("string")})
-        old = self.facts.read()
+        rows = checkpointed(rows)  # a distiller may not give the same twice
+        parts = self.facts.parts_of(rows)
+        old = self.facts.read(parts)
         once = rows.groupBy("id").agg(F.min(F.struct("seq", *(c for c in rows.columns if c not in ("seq", "id")))).alias("_f")).select("id", "_f.*")
-        first = self._embedded(once.join(old.select("id"), "id", "left_anti"))
+        first = checkpointed(self._embedded(once.join(old.select("id"), "id", "left_anti")))
         blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
         new = first.select(
             "id", "project_key", "kind", "session_id", "text", *map(blank, ("title", "subtitle", "narrative", "type", "observation_id")), "files", "dim", "scale", "vec_int8", "vec_bits", F.lit(now).alias("created_at"),
             F.lit(now).alias("last_seen"), F.lit(1).alias("frequency"), F.lit("active").alias("status"), F.lit(tier).alias("tier"), scoring.importance(F.col("text")).alias("importance"),
         )
         seen = rows.select("id", "seq").join(first.select("id", "seq"), ["id", "seq"], "left_anti").select("id")
-        stored = lifecycle.reinforce(old.unionByName(schemas.upgrade(new, schemas.FACTS)), seen, now, self.c.promote_after_freq)
-        v = self._write_facts(self._superseded(stored, old, rows, first, project))
+        new = schemas.upgrade(new, schemas.FACTS)
+        victims = self._victims(new, rows, first, project)
+        parts = sorted({*parts, *self.facts.parts_of(victims.select("id", F.lit(project).alias("project_key")))})
+        stored = lifecycle.reinforce(self.facts.read(parts).unionByName(new), seen, now, self.c.promote_after_freq)
+        v = self._put(self.facts, self._superseded(stored, victims), parts, new)
         if self.c.spread_weight > 0 and kind == "fact":
             self._record_edges(rows, project)
         return v
 
-    def _superseded(self, stored: DataFrame, old: DataFrame, rows: DataFrame, first: DataFrame, project: str) -> DataFrame:
-        """stored after each new fact, in order, superseded its victims active at that time; a fact seen again is active again."""
-        alive = old.where((F.col("project_key") == project) & (F.col("status") == "active")).select("id", F.lit(-1).cast("long").alias("seq"))
+    def _victims(self, new: DataFrame, rows: DataFrame, first: DataFrame, project: str) -> DataFrame:
+        """id, by, ends: whom a new fact of first superseded while it was active, the last time; ends says that it wasn't seen again afterwards.
+
+        Reads the project's partitions only.
+        """
+        mine = self.facts.read(projects=[project]).where(F.col("project_key") == project)
+        alive = mine.where("status = 'active'").select("id", F.lit(-1).cast("long").alias("seq"))
         spans = alive.unionByName(rows.select("id", "seq")).withColumn("until", F.lead("seq").over(W.partitionBy("id").orderBy("seq"))).withColumn("key", F.concat_ws(":", "id", "seq"))
         named = first.select(F.col("id").alias("by"), F.col("seq").alias("by_seq"), F.explode("supersedes").alias("id")).where("id <> by").join(spans, "id").where("by_seq > seq")
         hits = named.select("key", "id", "until", "by", "by_seq")
         if self.c.supersede_threshold < 1:
-            mine = self._with_vectors(stored.where((F.col("project_key") == project) & (F.col("dim") == self.c.size())).select("id", "vec_int8", "scale")).select("id", "vec")
-            similar = lifecycle.superseding_new(spans.join(mine, "id"), first, self.c.supersede_threshold)
+            vectors = self._with_vectors(mine.unionByName(new).where(F.col("dim") == self.c.size()).select("id", "vec_int8", "scale")).select("id", "vec")
+            similar = lifecycle.superseding_new(spans.join(vectors, "id"), first, self.c.supersede_threshold)
             hits = hits.unionByName(spans.select("key", "id", "until").join(similar, "key"))
         hits = hits.where("until is null or by_seq < until")
-        last = hits.groupBy("id", "until").agg(F.min(F.struct("by_seq", "by")).alias("_f")).groupBy("id").agg(F.max(F.struct("_f.by_seq", "_f.by", F.col("until").isNull().alias("ends"))).alias("_h")).select("id", "_h.by", "_h.ends")
-        again = last.where("not ends").select("id", F.col("by").alias("_by"))
+        last = hits.groupBy("id", "until").agg(F.min(F.struct("by_seq", "by")).alias("_f")).groupBy("id").agg(F.max(F.struct("_f.by_seq", "_f.by", F.col("until").isNull().alias("ends"))).alias("_h"))
+        return checkpointed(last.select("id", "_h.by", "_h.ends"))
+
+    @staticmethod
+    def _superseded(stored: DataFrame, victims: DataFrame) -> DataFrame:
+        again = victims.where("not ends").select("id", F.col("by").alias("_by"))
         marked = stored.join(again, "id", "left").withColumn("superseded_by", F.coalesce("_by", "superseded_by")).drop("_by")
-        return lifecycle.supersede(marked, last.where("ends").select("id", "by"))
+        return lifecycle.supersede(marked, victims.where("ends").select("id", "by"))
 
     def _record_edges(self, rows: DataFrame, project: str, batch: int = 50, most: int = 8) -> None:
         """Edges between the first facts of a capture, and from each to the best keyword hits of the names in it."""
@@ -159,9 +201,8 @@ class Engine:
         together = graph.co_occurrence(held.select("id", F.lit(0).alias("g")).distinct(), "g", batch)
         entities = held.select("id", F.explode(text.entities(F.col("text"))).alias("entity"))
         asked = entities.select(F.xxhash64("entity").alias("qid"), F.col("entity").alias("query")).distinct()
-        kept, facts = self.fact_terms.read(), self.facts.read()
-        whole = facts.agg(F.count("*").alias("docs")).crossJoin(kept.agg(F.sum(F.size("places")).alias("tokens")))
-        found = fts.pool(fts.bm25_kept(kept, whole, asked, [1.0] * len(FACT_COLUMNS), scans.active(facts, project)), most)
+        mine = scans.active(self.facts.read(projects=[project]), project)
+        found = fts.pool(self.fact_terms.search(asked, [1.0] * len(FACT_COLUMNS), mine, most), most)
         mentions = entities.withColumn("qid", F.xxhash64("entity")).join(found.select("qid", F.col("id").alias("other")), "qid")
         shared = mentions.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.lit("entity").alias("kind"), F.lit(1.0).alias("weight"))
         self.link(together.unionByName(shared))
@@ -174,8 +215,6 @@ class Engine:
 
         The new end is kept even if nothing came of it; a file that was replaced is read anew.  How many lines were new.
         """
-        from .store import checkpointed
-
         key = f"{project}:{session or path}"
         lines, end = transcript.read_delta(self.spark, path, start := self.cursor(key))
         if end == start:
@@ -207,20 +246,23 @@ class Engine:
 
     def capture_prompts(self, prompts: DataFrame, project: str, now: float, session: str | None = None) -> int:
         """What users asked (text), word for word: known ones are reinforced, without promotion; new ones supersede nothing."""
-        rows = prompts.where("trim(text) <> ''").select(text.content_id(F.lit(project), F.col("text")).alias("id"), "text")
-        old = self.facts.read()
+        rows = checkpointed(prompts.where("trim(text) <> ''").select(text.content_id(F.lit(project), F.col("text")).alias("id"), "text", F.lit(project).alias("project_key")))
+        parts = self.facts.parts_of(rows)
+        old = self.facts.read(parts)
         counts = rows.groupBy("id").agg(F.min("text").alias("text"), F.count("*").alias("n"))
         first = self._embedded(counts.join(old.select("id"), "id", "left_anti"))
         fixed = {"project_key": project, "session_id": session, "kind": "prompt", "type": "prompt", "status": "active", "tier": "stm", "importance": 0.5, "created_at": now, "last_seen": now}
         new = first.withColumn("frequency", F.col("n").cast("int")).withColumns({k: F.lit(v) for k, v in fixed.items()})
         again = rows.join(first.select("id"), "id", "left_anti").select("id")
-        return self._write_facts(lifecycle.reinforce(old, again, now).unionByName(schemas.upgrade(new, schemas.FACTS)))
+        new = checkpointed(schemas.upgrade(new, schemas.FACTS))
+        return self._put(self.facts, lifecycle.reinforce(old, again, now).unionByName(new), parts, new)
 
     def capture_summary(self, summary: DataFrame, project: str, session: str, now: float) -> int:
         """The summary of a session (a record, see add_records) in place of its older one; none leaves the older one."""
         if summary.isEmpty():
             return self.facts.version()
-        self.facts.apply(lambda f: dml.clear_session_kind(f, project, session, "session_summary"))
+        mine = self.facts.read(projects=[project]).where(F.col("project_key") == project)
+        self._remove(self.facts, mine.join(dml.clear_session_kind(mine, project, session, "session_summary").select("id"), "id", "left_anti"))
         return self.add_records(summary, project, now, "session_summary", session=session)
 
     def capture_antipatterns(self, records: DataFrame, project: str, now: float, session: str | None = None) -> int:
@@ -238,24 +280,22 @@ class Engine:
         records = source.records(label)
         mapped = records.join(keys.select("label", "project_key"), "label", "left")
         rows = mapped.where("project_key is not null").withColumn("id", text.content_id(F.col("project_key"), F.col("text")))
-        old = self.facts.read()
+        parts = self.facts.parts_of(rows)
+        old = self.facts.read(parts)
         counts = lifecycle.import_counts(old, rows, mapped)
         if dry_run:
             return counts.select("label", "project_key", F.lit(0).cast("long").alias("inserted"), F.lit(0).cast("long").alias("reinforced"), F.lit(0).cast("long").alias("batches"), (F.col("inserted") + F.col("reinforced")).alias("would_import"))
-        from .store import checkpointed
-
         counts = checkpointed(counts)  # before the table changes
         first = rows.groupBy("id").agg(F.min(F.struct("seq", *(c for c in rows.columns if c not in ("seq", "id")))).alias("_f")).select("id", "_f.*").join(old.select("id"), "id", "left_anti")
         new = self._embedded(first).withColumns({"created_at": F.coalesce("created_at", F.lit(now)), "status": F.lit("active"), "tier": F.lit("stm"), "frequency": F.lit(1), "kind": F.lit("fact"), "session_id": F.lit("import"), "importance": scoring.importance(F.col("text"))})
         seen = rows.select("id", "seq").join(first.select("id", "seq"), ["id", "seq"], "left_anti").select("id")
-        self._write_facts(lifecycle.reinforce(old.unionByName(schemas.upgrade(new, schemas.FACTS)), seen, now, self.c.promote_after_freq))
+        new = checkpointed(schemas.upgrade(new, schemas.FACTS))
+        self._put(self.facts, lifecycle.reinforce(old.unionByName(new), seen, now, self.c.promote_after_freq), parts, new)
         return counts.withColumn("would_import", F.lit(None).cast("long"))
 
     def rescue(self, now: float, limit: int = 3, owner: str = "rescue") -> int:
         """Texts that only the heuristic had distilled go through the distiller again; how many came out better."""
         items = work_queue.claim(self.queue.read(), now, self.c.lease_ttl, limit, owner, "rescue")
-        from .store import checkpointed
-
         taken = checkpointed(items)
         self.queue.apply(lambda q: work_queue.apply(q, taken))
         done = 0
@@ -270,7 +310,7 @@ class Engine:
                 self.queue.apply(lambda q, one=one: work_queue.nak(q, one, now, self.c.queue_backoff, self.c.queue_max_deliver))
                 continue
             gone = self.spark.createDataFrame([(x,) for x in item["fact_ids"] or []], "id string")
-            self.facts.apply(lambda f, gone=gone: dml.delete_facts(f, gone))
+            self._remove(self.facts, self._placed_facts(gone))
             self.add_records(records, item["project_key"], now, session=item["session_id"])
             self.queue.apply(lambda q, one=one: work_queue.ack(q, one))
             done += 1
@@ -286,16 +326,13 @@ class Engine:
 
     def recall(self, query: str, project: str | None, now: float, k: int | None = None) -> DataFrame:
         """Facts by fused ranks of five channels."""
-        facts = self.facts.read()
-        f = facts.where(retrieve.in_scope(project))
-        hits = self._keyword_hits(self.fact_terms, facts, query, [1.0] * len(FACT_COLUMNS), f)
-        found = retrieve.search_fused(self._with_vectors(f), self._query(query).select("q"), query, hits, self.c, k)
+        f, limit = self._scope(project), max(4 * (k or self.c.top_k), 50)
+        hits = self._fact_hits(query, project, f, limit)
+        found = retrieve.search_fused(self._with_vectors(f), self._query(query).select("q"), query, hits, self.c, k, pool=2 * limit)
         return found.join(f.select("id", "text", "title", "kind", "frequency"), "id").orderBy("rank")
 
     def recall_structured(self, query: str, project: str, now: float, k: int | None = None, max_chars: int | None = None) -> DataFrame:
         """One row: query, project, verdict, confidence, guidance, facts (text, similarity, kind, frequency), returned, matched, dropped; logged, and its facts marked."""
-        from .store import checkpointed
-
         hits = checkpointed(self.recall(query, project, now, k or max(self.c.activated_k, self.c.top_k)))
         packed = pack.skip(hits.withColumns({"all": F.lit(0), "cost": F.length("text")}), ["all"], "rank", "cost", max_chars or self.c.recall_max_chars)
         chosen = hits.join(packed.select("id"), "id", "left_semi")
@@ -309,28 +346,27 @@ class Engine:
         guide = F.element_at(F.create_map(*(F.lit(x) for kv in GUIDANCE.items() for x in kv)), F.col("verdict"))
         out = checkpointed(out.select(F.lit(query).alias("query"), F.lit(project).alias("project"), "verdict", "confidence", guide.alias("guidance"), "facts", "returned", F.col("hits").alias("matched"), (F.col("hits") - F.col("returned")).alias("dropped"), F.coalesce("top_sim", F.lit(0.0)).alias("top_sim")))
         self.recalls.append(out.select(F.lit(now).alias("ts"), F.lit(project).alias("project_key"), "query", "returned", "top_sim", "confidence", "verdict"))
-        self.facts.apply(lambda f: lifecycle.mark(f, chosen, "recall_count", now))
+        self._marked(chosen, lambda f: lifecycle.mark(f, chosen, "recall_count", now))
         return out.drop("top_sim")
 
     def recall_block(self, query: str, project: str | None, now: float) -> DataFrame:
         """The block of text that a prompt gets: the best facts within max_chars, then the best chunks; logged, and its facts marked."""
-        from .store import checkpointed
-
-        f = self._with_vectors(self.facts.read())
-        hits = checkpointed(retrieve.search(f, self._query(query), now, project, self.c).withColumn("cost", F.length("text") + 3).withColumn("all", F.lit(0)).select("id", "rank", "text", "cost", "all"))
+        f = self._with_vectors(self.facts.read() if self.c.cross_project else self._scope(project))
+        hits = checkpointed(retrieve.search(f, self._query(query), now, project, self.c, edges=self._edges()).withColumn("cost", F.length("text") + 3).withColumn("all", F.lit(0)).select("id", "rank", "text", "cost", "all"))
         head = "Relevant memory:"
         chosen = pack.prefix(hits, ["all"], ["rank"], "cost", self.c.max_chars, len(head))
         facts = pack.block(chosen, ["all"], "rank", "text", head).select("all", F.col("block").alias("facts"))
-        chunks = self.index_block(query, project).select(F.lit(0).alias("all"), "block") if project and self.chunks.version() else self.spark.createDataFrame([], "all int, block string")
+        chunks = self.index_block(query, project).select(F.lit(0).alias("all"), "block") if project and self.chunks.version() > 0 else self.spark.createDataFrame([], "all int, block string")
         both = self.spark.range(1).select(F.lit(0).alias("all")).join(facts, "all", "left").join(chunks, "all", "left")
         out = checkpointed(both.select(F.concat_ws("\n", "facts", "block").alias("block")).where("block <> ''"))
         if project:
             self.record_usage(out.select(F.lit(project).alias("project_key"), F.lit("inject_prompt").alias("kind"), F.length("block").cast("long").alias("bytes_in")), now)
-            self.facts.apply(lambda t: lifecycle.mark(lifecycle.mark(t, chosen, "recall_count", now), chosen, "injected_count"))
+            chosen = checkpointed(chosen.select("id"))
+            self._marked(chosen, lambda t: lifecycle.mark(lifecycle.mark(t, chosen, "recall_count", now), chosen, "injected_count"))
         return out
 
     def core(self, project: str) -> DataFrame:
-        return scans.strongest(self.facts.read(), project, self.c.core_size)
+        return scans.strongest(self.facts.read(projects=[project]), project, self.c.core_size)
 
     def core_block(self, project: str, now: float) -> DataFrame:
         """The facts that a session begins with, as a block, logged; they count as injected, not as recalled."""
@@ -345,14 +381,22 @@ class Engine:
     def orientation_block(self, project: str, most: int = 900) -> DataFrame:
         """The latest summary of the project, cut at `most` characters."""
         body = F.concat_ws("\n", F.when(F.col("title") != F.col("text"), F.col("title")), "text", "narrative")
-        return scans.latest_summary(self.facts.read(), project).select(F.substring(F.concat(F.lit("Last session:\n"), body), 1, most).alias("block"))
-
-    def antipattern_warning(self, action: str, project: str) -> DataFrame:
-        """The rules that share two words or more with an action, within 600 characters."""
-        facts = self.facts.read().where(retrieve.in_scope(project) & (F.col("kind") == "antipattern"))
+        return scans.latest_summary(self.facts.read(projects=[project]), project).select(F.substring(F.concat(F.lit("Last session:\n"), body), 1, most).alias("block"))
+
+    def antipattern_warning(self, action: str, project: str, session: str | None = None, now: float = 0.0) -> DataFrame:
+        """The rules that share two words or more with an action, within 600 characters; with a session, each rule once in it."""
+        facts = self._scope(project).where(F.col("kind") == "antipattern")
+        told = F.concat(F.lit(f"warned:{session}:"), F.col("id"))
+        if session is not None:
+            facts = facts.join(self.cursors.read().select(F.col("cursor_key").alias("_told")), told == F.col("_told"), "left_anti")
         all_text = F.concat_ws(" ", "text", "narrative")
         found = index.warnings(self._asked(action).select(F.col("qid").alias("action_id"), text.tokens(F.col("query")).alias("tokens")), facts.select("id", "text", text.tokens(all_text).alias("tokens")))
-        return found.join(facts.select("id", "text"), "id").select("id", "text", "shared").orderBy(F.desc("shared"), "id")
+        rows = found.join(facts.select("id", "text"), "id").select("id", "text", "shared").orderBy(F.desc("shared"), "id")
+        if session is None:
+            return rows
+        rows = checkpointed(rows)
+        self.cursors.upsert(rows.select(told.alias("cursor_key"), F.lit(0).cast("long").alias("offset"), F.lit(float(now)).alias("updated_at")))
+        return rows
 
     # Ledgers, counters, edges
 
@@ -361,12 +405,12 @@ class Engine:
         return self.usage.append(rows.withColumn("ts", F.lit(float(now))))
 
     def mark_used(self, ids: DataFrame) -> int:
-        return self.facts.apply(lambda f: lifecycle.mark(f, ids, "used_count"))
+        return self._marked(ids, lambda f: lifecycle.mark(f, ids, "used_count"))
 
     def link(self, edges: DataFrame) -> int:
         new = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "kind", "weight")
-        both = self._edges().unionByName(new)
-        return self.edges.write(graph.upsert(both).withColumnsRenamed({"src": "src_id", "dst": "dst_id"}))
+        new = checkpointed(graph.upsert(new).withColumnsRenamed({"src": "src_id", "dst": "dst_id"}))
+        return self.edges.change(new, lambda old: graph.upsert(old.unionByName(new).withColumnsRenamed({"src_id": "src", "dst_id": "dst"})).withColumnsRenamed({"src": "src_id", "dst": "dst_id"}))
 
     def _edges(self) -> DataFrame:
         return self.edges.read().withColumnsRenamed({"src_id": "src", "dst_id": "dst"})
@@ -387,33 +431,37 @@ class Engine:
 
     def consolidate(self, now: float, files: DataFrame | None = None, horizon: float = 0) -> DataFrame:
         """Replay, displacement, near-duplicates, refinement, stale rules, purge, over all projects: one row of counts by step."""
-        from .store import checkpointed
-
         facts = self._with_vectors(self.facts.read())
         done = checkpointed(lifecycle.consolidation(facts, now, self.c.stm_capacity, self.c.integrate_threshold, self.c.refine_keep_max, self.c.refine_prune_percentile, horizon, files=files))
-        self._write_facts(schemas.upgrade(done.where("purged = 0"), schemas.FACTS))
+        gone = done.where("purged = 1").select("id")
+        self.facts.write(schemas.upgrade(done.where("purged = 0"), schemas.FACTS))
+        self.fact_terms.update(self._texts_of_facts(self.facts.read().limit(0)), gone)
         return lifecycle.consolidation_counts(done)
 
     def prune(self, project: str) -> int:
-        return self._write_facts(dml.prune_project(self.facts.read(), project))
+        mine = self.facts.read(projects=[project])
+        return self._remove(self.facts, mine.join(dml.prune_project(mine, project).select("id"), "id", "left_anti"))
 
     def delete_memory(self, project: str, card: str) -> int:
         """The facts of an observation, or the one of an id, and edges that ended there."""
-        facts, edges = dml.delete_memory(self.facts.read(), self._edges(), project, card)
-        edges = edges.withColumnsRenamed({"src": "src_id", "dst": "dst_id"})
-        self.edges.write(edges)
-        return self._write_facts(facts)
+        mine = self.facts.read(projects=[project])
+        facts, edges = dml.delete_memory(mine, self._edges(), project, card)
+        gone = checkpointed(mine.select("id", "project_key").join(facts.select("id"), "id", "left_anti"))
+        self.edges.write(edges.withColumnsRenamed({"src": "src_id", "dst": "dst_id"}))
+        return self._remove(self.facts, gone)
 
     def delete_project(self, project: str) -> DataFrame:
-        """All rows of a project in nine tables: name, removed."""
-        from .store import checkpointed
-
+        """All rows of a project in nine tables: name, removed.  One table after the other; done again, it finishes what was left."""
         names = {"facts": self.facts, "recall_events": self.recalls, "usage_events": self.usage, "chunks": self.chunks, "chunk_sources": self.sources, "work_queue": self.queue, "index_meta": self.meta, "cursors": self.cursors}
         left, counts = admin.delete_project({n: t.read() for n, t in names.items()} | {"edges": self._edges()}, project)
         counts = checkpointed(counts)
         self.edges.write(left["edges"].withColumnsRenamed({"src": "src_id", "dst": "dst_id"}))
         for n, t in names.items():
-            {"facts": self._write_facts, "chunks": self._write_chunks}.get(n, t.write)(left[n])
+            if t in (self.facts, self.chunks):
+                mine = t.read(projects=[project])
+                self._remove(t, mine.where(F.col("project_key") == project))
+            else:
+                t.write(left[n])
         return counts
 
     # Index of files and pages
@@ -425,8 +473,6 @@ class Engine:
         With scope ("" for the whole project), indexed files under it that are not among
         files are deleted.
         """
-        from .store import checkpointed
-
         mtime = F.col("mtime_ns") if "mtime_ns" in files.columns else F.lit(None).cast("long")
         live = checkpointed(files.where(F.octet_length("body") <= most).select("source_path", "body", mtime.alias("mtime_ns"), F.sha2("body", 256).alias("file_hash")))
         due = scans.needs_index(live, self.sources.read(), project)
@@ -438,9 +484,12 @@ class Engine:
         files_now = due.select(F.lit(project).alias("project_key"), "source_path", "file_hash", "mtime_ns", F.lit(float(now)).alias("indexed_at"))
         counts = changed.agg(F.count("*").alias("files")).crossJoin(live.agg(F.count("*").alias("n"))).crossJoin(new.agg(F.count("*").alias("chunks"))).crossJoin(gone.agg(F.count("*").alias("deleted")))
         counts = checkpointed(counts.select("files", (F.col("n") - F.col("files")).alias("skipped"), "chunks", "deleted"))
-        chunks = dml.delete_sources(dml.delete_sources(self.chunks.read(), replaced), gone)
-        self._write_chunks(dml.replace_chunks(chunks, new))
-        self.sources.write(dml.upsert(dml.delete_sources(self.sources.read(), gone), files_now, ["project_key", "source_path"]))
+        files_now, replaced = checkpointed(files_now), checkpointed(replaced)
+        parts = self.chunks.parts_of(replaced, gone)
+        chunks = dml.delete_sources(dml.delete_sources(self.chunks.read(parts), replaced), gone)
+        self._put(self.chunks, dml.replace_chunks(chunks, new), parts)
+        parts = self.sources.parts_of(files_now, gone)
+        self.sources.replace(dml.upsert(dml.delete_sources(self.sources.read(parts), gone), files_now, ["project_key", "source_path"]), parts)
         return counts
 
     def _chunks_of(self, files: DataFrame, project: str, now: float) -> DataFrame:
@@ -453,24 +502,26 @@ class Engine:
 
     def set_index_meta(self, project: str, label: str, path: str, now: float) -> int:
         new = self.spark.createDataFrame([(project, label, path, float(now))], schemas.INDEX_META)
-        return self.meta.apply(lambda m: dml.upsert(m, new, ["project_key"]))
+        return self.meta.upsert(new)
 
     def set_cursor(self, key: str, offset: int, now: float) -> int:
         new = self.spark.createDataFrame([(key, offset, float(now))], schemas.CURSORS)
-        return self.cursors.apply(lambda m: dml.upsert(m, new, ["cursor_key"]))
+        return self.cursors.upsert(new)
 
     def index_snapshot(self, pages: DataFrame, now: float) -> int:
         """Texts of pages (project_key, url, text, seq) as chunks: one for each URL, the last by seq; empty ones change nothing."""
         new = self._embedded(dml.snapshot_chunks(pages, now), rules.embed_text(F.col("title"), F.col("heading_path"), F.col("summary"), F.col("body")))
-        return self._write_chunks(dml.replace_chunks(self.chunks.read(), schemas.upgrade(new, schemas.CHUNKS), snapshots=True))
+        new = checkpointed(schemas.upgrade(new, schemas.CHUNKS))
+        parts = self.chunks.parts_of(new)
+        return self._put(self.chunks, dml.replace_chunks(self.chunks.read(parts), new, snapshots=True), parts)
 
     def search_index(self, query: str, project: str, kind: str | None = None, k: int = 10, now: float | None = None, live: DataFrame | None = None, max_chars: int | None = None) -> DataFrame:
         """Chunks by fused ranks of vectors and keywords, spread over files, with `matched` (chunks in the pools).
 
         live (source_path, anchor, content_hash) gives the state of each, as files are now.
         """
-        chunks = scans.chunk_rows(self.chunks.read(), project, kind)
-        hits = self._keyword_hits(self.chunk_terms, self.chunks.read(), query, list(CHUNK_WEIGHTS.values()), chunks)
+        chunks = scans.chunk_rows(self.chunks.read(projects=[project]), project, kind)
+        hits = self._keyword_hits(self.chunk_terms, query, list(CHUNK_WEIGHTS.values()), chunks, max(4 * k, 40))
         found = index.search(self._with_vectors(chunks), self._query(query), hits, k, self.c, counted=True)
         rows = found.join(chunks.drop("vec_int8", "vec_bits", "source_path"), "id").withColumn("cost", F.length(F.coalesce("summary", "title"))).withColumn("all", F.lit(0))
         if max_chars is not None:
@@ -481,8 +532,8 @@ class Engine:
 
     def index_block(self, query: str, project: str) -> DataFrame:
         """The few lines of the index that a prompt gets."""
-        chunks = scans.chunk_rows(self.chunks.read(), project)
-        hits = self._keyword_hits(self.chunk_terms, self.chunks.read(), query, list(CHUNK_WEIGHTS.values()), chunks)
+        chunks = scans.chunk_rows(self.chunks.read(projects=[project]), project)
+        hits = self._keyword_hits(self.chunk_terms, query, list(CHUNK_WEIGHTS.values()), chunks, max(6 * self.c.index_top_k, 12))
         line = F.concat_ws(" ", "source_path", F.concat(F.lit("#"), "anchor"), F.coalesce("summary", "title"))
         best = index.prompt_block(self._with_vectors(chunks).withColumn("title", line), self._query(query), hits, self.c).withColumn("all", F.lit(0))
         return pack.block(best.withColumn("order", -F.col("sim")), ["all"], "order", "line", "From the index:").select("block")
@@ -490,9 +541,22 @@ class Engine:
     def outline(self, project: str, source: str | None = None, kind: str | None = None) -> DataFrame:
         return scans.outline(self.chunks.read(), project, source, kind)
 
-    def section(self, project: str, ref: str) -> DataFrame:
-        """The chunk of an id or anchor; of several, the first by path."""
-        return scans.section(self.chunks.read(), project, ref)
+    def section(self, project: str, ref: str, live: DataFrame | None = None, now: float | None = None) -> DataFrame:
+        """The chunk of an id or anchor; of several, the first by path.
+
+        live (source_path, anchor, content_hash, file_bytes), as files are now, gives its
+        state; with a time, what it saved against its whole file goes to the ledger.
+        """
+        found = scans.section(self.chunks.read(projects=[project]), project, ref)
+        if live is None:
+            return found
+        sizes = live.groupBy("source_path").agg(F.max("file_bytes").alias("file_bytes"))
+        found = checkpointed(index.freshness(found, live, now or 0.0).join(sizes, "source_path", "left"))
+        if now is not None:
+            pulled = F.when(F.col("kind") == "code_symbol", "pull_symbol").otherwise("pull_doc").alias("kind")
+            saved = F.greatest(F.lit(0), F.col("file_bytes") - F.length(F.coalesce("body", F.lit("")))).cast("long").alias("bytes_saved")
+            self.record_usage(found.where("file_bytes is not null").select(F.lit(project).alias("project_key"), pulled, F.lit(0).cast("long").alias("bytes_in"), saved), now)
+        return found.drop("file_bytes")
 
     # The register
 
@@ -503,6 +567,7 @@ class Engine:
         """
         url = F.coalesce("url", F.lit("")) if "url" in rows.columns else F.lit("")
         new = schemas.upgrade(rows.withColumn("id", text.sensory_id(F.col("project_key"), F.col("modality"), url, F.col("text"))), schemas.SENSORY).withColumn("created_at", F.coalesce("created_at", F.lit(float(now))))
+        new = checkpointed(new)
         old = self.senses.read()
         again = new.join(old.select("id"), "id", "left_semi").where("modality = 'visual'").select("id").unionByName(new.where("modality = 'visual'").groupBy("id").count().where("count > 1").select("id"))
         kept = dml.mark_attended(dml.perceive(old, new.withColumn("seq", F.col("created_at"))), again)

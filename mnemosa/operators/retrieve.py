@@ -64,8 +64,14 @@ def top(df: DataFrame, score: str, k: int, *by: str) -> DataFrame:
     return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
-def search(facts: DataFrame, query: Column | DataFrame, now: float, project: str | None = None, c: Config = DEFAULT, k: int | None = None, min_sim: float | None = None) -> DataFrame:
-    """Facts over the similarity gate by priority; with cross_project, others fill up at nine tenths."""
+def search(facts: DataFrame, query: Column | DataFrame, now: float, project: str | None = None, c: Config = DEFAULT, k: int | None = None, min_sim: float | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """Facts over the similarity gate by priority; with cross_project, others fill up at nine tenths where there are fewer than k.
+
+    With a spread weight, edges (src, dst, kind, weight) raise candidates that they join
+    to other candidates; the heaviest 512 at any candidate are looked at.
+    """
+    if edges is not None and c.spread_weight > 0:
+        return _search_spread(facts, query, now, project, c, k or c.top_k, c.min_sim if min_sim is None else min_sim, edges)
     k, gate = k or c.top_k, c.min_sim if min_sim is None else min_sim
     sims = with_similarity(facts.where(F.col("status") == "active"), query, c.scorer).where(F.col("sim") >= gate)
     own = with_score(sims.where(in_scope(project)), now, c)
@@ -78,6 +84,17 @@ def search(facts: DataFrame, query: Column | DataFrame, now: float, project: str
     return top(best.unionByName(fill), "score", k)
 
 
+def _search_spread(facts: DataFrame, query: Column | DataFrame, now: float, project: str | None, c: Config, k: int, gate: float, edges: DataFrame) -> DataFrame:
+    sims = with_similarity(facts.where(F.col("status") == "active"), query, c.scorer).where(F.col("sim") >= gate)
+    found = with_score(sims.where(in_scope(project)), now, c)
+    if c.cross_project and project is not None:
+        few = F.broadcast(found.agg(F.count("*").alias("_n")))
+        found = found.unionByName(with_score(sims.where(~in_scope(project)), now, c, 0.9).crossJoin(few).where(F.col("_n") < k).drop("_n"))
+    found = checkpointed(found)
+    raised = spread(found.select("id", "score"), graph.neighbours(edges, found), c.spread_weight)
+    return top(found.drop("score").join(raised.select("id", F.col("boosted").alias("score")), "id"), "score", k)
+
+
 def similarities(facts: DataFrame, queries: DataFrame, min_sim: float = -1.0, block: int = 256) -> DataFrame:
     """Active facts, without vectors, with qid and sim for each of a stated set of queries (qid, q), in blocks of queries."""
     some = queries.select("qid", "q").toPandas()
@@ -145,17 +162,17 @@ def with_ranks(candidates: DataFrame, one_sort: int = ONE_SORT) -> DataFrame:
     return out
 
 
-def search_fused(facts: DataFrame, vector: Column | DataFrame, query: str, hits: DataFrame, c: Config = DEFAULT, k: int | None = None, min_sim: float | None = None) -> DataFrame:
+def search_fused(facts: DataFrame, vector: Column | DataFrame, query: str, hits: DataFrame, c: Config = DEFAULT, k: int | None = None, min_sim: float | None = None, pool: int | None = None) -> DataFrame:
     """Facts admitted by similarity, shared words or keyword hits, by fused ranks of five channels.
 
-    hits (id, bm25) are those of the facts in scope; the best max(4k, 50) of them
-    take part.  A fact without a time of last sight counts by its creation, one
+    hits (id, bm25) are those of the facts in scope; the best `pool` of them, by
+    default max(4k, 50), take part.  A fact without a time of last sight counts by its creation, one
     without a frequency as seen once.
     """
     gate, k = c.min_sim if min_sim is None else min_sim, k or c.top_k
-    pool = hits.orderBy("bm25", "id").limit(max(4 * k, 50)).select("id", "bm25")
+    best = hits.orderBy("bm25", "id").limit(pool or max(4 * k, 50)).select("id", "bm25")
     sims = with_similarity(facts.where(F.col("status") == "active"), vector, c.scorer)
-    scored = sims.withColumn("lexical", text.overlap(text.tokens(F.col("text")), text.tokens(F.lit(query)))).join(F.broadcast(pool), "id", "left")
+    scored = sims.withColumn("lexical", text.overlap(text.tokens(F.col("text")), text.tokens(F.lit(query)))).join(F.broadcast(best), "id", "left")
     seen = F.coalesce("last_seen", "created_at") if "created_at" in facts.columns else F.col("last_seen")
     admitted = scored.where((F.col("sim") >= gate) | (F.col("lexical") > 0) | F.col("bm25").isNotNull())
     ranked = with_ranks(admitted.select("id", "sim", "lexical", "bm25", seen.alias("last_seen"), F.coalesce("frequency", F.lit(1)).alias("frequency")))

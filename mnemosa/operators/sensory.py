@@ -33,6 +33,21 @@ def sweep(rows: DataFrame, now: float, ttl: float = 900, capacity: int = 64) ->
     return full.where(F.col("decayed_at").isNull() | (F.col("decayed_at") >= now - ttl))
 
 
+def register_events(rows: DataFrame, until: float, ttl: float = 900, capacity: int = 64) -> DataFrame:
+    """project_key, id, event, at: what a register that is swept all the time loses up to a time.
+
+    An unattended perception is decayed at the end of its ttl, or when the `capacity`-th
+    perception after it comes, if that is earlier; a tombstone is purged one ttl later.
+    """
+    live = rows.where("decayed_at is null and created_at is not null")
+    nth = F.lead("created_at", capacity).over(W.partitionBy("project_key").orderBy("created_at", F.col("id").cast("string"))) if capacity > 0 else F.lit(None).cast("double")
+    loose = live.withColumn("_nth", nth).where(F.coalesce(F.col("attended"), F.lit(0)) == 0)
+    decayed = loose.select("project_key", "id", F.least(F.col("created_at") + ttl, F.col("_nth")).alias("at")).where(F.col("at") <= until)
+    dead = decayed.unionByName(rows.where("decayed_at is not null").select("project_key", "id", F.col("decayed_at").alias("at")))
+    purged = dead.select("project_key", "id", F.lit("purged").alias("event"), (F.col("at") + ttl).alias("at")).where(F.col("at") <= until)
+    return decayed.select("project_key", "id", F.lit("decayed").alias("event"), "at").unionByName(purged)
+
+
 def promote(rows: DataFrame) -> DataFrame:
     """The newest attended live visual row of each project and URL."""
     held = rows.where("modality = 'visual' and attended = 1 and decayed_at is null")

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import ingest, lifecycle, more, recall, rules, store_ops, tables  # noqa: F401
+    from . import ingest, kept, lifecycle, more, recall, rules, store_ops, tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

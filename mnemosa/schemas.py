@@ -51,3 +51,12 @@ def upgrade(df: DataFrame, schema: StructType) -> DataFrame:
         else:
             out.append(F.lit(DEFAULTS.get(f.name)).cast(f.dataType).alias(f.name))
     return df.select(*out)
+
+
+def filled(df: DataFrame, schema: StructType) -> DataFrame:
+    """upgrade(), where older files lack a column and so read as null: defaults there too, and last_seen is created_at."""
+    rows = upgrade(df, schema)
+    fill = {n: F.coalesce(n, F.lit(d)).cast(schema[n].dataType) for n, d in DEFAULTS.items() if n in schema.names}
+    if {"last_seen", "created_at"} <= set(schema.names):
+        fill["last_seen"] = F.coalesce("last_seen", "created_at")
+    return rows.withColumns(fill) if fill else rows

@@ -2,72 +2,165 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions import text
-
-
-def attention(perceptions: DataFrame, window: float = 300) -> DataFrame:
+from ..store import shared_folder
+
+
+class _Attention(StatefulProcessor):
+    """Times in view of one page, each with whether its perceptions were given out."""
+
+    def __init__(self, window: float):
+        self.window = window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "at double, id string", "copies int, told boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = {tuple(k): tuple(v) for k, v in self.seen.iterator()}
+        changed = set()
+        for f in rows:
+            for k in zip(f["created_at"].tolist(), f["id"].tolist(), strict=True):
+                copies, told = held.get(k, (0, False))
+                held[k] = copies + 1, told
+                changed.add(k)
+        self._wake(held)
+        order, out = sorted(held), []
+        for n, k in enumerate(order):
+            copies, told = held[k]
+            near = copies > 1 or any(0 <= m < len(order) and abs(order[m][0] - k[0]) <= self.window for m in (n - 1, n + 1))
+            if near and not told:
+                out += [k[1]] * copies
+                held[k] = copies, True
+                changed.add(k)
+            elif near and k in changed:
+                out.append(k[1])  # one more of what was given out
+        for k in changed:
+            self.seen.updateValue(k, held[k])
+        yield pd.DataFrame({"id": out}, dtype=object)
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, held = timerValues.getCurrentWatermarkInMs(), [tuple(k) for k in self.seen.keys()]
+        behind = {k for k in held if (k[0] + self.window) * 1000 < now}
+        for k in behind:
+            self.seen.removeKey(k)
+        self._wake(set(held) - behind)
+        yield pd.DataFrame({"id": []}, dtype=object)
+
+    def _wake(self, held: Iterable[tuple]) -> None:
+        """One timer a page, for the first time to leave behind."""
+        if held:
+            self.handle.registerTimer(math.ceil((min(held)[0] + self.window) * 1000) + 1)
+
+    def close(self) -> None:
+        pass
+
+
+class _Register(StatefulProcessor):
+    """The live perceptions of one project in the order of time, and its tombstones."""
+
+    def __init__(self, ttl: float, capacity: int):
+        self.ttl, self.capacity = ttl, capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.live = handle.getMapState("live", "at double, id string", "attended boolean")
+        self.gone = handle.getMapState("gone", "at double, id string", "nothing boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for f in rows:
+            for t, i, attended, decayed in zip(f["created_at"].tolist(), f["id"].tolist(), f["attended"].tolist(), f["decayed_at"].tolist(), strict=True):
+                if decayed is not None and decayed == decayed:
+                    self.gone.updateValue((decayed + self.ttl, i), (True,))
+                else:
+                    self.live.updateValue((t, i), (bool(attended),))
+        yield self._settled(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._settled(key, timerValues.getCurrentWatermarkInMs())
+
+    def _settled(self, key: Any, now: float) -> pd.DataFrame:
+        """What the watermark has made certain: rows that left, and tombstones whose time is over; one timer for what is next."""
+        out, coming = [], []
+        rows = sorted((tuple(k), bool(v[0])) for k, v in self.live.iterator())
+        for n, ((t, i), attended) in enumerate(rows):
+            full = n + self.capacity
+            over = min(t + self.ttl, rows[full][0][0]) if self.capacity > 0 and full < len(rows) else t + self.ttl
+            if not attended and over * 1000 <= now:
+                out.append((i, "decayed", over))
+                self.gone.updateValue((over + self.ttl, i), (True,))
+            leaves = t + self.ttl if attended else over
+            if leaves * 1000 <= now:
+                self.live.removeKey((t, i))
+            else:
+                coming.append(leaves)
+        for t, i in sorted(tuple(k) for k in self.gone.keys()):
+            if t * 1000 <= now:
+                out.append((i, "purged", t))
+                self.gone.removeKey((t, i))
+            else:
+                coming.append(t)
+        if coming:
+            self.handle.registerTimer(math.ceil(min(coming) * 1000))
+        texts = {"project_key": [key[0]] * len(out), "id": [x[0] for x in out], "event": [x[1] for x in out]}
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in texts.items()} | {"at": pd.Series([x[2] for x in out], dtype=float)})
+
+    def close(self) -> None:
+        pass
+
+
+def _ready(rows: DataFrame, delay: str) -> DataFrame:
+    """rows with string ids and a watermark on their time; maps in state need the RocksDB provider, which is set for the session."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = rows.where("created_at is not null and id is not null").withColumns({"id": F.col("id").cast("string"), "created_at": F.col("created_at").cast("double")})
+    return timed.withColumn("ts", F.timestamp_seconds("created_at")).withWatermark("ts", delay)
+
+
+def attention(perceptions: DataFrame, window: float = 300, delay: str = "10 minutes") -> DataFrame:
     """id of each perception that is attended: another of its project and page came within the window, before or after it.
 
-    The same rows as sensory.attend marks: live, visual, with a URL.  State by
-    project and page is its latest perception and whether that was given out,
-    dropped when the watermark of `ts` passes the window, so it holds pages in view
-    only.
+    The rows that sensory.attend marks (live, visual, with a URL), whatever the order in
+    which they come, if none is later than `delay`.  State is a map of the times of a
+    project's page, from which a timer takes those that the watermark has left behind
+    by the window, so it holds pages in view only.  Ids of any type.
     """
     from ..operators import sensory
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["created_at", "id"])
-        held, at, told = state.get if state.exists else (None, None, True)
-        out = []
-        for i, now in zip(rows["id"].tolist(), rows["created_at"].tolist(), strict=True):
-            near = at is not None and abs(now - at) <= window
-            out += [held] * (near and not told) + [i] * near
-            if at is None or now >= at:
-                held, at, told = i, now, near
-        state.update((int(held), float(at), bool(told)))
-        state.setTimeoutTimestamp(max(int((at + window) * 1000), state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame({"id": out})
-
-    keyed = perceptions.where(sensory.is_seen(perceptions)).withColumn("page", text.normalize_url(F.col("url"))).withColumn("ts", F.timestamp_seconds("created_at")).withWatermark("ts", "10 minutes")
-    return keyed.groupBy("project_key", "page").applyInPandasWithState(step, "id long", "held long, at double, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def decay(perceptions: DataFrame, ttl: float = 900) -> DataFrame:
-    """id of perceptions (id, project_key, created_at, attended) that age out unattended, when the watermark passes their time."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, times = state.get if state.exists else ([], [])
-        held = dict(zip(ids, times, strict=True))
-        if not state.hasTimedOut:
-            for f in frames:
-                held |= {i: t for i, t, a in zip(f["id"], f["created_at"], f["attended"], strict=True) if not a}
-        now = state.getCurrentWatermarkMs() / 1000
-        gone = [i for i, t in held.items() if t + ttl < now]
-        for i in gone:
-            del held[i]
-        if held:
-            state.update(([int(i) for i in held], [float(t) for t in held.values()]))
-            state.setTimeoutTimestamp(max(int((min(held.values()) + ttl) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if gone:
-            yield pd.DataFrame({"project_key": key[0], "id": gone})
-
-    keyed = perceptions.withColumn("ts", F.timestamp_seconds("created_at")).withWatermark("ts", "0 seconds")
-    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))  # a project's rows are spread over 64 states
-    return keyed.groupBy("project_key", "part").applyInPandasWithState(step, "project_key string, id long", "ids array<long>, times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = _ready(perceptions.where(sensory.is_seen(perceptions)).withColumn("page", text.normalize_url(F.col("url"))), delay)
+    found = keyed.select("project_key", "page", "id", "created_at", "ts").groupBy("project_key", "page").transformWithStateInPandas(_Attention(window), "id string", "append", "eventtime")
+    return found.select(F.col("id").cast(perceptions.schema["id"].dataType).alias("id"))
+
+
+def register(perceptions: DataFrame, ttl: float = 900, capacity: int = 64, delay: str = "10 minutes") -> DataFrame:
+    """project_key, id, event, at: perceptions that leave the register (decayed), and tombstones that are deleted (purged).
+
+    The events of sensory.register_events, whatever the order in which perceptions
+    (id, project_key, created_at, attended, decayed_at) come, if none is later than
+    `delay`; each is given out once, when the watermark has passed it.  State of a
+    project is what is live in it and what was tombstoned within the last ttl; the order of
+    its perceptions decides who is beyond the capacity, so a project is one state.
+    """
+    keyed = _ready(perceptions, delay).select("project_key", "id", "created_at", F.coalesce(F.col("attended"), F.lit(0)).cast("boolean").alias("attended"), F.col("decayed_at").cast("double").alias("decayed_at"), "ts")
+    found = keyed.groupBy("project_key").transformWithStateInPandas(_Register(ttl, capacity), "project_key string, id string, event string, at double", "append", "eventtime")
+    return found.withColumn("id", F.col("id").cast(perceptions.schema["id"].dataType))
+
+
+def finished(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of a stream over what is there now, from a written table."""
+    root = f"{shared_folder(rows.sparkSession)}/mnemosa-{name}-{uuid.uuid4().hex}"
+    rows.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/rows")
 
 
 def ledger_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

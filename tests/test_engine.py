@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from mnemosa.engine import Engine
 from mnemosa.operators import lifecycle, sensory, work_queue
-from mnemosa.streaming import stateful
 
 
 def test_loop(spark, tmp_path):
@@ -71,33 +70,7 @@ def test_queue(spark):
         work_queue.purge(q)
 
 
-def test_attention_stream_equals_batch(spark, tmp_path):
-    """Repeats within and beyond the window, rows without URL, other modality, tombstones, two projects, in three batches."""
-    rows = [(i, "pq"[i % 7 == 0], None if i % 11 == 5 else "" if i % 11 == 6 else f"http://x/{i % 3}#f{i}", "verbal" if i % 13 == 4 else "visual", 1e9 + 37 * i + 400 * (i // 15), 0, 1.0 if i % 17 == 3 else None) for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, project_key string, url string, modality string, created_at double, attended int, decayed_at double")
-    for k in range(3):
-        df.where(F.floor(F.col("id") / 20) == k).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
-    q = stateful.attention(stream, 200).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = [r.id for r in spark.table("seen").collect()]
-    want = {r.id for r in sensory.attend(df, 200).where("attended = 1").collect()}
-    assert set(got) == want and len(got) == len(want) and 5 < len(want) < 50
-
-
 def test_attention_needs_a_page(spark):
     rows = [("a", None, 1.0), ("b", None, 2.0), ("c", "http://x", 1.0), ("d", "http://x#y", 9.0), ("e", "http://x", 9000.0)]
     df = spark.createDataFrame([(i, "p", u, "visual", t, 0, None) for i, u, t in rows], "id string, project_key string, url string, modality string, created_at double, attended int, decayed_at double")
     assert {r.id for r in sensory.attend(df).where("attended = 1").collect()} == {"c", "d"}
-
-
-def test_decay_stream(spark, tmp_path):
-    rows = [(i, "p", 1e9 + 100 * i, int(i == 1)) for i in range(30)]
-    df = spark.createDataFrame(rows, "id long, project_key string, created_at double, attended int")
-    for k in range(3):
-        df.where(F.floor(F.col("id") / 10) == k).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
-    q = stateful.decay(stream, 900).writeStream.format("memory").queryName("gone").trigger(availableNow=True).start()
-    q.awaitTermination()
-    gone = {r.id for r in spark.table("gone").collect()}
-    assert gone and 1 not in gone and all(100 * i + 900 < 2900 for i in gone)

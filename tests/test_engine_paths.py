@@ -128,7 +128,7 @@ def test_index_knows_what_changed(spark, tmp_path):
     assert put(4.0, (a[0], a[1], 9), scope="d") == (0, 1, 0, 1) and e.outline("p", "e/c.md").count() == 1
     assert put(5.0, (a[0], a[1], 9), scope="") == (0, 1, 0, 1) and {r.source_path for r in e.outline("p").collect()} == {"d/a.md"}
     assert put(6.0, ("big.md", "x" * 100, 1), most=10) == (0, 0, 0, 0)
-    kept = e.chunk_terms.read().select("id").distinct()
+    kept = e.chunk_terms.docs().select("id")
     assert {r.id for r in kept.collect()} == {r.id for r in e.chunks.read().collect()}
 
 
@@ -167,7 +167,7 @@ def test_consolidate_counts_its_steps(spark, tmp_path):
     counts = e.consolidate(1e9, files, horizon=1e6).first().asDict()
     assert counts["replayed"] == 2 and counts["displaced"] == 0 and counts["merged"] == 1 and counts["pruned"] == 1 and counts["expired"] == 1
     assert counts["purged"] == 1 + 6 - 1 - e.facts.read().count()
-    terms = {r.id for r in e.fact_terms.read().select("id").distinct().collect()}
+    terms = {r.id for r in e.fact_terms.docs().select("id").collect()}
     assert terms == {r.id for r in e.facts.read().collect()}
 
 
@@ -186,7 +186,7 @@ def test_deletes(spark, tmp_path):
     assert gone["facts"] == 2 and gone["cursors"] == 1 and gone["index_meta"] == 1 and gone["edges"] == 1
     assert [tuple(r)[:2] for r in e.cursors.read().collect()] == [("summary:p:s", 6)] and e.facts.read().count() == 1
     e.prune("q")
-    assert e.facts.read().isEmpty() and e.fact_terms.read().isEmpty()
+    assert e.facts.read().isEmpty() and e.fact_terms.docs().isEmpty()
 
 
 def test_read_api(spark, tmp_path):
@@ -199,9 +199,9 @@ def test_read_api(spark, tmp_path):
     assert (p.facts, p.stm, p.consolidation, p.sensory, p.label) == (3, 3, 0, 0, "p")
     for now, kind, into, saved in ((1.0, "inject_prompt", 400, 0), (2.0, "pull_doc", 0, 4000)):
         e.record_usage(spark.createDataFrame([("p", kind, into, saved)], "project_key string, kind string, bytes_in long, bytes_saved long"), now)
-    assert e.ledger().first().net_measured == 900 and e.stats().count() == 2 and len(e.usage.folders(e.usage.version())) == 2
-    e.usage.drop_old(1)
-    assert e.usage.read().count() == 2
+    assert e.ledger().first().net_measured == 900 and e.stats().count() == 2 and e.usage.version() == 2
+    e.usage.fold()
+    assert e.usage.read().count() == 2 and e.usage.files.names("rows").count("_w=3") == 1
     archived, work = e.consolidation("p")
     assert archived.isEmpty() and work.isEmpty() and e.index_projects().isEmpty()
     e.index(spark.createDataFrame([("a.md", "# Cache keys\nThe cache key is made of the query and the day.")], "source_path string, body string"), "p", 1.0)
