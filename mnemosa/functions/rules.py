@@ -128,16 +128,46 @@ def rule_text(rule: Column, most: int = 400) -> Column:
     return soft_trim(F.regexp_replace(F.regexp_replace(rule, r"\A\s+|\s+\z", ""), r"\.+\z", ""), most)
 
 
-_BLOCKS = "array<struct<type:string,text:string>>"
+def _kind(v: Column) -> Column:
+    """array, object, string or another word for what a VARIANT holds."""
+    s = F.schema_of_variant(v)
+    return F.when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").when(s == "STRING", "string").otherwise("other")
+
+
+def _as(path: str, v: Column, kind: str = "string") -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def _listed(v: Column) -> Column:
+    """The texts of a list's objects, where they are strings."""
+    texts = F.transform(v, lambda b: F.when((_kind(b) == "object") & (_kind(_as("$.text", b, "variant")) == "string"), _as("$.text", b)))
+    return F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n")
 
 
 def result_text(response: Column) -> Column:
-    """The text of a tool's answer: plain text, a list of blocks, an object with `content`, or one of four fields."""
-    head = F.substring(F.ltrim(response), 1, 1)
-    joined = lambda blocks: F.array_join(F.filter(F.transform(blocks, lambda b: b["text"]), lambda t: t.isNotNull()), "\n")
-    whole = F.from_json(response, f"content {_BLOCKS}, text string, result string, output string, stdout string")
-    of_object = F.when(whole["content"].isNotNull(), joined(whole["content"])).otherwise(F.coalesce(whole["text"], whole["result"], whole["output"], whole["stdout"], F.lit("")))
-    return F.when(response.isNull(), "").when(head == "[", F.coalesce(joined(F.from_json(response, _BLOCKS)), F.lit(""))).when(head == "{", of_object).otherwise(response)
+    """The text of a tool's answer: a list of blocks, an object with a list `content`, one of four fields that are strings, a JSON string, or a text that is no JSON.
+
+    What parses as JSON counts as JSON, so a text that only begins like it is a text.
+    """
+    v = F.try_parse_json(response)
+    content = _as("$.content", v, "variant")
+    field = lambda k: F.when(_kind(_as(f"$.{k}", v, "variant")) == "string", _as(f"$.{k}", v))
+    of_object = F.when(_kind(content) == "array", _listed(F.try_variant_get(content, "$", "array<variant>"))).otherwise(F.coalesce(*map(field, ("text", "result", "output", "stdout")), F.lit("")))
+    kind = _kind(v)
+    return (
+        F.when(response.isNull(), "").when(v.isNull(), response).when(kind == "array", _listed(F.try_variant_get(v, "$", "array<variant>"))).when(kind == "object", of_object)
+        .when(kind == "string", _as("$", v)).otherwise(F.when(F.trim(response) == "null", "").otherwise(response))
+    )
+
+
+def result_bytes(content: Column) -> Column:
+    """UTF-8 bytes of the content of a tool's result (its JSON): of a string, or of the texts of a list's objects; a text that is no JSON counts as a string."""
+    v = F.try_parse_json(content)
+    shown = lambda b: F.coalesce(_as("$.text", b), F.when(_as("$.text", b, "variant").isNotNull(), F.to_json(_as("$.text", b, "variant"))), F.lit(""))
+    texts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda b: F.when(_kind(b) == "object", F.octet_length(shown(b))).otherwise(0))
+    listed = F.aggregate(texts, F.lit(0), lambda a, b: a + b)
+    kind = _kind(v)
+    return F.when(content.isNull(), 0).when(v.isNull(), F.octet_length(content)).when(kind == "string", F.octet_length(_as("$", v))).when(kind == "array", listed).otherwise(F.lit(0))
 
 
 def page_url(text: Column) -> Column:
@@ -148,11 +178,11 @@ def page_url(text: Column) -> Column:
 
 
 def longest_string(response: Column) -> Column:
-    """Bytes of the longest string anywhere in a JSON text, or of a text that is no JSON object, list or string."""
+    """Bytes of the longest string anywhere in a JSON object, list or string, or of a text that is none of these."""
     found = F.regexp_extract_all(response, F.lit(r'("(?:[^"\\]|\\.)*"(?:\s*:)?)'), 1)  # names of fields come with their colon
     strings = F.filter(found, lambda s: ~s.endswith(":"))
     plain = F.transform(strings, lambda s: F.octet_length(F.get_json_object(F.concat(F.lit('{"s":'), s, F.lit("}")), "$.s")))
-    return F.when(F.substring(F.ltrim(response), 1, 1).isin("{", "[", '"'), F.coalesce(F.array_max(plain), F.lit(0))).otherwise(F.coalesce(F.octet_length(response), F.lit(0)))
+    return F.when(F.coalesce(_kind(F.try_parse_json(response)), F.lit("")).isin("object", "array", "string"), F.coalesce(F.array_max(plain), F.lit(0))).otherwise(F.coalesce(F.octet_length(response), F.lit(0)))
 
 
 def first_prose_line(title: Column, body: Column, most: int = 200) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import scoring, text, vec
 from ..store import checkpointed
+from . import graph
 
 GLOBAL = "__global__"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..sources import chunking, imports, transcript
+from ..sources import chunking, imports, projects, transcript
 from ..sources.views import table
 from .recall import STOP, TOKENS
 from .registry import query
@@ -111,3 +111,36 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda i: F.concat(F.lit("n_"), F.col("words")[i])
     code = F.concat(F.lit("class "), name(0), F.lit(":\n    \'\'\'"), F.array_join("words", " "), F.lit("\'\'\'\n    def "), name(1), F.lit("(self, x='"), F.col("words")[2], F.lit("'):\n        return x\n\nasync def "), name(3), F.lit("(*a):\n    pass\n"))
     return chunking.python_symbols(d.select(F.col("item_id").cast("string").alias("source_path"), code.alias("body")))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)
+SELECT concat(conv_id, ':', turn) AS id, CASE WHEN turn % 2 = 0 THEN 'Read' ELSE 'Bash' END AS name, CAST(sum(CASE turn % 4 WHEN 0 THEN strlen(t) WHEN 1 THEN strlen(t) + 2 WHEN 2 THEN 0 ELSE 2 * strlen(t) END) AS BIGINT) AS bytes FROM c GROUP BY ALL""")
+def tool_call_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call and its result for each turn: a text, a list of blocks, a list without texts, or two results."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "turn", F.coalesce("text", F.lit("")).alias("t"))
+    message = lambda role, block: F.to_json(F.struct(F.lit(role).alias("type"), F.struct(F.lit(role).alias("role"), F.array(block).alias("content")).alias("message")))
+    use = message("assistant", F.struct(F.lit("tool_use").alias("type"), "id", F.when(F.col("turn") % 2 == 0, "Read").otherwise("Bash").alias("name")))
+    answer = lambda content: message("user", F.struct(F.lit("tool_result").alias("type"), F.col("id").alias("tool_use_id"), content.alias("content")))
+    block = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
+    n = F.col("turn") % 4
+    lines = [c.select(use.alias("value")), c.where((n == 0) | (n == 3)).select(answer(F.col("t")).alias("value")), c.where(n == 3).select(answer(F.array(block(F.col("t")))).alias("value")), c.where(n == 1).select(answer(F.array(block(F.col("t")), block(F.lit("é")))).alias("value")), c.where(n == 2).select(answer(F.array(F.struct(F.lit("image").alias("type")))).alias("value"))]
+    whole = lines[0]
+    for more in lines[1:]:
+        whole = whole.unionByName(more)
+    return transcript.tool_calls(whole).select("id", "name", "bytes")
+
+
+_DIRS = "SELECT page_id, '/' || regexp_replace(regexp_replace(url, '^[^:]*://', ''), '[?#].*$', '', 's') AS d FROM pages WHERE url IS NOT NULL"
+
+
+@query(f"""WITH s AS (SELECT page_id, '/' || array_to_string(list_filter(string_split(d, '/'), lambda x: x NOT IN ('', '.')), '/') AS d FROM ({_DIRS})),
+h AS (SELECT DISTINCT regexp_replace(d, '/[^/]*$', '') AS path, page_id % 9 = 0 AS pinned FROM s WHERE page_id % 3 = 0), m AS (SELECT path, bool_or(pinned) AS pinned FROM h GROUP BY path),
+f AS (SELECT page_id, arg_max(path, (CASE WHEN pinned THEN 1000000 ELSE 0 END) + length(path)) AS root FROM s JOIN m ON s.d = path OR starts_with(s.d, path || '/') GROUP BY page_id),
+r AS (SELECT page_id, coalesce(root, d) AS path FROM s LEFT JOIN f USING (page_id))
+SELECT page_id, path AS project_path, substr(sha256(path), 1, 16) AS project_key, string_split(path, '/')[-1] AS project_label FROM r""")
+def projects_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages as folders of sessions, by marker; every third one's folder holds a marker, every ninth one's the root's name."""
+    path = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace("url", "^[^:]*://", ""), "(?s)[?#].*$", ""))
+    s = table(spark, sf_dir, "pages").where("url is not null").select("page_id", path.alias("cwd"), F.lit(None).cast("string").alias("project_dir"))
+    held = s.where("page_id % 3 = 0").select(F.regexp_replace(projects.folder(F.col("cwd")), "/[^/]*$", "").alias("path"), F.when(F.col("page_id") % 9 == 0, projects.ROOT).otherwise(".git").alias("name"))
+    return projects.resolve(s, held, "marker").select("page_id", "project_path", "project_key", "project_label")

@@ -118,13 +118,13 @@ def _merging(facts: str) -> str:
     """Common table expressions from `facts` (id, project_key, text, v, counters, last ones): `gone` has the ids that a stronger fact absorbs."""
     return f"""pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY created_at DESC, id DESC) AS newest FROM {facts} WHERE status = 'active' AND tier = 'stm') WHERE newest <= 512),
 ord AS (SELECT id, project_key, v, row_number() OVER (PARTITION BY project_key ORDER BY frequency DESC, recall_count DESC, last_seen DESC, length(text) DESC, id) AS n FROM pool),
-near AS (SELECT b.project_key, b.n, list(a.n) AS stronger FROM ord a JOIN ord b ON a.project_key = b.project_key AND a.n < b.n AND round({COS.format('a.v', 'b.v')}, 6) >= 0.3 GROUP BY ALL),
+near AS MATERIALIZED (SELECT b.project_key, b.n, list(a.n) AS stronger FROM ord a JOIN ord b ON a.project_key = b.project_key AND a.n < b.n AND round({COS.format('a.v', 'b.v')}, 6) >= 0.3 GROUP BY ALL),
 walk AS (SELECT project_key, 1::BIGINT AS n, [1::BIGINT] AS kept FROM ord WHERE n = 1 UNION ALL
 SELECT w.project_key, o.n, CASE WHEN len(list_intersect(w.kept, coalesce(near.stronger, []))) > 0 THEN w.kept ELSE list_append(w.kept, o.n) END FROM walk w JOIN ord o ON o.project_key = w.project_key AND o.n = w.n + 1 LEFT JOIN near ON near.project_key = o.project_key AND near.n = o.n),
 gone AS (SELECT o.id FROM ord o JOIN walk w ON w.project_key = o.project_key AND w.n = o.n WHERE NOT list_contains(w.kept, o.n))"""
 
 
-_EMBEDDED = f"WITH RECURSIVE f AS ({FACTS}), e AS (SELECT f.*, CAST(embedding AS DOUBLE[]) AS v FROM f {HAS_VECTOR})"
+_EMBEDDED = f"WITH RECURSIVE f AS ({FACTS}), e AS MATERIALIZED (SELECT f.*, CAST(embedding AS DOUBLE[]) AS v FROM f {HAS_VECTOR})"
 
 
 @query(_EMBEDDED + ", " + _merging("e") + " SELECT id, project_key, CASE WHEN id IN (SELECT id FROM gone) THEN 'merged' ELSE status END AS status FROM e")

@@ -19,8 +19,8 @@ TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: len
 DECAY = f"exp(greatest(0.0, {NOW} - last_seen) * (-ln(2) / 2592000.0))"
 BOOST = "CASE WHEN frequency <= 1 THEN 0.0 ELSE least(1.0, ln(frequency) / ln(8)) END"
 HITS = f"""WITH f AS ({FACTS}), q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
-e AS (SELECT f.*, label, CAST(embedding AS DOUBLE[]) AS vec FROM f {HAS_VECTOR}),
-s AS (SELECT e.*, round({COS.format('vec', 'q')}, 6) AS sim FROM e, q WHERE status = 'active'),
+e AS MATERIALIZED (SELECT f.*, label, CAST(embedding AS DOUBLE[]) AS vec FROM f {HAS_VECTOR}),
+s AS MATERIALIZED (SELECT e.*, round({COS.format('vec', 'q')}, 6) AS sim FROM e, q WHERE status = 'active'),
 p AS (SELECT *, round(sim + 0.3 * {DECAY} + 0.2 * {BOOST}, 6) AS score FROM s)"""
 GATE = 0.05
 

@@ -90,11 +90,11 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line"), response.alias("response"))
 
 
-@query(f"""WITH a AS ({_ANSWERS}) SELECT conv_id, turn, CASE turn % 5 WHEN 1 THEN line || chr(10) || 'b' WHEN 4 THEN '' ELSE line END AS text,
-CAST(CASE turn % 5 WHEN 0 THEN strlen(line) WHEN 3 THEN greatest(strlen(line) + 2, 0) WHEN 4 THEN 0 ELSE greatest(strlen(line), 4 + CASE WHEN turn % 5 = 1 THEN 1 ELSE 0 END) END AS INT) AS longest FROM a WHERE line NOT SIMILAR TO '\\s*[\\[{{"].*' """)
+@query(f"""WITH a AS ({_ANSWERS}) SELECT conv_id, turn, coalesce(CASE turn % 5 WHEN 1 THEN line || chr(10) || 'b' WHEN 4 THEN '' ELSE line END, '') AS text,
+coalesce(CAST(CASE turn % 5 WHEN 0 THEN strlen(line) WHEN 3 THEN strlen(line) + 2 WHEN 4 THEN 0 ELSE greatest(strlen(line), 4 + CASE WHEN turn % 5 = 1 AND line IS NOT NULL THEN 1 ELSE 0 END) END AS INT), 0) AS longest FROM a""")
 def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text of tool answers of four shapes, and their longest string."""
-    a = _answers(spark, sf_dir).where(~F.col("line").rlike(r'^\s*[\[{"]'))
+    """The text of tool answers of four shapes, and their longest string, plain ones that begin like JSON too."""
+    a = _answers(spark, sf_dir)
     return a.select("conv_id", "turn", rules.result_text(F.col("response")).alias("text"), rules.longest_string(F.col("response")).alias("longest"))
 
 

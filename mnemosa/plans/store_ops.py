@@ -221,7 +221,7 @@ def dml_upsert_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.upsert(meta, new, ["project_key"])
 
 
-_V = _F + f", e AS (SELECT f.*, CAST(embedding AS DOUBLE[]) AS v FROM f {HAS_VECTOR})"
+_V = _F + f", e AS MATERIALIZED (SELECT f.*, CAST(embedding AS DOUBLE[]) AS v FROM f {HAS_VECTOR})"
 
 
 @query(_V + f""", n AS (SELECT * FROM e WHERE id % 8 = 5 AND kind = 'fact'), o AS (SELECT *, list_max(list_transform(v, lambda x: abs(x))) AS scale FROM e WHERE id % 8 <> 5 AND status = 'active'),

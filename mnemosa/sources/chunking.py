@@ -24,8 +24,8 @@ def headings(text: str) -> list[tuple[int, int, str]]:
     found, fence, at, before = [], None, 0, None
     lines = text.split("\n")
     front = 0
-    if lines and lines[0].strip() == "---":
-        front = next((i + 1 for i, s in enumerate(lines[1:], 1) if s.strip() in ("---", "...")), 0)
+    if lines and lines[0].strip() in ("---", "+++"):  # YAML or TOML; without an end it is text
+        front = next((i + 1 for i, s in enumerate(lines[1:], 1) if s.strip() == lines[0].strip()), 0)
     for i, line in enumerate(lines):
         size = len(line.encode()) + 1
         if i >= front:

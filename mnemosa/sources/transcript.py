@@ -75,10 +75,14 @@ def asked(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def tool_calls(lines: DataFrame, line: str = "value") -> DataFrame:
-    """id, name and bytes of each tool call: its use joined with its results."""
+    """id, name, input and bytes of each tool call: its use joined with its results."""
     b = _parsed(lines, line).select(F.explode("blocks").alias("b"))
     uses = b.where("b.type = 'tool_use'").select("b.id", "b.name", "b.input")
-    results = b.where("b.type = 'tool_result'").groupBy(F.col("b.tool_use_id").alias("id")).agg(F.sum(F.length("b.content")).alias("bytes"))
+    # the blocks as VARIANT: from_json gives a string's text where its JSON is wanted
+    raw = _parsed(lines, line).select(F.explode(F.try_variant_get(F.try_parse_json("m.message.content"), "$", "array<variant>")).alias("b"))
+    content = F.to_json(F.try_variant_get("b", "$.content", "variant"))
+    held = raw.where(F.try_variant_get("b", "$.type", "string") == "tool_result").select(F.try_variant_get("b", "$.tool_use_id", "string").alias("id"), rules.result_bytes(content).alias("n"))
+    results = held.groupBy("id").agg(F.sum(F.col("n").cast("long")).alias("bytes"))
     return uses.join(results, "id", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemosa import evalkit
 from mnemosa.functions import porter, scoring, text, vec
 from mnemosa.operators import fts, lifecycle, retrieve
+from mnemosa.operators.term_index import TermIndex
 from mnemosa.sources import chunking, imports, transcript
 
 
@@ -76,7 +77,7 @@ def same_scores(got, want):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-5) for k in want)
 
 
-def test_stemmed_search_equals_fts5(spark):
+def test_stemmed_search_equals_fts5(spark, tmp_path):
     """Stems, accents, phrases with underscores, repeated terms, column weights, digits, other scripts."""
     texts = [(0, "the running dogs ran quickly", "Dogs"), (1, "a dog runs core store", "étion façade"), (2, "cats sleeping on connected mats", "core_store x"), (3, "connection of cats and dogs 42 core.store", None), (4, "", ""), (5, "日本 語 naïve ΑΒΓ", "42nd")]
     asked = [(0, "dogs connecting"), (1, "core_store"), (2, "dog dog runs_core Core_Store_x"), (3, "facade etion naive 42"), (4, "étion _ 語"), (5, "")]
@@ -85,9 +86,9 @@ def test_stemmed_search_equals_fts5(spark):
     weights = {"text": 1.0, "title": 3.0}
     want = fts5(texts, asked, ("text", "title"), (1.0, 3.0))
     same_scores({(r.qid, r.id): r.bm25 for r in fts.bm25(docs, queries, weights, stem=True).collect()}, want)
-    kept = fts.postings(docs, list(weights))
-    whole = fts.statistics(docs, list(weights), stem=True)
-    same_scores({(r.qid, r.id): r.bm25 for r in fts.bm25_kept(kept, whole, queries, [1.0, 3.0]).collect()}, want)
+    kept = TermIndex(spark, f"file://{tmp_path}/i", list(weights), buckets=2)
+    kept.update(docs.select(F.col("id").cast("string").alias("id"), F.lit("1").alias("version"), *weights))
+    same_scores({(r.qid, int(r.id)): r.bm25 for r in kept.search(queries, [1.0, 3.0]).collect()}, want)
 
 
 def test_stemmed_search_of_all_documents_equals_fts5(spark, sf):
@@ -254,3 +255,45 @@ def test_tool_calls_as_lines(spark):
     got = [r.text for r in transcript.texts(df).collect()]
     assert sorted(got) == sorted(["Wrote b.py", "Read c", "Ran: ls -l " + "x" * 73 + "…", "Searched for p", "Delegated task: s", "Fetched u", "Called mcp__x__y", 'Used Other: {"a":"b"}', "Why?"])
     assert [r.text for r in transcript.asked(df).collect()] == ["Why?"]
+
+
+def test_bytes_of_results_of_any_shape(spark):
+    """Strings, lists, nothing, numbers; texts that only begin like JSON; bytes and not characters."""
+    import json
+
+    from mnemosa.functions import rules
+    from mnemosa.sources import transcript
+
+    say = lambda c, i: json.dumps({"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": i, "content": c}]}}, ensure_ascii=False)
+    use = lambda i: json.dumps({"type": "assistant", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": i, "name": "Read", "input": {"file_path": "a"}}]}})
+    contents = [[{"type": "text", "text": "é" * 10}], "[x é", "é", '{"a": "text"}', [{"type": "text", "text": "a"}, 5, {"text": 77}], None, [{"type": "image"}], 12]
+    lines = [use(str(i)) for i in range(len(contents) + 1)] + [say(c, str(i)) for i, c in enumerate(contents)] + [say("again", "2"), "no json", "null"]
+    got = {r.id: r.bytes for r in transcript.tool_calls(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert got == {"0": 20, "1": 5, "2": 7, "3": 13, "4": 3, "5": 0, "6": 0, "7": 0, "8": 0}
+    shapes = {"[note] all fine": "[note] all fine", "{curly": "{curly", '[{"text":"a"},{"type":"image"},5,{"text":7},{"text":"b"}]': "a\nb", '{"content":[{"text":"c"}],"text":"no"}': "c", '{"text":5,"result":"r"}': "r", '"quoted"': "quoted", "": "", "12": "12", "null": "", "{}": "", "[]": ""}
+    df = spark.createDataFrame([(x,) for x in [*shapes, None]], "r string")
+    assert {r.r: r.t for r in df.select("r", rules.result_text(F.col("r")).alias("t")).collect()} == shapes | {None: ""}
+
+
+def test_projects_of_folders(spark):
+    from mnemosa.sources import projects
+
+    sessions = [("/w/a/b/c", None), ("/w/a/b/../x/", "/w/q"), ("/w/p/s", ""), (None, None), ("/", None), ("/w/a//b/./c", None)]
+    df = spark.createDataFrame(sessions, "cwd string, project_dir string")
+    held = spark.createDataFrame([("/w/a", ".git"), ("/w/a/b/", "package.json"), ("/w/p", projects.ROOT), ("/w/p/s", ".git"), ("/w", "other"), ("/w/a", ".git")], "path string, name string")
+    of = lambda by: {(r.cwd, r.project_dir): (r.project_path, r.project_label) for r in projects.resolve(df, held, by).collect()}
+    assert of("workspace") == {("/w/a/b/c", None): ("/w/a/b/c", "c"), ("/w/a/b/../x/", "/w/q"): ("/w/q", "q"), ("/w/p/s", ""): ("/w/p", "p"), (None, None): (None, None), ("/", None): ("/", "root"), ("/w/a//b/./c", None): ("/w/a/b/c", "c")}
+    assert of("marker") == {("/w/a/b/c", None): ("/w/a/b", "b"), ("/w/a/b/../x/", "/w/q"): ("/w/a", "a"), ("/w/p/s", ""): ("/w/p", "p"), (None, None): (None, None), ("/", None): ("/", "root"), ("/w/a//b/./c", None): ("/w/a/b", "b")}
+    import hashlib
+
+    assert {r.project_key for r in projects.resolve(df, held, "marker").where("cwd = '/'").collect()} == {hashlib.sha256(b"/").hexdigest()[:16]}
+    with pytest.raises(ValueError):
+        projects.resolve(df, held, "name")
+
+
+def test_front_matter_of_both_kinds():
+    from mnemosa.sources.chunking import headings
+
+    assert [t for _, _, t in headings('+++\n# a comment\ntitle = "x"\n+++\n# One\n')] == ["One"]
+    assert [t for _, _, t in headings("---\n# a comment\n---\n# One\n")] == ["One"]
+    assert [t for _, _, t in headings("+++\n# never closed\n---\n# One\n")][:1] == ["never closed"]

@@ -235,7 +235,7 @@ def test_capture_writes_its_partitions_and_replaces_postings(spark, tmp_path):
 def test_recall_spreads_and_takes_global_rules_last(spark, tmp_path):
     lines = lambda *t: spark.createDataFrame([("\n".join(t),)], "text string")
     a, b, c = "The build of the parser needs the lexer tables.", "The lexer tables come from the grammar file.", "The parser prints the tables of the build."
-    e = Engine(spark, f"file://{tmp_path}/m", replace(DEFAULT, min_sim=0.01, supersede_threshold=1.0, max_chars=60))
+    e = Engine(spark, f"file://{tmp_path}/m", replace(DEFAULT, min_sim=0.01, supersede_threshold=1.0, max_chars=80))
     e.capture(lines(a, b, c), "p", 1.0)
     ids = {r.text: r.id for r in e.facts.read().collect()}
     plain = e.recall_block("parser build tables", "p", 2.0).first().block
