@@ -78,6 +78,8 @@ def truncate_renorm(v: Column, dim: int) -> Column:
 
 
 _token = re.compile("[a-z0-9]+")
+#: Words whose places a task remembers, about.
+MOST_KNOWN = 1 << 18
 
 
 def hash_embed(text: Column, dim: int = 256) -> Column:
@@ -85,24 +87,22 @@ def hash_embed(text: Column, dim: int = 256) -> Column:
 
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, list[tuple[int, int]]] = {}
-
-        def at(token: str) -> list[tuple[int, int]]:
-            if token not in known:
-                digests = [hashlib.blake2b(f"{h}:{token}".encode(), digest_size=8).digest() for h in (0, 1)]
-                known[token] = [(int.from_bytes(d[:4], "big") % dim, 1 if d[4] & 1 else -1) for d in digests]
-            return known[token]
-
+        known: dict[str, int] = {}
+        places, signs = np.zeros((0, 2), np.int64), np.zeros((0, 2))
         for texts in batches:
-            out = []
-            for t in texts:
-                v = np.zeros(dim)
-                for token in _token.findall((t or "").lower()):
-                    for i, sign in at(token):
-                        v[i] += sign
-                size = np.sqrt((v * v).sum())
-                out.append(v / size if size else v)
-            yield pd.Series(out)
+            words = [_token.findall((t or "").lower()) for t in texts]
+            if len(known) > MOST_KNOWN:
+                known, places, signs = {}, places[:0], signs[:0]
+            new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in known]
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            digests = np.frombuffer(b"".join(hashlib.blake2b(f"{h}:{w}".encode(), digest_size=8).digest() for w in new for h in (0, 1)), np.uint8).reshape(-1, 2, 8)
+            places = np.concatenate([places, digests[:, :, :4].copy().view(">u4")[:, :, 0].astype(np.int64) % dim])
+            signs = np.concatenate([signs, np.where(digests[:, :, 4] & 1, 1.0, -1.0)])
+            ids = np.fromiter((known[w] for ws in words for w in ws), np.int64)
+            row = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
+            v = np.bincount((row[:, None] * dim + places[ids]).ravel(), signs[ids].ravel(), len(words) * dim).reshape(len(words), dim)
+            size = np.sqrt((v * v).sum(1, keepdims=True))
+            yield pd.Series(list(v / np.where(size > 0, size, 1)))
 
     return embed(text)
 
