@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,13 +40,18 @@ def scale_of(v: Column) -> Column:
     return F.when(most > 0, most).otherwise(1.0)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once a row, where use has it in a function of each component."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def quantize_int8(v: Column, scale: Column) -> Column:
     """Half-even rounding of x / scale * 127 within +-127."""
-    return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.bround(x / scale * 127).cast("int"))))
+    return _once(scale, lambda s: F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.bround(x / s * 127).cast("int")))))
 
 
 def dequantize_int8(q: Column, scale: Column) -> Column:
-    return F.transform(q, lambda x: x / F.lit(127.0) * scale)
+    return _once(scale, lambda s: F.transform(q, lambda x: x / F.lit(127.0) * s))
 
 
 def sign_bits(v: Column) -> Column:
@@ -73,7 +78,7 @@ def truncate_renorm(v: Column, dim: int) -> Column:
         return v
     head = F.slice(v, 1, dim)
     size = norm(head)
-    cut = F.when(size > 0, F.transform(head, lambda x: x / size)).otherwise(head)
+    cut = _once(size, lambda s: F.when(s > 0, F.transform(head, lambda x: x / s)).otherwise(head))
     return F.when(F.size(v) <= dim, v).otherwise(cut)
 
 
