@@ -53,7 +53,7 @@ class Config:
     #: Partitions of tables, chosen so that one of them fits a task: by project, by key, of a segment of postings; segments before merging.
     project_buckets: int = 8
     key_buckets: int = 8
-    term_buckets: int = 16
+    term_buckets: int = 4
     term_segments: int = 8
 
     def size(self) -> int:
