@@ -10,9 +10,14 @@ from ..functions.text import content_id
 from .lifecycle import _set
 
 
+def unknown(queue: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of new whose msg_id isn't in the queue, all of them."""
+    return new.join(queue.select("msg_id"), "msg_id", "left_anti")
+
+
 def publish(queue: DataFrame, new: DataFrame) -> DataFrame:
-    """A msg_id that is known already is left out."""
-    return queue.unionByName(new.dropDuplicates(["msg_id"]).join(queue.select("msg_id"), "msg_id", "left_anti"), allowMissingColumns=True)
+    """A msg_id that is known already is left out, and comes in once."""
+    return queue.unionByName(unknown(queue, new.dropDuplicates(["msg_id"])), allowMissingColumns=True)
 
 
 def claim(queue: DataFrame, now: float, lease: float, most: int, owner: str | None = None, stage: str | None = None) -> DataFrame:
