@@ -141,11 +141,9 @@ def average_ranks(rows: DataFrame, by: str, value: str) -> DataFrame:
 def evaluate_stm(facts: DataFrame, queries: DataFrame, now: float, c: Config = DEFAULT, weights: tuple[float, ...] = (1.0, 0.5, 0.0)) -> DataFrame:
     """weight, and queries, recall_1, recall_3, mrr_10 at it, of queries (qid, q, gold: ids) over facts with vectors, ranked by priority without a gate.
 
-    Facts and queries meet once; the weights of short-term facts are tried on the similarities.
+    Facts and queries meet once, in the tasks that read the facts; ten of each query and weight leave a task.
     """
-    sims = retrieve.similarities(facts.select("id", "status", "tier", "last_seen", "created_at", F.coalesce("frequency", F.lit(1)).alias("frequency"), "vec"), queries)
-    tried = retrieve.with_score(sims.withColumn("weight", F.explode(F.array(*map(F.lit, weights)))), now, c, stm_weight=F.col("weight"))
-    found = retrieve.top(tried, "score", 10, "weight", "qid")
+    found = retrieve.batch_priority(facts, queries, now, weights, 10, c)
     gold = queries.select("qid", F.explode("gold").alias("id"))
     best = found.join(gold, ["qid", "id"]).groupBy("weight", "qid").agg(F.min("rank").alias("best"))
     asked = queries.select("qid", F.explode(F.array(*map(F.lit, weights))).alias("weight"))

@@ -12,6 +12,7 @@ from ..config import DEFAULT, Config
 from ..functions import scoring, text, vec
 from ..store import checkpointed
 from . import graph
+from .best import PLACES, Best, unit
 
 GLOBAL = "__global__"
 
@@ -96,31 +97,6 @@ def _search_spread(facts: DataFrame, query: Column | DataFrame, now: float, proj
     return top(found.drop("score").join(raised.select("id", F.col("boosted").alias("score")), "id"), "score", k)
 
 
-def similarities(facts: DataFrame, queries: DataFrame, min_sim: float = -1.0, block: int = 256) -> DataFrame:
-    """Active facts, without vectors, with qid and sim for each of a stated set of queries (qid, q), in blocks of queries."""
-    some = queries.select("qid", "q").toPandas()
-    kept = [c for c in facts.columns if c not in ("vec", "qid", "sim")]
-    schema = ", ".join([f"qid {queries.schema['qid'].dataType.simpleString()}", "sim double", *(f"`{c}` {facts.schema[c].dataType.simpleString()}" for c in kept)])
-    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
-    asked, names = unit(np.stack(some["q"].to_list()).astype(float)) if len(some) else None, some["qid"].to_numpy()
-
-    def run(batches):
-        for b in batches:
-            if asked is None or not len(b):
-                continue
-            v = unit(np.stack(b["vec"].to_list()).astype(float)).T
-            for start in range(0, len(names), block):
-                s = np.round(asked[start : start + block] @ v, 6) + 0.0
-                q, f = np.nonzero(s >= min_sim)
-                out = b[kept].iloc[f].reset_index(drop=True)
-                out.insert(0, "sim", s[q, f])
-                out.insert(0, "qid", names[start + q])
-                yield out
-
-    size = queries.select(F.max(F.size("q"))).first()[0] or 0
-    return facts.where((F.col("status") == "active") & (F.size("vec") == size)).select(*kept, "vec").mapInPandas(run, schema)
-
-
 def fuse(ranked: DataFrame, weights: dict[str, float], smoothing: int = 60) -> DataFrame:
     """Weighted reciprocal ranks of ranked (channel, id, rank from 1); channels without a weight count once."""
     weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("channel")), F.lit(1.0))
@@ -206,17 +182,15 @@ def verdicts(hits: DataFrame, identity: float | None = 1.0, least: float = DEFAU
     return sure.select("qid", "hits", F.col("first").alias("top_sim"), "confidence", verdict.alias("verdict"))
 
 
-def batch_topk(queries: DataFrame, facts: DataFrame, k: int, most: int = 1 << 16, block: int = 1024) -> DataFrame:
-    """qid, id, sim, rank: the k most similar facts (id, vec) of each query (qid, q).
+#: Rows of a block of facts that meets the queries.
+ROWS = 2048
 
-    Queries are sent to all facts, at most about `most` at a time, dealt by a hash of
-    qid; a task works on them in blocks and keeps its k best facts of each query over
-    all its rows, and only those are merged.  All vectors have one size.
-    """
+
+def _best_by_vector(queries: DataFrame, facts: DataFrame, k: int, weights: tuple[float, ...] | None, most: int, block: int) -> DataFrame | None:
+    """qid, id, sim or score, and which weight: the k best facts of each query and weight in each task; None without queries."""
     kinds = {c: d.schema[c].dataType.simpleString() for c, d in (("qid", queries), ("id", facts))}
-    schema, out = f"qid {kinds['qid']}, id {kinds['id']}, sim double", None
+    schema, out = f"qid {kinds['qid']}, id {kinds['id']}, score double, weight double", None
     groups = max(1, -(-queries.count() // most))
-    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
 
     for g in range(groups):
         some = queries.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == g).select("qid", "q").toPandas()
@@ -225,29 +199,53 @@ def batch_topk(queries: DataFrame, facts: DataFrame, k: int, most: int = 1 << 16
         asked, names = unit(np.stack(some["q"].to_list()).astype(float)), some["qid"].to_numpy()
 
         def run(batches, asked=asked, names=names):
-            ids, sims = [None] * (len(names) // block + 1), [None] * (len(names) // block + 1)
-            for b in batches:
-                if not len(b):
-                    continue
-                b = b.sort_values("id", kind="stable")
-                v, found = unit(np.stack(b["vec"].to_list()).astype(float)).T, b["id"].to_numpy()
-                for j, start in enumerate(range(0, len(names), block)):
-                    s = np.round(asked[start : start + block] @ v, 6) + 0.0
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    s, i = np.take_along_axis(s, best, 1), found[best]
-                    if ids[j] is not None:
-                        s, i = np.concatenate([sims[j], s], 1), np.concatenate([ids[j], i], 1)
-                        by_id = np.argsort(i, axis=1, kind="stable")
-                        s, i = np.take_along_axis(s, by_id, 1), np.take_along_axis(i, by_id, 1)
-                        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                        s, i = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
-                    ids[j], sims[j] = i, s
-            for j, start in enumerate(range(0, len(names), block)):
-                if ids[j] is not None:
-                    yield pd.DataFrame({"qid": np.repeat(names[start : start + block], ids[j].shape[1]), "id": ids[j].ravel(), "sim": sims[j].ravel()})
-
-        part = facts.select("id", "vec").mapInPandas(run, schema)
+            found = [(w, Best(len(names), k)) for w in weights or (None,)]
+            for whole in batches:
+                for at in range(0, len(whole), ROWS):
+                    b = whole.iloc[at : at + ROWS]
+                    v, ids = unit(np.stack(b["vec"].to_list()).astype(float)).T, b["id"].to_numpy()
+                    if weights:
+                        base, slope, short = b["base"].to_numpy(float), b["slope"].to_numpy(float), b["short"].to_numpy(bool)
+                    for start in range(0, len(names), block):
+                        s = asked[start : start + block] @ v
+                        if weights:
+                            s = (np.round(s, PLACES) + 0.0) * slope + base
+                        for w, best in found:
+                            best.add(s if w is None or w == 1.0 else s * np.where(short, w, 1.0), ids, start)
+            for w, best in found:
+                q, i, s = best.rows()
+                if len(q):
+                    yield pd.DataFrame({"qid": names[q], "id": i, "score": s, "weight": w if w is not None else 1.0})
+
+        part = facts.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
+    return out
+
+
+def batch_topk(queries: DataFrame, facts: DataFrame, k: int, most: int = 1 << 16, block: int = 512) -> DataFrame:
+    """qid, id, sim, rank: the k most similar facts (id, vec) of each query (qid, q).
+
+    Queries are sent to all facts, at most about `most` at a time, dealt by a hash of
+    qid; a task works on blocks of both and keeps its k best facts of each query over
+    all its rows, and only those are merged.  All vectors have one size.
+    """
+    out = _best_by_vector(queries, facts.select("id", "vec"), k, None, most, block)
+    if out is None:
+        return top(queries.select("qid").crossJoin(facts.select("id")).limit(0).withColumn("sim", F.lit(0.0)), "sim", k, "qid")
+    return top(out.select("qid", "id", F.col("score").alias("sim")), "sim", k, "qid")
+
+
+def batch_priority(facts: DataFrame, queries: DataFrame, now: float, weights: tuple[float, ...], k: int, c: Config = DEFAULT, most: int = 1 << 16, block: int = 512) -> DataFrame:
+    """weight, qid, id, score, rank: the k active facts with vectors that come first by priority for each query (qid, q) and weight of short-term facts.
+
+    As batch_topk; the parts of the score that no query changes are worked out before.
+    """
+    size = queries.select(F.max(F.size("q"))).first()[0] or 0
+    age = F.lit(now) - F.coalesce("last_seen", "created_at")
+    part = lambda sim: scoring.priority(F.lit(sim), scoring.recency_decay(age, c.half_life_days), scoring.frequency_boost(F.col("frequency")), c)
+    rows = facts.where((F.col("status") == "active") & (F.size("vec") == size))
+    rows = rows.select("id", "vec", F.coalesce(part(0.0), F.lit(-1e18)).alias("base"), F.lit(float(c.w_sim)).alias("slope"), F.coalesce(F.col("tier") == "stm", F.lit(False)).alias("short"))
+    out = _best_by_vector(queries, rows, k, weights, most, block)
     if out is None:
-        out = queries.sparkSession.createDataFrame([], schema)
-    return top(out, "sim", k, "qid")
+        out = queries.select("qid").crossJoin(rows.select("id")).limit(0).withColumns({"score": F.lit(0.0), "weight": F.lit(1.0)})
+    return top(out, "score", k, "weight", "qid")

@@ -14,3 +14,36 @@ def test_queue_publish_where_new_ids_meet(spark, tmp_path, same_rows):
     got = registry.queries()["queue_publish_ack"](spark, f"file://{tmp_path}")
     same_rows(got, c.sql(registry.oracle_sql()["queue_publish_ack"]))
     assert got.groupBy("msg_id").count().where("count > 1").count() > 100
+
+
+def test_best_over_blocks():
+    """Ties by id, NaN above all, ids of both kinds, as one sort gives."""
+    import numpy as np
+
+    from mnemosa.operators.best import Best
+
+    r = np.random.default_rng(1)
+    s = np.round(r.normal(size=(5, 900)), 1)
+    s[2, 17] = np.nan
+    for ids in (r.permutation(900), np.array([f"k{i:04d}" for i in r.permutation(900)], object)):
+        best = Best(5, 7)
+        for at in range(0, 900, 64):
+            best.add(s[:3, at : at + 64], ids[at : at + 64])
+            best.add(s[3:, at : at + 64], ids[at : at + 64], 3)
+        q, i, x = best.rows()
+        for n in range(5):
+            order = sorted(range(900), key=lambda j: (-np.inf if np.isnan(s[n, j]) else -s[n, j], ids[j]))[:7]  # noqa: B023
+            assert i[q == n].tolist() == [ids[j] for j in order] and np.isnan(x[q == n][0]) == (n == 2)
+
+
+def test_ten_of_a_query_and_weight_leave_a_task(spark, sf):
+    """However many facts a task reads, it gives out k rows a query and weight, and the ranks are those of all pairs."""
+    from mnemosa.operators import retrieve
+    from mnemosa.sources.views import NOW, embedded_facts, vectors
+
+    f = embedded_facts(spark, sf).coalesce(2)
+    q = vectors(spark, sf).where("vec_id % 50 = 7").selectExpr("vec_id as qid", "vec as q")
+    rows = f.selectExpr("id", "vec", "0.0D base", "1.0D slope", "tier = 'stm' short")
+    assert retrieve._best_by_vector(q, rows, 10, (1.0, 0.5, 0.0), 1 << 16, 3).count() <= 2 * 3 * 10 * q.count() < 3 * f.count() * q.count() / 4
+    found = retrieve.batch_priority(f, q, NOW, (1.0, 0.5), 10, block=2)
+    assert found.count() == 2 * 10 * q.count()
