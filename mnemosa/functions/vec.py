@@ -84,7 +84,22 @@ def truncate_renorm(v: Column, dim: int) -> Column:
 
 _token = re.compile("[a-z0-9]+")
 #: Words whose places a task remembers, about.
-MOST_KNOWN = 1 << 18
+MOST_KNOWN = 1 << 17
+#: Texts are taken apart so many characters at a time, or one by one.
+PIECE = 1 << 20
+
+
+def pieces(texts: list[str], most: int = PIECE) -> Iterator[list[str]]:
+    """Runs of texts of at most so many characters; a longer one is a run of its own."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
 
 
 def hash_embed(text: Column, dim: int = 256) -> Column:
@@ -94,20 +109,24 @@ def hash_embed(text: Column, dim: int = 256) -> Column:
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, int] = {}
         places, signs = np.zeros((0, 2), np.int64), np.zeros((0, 2))
-        for texts in batches:
-            words = [_token.findall((t or "").lower()) for t in texts]
-            if len(known) > MOST_KNOWN:
-                known, places, signs = {}, places[:0], signs[:0]
-            new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in known]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            digests = np.frombuffer(b"".join(hashlib.blake2b(f"{h}:{w}".encode(), digest_size=8).digest() for w in new for h in (0, 1)), np.uint8).reshape(-1, 2, 8)
-            places = np.concatenate([places, digests[:, :, :4].copy().view(">u4")[:, :, 0].astype(np.int64) % dim])
-            signs = np.concatenate([signs, np.where(digests[:, :, 4] & 1, 1.0, -1.0)])
-            ids = np.fromiter((known[w] for ws in words for w in ws), np.int64)
-            row = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
-            v = np.bincount((row[:, None] * dim + places[ids]).ravel(), signs[ids].ravel(), len(words) * dim).reshape(len(words), dim)
-            size = np.sqrt((v * v).sum(1, keepdims=True))
-            yield pd.Series(list(v / np.where(size > 0, size, 1)))
+        for whole in batches:
+            done = []
+            for texts in pieces([t or "" for t in whole]):
+                words = [_token.findall(t.lower()) for t in texts]
+                if len(known) > MOST_KNOWN:
+                    known, places, signs = {}, places[:0], signs[:0]
+                new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in known]
+                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                digests = np.frombuffer(b"".join(hashlib.blake2b(f"{h}:{w}".encode(), digest_size=8).digest() for w in new for h in (0, 1)), np.uint8).reshape(-1, 2, 8)
+                if new:
+                    places = np.concatenate([places, digests[:, :, :4].copy().view(">u4")[:, :, 0].astype(np.int64) % dim])
+                    signs = np.concatenate([signs, np.where(digests[:, :, 4] & 1, 1.0, -1.0)])
+                ids = np.fromiter((known[w] for ws in words for w in ws), np.int64)
+                row = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
+                v = np.bincount((row[:, None] * dim + places[ids]).ravel(), signs[ids].ravel(), len(words) * dim).reshape(len(words), dim)
+                size = np.sqrt((v * v).sum(1, keepdims=True))
+                done += list(v / np.where(size > 0, size, 1))
+            yield pd.Series(done, dtype=object)
 
     return embed(text)
 

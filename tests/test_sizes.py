@@ -47,3 +47,10 @@ def test_ten_of_a_query_and_weight_leave_a_task(spark, sf):
     assert retrieve._best_by_vector(q, rows, 10, (1.0, 0.5, 0.0), 1 << 16, 3).count() <= 2 * 3 * 10 * q.count() < 3 * f.count() * q.count() / 4
     found = retrieve.batch_priority(f, q, NOW, (1.0, 0.5), 10, block=2)
     assert found.count() == 2 * 10 * q.count()
+
+
+def test_a_batch_of_texts_is_embedded_in_pieces():
+    """Python holds the words of one piece of a batch, however many texts it has."""
+    from mnemosa.functions import vec
+
+    assert [len(x) for x in vec.pieces(["a" * 5, "b" * 4, "c" * 30, "", "d"], 10)] == [2, 1, 2] and list(vec.pieces([])) == []
