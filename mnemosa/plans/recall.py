@@ -82,7 +82,7 @@ def _ranked_hits(hits: DataFrame) -> DataFrame:
 def bm25_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id as id", "text")
     asked = table(spark, sf_dir, "benchmark").selectExpr("item_id as qid", "text as query")
-    return _ranked_hits(fts.bm25(docs, asked, {"text": 1.0}, keep=facts(spark, sf_dir).where("status = 'active'")))
+    return _ranked_hits(fts.bm25(docs, asked, {"text": 1.0}, keep=facts(spark, sf_dir).where("status = 'active'"), k=10))
 
 
 _CHUNK = "SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, source AS heading_path, substr(text, 1, 80) AS summary, text AS body FROM documents"
@@ -92,13 +92,13 @@ _WEIGHTS = {"title": 3.0, "heading_path": 2.0, "summary": 1.5, "body": 1.0}
 @query(_bm25_sql(_CHUNK, "SELECT item_id AS qid, text AS query FROM benchmark", _WEIGHTS, _TOP))
 def bm25_weighted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "documents").selectExpr("doc_id as id", "split_part(text, chr(10), 1) as title", "source as heading_path", "substr(text, 1, 80) as summary", "text as body")
-    return _ranked_hits(fts.bm25(chunks, table(spark, sf_dir, "benchmark").selectExpr("item_id as qid", "text as query"), _WEIGHTS))
+    return _ranked_hits(fts.bm25(chunks, table(spark, sf_dir, "benchmark").selectExpr("item_id as qid", "text as query"), _WEIGHTS, k=10))
 
 
 @query()
 def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id as id", "text")
-    return _ranked_hits(fts.bm25(docs, table(spark, sf_dir, "benchmark").selectExpr("item_id as qid", "text as query"), {"text": 1.0}, stem=True))
+    return _ranked_hits(fts.bm25(docs, table(spark, sf_dir, "benchmark").selectExpr("item_id as qid", "text as query"), {"text": 1.0}, stem=True, k=10))
 
 
 _ASKED = "the these than then rest thing attion"
@@ -292,7 +292,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY score DESC, i
 SELECT qid, id, path, diverse FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY diverse DESC, id) AS rank FROM v) WHERE rank <= 10"""))
 def index_search_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "documents").selectExpr("doc_id as id", "split_part(text, chr(10), 1) as title", "source as heading_path", "substr(text, 1, 80) as summary", "text as body", "concat('file', doc_id % 40) as path")
-    hits = fts.bm25(chunks, table(spark, sf_dir, "benchmark").selectExpr("item_id as qid", "text as query"), _WEIGHTS)
+    hits = fts.bm25(chunks, table(spark, sf_dir, "benchmark").selectExpr("item_id as qid", "text as query"), _WEIGHTS, k=40)
     pool = retrieve.top(hits.withColumn("s", -F.col("bm25")), "s", 40, "qid").join(chunks.select("id", "path"), "id").withColumn("score", F.round(F.lit(0.8) / (F.lit(60) + F.col("rank")), 6)).drop("rank")
     return retrieve.top(pack.diverse(pool, ["qid"], "score", "path", 3), "diverse", 10, "qid").select("qid", "id", "path", "diverse")
 

@@ -54,3 +54,25 @@ def test_a_batch_of_texts_is_embedded_in_pieces():
     from mnemosa.functions import vec
 
     assert [len(x) for x in vec.pieces(["a" * 5, "b" * 4, "c" * 30, "", "d"], 10)] == [2, 1, 2] and list(vec.pieces([])) == []
+
+
+def test_hits_of_the_tasks_equal_those_of_the_shuffle(spark, sf, monkeypatch):
+    """Both ways give the same scores, in several groups of queries too; with k, k rows a query leave a task."""
+    from pyspark.sql import functions as F
+
+    from mnemosa.operators import fts
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as id", "text", "source").repartition(3)
+    asked = spark.createDataFrame([(n, q) for n, q in enumerate(["the these", "the_the of_the", "thing THE the", "", "src1 the_of", "zzz"])], "qid long, query string")
+    for stem in (False, True):
+        shown = {(r.qid, r.id): r.bm25 for r in fts._bm25_met(d, fts.asked_terms(asked, stem), {"text": 1.0, "source": 0.0}, stem, None).collect()}
+        monkeypatch.setattr(fts, "MOST_ASKED", 3)
+        got = {(r.qid, r.id): r.bm25 for r in fts.bm25(d, asked, {"text": 1.0, "source": 0.0}, stem).collect()}
+        assert got.keys() == shown.keys() and all(abs(got[k] - shown[k]) < 2e-6 for k in got) and len(got) > 100
+        monkeypatch.undo()
+        few = fts.bm25(d, asked, {"text": 1.0, "source": 0.0}, stem, k=4)
+        assert few.count() <= 3 * 4 * 6 and few.groupBy("qid").agg(F.min("bm25").alias("m")).collect()
+        for q in {q for q, _ in got}:
+            want = sorted((round(s, 5), i) for (p, i), s in got.items() if p == q)[:4]
+            mine = sorted((round(r.bm25, 5), r.id) for r in few.where(F.col("qid") == q).collect())[:4]
+            assert mine == want
