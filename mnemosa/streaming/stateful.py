@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -17,101 +17,113 @@ from ..functions import text
 from ..store import shared_folder
 
 
+#: A slice of time is so many windows (or times to live) wide; its state is written as one value.
+SLICE = 8
+
+
 class _Attention(StatefulProcessor):
-    """Times in view of one page, each with whether its perceptions were given out."""
+    """Perceptions of some pages in a slice of time and within the window around it, with whether its own were given out."""
 
     def __init__(self, window: float):
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "at double, id string", "copies int, told boolean")
+        self.seen = handle.getValueState("seen", "rows array<struct<project_key:string,page:string,at:double,id:string,own:boolean,copies:int,told:boolean>>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        held = {tuple(k): tuple(v) for k, v in self.seen.iterator()}
-        changed = set()
+        known = self.seen.get()
+        held = {tuple(r)[:5]: tuple(r)[5:] for r in known[0]} if known else {}
+        more: dict[tuple, int] = {}
         for f in rows:
-            for k in zip(f["created_at"].tolist(), f["id"].tolist(), strict=True):
-                copies, told = held.get(k, (0, False))
-                held[k] = copies + 1, told
-                changed.add(k)
-        self._wake(held)
-        order, out = sorted(held), []
+            for k in zip(f["project_key"], f["page"], f["created_at"].tolist(), f["id"], f["own"].tolist(), strict=True):
+                more[k] = more.get(k, 0) + 1
+        out = []
+        for k, n in more.items():
+            copies, told = held.get(k, (0, False))
+            held[k] = copies + n, told
+            out += [k[3]] * n * (told and k[4])  # more of what was given out
+        order = sorted(held, key=lambda k: (k[0] is not None, k[0] or "", *k[1:]))
         for n, k in enumerate(order):
             copies, told = held[k]
-            near = copies > 1 or any(0 <= m < len(order) and abs(order[m][0] - k[0]) <= self.window for m in (n - 1, n + 1))
-            if near and not told:
-                out += [k[1]] * copies
+            beside = (order[m] for m in (n - 1, n + 1) if 0 <= m < len(order))
+            if k[4] and not told and (copies > 1 or any(o[:2] == k[:2] and abs(o[2] - k[2]) <= self.window for o in beside)):
+                out += [k[3]] * copies
                 held[k] = copies, True
-                changed.add(k)
-            elif near and k in changed:
-                out.append(k[1])  # one more of what was given out
-        for k in changed:
-            self.seen.updateValue(k, held[k])
+        self.seen.update(([(*k, *v) for k, v in held.items()],))
+        width = SLICE * max(self.window, 1.0)
+        self.handle.registerTimer(math.ceil(((key[0] + 1) * width + 2 * self.window) * 1000) + 1)
         yield pd.DataFrame({"id": out}, dtype=object)
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, held = timerValues.getCurrentWatermarkInMs(), [tuple(k) for k in self.seen.keys()]
-        behind = {k for k in held if (k[0] + self.window) * 1000 < now}
-        for k in behind:
-            self.seen.removeKey(k)
-        self._wake(set(held) - behind)
+        self.seen.clear()
         yield pd.DataFrame({"id": []}, dtype=object)
 
-    def _wake(self, held: Iterable[tuple]) -> None:
-        """One timer a page, for the first time to leave behind."""
-        if held:
-            self.handle.registerTimer(math.ceil((min(held)[0] + self.window) * 1000) + 1)
-
     def close(self) -> None:
         pass
 
 
 class _Register(StatefulProcessor):
-    """The live perceptions of one project in the order of time, and its tombstones."""
+    """The live perceptions of one project in a slice of time, the times of those within the ttl after it, and tombstones."""
 
     def __init__(self, ttl: float, capacity: int):
         self.ttl, self.capacity = ttl, capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.live = handle.getMapState("live", "at double, id string", "attended boolean")
-        self.gone = handle.getMapState("gone", "at double, id string", "nothing boolean")
+        self.held = handle.getValueState("held", "live array<struct<at:double,id:string,own:boolean,attended:boolean>>, gone array<struct<at:double,id:string>>")
+
+    def _read(self) -> tuple[dict, set]:
+        known = self.held.get()
+        return ({tuple(r)[:3]: bool(r[3]) for r in known[0]}, {tuple(r) for r in known[1]}) if known else ({}, set())
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        live, gone = self._read()
         for f in rows:
-            for t, i, attended, decayed in zip(f["created_at"].tolist(), f["id"].tolist(), f["attended"].tolist(), f["decayed_at"].tolist(), strict=True):
-                if decayed is not None and decayed == decayed:
-                    self.gone.updateValue((decayed + self.ttl, i), (True,))
-                else:
-                    self.live.updateValue((t, i), (bool(attended),))
-        yield self._settled(key, timerValues.getCurrentWatermarkInMs())
+            for t, i, own, attended, decayed in zip(f["created_at"].tolist(), f["id"], f["own"].tolist(), f["attended"].tolist(), f["decayed_at"].tolist(), strict=True):
+                if decayed is None or decayed != decayed:
+                    live[t, i, own] = bool(attended)
+                elif own:
+                    gone.add((decayed + self.ttl, i))
+        yield self._settled(key, live, gone, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._settled(key, timerValues.getCurrentWatermarkInMs())
+        yield self._settled(key, *self._read(), timerValues.getCurrentWatermarkInMs())
 
-    def _settled(self, key: Any, now: float) -> pd.DataFrame:
+    def _settled(self, key: Any, live: dict, gone: set, now: float) -> pd.DataFrame:
         """What the watermark has made certain: rows that left, and tombstones whose time is over; one timer for what is next."""
         out, coming = [], []
-        rows = sorted((tuple(k), bool(v[0])) for k, v in self.live.iterator())
-        for n, ((t, i), attended) in enumerate(rows):
-            full = n + self.capacity
-            over = min(t + self.ttl, rows[full][0][0]) if self.capacity > 0 and full < len(rows) else t + self.ttl
+        rows, left = sorted(live), dict(live)
+        for n, (t, i, own) in enumerate(rows):
+            if not own:
+                continue
+            full, attended = n + self.capacity, live[t, i, own]
+            over = min(t + self.ttl, rows[full][0]) if self.capacity > 0 and full < len(rows) else t + self.ttl
             if not attended and over * 1000 <= now:
                 out.append((i, "decayed", over))
-                self.gone.updateValue((over + self.ttl, i), (True,))
+                gone.add((over + self.ttl, i))
             leaves = t + self.ttl if attended else over
             if leaves * 1000 <= now:
-                self.live.removeKey((t, i))
+                del left[t, i, own]
             else:
                 coming.append(leaves)
-        for t, i in sorted(tuple(k) for k in self.gone.keys()):
+        for t, i in sorted(gone):
             if t * 1000 <= now:
                 out.append((i, "purged", t))
-                self.gone.removeKey((t, i))
+                gone.remove((t, i))
             else:
                 coming.append(t)
-        if coming:
+        width = SLICE * max(self.ttl, 1.0)
+        end = (key[1] + 1) * width + self.ttl  # until then rows can come that count
+        if end * 1000 > now:
+            coming.append(end)
+        elif not any(own for _, _, own in left):
+            left = {}
+        if left or gone:
+            self.held.update(([(*k, v) for k, v in left.items()], list(gone)))
+        else:
+            self.held.clear()
+        if coming and (left or gone):
             self.handle.registerTimer(math.ceil(min(coming) * 1000))
         texts = {"project_key": [key[0]] * len(out), "id": [x[0] for x in out], "event": [x[1] for x in out]}
         return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in texts.items()} | {"at": pd.Series([x[2] for x in out], dtype=float)})
@@ -120,6 +132,13 @@ class _Register(StatefulProcessor):
         pass
 
 
+def _sliced(rows: DataFrame, width: float, before: float, after: float) -> DataFrame:
+    """rows with slice and own: each in its slice of time, and again in those whose end it is within `after` of, or whose start within `before`."""
+    at = F.floor(F.col("created_at") / width)
+    first, last = F.floor((F.col("created_at") - after) / width), F.floor((F.col("created_at") + before) / width)
+    return rows.withColumn("slice", F.explode(F.sequence(first, last))).withColumn("own", F.col("slice") == at)
+
+
 def _ready(rows: DataFrame, delay: str) -> DataFrame:
     """rows with string ids and a watermark on their time; maps in state need the RocksDB provider, which is set for the session."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -127,18 +146,20 @@ def _ready(rows: DataFrame, delay: str) -> DataFrame:
     return timed.withColumn("ts", F.timestamp_seconds("created_at")).withWatermark("ts", delay)
 
 
-def attention(perceptions: DataFrame, window: float = 300, delay: str = "10 minutes") -> DataFrame:
+def attention(perceptions: DataFrame, window: float = 300, delay: str = "10 minutes", parts: int = 4) -> DataFrame:
     """id of each perception that is attended: another of its project and page came within the window, before or after it.
 
     The rows that sensory.attend marks (live, visual, with a URL), whatever the order in
-    which they come, if none is later than `delay`.  State is a map of the times of a
-    project's page, from which a timer takes those that the watermark has left behind
-    by the window, so it holds pages in view only.  Ids of any type.
+    which they come, if none is later than `delay`.  A state holds the perceptions
+    in a slice of time of eight windows (and one more on either side) of one of `parts` shares of the pages;
+    a timer clears it when the watermark has left it behind.  Ids of any type.
     """
     from ..operators import sensory
 
     keyed = _ready(perceptions.where(sensory.is_seen(perceptions)).withColumn("page", text.normalize_url(F.col("url"))), delay)
-    found = keyed.select("project_key", "page", "id", "created_at", "ts").groupBy("project_key", "page").transformWithStateInPandas(_Attention(window), "id string", "append", "eventtime")
+    rows = keyed.select("project_key", "page", "id", "created_at", "ts", F.pmod(F.xxhash64("project_key", "page"), F.lit(parts)).alias("part"))
+    sliced = _sliced(rows, SLICE * max(float(window), 1.0), window, window)
+    found = sliced.groupBy("slice", "part").transformWithStateInPandas(_Attention(window), "id string", "append", "eventtime")
     return found.select(F.col("id").cast(perceptions.schema["id"].dataType).alias("id"))
 
 
@@ -147,12 +168,13 @@ def register(perceptions: DataFrame, ttl: float = 900, capacity: int = 64, delay
 
     The events of sensory.register_events, whatever the order in which perceptions
     (id, project_key, created_at, attended, decayed_at) come, if none is later than
-    `delay`; each is given out once, when the watermark has passed it.  State of a
-    project is what is live in it and what was tombstoned within the last ttl; the order of
-    its perceptions decides who is beyond the capacity, so a project is one state.
+    `delay`; each is given out once, when the watermark has passed it.  A state is a project's
+    slice of time of eight ttl: what is live in it, its tombstones, and the times of
+    the live perceptions within one ttl after it, which decide who is beyond the capacity.
     """
     keyed = _ready(perceptions, delay).select("project_key", "id", "created_at", F.coalesce(F.col("attended"), F.lit(0)).cast("boolean").alias("attended"), F.col("decayed_at").cast("double").alias("decayed_at"), "ts")
-    found = keyed.groupBy("project_key").transformWithStateInPandas(_Register(ttl, capacity), "project_key string, id string, event string, at double", "append", "eventtime")
+    sliced = _sliced(keyed, SLICE * max(float(ttl), 1.0), 0.0, ttl if capacity > 0 else 0.0)
+    found = sliced.groupBy("project_key", "slice").transformWithStateInPandas(_Register(ttl, capacity), "project_key string, id string, event string, at double", "append", "eventtime")
     return found.withColumn("id", F.col("id").cast(perceptions.schema["id"].dataType))
 
 

@@ -76,3 +76,25 @@ def test_hits_of_the_tasks_equal_those_of_the_shuffle(spark, sf, monkeypatch):
             want = sorted((round(s, 5), i) for (p, i), s in got.items() if p == q)[:4]
             mine = sorted((round(r.bm25, 5), r.id) for r in few.where(F.col("qid") == q).collect())[:4]
             assert mine == want
+
+
+def test_states_are_slices_of_time(spark, tmp_path):
+    """A project's state doesn't grow with its history: many slices, with rows on both sides of their bounds, give what the batch gives."""
+    import random
+
+    from test_streaming import SCHEMA, arrivals, fed
+
+    from mnemosa.operators import sensory
+    from mnemosa.streaming import stateful
+
+    rng = random.Random(6)
+    times = [1e9 + round(rng.uniform(0, 2500), 1) for _ in range(150)]
+    rows = [(n, f"id{n}", "p", f"http://x/{n % 3}", "visual", t, int(n % 5 == 1), t + 3 if n % 13 == 2 else None) for n, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "n int, " + SCHEMA.format("string"))
+    sliced = stateful._sliced(df, 160.0, 0.0, 20.0)
+    assert sliced.where("own").count() == 150 and 10 < sliced.select("slice").distinct().count() < 20 and sliced.count() < 200
+    got = sorted(map(tuple, stateful.finished(stateful.register(fed(spark, tmp_path / "a", df, arrivals(times, 600, 6)), 20, 3), "gone").collect()))
+    assert got == sorted(map(tuple, sensory.register_events(df, max(times) - 600, 20, 3).collect())) and len(got) > 100
+    near = [r.id for r in stateful.finished(stateful.attention(fed(spark, tmp_path / "b", df, arrivals(times, 600, 7)), 15), "seen").collect()]
+    want = {r.id for r in sensory.attend(df.withColumn("attended", df.attended * 0), 15).where("attended = 1").collect()}
+    assert set(near) == want and len(near) == len(want) > 10
