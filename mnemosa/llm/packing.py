@@ -46,7 +46,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last, most = WordIds.of(tokenizer), np.array([end], "<u4").tobytes(), 4 * capacity
         for whole in batches:
-            for batch in runs(whole, most=1 << 21):
+            for batch in runs(whole, most=1 << 20):
                 out: list[list] = [[], [], [], [], [], []]
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), words.packed(batch.column("text")), strict=True):
                     ids += last

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -14,13 +12,35 @@ from .textkit import LOWER, Words, span_hashes
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks of these characters only are lower-cased and cut here; they are composed and each has one lower-case form.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-įı-ɏ]*")
-MOST_CHUNKS, AT_ONCE = 1 << 20, 1000
+MOST_CHUNKS, MOST_TEXTS, AT_ONCE = 1 << 20, 1 << 16, 1000
 #: Signs that often end a chunk of letters; each is a word of its own.
 TAILS = b".,"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
+class Known:
+    """Numbers by 64-bit hash in sorted arrays: 16 bytes for each, where a dict takes over 100."""
+
+    def __init__(self):
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if there is none."""
+        at = np.searchsorted(self.keys, keys)
+        found = np.append(self.numbers, -1)[at]
+        found[np.append(self.keys, np.uint64(0))[at] != keys] = -1
+        return found
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """keys: new ones, in order."""
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.numbers = np.insert(self.keys, at, keys), np.insert(self.numbers, at, numbers)
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space and never joins characters across it.
 
@@ -51,9 +71,9 @@ class WordIds:
 
     def _empty(self) -> None:
         self.ids, self.first = np.zeros(1 << 16, "<u4"), np.zeros(1, np.int64)  # entry k has ids[first[k]:first[k+1]]
-        self.letters: dict[int, int] = {}  # entries of words of letters, by hash
+        self.letters = Known()  # entries of words of letters
         self.texts: dict[str, bytes] = {}  # ids of other words
-        self.chunks: dict[int, int] = {}  # chunks by hash: the place in entry and tail
+        self.chunks = Known()  # places of chunks in entry and tail
         self.entry, self.tail = np.zeros(0, np.int64), np.zeros(0, np.int8)
 
     def _add(self, new: list[bytes]) -> np.ndarray:
@@ -86,13 +106,15 @@ class WordIds:
                 plain[chunk] = PATTERN.findall(text.lower())
             else:
                 odd.append((chunk, text))
-        if len(self.texts) > MOST_CHUNKS:
+        if len(self.texts) > MOST_TEXTS:
             self.texts.clear()
         new = list({w for ws in plain.values() for w in ws if w not in self.texts})
         self.texts.update(zip(new, self._encode(new), strict=True))
         found = {chunk: b"".join([self.texts[w] for w in ws]) for chunk, ws in plain.items()}
-        for (chunk, _), e in zip(odd, self.tokenizer.encode_batch([t for _, t in odd], add_special_tokens=False), strict=True):
-            found[chunk] = np.array(e.ids, "<u4").tobytes()
+        for i in range(0, len(odd), AT_ONCE):
+            some = odd[i : i + AT_ONCE]
+            for (chunk, _), e in zip(some, self.tokenizer.encode_batch([t for _, t in some], add_special_tokens=False), strict=True):
+                found[chunk] = np.array(e.ids, "<u4").tobytes()
         return [found[c] for c in missing]
 
     def _learn(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +129,11 @@ class WordIds:
         entry = np.zeros(len(a), np.int64)
         low = LOWER[data]
         hashes, first, which = np.unique(span_hashes(low, a[plain], core[plain]), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        at = np.fromiter(map(self.letters.get, keys, repeat(-1)), np.int64, len(keys))
+        at = self.letters.find(hashes)
         if len(new := np.flatnonzero(at < 0)):
             text, begin, end = low.tobytes(), a[plain][first[new]].tolist(), core[plain][first[new]].tolist()
             at[new] = self._add(self._encode([text[x:y].decode() for x, y in zip(begin, end, strict=True)]))
-            self.letters.update(zip((keys[i] for i in new.tolist()), at[new].tolist(), strict=True))
+            self.letters.add(hashes[new], at[new])
         entry[plain] = at[which]
         if not plain.all():
             text = data.tobytes()
@@ -125,13 +146,12 @@ class WordIds:
         hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.chunks) > MOST_CHUNKS:
             self._empty()
-        keys = hashes.tolist()
-        at = np.fromiter(map(self.chunks.get, keys, repeat(-1)), np.int64, len(keys))
+        at = self.chunks.find(hashes)
         if len(new := np.flatnonzero(at < 0)):
             entry, tail = self._learn(words.data, words.starts[first[new]], words.ends[first[new]])
             at[new] = np.arange(len(self.entry), len(self.entry) + len(new))
             self.entry, self.tail = np.concatenate([self.entry, entry]), np.concatenate([self.tail, tail])
-            self.chunks.update(zip((keys[i] for i in new.tolist()), at[new].tolist(), strict=True))
+            self.chunks.add(hashes[new], at[new])
         entry, tail = self.entry[at][which], self.tail[at][which]
         begin = self.first[entry]
         own = self.first[entry + 1] - begin

@@ -120,3 +120,21 @@ def test_few_bins():
 
 def test_pair_replaces_the_smallest():
     assert sorted(packing.best_two_fit(np.array([6, 3, 2, 2]), 10)[0]) == [2, 2, 6]
+
+
+def test_what_is_known_of_words_is_small():
+    """A worker remembers 100,000 chunks in a few MB of arrays; numbers are found again, others are not."""
+    from mnemosa.llm.tokens import Known
+
+    rng, known, of = np.random.default_rng(4), Known(), {}
+    assert known.find(np.array([0, 7], np.uint64)).tolist() == [-1, -1]
+    for _ in range(5):
+        keys = np.unique(rng.integers(0, 1 << 64, 300, np.uint64))
+        keys = keys[known.find(keys) < 0]
+        known.add(keys, np.arange(len(of), len(of) + len(keys)))
+        of.update(zip(keys.tolist(), range(len(of), len(of) + len(keys)), strict=True))
+    asked = np.concatenate([rng.permutation(list(of)).astype(np.uint64), rng.integers(0, 1 << 64, 100, np.uint64)])
+    assert known.find(asked).tolist() == [of.get(k, -1) for k in asked.tolist()] and len(known) == len(of)
+    w = WordIds(PATH)
+    w.packed(pa.array([" ".join(f"x{i:x}y" for i in range(n, n + 10_000)) for n in range(0, 100_000, 10_000)]))
+    assert len(w.chunks) == 100_000 and w.chunks.keys.nbytes + w.chunks.numbers.nbytes == 1_600_000
