@@ -153,3 +153,43 @@ def test_texts_of_any_script_are_counted_as_tokens(spark):
         shown = {(r.qid, r.id): r.bm25 for r in fts._bm25_met(docs, fts.asked_terms(asked, stem), {"text": 1.0}, stem, None).collect()}
         mine = {(r.qid, r.id): r.bm25 for r in fts.bm25(docs, asked, {"text": 1.0}, stem).collect()}
         assert mine.keys() == shown.keys() and all(abs(mine[k] - shown[k]) < 2e-6 for k in mine) and len(mine) >= 3
+
+
+def test_a_block_of_scores_is_bounded():
+    """However long an Arrow batch is and however many the queries, a task holds 512 by 2048 scores at once."""
+    import numpy as np
+    import pandas as pd
+
+    from mnemosa.operators import retrieve
+    from mnemosa.operators.best import Best
+
+    class Rows:
+        """Stands for a table: keeps the function of its tasks."""
+
+        def __init__(self, rows, **kinds):
+            self.rows, self.schema = rows, {k: self._kind(v) for k, v in kinds.items()}
+
+        @staticmethod
+        def _kind(name):
+            kind = type("Kind", (), {"simpleString": lambda self: name})()
+            return type("Field", (), {"dataType": kind})()
+
+        count = lambda self: len(self.rows)
+        where = select = lambda self, *a: self
+        toPandas = lambda self: self.rows  # noqa: E731, N815
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return run
+
+    r, seen, add = np.random.default_rng(3), [], Best.add
+    facts = pd.DataFrame({"id": range(5000), "vec": list(r.normal(size=(5000, 4)))})
+    queries = pd.DataFrame({"qid": range(1100), "q": list(r.normal(size=(1100, 4)))})
+    from unittest import mock
+
+    import pyspark.sql.functions as F
+
+    with mock.patch.object(Best, "add", lambda self, scores, *a: seen.append(scores.shape) or add(self, scores, *a)), mock.patch.multiple(F, pmod=mock.DEFAULT, xxhash64=mock.DEFAULT, lit=mock.DEFAULT):
+        run = retrieve._best_by_vector(Rows(queries, qid="long"), Rows(facts, id="long"), 3, None, 1 << 16, 512)
+        got = pd.concat(run(iter([facts])))
+    assert sum(a * b for a, b in seen) == 5000 * 1100 and max(a for a, _ in seen) <= 512 and max(b for _, b in seen) <= 2048
+    assert len(got) == 3 * 1100
