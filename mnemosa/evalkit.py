@@ -18,9 +18,10 @@ from .operators import retrieve
 
 
 def _quality() -> list[Column]:
-    """Aggregates of `best`, the rank of the first relevant hit, null where there is none."""
+    """Aggregates of `best`, the rank of the first relevant hit, null where there is none; one before the first (a copy that comes before its query) counts without end, as in the SQL."""
     within = lambda n: F.round(F.avg(F.when(F.col("best") <= n, 1.0).otherwise(0.0)), 6).alias(f"recall_{n}")
-    return [within(1), within(3), F.round(F.avg(F.when(F.col("best") <= 10, 1.0 / F.col("best")).otherwise(0.0)), 6).alias("mrr_10")]
+    share = F.when(F.col("best") == 0, float("inf")).otherwise(1.0 / F.col("best"))
+    return [within(1), within(3), F.round(F.avg(F.when(F.col("best") <= 10, share).otherwise(0.0)), 6).alias("mrr_10")]
 
 
 def retrieval_quality(queries: DataFrame, gold_hits: DataFrame) -> DataFrame:

@@ -193,3 +193,16 @@ def test_a_block_of_scores_is_bounded():
         got = pd.concat(run(iter([facts])))
     assert sum(a * b for a, b in seen) == 5000 * 1100 and max(a for a, _ in seen) <= 512 and max(b for _, b in seen) <= 2048
     assert len(got) == 3 * 1100
+
+
+def test_searches_where_vectors_have_copies(spark, sf, tmp_path, same_rows):
+    """A copy with a smaller id comes before the query itself; all three queries give what their SQL gives."""
+    import duckdb
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    n = e.selectExpr("max(vec_id)").first()[0] // 50 * 50 + 50
+    e.unionByName(e.withColumn("vec_id", e.vec_id + n)).coalesce(1).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("recall_at_k_mrr", "cosine_topk", "recall_structured_verdict"):
+        same_rows(registry.queries()[name](spark, f"file://{tmp_path}"), c.sql(registry.oracle_sql()[name]))
