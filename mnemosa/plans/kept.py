@@ -54,9 +54,12 @@ _NOW = "SELECT doc_id AS id, CASE WHEN doc_id % 10 = 7 THEN concat(source, ' ',
 
 @query(_bm25_sql(_NOW, "SELECT item_id AS qid, text AS query FROM benchmark", {"text": 1.0}, _TOP))
 def kept_postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in two halves, then a tenth changed and a tenth deleted, in kept postings; the ten best for each item of the benchmark."""
+    """Documents in two halves, then a tenth changed and a tenth deleted, in kept postings; the ten best for each item of the benchmark.
+
+    Ids are filled up with zeros, so that ties come in the order of the numbers.
+    """
     index = TermIndex(spark, _root(spark, "terms"), ["text"], stem=False)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("1").alias("version"), "text", "source")
+    docs = table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("id"), F.lit("1").alias("version"), "text", "source")
     none, number = docs.limit(0).select("id"), F.col("id").cast("long")
     for half in (0, 1):
         index.update(docs.where(number % 2 == half), none)
