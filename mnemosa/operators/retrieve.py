@@ -235,6 +235,40 @@ def batch_topk(queries: DataFrame, facts: DataFrame, k: int, most: int = 1 << 16
     return top(out.select("qid", "id", F.col("score").alias("sim")), "sim", k, "qid")
 
 
+#: Queries of a block and facts of a part that meet in one task when all rows ask all rows, about.
+ASKED, MET = 1 << 15, 1 << 17
+
+
+def all_topk(facts: DataFrame, k: int, asked: int = ASKED, met: int = MET, block: int = 512) -> DataFrame:
+    """qid, id, sim, rank: the k most similar facts (id, vec) of each of them, which is one of its own hits.
+
+    Rows are dealt by a hash of id, into blocks that ask and into parts that are asked; each block meets each part
+    in a group of its own, so no row passes the driver, no group grows with the table, and k rows a query leave it.
+    All vectors have one size.
+    """
+    n, kind = facts.count(), facts.schema["id"].dataType.simpleString()
+    blocks, parts = max(4, -(-n // asked)), max(4, -(-n // met))
+    of = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = facts.select(of(blocks, 1).alias("_b"), every(parts).alias("_p"), "id", "vec")
+    right = facts.select(every(blocks).alias("_b"), of(parts, 2).alias("_p"), "id", "vec")
+
+    def run(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        best, names = Best(len(some), k), some["id"].to_numpy()
+        if len(some) and len(rows):
+            q = unit(np.stack(some["vec"].to_list()).astype(float))
+            for at in range(0, len(rows), ROWS):
+                b = rows.iloc[at : at + ROWS]
+                v, ids = unit(np.stack(b["vec"].to_list()).astype(float)), b["id"].to_numpy()
+                for start in range(0, len(q), block):
+                    best.add_products(q[start : start + block], v, ids, start)
+        at, ids, s = best.rows()
+        return pd.DataFrame({"qid": names[at], "id": ids, "sim": s})
+
+    found = left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInPandas(run, f"qid {kind}, id {kind}, sim double")
+    return top(found, "sim", k, "qid")
+
+
 def batch_priority(facts: DataFrame, queries: DataFrame, now: float, weights: tuple[float, ...], k: int, c: Config = DEFAULT, most: int = 1 << 16, block: int = 512) -> DataFrame:
     """weight, qid, id, score, rank: the k active facts with vectors that come first by priority for each query (qid, q) and weight of short-term facts.
 

@@ -328,13 +328,14 @@ def evaluate_stm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalkit.evaluate_stm(embedded_facts(spark, sf_dir), asked, NOW)
 
 
-@query(_TOPK + """, g AS (SELECT k.qid, min(k.rank) AS best FROM k JOIN embeddings a ON a.vec_id = k.qid JOIN embeddings b ON b.vec_id = k.id WHERE k.id <> k.qid AND a.label = b.label AND k.rank <= 11 GROUP BY k.qid)
+@query(_TOPK.replace(" WHERE vec_id % 50 = 0", "") + """, g AS (SELECT k.qid, min(k.rank) AS best FROM k JOIN embeddings a ON a.vec_id = k.qid JOIN embeddings b ON b.vec_id = k.id WHERE k.id <> k.qid AND a.label = b.label AND k.rank <= 11 GROUP BY k.qid)
 SELECT count(*) AS queries, round(avg(CASE WHEN best <= 2 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN best <= 4 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(avg(coalesce(1.0 / (best - 1), 0.0)), 6) AS mrr_10
 FROM q LEFT JOIN g USING (qid)""")
 def recall_at_k_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector is a query, so all pairs are scored."""
     from .. import evalkit
 
     labels = vectors(spark, sf_dir).select("vec_id", "label")
-    hits = _topk(spark, sf_dir, 11).where("id <> qid").withColumn("rank", F.col("rank") - 1)
+    hits = retrieve.all_topk(table(spark, sf_dir, "embeddings").selectExpr("vec_id as id", "embedding as vec"), 11).where("id <> qid").withColumn("rank", F.col("rank") - 1)
     gold = hits.join(labels.selectExpr("vec_id as qid", "label"), "qid").join(labels.selectExpr("vec_id as id", "label as other"), "id").where("label = other").select("qid", "id", "rank")
-    return evalkit.retrieval_quality(vectors(spark, sf_dir).where("vec_id % 50 = 0").selectExpr("vec_id as qid"), gold)
+    return evalkit.retrieval_quality(labels.selectExpr("vec_id as qid"), gold)

@@ -209,6 +209,41 @@ def test_topk_over_batches_and_groups_of_queries(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_every_row_asks_all_rows(spark):
+    """Over blocks and parts of any size; ids of any type; ties by id; a vector without length, and more hits asked than there are."""
+    import numpy as np
+
+    v = np.random.default_rng(4).integers(-2, 3, (300, 4)).astype(float)
+    v[7] = 0
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    u = v / np.where(n > 0, n, 1)
+    facts = spark.createDataFrame([(f"f{i:03d}", x.tolist()) for i, x in enumerate(v)], "id string, vec array<double>").repartition(3)
+    for k, asked, met, block in ((6, 1 << 15, 1 << 17, 512), (6, 50, 70, 3), (40, 20, 20, 512)):
+        want = {(f"f{i:03d}", rank): f"f{j:03d}" for i in range(300) for rank, j in enumerate(np.lexsort((np.arange(300), -(np.round(u[i] @ u.T, 6) + 0.0)))[:k], 1)}
+        assert {(r.qid, r.rank): r.id for r in retrieve.all_topk(facts, k, asked, met, block).collect()} == want
+    assert {(r.qid, r.id, r.rank) for r in retrieve.all_topk(facts.limit(2), 6).collect()} == {(r.qid, r.id, r.rank) for r in retrieve.batch_topk(facts.limit(2).selectExpr("id as qid", "vec as q"), facts.limit(2), 6).collect()}
+    assert retrieve.all_topk(facts.limit(0), 6).collect() == []
+
+
+def test_products_of_single_precision_lose_no_hit():
+    """Many scores around the k-th are closer than single precision tells apart; NaN comes first."""
+    import numpy as np
+
+    from mnemosa.operators.best import Best, unit
+
+    r = np.random.default_rng(5)
+    v = unit(r.normal(size=(1, 300)) + 1e-3 * r.normal(size=(6000, 300)))
+    v[5] = np.nan
+    for k, step in ((5, 2048), (11, 700), (50, 40)):
+        one, two = Best(40, k), Best(40, k)
+        for at in range(0, 6000, step):
+            ids = np.arange(at, min(at + step, 6000))
+            one.add(v[:40] @ v[ids].T, ids)
+            two.add_products(v[:40], v[ids], ids)
+        a, b = ({(q, i): s for q, i, s in zip(*(x.tolist() for x in best.rows()), strict=True)} for best in (one, two))
+        assert repr(sorted(a.items())) == repr(sorted(b.items())) and len(a) == 40 * k
+
+
 def test_hash_embedding_equals_its_definition(spark):
     import hashlib
 

@@ -104,3 +104,19 @@ def test_embeddings_of_all_documents(spark, sf):
         mine = {int(i): int(x) for i, x in (p.split(":") for p in text.split(",") if p)}
         assert (dim, length) == (256, 1.0 if size else 0.0) and all(abs(mine.get(i, 0) - places.get(i, 0)) <= 1 for i in {*mine, *places})
         assert sum(mine.get(i, 0) != places.get(i, 0) for i in {*mine, *places}) <= 2  # a half may round either way
+
+
+def test_recall_is_measured_with_every_vector(spark, sf):
+    """Against plain scores of all pairs: each vector is a query, not one in fifty."""
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    v, label = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    best = []
+    for i in range(len(v)):
+        order = np.lexsort((np.arange(len(v)), -np.round(v @ v[i], 6)))[:11]
+        best.append(next((at for at, j in enumerate(order) if j != i and label[j] == label[i]), np.inf))
+    got, best = registry.queries()["recall_at_k_mrr"](spark, sf).first(), np.array(best)
+    assert got.queries == len(rows) == 500
+    assert np.allclose([got.recall_1, got.recall_3, got.mrr_10], [(best <= 1).mean(), (best <= 3).mean(), (1 / best).mean()], atol=2e-6)
